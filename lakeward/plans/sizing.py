@@ -1,0 +1,32 @@
+"""Join helpers that broadcast only a side whose size has been checked.
+
+Most joins here carry no hint at all: adaptive execution measures the
+shuffle output at run time and turns a join into a broadcast join only when
+the measured side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+``bounded_broadcast`` is for sides that are small by construction (a literal
+vocabulary) or whose row count is checked first; beyond the bound the plain
+shuffle join is kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side with at most this many rows is broadcast after a check.
+BROADCAST_ROW_LIMIT = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """``broadcast(df)`` if it holds at most ``max_rows`` rows, else ``df``.
+
+    The check reads at most ``max_rows + 1`` rows, so it stays cheap on a
+    large side.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def literal_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a frame built from a fixed literal list (size known in code)."""
+    return F.broadcast(df)
