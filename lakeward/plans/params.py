@@ -11,7 +11,7 @@ LONER = "customer.000000009@example.com"
 
 TEAM = "T10"
 TEAMS = ["T10", "T17"]
-SEARCH_Q = "green"
+SEARCH_Q = "Bolt"
 USER_Q = "00000001"
 FILTER_SOURCE = "snowflake"
 FILTER_LAYER = "L2"
