@@ -1 +1,44 @@
-"""Registered queries (filled in below)."""
+"""Registered streaming query: access requests decided by a Structured Streaming job."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeward.plans.change_queries import _decision_sql
+from lakeward.plans.registry import query
+from lakeward.sources.projection import catalog, read_table
+from lakeward.streaming.streams import request_stream, stream_folder
+
+
+def change_records_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's events file read as a stream and projected to change records
+    (stand-in input: a stream-static join with the customer table)."""
+    events_schema = read_table(spark, sf_dir, "events").schema
+    events = (spark.readStream.schema(events_schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    customer = read_table(spark, sf_dir, "customer")
+    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    etype = F.col("event_type")
+    op = (F.when(etype == "click", "update_asset").when(etype == "view", "publish_asset")
+          .when(etype == "error", "unpublish_asset").when(etype == "signup", "delete_asset")
+          .otherwise("request_access"))
+    return events.join(customer, customer.c_custkey == events.user_id).select(
+        F.col("event_id").alias("seq"), F.col("ts").alias("event_at"),
+        F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
+        .alias("actor_email"),
+        op.alias("op"), F.concat(F.lit("A"), F.col("user_id") * 14 + k).alias("target_id"),
+        F.create_map().cast("map<string,string>").alias("fields"),
+    )
+
+
+@query("request_stream", _decision_sql("request_access"))
+def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-R1: the events file as a stream, requests decided by a stream-static join,
+    written exactly-once to a parquet sink; returns the sink's rows."""
+    c = catalog(spark, sf_dir)
+    folder = stream_folder(spark, "requests")
+    q = request_stream(change_records_stream(spark, sf_dir), c.assets, f"{folder}/out", f"{folder}/checkpoint")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("seq", "op", "target_id", "status", "reason")
