@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.functions import vocab
-from lakeward.operators.access import effective_flags, team_grants
+from lakeward.operators.access import team_grants
 from lakeward.session import checkpoint_dir
 from lakeward.sources import schemas
 
@@ -88,52 +88,57 @@ def _pick(mapping: dict[tuple[str, ...], Column], default: Column | None = None)
 
 # ------------------------------------------------------------- lookups ---
 
+ENTITY_COLUMNS = ["e_team", "e_email", "e_name", "e_owner", "e_uid"]
+ENTITY_FLAGS = ["e_flag", "e_admin", "e_platform"]
 
-def entities(t: dict[str, DataFrame]) -> DataFrame:
-    """One row per (kind, id) of every table a change can point at.
 
-    ``e_team`` owning team (assets via their domain, domains, teams
-    themselves); ``e_flag`` is_platform of a team / asset has a domain;
-    ``e_email`` user e-mail; ``e_name`` asset/layer name; ``e_owner`` asset
-    owner e-mail.  Deduplicated per key, so a key violation cannot fan out
-    a change; the aggregate's hash partitioning is reused by the joins.
-    """
-    S = "string"
-    doms = t["domains"].groupBy("id").agg(F.min("team_id").alias("team_id"))
-    assets = t["assets"].join(doms.select(F.col("id").alias("domain_id"), F.col("team_id").alias("_dteam")),
-                              "domain_id", "left")
-    parts = [
-        assets.select(F.lit("asset").alias("e_kind"), F.col("id").alias("e_id"), F.col("_dteam").alias("e_team"),
-                      F.col("_dteam").isNotNull().alias("e_flag"), F.lit(None).cast(S).alias("e_email"),
-                      F.col("name").alias("e_name"), F.col("owner_email").alias("e_owner"),
-                      F.lit(None).cast(S).alias("e_uid")),
-        doms.select(F.lit("domain"), F.col("id"), F.col("team_id"), F.lit(True), F.lit(None).cast(S),
-                    F.lit(None).cast(S), F.lit(None).cast(S), F.lit(None).cast(S)),
-        t["teams"].select(F.lit("team"), F.col("id"), F.col("id"), F.coalesce("is_platform", F.lit(False)),
-                          F.lit(None).cast(S), F.col("name"), F.lit(None).cast(S), F.lit(None).cast(S)),
-        t["users"].select(F.lit("user"), F.col("id"), F.lit(None).cast(S), F.lit(True), F.col("email"),
-                          F.col("name"), F.lit(None).cast(S), F.col("id")),
-        t["users"].select(F.lit("user_email"), F.col("email"), F.lit(None).cast(S), F.lit(True), F.col("email"),
-                          F.col("name"), F.lit(None).cast(S), F.col("id")),
-        t["data_layers"].select(F.lit("layer"), F.col("id"), F.lit(None).cast(S), F.lit(True),
-                                F.lit(None).cast(S), F.col("name"), F.lit(None).cast(S), F.lit(None).cast(S)),
-    ]
-    union = reduce(DataFrame.unionByName, [parts[0]] + [p.toDF(*parts[0].columns) for p in parts[1:]])
-    return union.groupBy("e_kind", "e_id").agg(
-        *[F.min(c).alias(c) for c in ("e_team", "e_email", "e_name", "e_owner", "e_uid")],
-        F.bool_or("e_flag").alias("e_flag"),
-    )
+def _entity(kind: str, key: str, team: str = "NULL", email: str = "NULL", name: str = "NULL",
+            owner: str = "NULL", uid: str = "NULL", flag: str = "false", admin: str = "false",
+            platform: str = "false") -> str:
+    """SQL for one lookup row (a named struct); arguments are SQL expressions."""
+    return (f"named_struct('e_kind', '{kind}', 'e_id', CAST({key} AS STRING), "
+            f"'e_team', CAST({team} AS STRING), 'e_email', CAST({email} AS STRING), "
+            f"'e_name', CAST({name} AS STRING), 'e_owner', CAST({owner} AS STRING), "
+            f"'e_uid', CAST({uid} AS STRING), 'e_flag', coalesce({flag}, false), "
+            f"'e_admin', coalesce({admin}, false), 'e_platform', coalesce({platform}, false))")
+
+
+def _explode(*structs: str) -> str:
+    return f"explode(array({', '.join(structs)})) AS e"
 
 
-def name_owners(t: dict[str, DataFrame]) -> DataFrame:
-    """Unique names: ``n_kind, n_key, n_count, n_any_id`` (domain name, lower layer name, e-mail)."""
+def entities(t: dict[str, DataFrame]) -> DataFrame:
+    """Every row a change can look up, one row per (kind, key), from one scan per table.
+
+    Kinds: ``asset`` (team via its domain; flag = has a domain), ``domain``,
+    ``team`` (flag = platform), ``user``, ``user_email``, ``layer``, the
+    unique names ``domain_name`` / ``layer_name`` (lower-cased) with their
+    owners, and ``flag`` (actor e-mail: superadmin / platform member).
+    ``e_count`` counts the rows behind a key (a name taken twice, a key
+    violation); aggregation per key keeps one lookup row per key.
+    """
+    doms = t["domains"]
+    dom_team = doms.groupBy("id").agg(F.min("team_id").alias("_dteam")).withColumnRenamed("id", "domain_id")
+    assets = t["assets"].join(dom_team, "domain_id", "left")
+    platform_teams = t["teams"].filter(F.col("is_platform")).select(F.col("id").alias("team_id"))
+    platform_members = t["team_members"].join(platform_teams, "team_id", "left_semi")
     parts = [
-        t["domains"].select(F.lit("domain").alias("n_kind"), F.col("name").alias("n_key"), F.col("id").alias("n_id")),
-        t["data_layers"].select(F.lit("layer"), F.lower("name"), F.col("id")).toDF("n_kind", "n_key", "n_id"),
-        t["users"].select(F.lit("user"), F.col("email"), F.col("id")).toDF("n_kind", "n_key", "n_id"),
+        assets.selectExpr(_explode(_entity("asset", "id", team="_dteam", name="name", owner="owner_email",
+                                           flag="_dteam IS NOT NULL"))),
+        doms.selectExpr(_explode(_entity("domain", "id", team="team_id", flag="true"),
+                                 _entity("domain_name", "name", uid="id"))),
+        t["teams"].selectExpr(_explode(_entity("team", "id", team="id", name="name", flag="is_platform"))),
+        t["users"].selectExpr(_explode(_entity("user", "id", email="email", name="name", uid="id"),
+                                       _entity("user_email", "email", email="email", name="name", uid="id"),
+                                       _entity("flag", "email", admin="is_superadmin"))),
+        platform_members.selectExpr(_explode(_entity("flag", "email", platform="true"))),
+        t["data_layers"].selectExpr(_explode(_entity("layer", "id", name="name"),
+                                             _entity("layer_name", "lower(name)", uid="id"))),
     ]
-    return reduce(DataFrame.unionByName, parts).filter(F.col("n_key").isNotNull()).groupBy("n_kind", "n_key").agg(
-        F.count(F.lit(1)).alias("n_count"), F.min("n_id").alias("n_any_id"))
+    union = reduce(DataFrame.unionByName, parts).selectExpr("e.*").filter("e_id IS NOT NULL")
+    aggs = ([f"min({c}) AS {c}" for c in ENTITY_COLUMNS] + [f"bool_or({c}) AS {c}" for c in ENTITY_FLAGS]
+            + ["count(1) AS e_count"])
+    return union.groupBy("e_kind", "e_id").agg(*[F.expr(a) for a in aggs])
 
 
 # ------------------------------------------------------------ decision ---
@@ -171,9 +176,11 @@ REF_KEY = _sql_case({
     ("create_asset",): _sql_f("domain_id"), ("create_domain", "assign_user"): _sql_f("team_id"),
     ("add_member",): _sql_f("email")})
 NAME_KIND = _sql_case({
-    ("create_domain",): "'domain'", ("update_domain",): f"CASE WHEN {_sql_has('name')} THEN 'domain' END",
-    ("create_layer",): "'layer'", ("update_layer",): f"CASE WHEN {_sql_has('name')} THEN 'layer' END",
-    ("register_user",): "'user'"})
+    ("create_domain",): "'domain_name'",
+    ("update_domain",): f"CASE WHEN {_sql_has('name')} THEN 'domain_name' END",
+    ("create_layer",): "'layer_name'",
+    ("update_layer",): f"CASE WHEN {_sql_has('name')} THEN 'layer_name' END",
+    ("register_user",): "'user_email'"})
 NAME_KEY = _sql_case({
     ("create_domain", "update_domain"): _sql_f("name"),
     ("create_layer", "update_layer"): f"lower(trim({_sql_f('name')}))",
@@ -409,44 +416,66 @@ def _lit(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _lookup(df: DataFrame, ents: DataFrame, kind: str, key: str, prefix: str) -> DataFrame:
-    e = ents.select(*[F.col(c).alias(prefix + c[2:]) for c in ents.columns])
-    return df.join(e, (df[kind] == e[prefix + "kind"]) & (df[key] == e[prefix + "id"]), "left")
+# Columns each lookup role brings back: target row, referenced row, name owner, actor flags.
+LOOKUP_ROLES = {
+    "tg": ["e_id", "e_team", "e_flag", "e_email", "e_name", "e_owner", "e_uid"],
+    "rf": ["e_id", "e_team"],
+    "nm": ["e_count", "e_uid"],
+    "fl": ["e_admin", "e_platform"],
+}
+
+
+def _lookup_all(ch: DataFrame, ents: DataFrame) -> DataFrame:
+    """All first-round lookups of every change in one join with the entity table.
+
+    Each change asks for up to four (kind, key) rows; the answers are
+    regrouped per change (``seq`` is unique within a batch) and joined back.
+    """
+    def ask(role: str, kind, key):
+        return F.struct(F.lit(role).alias("role"), kind.alias("kind"), key.alias("key"))
+
+    asks = ch.select("seq", F.explode(F.array(
+        ask("tg", F.col("t_kind"), F.col("t_key")),
+        ask("rf", F.col("r_kind"), F.col("r_key")),
+        ask("nm", F.col("n_kind_"), F.col("n_key_")),
+        ask("fl", F.lit("flag"), F.col("actor_email")),
+    )).alias("a")).select("seq", "a.*").filter(F.col("kind").isNotNull() & F.col("key").isNotNull())
+    hits = asks.join(ents, (asks.kind == ents.e_kind) & (asks.key == ents.e_id))
+    found = hits.groupBy(F.col("seq").alias("_seq")).agg(*[
+        F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c[2:]}")
+        for role, cols in LOOKUP_ROLES.items() for c in cols])
+    return ch.join(found, ch.seq == found._seq, "left").drop("_seq").withColumnsRenamed(
+        {"nm_count": "n_count", "nm_uid": "n_any_id", "fl_admin": "a_admin", "fl_platform": "a_platform"})
 
 
 def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
     """Every change with ``status``, ``reason`` and the looked-up columns it used."""
-    flags = effective_flags(t["users"], t["team_members"], t["teams"])
     grants = team_grants(t["team_members"])
     ents = entities(t)
-    names = name_owners(t)
 
     ch = changes.select(
         "seq", "event_at", "actor_email", "op", "target_id",
         F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"),
     ).selectExpr("*", f"{TARGET_KIND} AS t_kind", f"{TARGET_KEY} AS t_key", f"{REF_KIND} AS r_kind",
                  f"{REF_KEY} AS r_key", f"{NAME_KIND} AS n_kind_", f"{NAME_KEY} AS n_key_")
-    ch = _lookup(ch, ents, "t_kind", "t_key", "tg_")
-    ch = _lookup(ch, ents, "r_kind", "r_key", "rf_")
+    ch = _lookup_all(ch, ents)
     ch = ch.selectExpr("*", f"{GRANT_TEAM} AS g_team", f"{MEMBER_TEAM} AS m_team", f"{MEMBER_EMAIL} AS m_email")
 
-    fl = flags.select(F.col("email").alias("_fl_email"), F.col("is_global").alias("a_global"),
-                      F.col("is_platform").alias("a_platform"))
+    # Second round (needs the target's team / e-mail): the actor's grant on a
+    # team and the membership a change addresses; both joins key the grant
+    # table by (e-mail, team) so its shuffle is shared.
     g = grants.select(F.col("email").alias("_g_email"), F.col("team_id").alias("_g_team"),
                       F.col("is_member").alias("_member"), F.col("is_manager").alias("_manager"),
                       F.col("is_owner").alias("_owner"))
-    mem = grants.select(F.col("team_id").alias("_m_team"), F.col("email").alias("_m_email"),
+    mem = grants.select(F.col("email").alias("_m_email"), F.col("team_id").alias("_m_team"),
                         F.lit(True).alias("_m_exists"))
-    nm = names.select(F.col("n_kind").alias("_n_kind"), F.col("n_key").alias("_n_key"), "n_count", "n_any_id")
     ch = (
-        ch.join(fl, ch.actor_email == fl._fl_email, "left")
-        .join(g, (ch.actor_email == g._g_email) & (ch.g_team == g._g_team), "left")
-        .join(mem, (ch.m_team == mem._m_team) & (ch.m_email == mem._m_email), "left")
-        .join(nm, (ch.n_kind_ == nm._n_kind) & (ch.n_key_ == nm._n_key), "left")
+        ch.join(g, (ch.actor_email == g._g_email) & (ch.g_team == g._g_team), "left")
+        .join(mem, (ch.m_email == mem._m_email) & (ch.m_team == mem._m_team), "left")
     )
     ch = ch.select(
-        *[c for c in ch.columns if not c.startswith("_") and c not in ("a_global", "a_platform")],
-        F.coalesce("a_global", F.lit(False)).alias("is_global"),
+        *[c for c in ch.columns if not c.startswith("_") and c not in ("a_admin", "a_platform")],
+        (F.coalesce("a_admin", F.lit(False)) | F.coalesce("a_platform", F.lit(False))).alias("is_global"),
         F.coalesce("a_platform", F.lit(False)).alias("is_platform"),
         F.coalesce("_member", F.lit(False)).alias("a_member"),
         F.coalesce("_manager", F.lit(False)).alias("a_manager"),

@@ -14,85 +14,68 @@ from pyspark.sql import functions as F
 
 from lakeward.sources import schemas
 
-EPOCH = "2023-01-01 00:00:00"
+_READS: dict[tuple[int, str], DataFrame] = {}
 
 
-def _ts(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a lazy DataFrame.
 
+    The definition (file listing and footer schema, no data) is kept per
+    session and path, as a table registered in a catalog would be; the
+    driver's folders are read-only.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
 
-def _email(name_col: str) -> Column:
-    return F.concat(F.lower(F.replace(F.col(name_col), F.lit("#"), F.lit("."))), F.lit("@example.com"))
 
+EMAIL_SQL = "concat(lower(replace({c}, '#', '.')), '@example.com')"
+TS0 = "TIMESTAMP_NTZ '2023-01-01 00:00:00'"
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def _x(*exprs: str) -> list[Column]:
+    return [F.expr(e) for e in exprs]
 
 
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        F.concat(F.lit("T"), F.col("n_nationkey")).alias("id"),
-        F.col("n_name").alias("name"),
-        F.concat(F.lit("Team in "), F.col("r_name")).alias("description"),
-        (F.col("n_nationkey") == 0).alias("is_platform"),
-    )
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(*_x(
+        "concat('T', n_nationkey) AS id", "n_name AS name", "concat('Team in ', r_name) AS description",
+        "n_nationkey = 0 AS is_platform"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read_table(spark, sf_dir, "customer")
-    return customer.select(
-        F.concat(F.lit("U"), F.col("c_custkey")).alias("id"),
-        _email("c_name").alias("email"),
-        (F.col("c_custkey") % 500 == 1).alias("is_superadmin"),
-        F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
-        F.lit("").alias("avatar"),
-        F.timestamp_add("MINUTE", F.col("c_custkey"), _ts(EPOCH)).alias("created_at"),
-    )
+    return read_table(spark, sf_dir, "customer").select(*_x(
+        "concat('U', c_custkey) AS id", EMAIL_SQL.format(c="c_name") + " AS email",
+        "c_custkey % 500 = 1 AS is_superadmin", "CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS name",
+        "'' AS avatar", f"timestampadd(MINUTE, c_custkey, {TS0}) AS created_at"))
 
 
 def team_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read_table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 10 != 9)
-    first = customer.select(
-        F.concat(F.lit("M"), F.col("c_custkey"), F.lit("-0")).alias("id"),
-        F.concat(F.lit("T"), F.col("c_nationkey")).alias("team_id"),
-        _email("c_name").alias("email"),
-        F.when(F.col("c_mktsegment") == "AUTOMOBILE", "owner")
-        .when(F.col("c_mktsegment") == "BUILDING", "manager")
-        .otherwise("member").alias("role"),
-    )
-    second = customer.filter(F.col("c_custkey") % 3 == 0).select(
-        F.concat(F.lit("M"), F.col("c_custkey"), F.lit("-1")).alias("id"),
-        F.concat(F.lit("T"), (F.col("c_nationkey") + 7) % 25).alias("team_id"),
-        _email("c_name").alias("email"),
-        F.lit("member").alias("role"),
-    )
+    customer = read_table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 9")
+    first = customer.select(*_x(
+        "concat('M', c_custkey, '-0') AS id", "concat('T', c_nationkey) AS team_id",
+        EMAIL_SQL.format(c="c_name") + " AS email",
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'owner' WHEN 'BUILDING' THEN 'manager' ELSE 'member' END AS role"))
+    second = customer.filter("c_custkey % 3 = 0").select(*_x(
+        "concat('M', c_custkey, '-1') AS id", "concat('T', (c_nationkey + 7) % 25) AS team_id",
+        EMAIL_SQL.format(c="c_name") + " AS email", "'member' AS role"))
     return first.unionByName(second)
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = read_table(spark, sf_dir, "supplier")
-    return supplier.select(
-        F.concat(F.lit("D"), F.col("s_suppkey")).alias("id"),
-        F.col("s_name").alias("name"),
-        F.lit("").alias("description"),
-        F.lit("").alias("owner_email"),
-        F.concat(F.lit("T"), F.col("s_nationkey")).alias("team_id"),
-        _ts(EPOCH).alias("created_at"),
-        _ts(EPOCH).alias("updated_at"),
-    )
+    return read_table(spark, sf_dir, "supplier").select(*_x(
+        "concat('D', s_suppkey) AS id", "s_name AS name", "'' AS description", "'' AS owner_email",
+        "concat('T', s_nationkey) AS team_id", f"{TS0} AS created_at", f"{TS0} AS updated_at"))
 
 
 def data_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = read_table(spark, sf_dir, "region")
-    return region.select(
-        F.concat(F.lit("L"), F.col("r_regionkey")).alias("id"),
-        F.lower(F.col("r_name")).alias("name"),
-        F.lit("#9CA3AF").alias("color"),
-        (F.lit(4) - F.col("r_regionkey")).cast("int").alias("position"),
-        _ts(EPOCH).alias("created_at"),
-    )
+    return read_table(spark, sf_dir, "region").select(*_x(
+        "concat('L', r_regionkey) AS id", "lower(r_name) AS name", "'#9CA3AF' AS color",
+        "CAST(4 - r_regionkey AS INT) AS position", f"{TS0} AS created_at"))
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,48 +84,27 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_table(spark, sf_dir, "lineitem")
     n_suppliers = supplier.select(F.count(F.lit(1))).scalar()
     ship = lineitem.groupBy("l_partkey").agg(
-        F.min("l_shipdate").alias("created_at"), F.max("l_shipdate").alias("updated_at")
-    )
-    key, size, ptype = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
-    source = (
-        F.when(ptype == "STANDARD", "snowflake").when(ptype == "PROMO", "bigquery")
-        .when(ptype == "SMALL", "redshift").when(ptype == "LARGE", "postgres")
-        .when(ptype == "ECONOMY", "s3").otherwise("gcs")
-    )
-    schema_json = (
-        F.when(key % 4 == 0, F.concat(
-            F.lit('[{"name":"id","type":"INT","nullable":false,"description":"key"},{"name":"c'),
-            size, F.lit('","type":"STRING"}]')))
-        .when(key % 4 == 1, F.concat(F.lit('{"id":"INT","v'), size, F.lit('":"DECIMAL"}')))
-        .when(key % 4 == 2, F.lit("{}"))
-        .otherwise(F.lit("not json"))
-    )
-    tags = F.when(size % 5 == 0, F.lit("")).otherwise(F.concat(
-        F.lower(ptype), F.lit(", "), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("-"))),
-        F.lit(",size"), size % 3))
-    freshness = (
-        F.when(size % 6 == 0, "").when(size % 6 == 1, "real-time").when(size % 6 == 2, "hourly")
-        .when(size % 6 == 3, "daily").when(size % 6 == 4, "weekly").otherwise("monthly")
-    )
+        F.min("l_shipdate").alias("created_at"), F.max("l_shipdate").alias("updated_at"))
     return part.join(ship, part.p_partkey == ship.l_partkey, "left").select(
-        F.concat(F.lit("A"), key).alias("id"),
-        F.concat(F.lit("D"), key % n_suppliers).alias("domain_id"),
-        F.col("p_name").alias("name"),
-        F.concat(ptype, F.lit(" "), F.col("p_brand")).alias("description"),
-        F.when(size % 10 == 0, F.lit("")).otherwise(source).alias("source_type"),
-        F.concat(F.lit("dw."), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))),
-                 F.lit(".t"), key).alias("connection_uri"),
-        schema_json.alias("schema_json"),
-        F.lit("").alias("owner_email"),
-        tags.alias("tags"),
-        F.when(size % 7 == 0, F.lit(None).cast("double"))
-        .otherwise((size % 21) / F.lit(20.0)).alias("quality_score"),
-        freshness.alias("freshness"),
-        ((key + size) % 3 != 0).alias("published"),
-        F.col("created_at"),
-        F.col("updated_at"),
-        F.when(key % 6 == 5, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("L"), key % 6)).alias("layer_id"),
+        F.expr("concat('A', p_partkey) AS id"),
+        F.concat(F.lit("D"), F.col("p_partkey") % n_suppliers).alias("domain_id"),
+        *_x("p_name AS name", "concat(p_type, ' ', p_brand) AS description",
+            "CASE WHEN p_size % 10 = 0 THEN '' ELSE CASE p_type WHEN 'STANDARD' THEN 'snowflake' "
+            "WHEN 'PROMO' THEN 'bigquery' WHEN 'SMALL' THEN 'redshift' WHEN 'LARGE' THEN 'postgres' "
+            "WHEN 'ECONOMY' THEN 's3' ELSE 'gcs' END END AS source_type",
+            "concat('dw.', lower(replace(p_brand, '#', '_')), '.t', p_partkey) AS connection_uri",
+            "CASE p_partkey % 4 WHEN 0 THEN concat('[{\"name\":\"id\",\"type\":\"INT\",\"nullable\":false,"
+            "\"description\":\"key\"},{\"name\":\"c', p_size, '\",\"type\":\"STRING\"}]') "
+            "WHEN 1 THEN concat('{\"id\":\"INT\",\"v', p_size, '\":\"DECIMAL\"}') WHEN 2 THEN '{}' "
+            "ELSE 'not json' END AS schema_json",
+            "'' AS owner_email",
+            "CASE WHEN p_size % 5 = 0 THEN '' ELSE concat(lower(p_type), ', ', "
+            "lower(replace(p_brand, '#', '-')), ',size', p_size % 3) END AS tags",
+            "CASE WHEN p_size % 7 = 0 THEN NULL ELSE (p_size % 21) / CAST(20 AS DOUBLE) END AS quality_score",
+            "CASE p_size % 6 WHEN 0 THEN '' WHEN 1 THEN 'real-time' WHEN 2 THEN 'hourly' WHEN 3 THEN 'daily' "
+            "WHEN 4 THEN 'weekly' ELSE 'monthly' END AS freshness",
+            "(p_partkey + p_size) % 3 <> 0 AS published", "created_at", "updated_at",
+            "CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE concat('L', p_partkey % 6) END AS layer_id"),
     )
 
 
@@ -151,20 +113,15 @@ def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     customer = read_table(spark, sf_dir, "customer")
     lines = lineitem.groupBy("l_orderkey", "l_partkey").agg(F.max("l_shipdate").alias("s"))
-    status = F.col("o_orderstatus")
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(customer, orders.o_custkey == customer.c_custkey)
-        .select(
-            F.concat(F.lit("R"), F.col("l_orderkey"), F.lit("-"), F.col("l_partkey")).alias("id"),
-            F.concat(F.lit("A"), F.col("l_partkey")).alias("asset_id"),
-            _email("c_name").alias("requester_email"),
-            F.when(status == "P", "pending").when(status == "F", "denied")
-            .otherwise("approved").alias("status"),
-            F.col("o_orderdate").alias("created_at"),
-            F.when(status == "P", F.lit(None).cast("timestamp_ntz"))
-            .otherwise(F.greatest(F.col("o_orderdate"), F.col("s"))).alias("decision_at"),
-        )
+        .select(*_x(
+            "concat('R', l_orderkey, '-', l_partkey) AS id", "concat('A', l_partkey) AS asset_id",
+            EMAIL_SQL.format(c="c_name") + " AS requester_email",
+            "CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'denied' ELSE 'approved' END AS status",
+            "o_orderdate AS created_at",
+            "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE greatest(o_orderdate, s) END AS decision_at"))
     )
 
 
@@ -172,32 +129,16 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change records in the ``schemas.CHANGES`` shape (plus flat field columns)."""
     events = read_table(spark, sf_dir, "events")
     customer = read_table(spark, sf_dir, "customer")
-    k = F.get_json_object(F.col("props"), "$.k").cast("int")
-    etype = F.col("event_type")
-    op = (
-        F.when(etype == "click", "update_asset").when(etype == "view", "publish_asset")
-        .when(etype == "error", "unpublish_asset").when(etype == "signup", "delete_asset")
-        .otherwise("request_access")
-    )
-    field_name = F.when((k % 10 == 0) | (etype != "click"), F.lit(None).cast("string")).otherwise("freshness")
-    field_value = F.when(k % 3 == 0, "daily").when(k % 3 == 1, "hourly")
-    return (
-        events.join(customer, customer.c_custkey == events.user_id)
-        .select(
-            F.col("event_id").alias("seq"),
-            F.col("ts").alias("event_at"),
-            _email("c_name").alias("actor_email"),
-            op.alias("op"),
-            F.concat(F.lit("A"), F.col("user_id") * 14 + k).alias("target_id"),
-            field_name.alias("field_name"),
-            field_value.alias("field_value"),
-        )
-        .withColumn(
-            "fields",
-            F.when(F.col("field_name").isNotNull(), F.create_map("field_name", "field_value"))
-            .otherwise(F.create_map().cast("map<string,string>")),
-        )
-    )
+    k = "CAST(get_json_object(props, '$.k') AS INT)"
+    return events.join(customer, customer.c_custkey == events.user_id).select(*_x(
+        "event_id AS seq", "ts AS event_at", EMAIL_SQL.format(c="c_name") + " AS actor_email",
+        "CASE event_type WHEN 'click' THEN 'update_asset' WHEN 'view' THEN 'publish_asset' "
+        "WHEN 'error' THEN 'unpublish_asset' WHEN 'signup' THEN 'delete_asset' ELSE 'request_access' END AS op",
+        f"concat('A', user_id * 14 + {k}) AS target_id",
+        f"CASE WHEN {k} % 10 = 0 OR event_type <> 'click' THEN NULL ELSE 'freshness' END AS field_name",
+        f"CASE {k} % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'hourly' END AS field_value",
+    )).selectExpr("*", "CASE WHEN field_name IS NOT NULL THEN map(field_name, field_value) "
+                       "ELSE CAST(map() AS MAP<STRING, STRING>) END AS fields")
 
 
 PROJECTIONS = {
