@@ -27,11 +27,17 @@ SCOPE_PUBLISHED, SCOPE_ALL, SCOPE_TEAM = "published", "all", "team"
 # --------------------------------------------------------------- O-X1/X2 ---
 
 
-def effective_flags(users: DataFrame, members: DataFrame, teams: DataFrame) -> DataFrame:
+def effective_flags(users: DataFrame, members: DataFrame, teams: DataFrame,
+                    emails: list[str] | None = None) -> DataFrame:
     """Per e-mail: ``email, is_superadmin, is_platform, is_global``.
 
-    Members of a platform team count even without a user account.
+    Members of a platform team count even without a user account.  With
+    ``emails`` only those e-mails are computed, and the filter reaches the
+    scans of users and members before any join or aggregation.
     """
+    if emails is not None:
+        users = users.filter(F.col("email").isin(emails))
+        members = members.filter(F.col("email").isin(emails))
     admins = users.groupBy("email").agg(F.bool_or(F.coalesce("is_superadmin", F.lit(False))).alias("is_superadmin"))
     platform_teams = teams.filter(F.col("is_platform")).select(F.col("id").alias("team_id"))
     platform = (

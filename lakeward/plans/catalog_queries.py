@@ -22,8 +22,13 @@ def _flags(c) -> DataFrame:
     return access.effective_flags(c.users, c.team_members, c.teams)
 
 
+def _viewer_flags(c, viewer: str | None) -> DataFrame:
+    """Flags of one viewer only (the e-mail filter is pushed to the scans)."""
+    return access.effective_flags(c.users, c.team_members, c.teams, emails=[viewer] if viewer else [])
+
+
 def _visible(c, viewer: str | None) -> DataFrame:
-    return access.visible_assets(c.assets, c.domains, c.team_members, _flags(c), viewer)
+    return access.visible_assets(c.assets, c.domains, c.team_members, _viewer_flags(c, viewer), viewer)
 
 
 # ------------------------------------------------------------ scans (S) ---
@@ -271,9 +276,9 @@ FROM {o.visible_assets(p.MEMBER)} va
 """)
 def q_dashboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    flags = _flags(c)
     return rollups.dashboard_stats(
-        _visible(c, p.MEMBER), access.visible_domains(c.domains, c.team_members, flags, p.MEMBER))
+        _visible(c, p.MEMBER),
+        access.visible_domains(c.domains, c.team_members, _viewer_flags(c, p.MEMBER), p.MEMBER))
 
 
 @query("source_types", f"""
@@ -360,7 +365,8 @@ JOIN team_members tm ON t.id = tm.team_id WHERE tm.email = {o.q(p.MEMBER)} AND N
 """)
 def q_ordered_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    return search.ordered_teams(access.visible_teams(c.teams, c.team_members, _flags(c), p.MEMBER))
+    return search.ordered_teams(access.visible_teams(c.teams, c.team_members, _viewer_flags(c, p.MEMBER),
+                                                     p.MEMBER))
 
 
 @query("page_per_viewer", f"""
@@ -545,7 +551,8 @@ def q_visible_asset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("visible_domains", f"SELECT id, name, team_id FROM {o.visible_domains(p.MEMBER)} vd")
 def q_visible_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    return access.visible_domains(c.domains, c.team_members, _flags(c), p.MEMBER).select("id", "name", "team_id")
+    return access.visible_domains(c.domains, c.team_members, _viewer_flags(c, p.MEMBER), p.MEMBER).select(
+        "id", "name", "team_id")
 
 
 @query("visible_domain_counts", f"""
@@ -567,7 +574,7 @@ WHERE NOT t.is_platform AND ({o.is_global(p.GLOBAL)})
 """)
 def q_visible_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    return access.visible_teams(c.teams, c.team_members, _flags(c), p.GLOBAL)
+    return access.visible_teams(c.teams, c.team_members, _viewer_flags(c, p.GLOBAL), p.GLOBAL)
 
 
 @query("access_decisions", f"""

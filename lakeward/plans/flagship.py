@@ -15,7 +15,7 @@ def asset_listing(spark: SparkSession, sf_dir: str, viewer: str | None = p.MEMBE
                   limit: int = p.PAGE_LIMIT, offset: int = 0) -> DataFrame:
     """Search -> visibility -> layer join -> first page by name."""
     c = catalog(spark, sf_dir)
-    flags = access.effective_flags(c.users, c.team_members, c.teams)
+    flags = access.effective_flags(c.users, c.team_members, c.teams, emails=[viewer] if viewer else [])
     visible = access.visible_assets(c.assets, c.domains, c.team_members, flags, viewer)
     found = search.search_assets(visible, q)
     page = search.page_assets(found, limit=limit, offset=offset)
