@@ -81,10 +81,6 @@ def assets_with_team(assets: DataFrame, domains: DataFrame) -> DataFrame:
     return assets.join(d, "domain_id")
 
 
-def _viewer_eq(col: Column, viewer: str | None) -> Column:
-    return col == F.lit(viewer) if viewer is not None else F.lit(False)
-
-
 def viewer_is_global(flags: DataFrame, viewer: str | None) -> Column:
     """Scalar subquery: is this one viewer global (false when unknown/anonymous)."""
     if viewer is None:
@@ -94,23 +90,28 @@ def viewer_is_global(flags: DataFrame, viewer: str | None) -> Column:
     )
 
 
+def _own_teams(members: DataFrame, viewer: str, key: str = "team_id") -> DataFrame:
+    """The viewer's teams as a set (flag column ``_own``); the e-mail filter reaches the scan."""
+    return (members.filter(F.col("email") == viewer).select(F.col("team_id").alias(key)).distinct()
+            .withColumn("_own", F.lit(True)))
+
+
 def visible_assets(assets: DataFrame, domains: DataFrame, members: DataFrame, flags: DataFrame,
                    viewer: str | None) -> DataFrame:
     """Assets one viewer may see (with ``team_id``, ``domain_name``).
 
-    Three disjoint branches: published rows; drafts when the viewer is
-    global; drafts of the viewer's teams when not global.
+    One pass over the assets: a left join with the viewer's own team set
+    and one filter (published, or the viewer is global, or the asset's
+    team is the viewer's).
     """
     rows = assets_with_team(assets, domains)
-    published = rows.filter(F.col("published"))
     if viewer is None:
-        return published
-    drafts = rows.filter(~F.coalesce(F.col("published"), F.lit(False)))
+        return rows.filter(F.col("published"))
     is_global = viewer_is_global(flags, viewer)
-    own_teams = members.filter(F.col("email") == viewer).select("team_id")
-    global_drafts = drafts.filter(is_global)
-    team_drafts = drafts.filter(~is_global).join(own_teams, "team_id", "left_semi")
-    return published.unionByName(global_drafts).unionByName(team_drafts)
+    own = _own_teams(members, viewer)
+    return (rows.join(own, "team_id", "left")
+            .filter(F.coalesce(F.col("published"), F.lit(False)) | is_global | F.col("_own").isNotNull())
+            .drop("_own"))
 
 
 # ----------------------------------------------------------------- O-X4 ---
@@ -194,25 +195,23 @@ def visible_asset_counts(assets: DataFrame, domains: DataFrame, members: DataFra
 
 
 def visible_domains(domains: DataFrame, members: DataFrame, flags: DataFrame, viewer: str | None) -> DataFrame:
-    """Domains one viewer may list: global all; member own teams'; anonymous none."""
+    """Domains one viewer may list: global all; member own teams'; anonymous none (one pass)."""
     if viewer is None:
         return domains.limit(0)
     is_global = viewer_is_global(flags, viewer)
-    own_teams = members.filter(F.col("email") == viewer).select("team_id")
-    # One row per membership row, as the catalog's listing join gives.
-    mine = domains.filter(~is_global).join(own_teams, "team_id")
-    return domains.filter(is_global).unionByName(mine.select(*domains.columns))
+    own = _own_teams(members, viewer)
+    return (domains.join(own, "team_id", "left").filter(is_global | F.col("_own").isNotNull())
+            .select(*domains.columns))
 
 
 def visible_teams(teams: DataFrame, members: DataFrame, flags: DataFrame, viewer: str | None) -> DataFrame:
-    """Teams one viewer may list; the platform team is always hidden."""
+    """Teams one viewer may list; the platform team is always hidden (one pass)."""
     if viewer is None:
         return teams.limit(0)
     shown = teams.filter(~F.coalesce(F.col("is_platform"), F.lit(False)))
     is_global = viewer_is_global(flags, viewer)
-    own_teams = members.filter(F.col("email") == viewer).select(F.col("team_id").alias("id"))
-    mine = shown.filter(~is_global).join(own_teams, "id")
-    return shown.filter(is_global).unionByName(mine.select(*teams.columns))
+    own = _own_teams(members, viewer, key="id")
+    return shown.join(own, "id", "left").filter(is_global | F.col("_own").isNotNull()).select(*teams.columns)
 
 
 def visible_domain_counts(domains: DataFrame, members: DataFrame, flags: DataFrame, viewers: DataFrame) -> DataFrame:
