@@ -109,12 +109,14 @@ def parse_columns(schema_json: Column | str) -> Column:
     )
 
 
-def asset_columns(assets: DataFrame) -> DataFrame:
-    """One row per described column: ``asset_id, col_pos (1-based), name, type, nullable, description``."""
+def asset_columns(assets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per described column: ``asset_id, col_pos (1-based), name, type, nullable, description``
+    (plus the asset columns named in ``keep``)."""
     return (
-        assets.select(F.col("id").alias("asset_id"), F.posexplode(parse_columns("schema_json")).alias("col_pos", "c"))
+        assets.select(F.col("id").alias("asset_id"), *keep,
+                      F.posexplode(parse_columns("schema_json")).alias("col_pos", "c"))
         .select(
-            "asset_id",
+            "asset_id", *keep,
             (F.col("col_pos") + 1).cast("int").alias("col_pos"),
             F.col("c.name").alias("name"),
             F.col("c.type").alias("type"),

@@ -159,14 +159,14 @@ def visible_asset_counts(assets: DataFrame, domains: DataFrame, members: DataFra
     per-team counts add up), or the full count for a global viewer.
     """
     rows = assets_with_team(assets, domains)
-    totals = rows.agg(
+    # One aggregate per team; the totals and the per-team draft counts are
+    # all read from it (its shuffle is computed once and reused).
+    per_team = rows.groupBy("team_id").agg(
         F.count(F.lit(1)).alias("n_all"),
-        F.count(F.when(F.col("published"), 1)).alias("n_published"),
-    )
-    drafts_per_team = (
-        rows.filter(~F.coalesce(F.col("published"), F.lit(False)))
-        .groupBy("team_id").agg(F.count(F.lit(1)).alias("n_drafts"))
+        F.count(F.when(F.coalesce(F.col("published"), F.lit(False)), 1)).alias("n_published"),
     )
+    drafts_per_team = per_team.select("team_id", (F.col("n_all") - F.col("n_published")).alias("n_drafts"))
+    totals = per_team.agg(F.sum("n_all").alias("n_all"), F.sum("n_published").alias("n_published"))
     scopes = visibility_scopes(viewers, members, flags)
     # Scope rows of kind team/all never carry a NULL viewer, so plain
     # left joins keep the anonymous viewer with no match.
@@ -176,8 +176,8 @@ def visible_asset_counts(assets: DataFrame, domains: DataFrame, members: DataFra
         .groupBy("viewer").agg(F.sum("n_drafts").alias("n_team_drafts"))
     )
     is_global = scopes.filter(F.col("scope") == SCOPE_ALL).select("viewer", F.lit(True).alias("is_global"))
-    n_all = totals.select("n_all").scalar()
-    n_pub = totals.select("n_published").scalar()
+    n_all = F.coalesce(totals.select("n_all").scalar(), F.lit(0))
+    n_pub = F.coalesce(totals.select("n_published").scalar(), F.lit(0))
     return (
         viewers.select("viewer")
         .join(team_part, "viewer", "left")

@@ -1,7 +1,8 @@
 """Integrity checks the lake does not enforce (O-J11, O-J12, O-F7).
 
 Parquet has no keys, so dangling references and duplicate keys are found
-by jobs: anti-joins per relation, grouped counts per key.
+by jobs: one anti join of all references against all parent keys, one
+grouped count of all keys.
 """
 
 from __future__ import annotations
@@ -18,55 +19,64 @@ from lakeward.plans.sizing import literal_broadcast
 REFERENCE_COLUMNS = ["relation", "child_table", "child_id", "ref_value"]
 
 
-def _dangling(relation: str, child_table: str, child: DataFrame, fk: str,
-              parent: DataFrame, pk: str) -> DataFrame:
-    keys = parent.select(F.col(pk).alias("_pk"))
-    return (
-        child.filter(F.col(fk).isNotNull())
-        .join(keys, F.col(fk) == keys._pk, "left_anti")
-        .select(F.lit(relation).alias("relation"), F.lit(child_table).alias("child_table"),
-                F.col("id").alias("child_id"), F.col(fk).alias("ref_value"))
-    )
+def _refs(df: DataFrame, table: str, *refs: tuple[str, str]) -> DataFrame:
+    """Reference rows of one table, one scan: (relation, child_table, child_id, parent_kind, ref_value)."""
+    items = [F.struct(F.lit(f"{table}.{col}").alias("relation"), F.lit(kind).alias("parent_kind"),
+                      F.col(col).alias("ref_value")) for col, kind in refs]
+    return df.select(F.col("id").alias("child_id"), F.explode(F.array(*items)).alias("r")).select(
+        "r.relation", F.lit(table).alias("child_table"), "child_id", "r.parent_kind", "r.ref_value")
 
 
 def dangling_references(t: dict[str, DataFrame]) -> DataFrame:
     """O-J11: rows whose reference has no parent, one row per broken reference.
 
     Relations: member→team, domain→team, asset→domain, asset→layer (an
-    unchecked column), request→asset, member e-mail→user account.
+    unchecked column), request→asset, member e-mail→user account.  All
+    references meet all parent keys in a single anti join.
     """
-    parts = [
-        _dangling("team_members.team_id", "team_members", t["team_members"], "team_id", t["teams"], "id"),
-        _dangling("domains.team_id", "domains", t["domains"], "team_id", t["teams"], "id"),
-        _dangling("assets.domain_id", "assets", t["assets"], "domain_id", t["domains"], "id"),
-        _dangling("assets.layer_id", "assets", t["assets"], "layer_id", t["data_layers"], "id"),
-        _dangling("access_requests.asset_id", "access_requests", t["access_requests"], "asset_id",
-                  t["assets"], "id"),
-        _dangling("team_members.email", "team_members", t["team_members"], "email", t["users"], "email"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _dupes(table: str, key_name: str, df: DataFrame, *key_cols) -> DataFrame:
-    key = F.concat_ws("|", *key_cols) if len(key_cols) > 1 else key_cols[0]
-    return (
-        df.select(key.alias("key_value"))
-        .groupBy("key_value").agg(F.count(F.lit(1)).alias("n_rows"))
-        .filter(F.col("n_rows") > 1)
-        .select(F.lit(table).alias("table_name"), F.lit(key_name).alias("key_name"), "key_value", "n_rows")
-    )
+    refs = reduce(DataFrame.unionByName, [
+        _refs(t["team_members"], "team_members", ("team_id", "team"), ("email", "user")),
+        _refs(t["domains"], "domains", ("team_id", "team")),
+        _refs(t["assets"], "assets", ("domain_id", "domain"), ("layer_id", "layer")),
+        _refs(t["access_requests"], "access_requests", ("asset_id", "asset")),
+    ]).filter(F.col("ref_value").isNotNull())
+    keys = reduce(DataFrame.unionByName, [
+        t["teams"].select(F.lit("team").alias("_kind"), F.col("id").alias("_key")),
+        t["users"].select(F.lit("user").alias("_kind"), F.col("email").alias("_key")),
+        t["domains"].select(F.lit("domain").alias("_kind"), F.col("id").alias("_key")),
+        t["data_layers"].select(F.lit("layer").alias("_kind"), F.col("id").alias("_key")),
+        t["assets"].select(F.lit("asset").alias("_kind"), F.col("id").alias("_key")),
+    ])
+    return refs.join(keys, (refs.parent_kind == keys._kind) & (refs.ref_value == keys._key), "left_anti").select(
+        *REFERENCE_COLUMNS)
+
+
+# Keys checked per table: (key name, SQL expression of the key).
+UNIQUE_KEYS: dict[str, list[tuple[str, str]]] = {
+    "teams": [("id", "id")],
+    "team_members": [("id", "id"), ("team_id,email", "concat_ws('|', team_id, email)")],
+    "domains": [("id", "id"), ("name", "name")],
+    "assets": [("id", "id")],
+    "data_layers": [("id", "id"), ("lower(name)", "lower(name)")],
+    "access_requests": [("id", "id")],
+    "users": [("id", "id"), ("email", "email")],
+}
 
 
 def duplicate_keys(t: dict[str, DataFrame]) -> DataFrame:
-    """O-J12: primary and unique key violations: ``table_name, key_name, key_value, n_rows``."""
-    parts = [_dupes(name, "id", df, F.col("id")) for name, df in t.items()]
-    parts += [
-        _dupes("domains", "name", t["domains"], F.col("name")),
-        _dupes("data_layers", "lower(name)", t["data_layers"], F.lower("name")),
-        _dupes("team_members", "team_id,email", t["team_members"], F.col("team_id"), F.col("email")),
-        _dupes("users", "email", t["users"], F.col("email")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """O-J12: primary and unique key violations: ``table_name, key_name, key_value, n_rows``.
+
+    Every key of a row is emitted by one scan of its table; one aggregate
+    (partial + final) counts all keys at once.
+    """
+    parts = []
+    for table, keys in UNIQUE_KEYS.items():
+        items = ", ".join(f"named_struct('key_name', '{name}', 'key_value', {expr})" for name, expr in keys)
+        parts.append(t[table].selectExpr(f"'{table}' AS table_name", f"explode(array({items})) AS k")
+                     .selectExpr("table_name", "k.key_name", "k.key_value"))
+    return (reduce(DataFrame.unionByName, parts)
+            .groupBy("table_name", "key_name", "key_value").agg(F.count(F.lit(1)).alias("n_rows"))
+            .filter(F.col("n_rows") > 1))
 
 
 def type_vocabulary(spark: SparkSession) -> DataFrame:
@@ -85,9 +95,7 @@ def unknown_types(assets: DataFrame) -> DataFrame:
     """
     spark = assets.sparkSession
     listed = list(vocab.SOURCE_TYPE_VOCABULARY)
-    cols = asset_columns(assets).join(
-        assets.select(F.col("id").alias("asset_id"), "source_type"), "asset_id")
-    cols = cols.withColumn(
+    cols = asset_columns(assets, keep=("source_type",)).withColumn(
         "vocab_key", F.when(F.col("source_type").isin(listed), F.col("source_type")).otherwise(F.lit("")))
     known = literal_broadcast(type_vocabulary(spark))
     return cols.join(known, ["vocab_key", "type"], "left_anti").select(
