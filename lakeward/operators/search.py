@@ -142,7 +142,8 @@ def ordered_teams(visible_teams: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- O-T5 ---
 
 
-def page_per_viewer(scopes: DataFrame, assets_with_team: DataFrame, n: int = vocab.PAGE_DEFAULT) -> DataFrame:
+def page_per_viewer(scopes: DataFrame, assets_with_team: DataFrame, n: int = vocab.PAGE_DEFAULT,
+                    salts: int = 32) -> DataFrame:
     """First ``n`` visible assets by name for many viewers at once.
 
     Works on the factorized visibility (``access.visibility_scopes``): the
@@ -150,6 +151,12 @@ def page_per_viewer(scopes: DataFrame, assets_with_team: DataFrame, n: int = voc
     all drafts), then every viewer merges the candidate lists of its own
     scopes and keeps ``n``.  A viewer row meets at most ``n`` candidates per
     scope, so nothing pairs a viewer with the whole catalog.
+
+    The shared scopes (``published``, ``all``) are one key held by every
+    viewer; they are salted: viewers carry ``hash(viewer) mod salts`` and
+    the at most ``n`` shared candidates are copied once per salt, so the
+    hot key is spread over ``salts`` partitions.  Team keys are left to
+    adaptive skew-join splitting.
     """
     rows = assets_with_team.select("id", "name", "published", "team_id")
     order = [F.col("name").asc_nulls_last(), F.col("id").asc_nulls_last()]
@@ -170,9 +177,14 @@ def page_per_viewer(scopes: DataFrame, assets_with_team: DataFrame, n: int = voc
         rows.filter(draft).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
         .select("id", "name", F.lit("team").alias("scope"), F.col("team_id").alias("scope_team"))
     )
-    candidates = published_top.unionByName(all_top).unionByName(team_top)
-    keyed = scopes.select("viewer", "scope", F.coalesce(F.col("team_id"), F.lit("")).alias("scope_team"))
-    merged = keyed.join(candidates, ["scope", "scope_team"])
+    shared = published_top.unionByName(all_top).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    candidates = shared.unionByName(team_top.withColumn("salt", F.lit(0)))
+    keyed = scopes.select(
+        "viewer", "scope", F.coalesce(F.col("team_id"), F.lit("")).alias("scope_team"),
+        F.when(F.col("scope") == "team", F.lit(0))
+        .otherwise(F.pmod(F.hash(F.col("viewer")), F.lit(salts))).alias("salt"))
+    merged = keyed.join(candidates, ["scope", "scope_team", "salt"])
     wv = Window.partitionBy("viewer").orderBy(*order)
     return (
         merged.withColumn("rank", F.row_number().over(wv))
