@@ -18,4 +18,4 @@ FILTER_LAYER = "L2"
 LOOKUP_IDS = ["A1", "A2", "A10", "A999999"]
 PAGE_LIMIT = 100
 PAGE_OFFSET = 10
-PER_VIEWER = 20
+PER_VIEWER = 100  # the listing default page size
