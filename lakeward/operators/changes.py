@@ -49,9 +49,6 @@ ALL_OPS = ASSET_OPS + DOMAIN_OPS + TEAM_OPS + MEMBER_OPS + LAYER_OPS + USER_OPS
 CREATE_OPS = ("create_asset", "create_domain", "create_team", "add_member", "create_layer", "register_user",
               "request_access")
 
-# Ops that need no signed-in actor.
-NO_ACTOR_OPS = ("register_user", "request_access")
-
 ID_PREFIX = {
     "create_asset": "asset-", "create_domain": "domain-", "create_team": "team-",
     "add_member": "member-", "assign_user": "member-", "create_team_owner": "owner-",

@@ -133,3 +133,15 @@ def test_page_assets_bounds(spark, sample):
         search.page_assets(sample["assets"], limit=1001)
     page = [r.id for r in search.page_assets(sample["assets"], limit=2, offset=1).collect()]
     assert page == ["A2", "A3"]  # by name: Customer.., Raw.., Revenue..
+
+
+def test_users_with_teams_flat_and_nested(spark, sample):
+    from lakeward.operators import joins
+
+    flat = joins.users_with_teams(sample["users"], sample["team_members"], sample["teams"])
+    rows = {(r.email, r.team_id) for r in flat.collect()}
+    assert (M_LEAD, "TM") in rows and (LONER, None) in rows
+    assert all(t != "TP" for _, t in rows)          # platform team hidden
+    nested = {r.email: [(t.team_name, t.role) for t in r.teams]
+              for r in joins.users_with_team_lists(flat).collect()}
+    assert nested[LONER] == [] and nested[M_LEAD] == [("Marketing", "owner")]

@@ -3,7 +3,7 @@ explicit NULLs and cascades, on the sample catalog."""
 
 from __future__ import annotations
 
-from lakeward.operators.changes import apply_changes
+from lakeward.operators.changes import ALL_OPS, OK_STATUS, _rules, apply_changes
 from tests.conftest import (ADMIN, F_LEAD, LONER, M_ANALYST, M_LEAD, M_MGR, PLATFORM, change_frame, frames,
                             sample_rows)
 
@@ -260,3 +260,17 @@ def test_one_row_batches_match_a_step_model(spark, sample):
     assert flags == {"A1": False, "A2": True, "A3": True}
     batch, _ = apply_changes(sample, change_frame(spark, steps))
     assert {r.id: r.published for r in batch["assets"].collect()} == flags
+
+
+def test_every_op_has_rules_and_a_success_status():
+    rules = _rules("false")
+    assert set(rules) == set(ALL_OPS) == set(OK_STATUS)
+    # Ops that need a signed-in actor check it first.
+    for op, rs in rules.items():
+        if op not in ("register_user", "request_access"):
+            assert rs[0][1] == 401, op
+
+
+def test_unknown_op_is_rejected(spark, sample):
+    _, dec = run(spark, sample, [dict(seq=1, actor="admin@example.com", op="drop_everything", target="A1")])
+    assert dec[1][:2] == (400, "Unknown operation")
