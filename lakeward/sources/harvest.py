@@ -46,14 +46,14 @@ def harvest_columns(df: DataFrame, dataset: str) -> DataFrame:
     fields = df.schema.fields
     flags = df.agg(*[F.coalesce(F.bool_or(F.col(f"`{f.name}`").isNull()), F.lit(False)).alias(f"c{i}")
                      for i, f in enumerate(fields)])
-    meta = df.sparkSession.createDataFrame(
-        [(i, f.name, catalog_type(f.dataType), f.dataType.simpleString()) for i, f in enumerate(fields)],
-        "i int, name string, type string, spark_type string")
-    stacked = flags.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("nullable")) for i in range(len(fields))])).alias("s"))
-    return stacked.select("s.*").join(meta, "i").select(
-        F.lit(dataset).alias("dataset"), (F.col("i") + 1).cast("int").alias("col_pos"), "name", "type",
-        "spark_type", "nullable")
+    # Names and types are known from the schema: the one-row result is
+    # unpivoted with them as literals (no join, no second pass).
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(i + 1).alias("col_pos"), F.lit(f.name).alias("name"),
+                 F.lit(catalog_type(f.dataType)).alias("type"), F.lit(f.dataType.simpleString()).alias("spark_type"),
+                 F.col(f"c{i}").alias("nullable"))
+        for i, f in enumerate(fields)]))
+    return flags.select(rows.alias("s")).select(F.lit(dataset).alias("dataset"), "s.*")
 
 
 def harvest_many(frames: dict[str, DataFrame]) -> DataFrame:
