@@ -224,13 +224,17 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
     taken = "coalesce(n_count, 0) > 0"
     taken_not_me = "(coalesce(n_count, 0) > 1 OR (coalesce(n_count, 0) = 1 AND n_any_id <> target_id))"
     self_target = "tg_email = actor_email"
-    promote = f"lower(coalesce({F_('promote')}, 'true')) = 'true'"
+    promote = f"lower({F_('promote')}) IN ('true', '1', 'yes', 'on')"
+    promote_bad = (f"({F_('promote')} IS NULL OR lower({F_('promote')}) NOT IN "
+                   f"('true', 'false', '1', '0', 'yes', 'no', 'on', 'off'))")
+    missing = lambda key: f"{F_(key)} IS NULL"
     mgr = "(is_platform OR a_manager)"
     auth = (actor, 401, "Authentication required")
     return {
         "create_asset": [
             auth,
-            (f"{bad_len(F_('name'), lim['asset'])} OR {score_bad}", 422, "Invalid asset fields"),
+            (f"{missing('domain_id')} OR {bad_len(F_('name'), lim['asset'])} OR {score_bad}", 422,
+             "Invalid asset fields"),
             (f"NOT {r_found}", 400, "Domain not found"),
             ("NOT (is_global OR a_member)", 403, "Not authorized to create assets in this domain"),
         ],
@@ -295,6 +299,7 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
         ],
         "add_member": [
             auth,
+            (missing("email"), 422, "email is required"),
             (f"NOT {mgr}", 403, "Only team managers can manage members"),
             (role_bad, 400, "Role must be 'manager' or 'member'"),
             (f"NOT {r_found}", 400, "No user account found for that email"),
@@ -303,15 +308,18 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
         ],
         "change_role": [
             auth,
+            (f"{missing('role')} OR {missing('email')}", 422, "role and email are required"),
             (f"NOT {mgr}", 403, "Only team managers can manage members"),
             (role_set_bad, 400, "Role must be 'manager' or 'member'"),
             ("NOT m_exists", 404, "Member not found"),
         ],
         "remove_member": [
             auth,
+            (missing("email"), 422, "email is required"),
             (f"NOT {mgr}", 403, "Only team managers can manage members"),
         ],
         "assign_user": [
+            (missing("team_id"), 422, "team_id is required"),
             auth,
             ("NOT is_global", 403, "Superadmin access required"),
             (role_bad, 400, "Role must be 'manager' or 'member'"),
@@ -319,22 +327,23 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
             (f"NOT {r_found}", 404, "Team not found"),
         ],
         "unassign_user": [
+            (missing("team_id"), 422, "team_id is required"),
             auth,
             ("NOT is_global", 403, "Superadmin access required"),
             (f"NOT {t_found}", 404, "User not found"),
         ],
         "create_layer": [
-            auth,
             (bad_len(F_("name"), lim["layer"]), 422, "Invalid layer name"),
+            auth,
             ("NOT is_global", 403, "Superadmin access required"),
             (f"trim({F_('name')}) = ''", 400, "Name is required"),
             (f"{taken} OR {lost}", 409, "A layer with that name already exists"),
         ],
         "update_layer": [
-            auth,
             (f"{H('name')} AND {bad_len(F_('name'), lim['layer'])}", 422, "Invalid layer name"),
             (f"{H('position')} AND {F_('position')} IS NOT NULL AND try_cast({F_('position')} AS INT) IS NULL",
              422, "position must be an integer"),
+            auth,
             ("NOT is_global", 403, "Superadmin access required"),
             (f"NOT {t_found}", 404, "Layer not found"),
             (f"{H('name')} AND ({taken_not_me} OR {lost})", 409, "A layer with that name already exists"),
@@ -352,6 +361,7 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
             (f"{taken} OR {lost}", 400, "Email already registered"),
         ],
         "set_superadmin": [
+            (promote_bad, 422, "promote must be a boolean"),
             auth,
             ("NOT is_global", 403, "Superadmin access required"),
             (f"NOT {t_found}", 404, "User not found"),
@@ -364,9 +374,9 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
             (self_target, 400, "Cannot delete your own account"),
         ],
         "update_profile": [
-            auth,
             (f"{H('name')} AND ({F_('name')} IS NULL OR char_length({F_('name')}) > {lim['profile']})", 422,
              "Invalid profile name"),
+            auth,
             (f"{H('avatar')} AND coalesce({F_('avatar')}, '') <> '' "
              f"AND NOT startswith(coalesce({F_('avatar')}, ''), 'data:image/')", 400,
              "avatar must be a data: image URL"),
@@ -730,7 +740,7 @@ class ChangedTables(Mapping):
         admin_rows = self.acc("set_superadmin").select(
             F.col("target_id").alias("id"), "seq", "event_at",
             F.create_map(F.lit("is_superadmin"),
-                         F.when(F.lower(F.coalesce(f("promote"), F.lit("true"))) == "true", "true")
+                         F.when(F.lower(f("promote")).isin("true", "1", "yes", "on"), "true")
                          .otherwise("false")).alias("fields"))
         profile_rows = self.acc("update_profile").select(
             F.col("tg_uid").alias("id"), "seq", "event_at",

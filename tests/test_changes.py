@@ -158,9 +158,11 @@ def test_member_ops(spark, sample):
         dict(seq=11, actor=M_MGR, op="remove_member", target="TM", fields={"email": M_MGR}),
         dict(seq=12, actor=M_MGR, op="remove_member", target="TM", fields={"email": "absent@example.com"}),
         dict(seq=13, actor=M_ANALYST, op="remove_member", target="TM", fields={"email": M_LEAD}),
+        dict(seq=14, actor=M_LEAD, op="change_role", target="TM", fields={"email": M_ANALYST}),
+        dict(seq=15, actor=M_MGR, op="add_member", target="TM", fields={}),
     ])
     assert status(dec) == {1: 201, 2: 400, 3: 400, 4: 400, 5: 400, 6: 403, 7: 404, 8: 200, 9: 404, 10: 400,
-                           11: 204, 12: 204, 13: 403}
+                           11: 204, 12: 204, 13: 403, 14: 422, 15: 422}
     assert dec[4][1] == "No user account found for that email"
     tm = {r.email: r.role for r in new["team_members"].collect() if r.team_id == "TM"}
     assert tm == {M_LEAD: "owner", M_ANALYST: "manager", LONER: "member"}
@@ -176,8 +178,9 @@ def test_assign_ops(spark, sample):
         dict(seq=6, actor=ADMIN, op="assign_user", target="U6", fields={"team_id": "TM", "role": "boss"}),
         dict(seq=7, actor=PLATFORM, op="unassign_user", target="U5", fields={"team_id": "TF"}),
         dict(seq=8, actor=ADMIN, op="unassign_user", target="UX", fields={"team_id": "TF"}),
+        dict(seq=9, actor=None, op="assign_user", target="U6", fields={}),
     ])
-    assert status(dec) == {1: 201, 2: 201, 3: 403, 4: 404, 5: 404, 6: 400, 7: 204, 8: 404}
+    assert status(dec) == {1: 201, 2: 201, 3: 403, 4: 404, 5: 404, 6: 400, 7: 204, 8: 404, 9: 422}
     members = {(r.team_id, r.email): (r.id, r.role) for r in new["team_members"].collect()}
     assert members[("TF", LONER)] == ("member-1", "manager")
     assert members[("TM", M_ANALYST)] == ("m4", "manager")   # upsert keeps the id
@@ -199,9 +202,11 @@ def test_layer_ops(spark, sample):
         dict(seq=11, actor=ADMIN, op="update_layer", target="L3", fields={"name": "GOLD"}),
         dict(seq=12, actor=ADMIN, op="delete_layer", target="L1"),
         dict(seq=13, actor=ADMIN, op="create_layer", fields={"name": "x" * 65}),
+        dict(seq=14, actor=None, op="create_layer", fields={"name": ""}),
+        dict(seq=15, actor=None, op="create_layer", fields={"name": "ok"}),
     ])
     assert status(dec) == {1: 201, 2: 409, 3: 403, 4: 400, 5: 201, 6: 409, 7: 409, 8: 200, 9: 404, 10: 400,
-                           11: 200, 12: 204, 13: 422}
+                           11: 200, 12: 204, 13: 422, 14: 422, 15: 401}
     layers = {r.id: (r.name, r.position) for r in new["data_layers"].collect()}
     assert layers["layer-1"] == ("platinum", 4) and layers["layer-5"] == ("diamond", 5)
     assert "L1" not in layers and layers["L3"] == ("GOLD", 3)
@@ -216,8 +221,8 @@ def test_user_ops(spark, sample):
         dict(seq=4, actor=None, op="register_user", fields={"email": ""}),
         dict(seq=5, actor=ADMIN, op="set_superadmin", target="U4", fields={"promote": "true"}),
         dict(seq=6, actor=ADMIN, op="set_superadmin", target="U0", fields={"promote": "false"}),
-        dict(seq=7, actor=ADMIN, op="set_superadmin", target="UX"),
-        dict(seq=8, actor=M_LEAD, op="set_superadmin", target="U4"),
+        dict(seq=7, actor=ADMIN, op="set_superadmin", target="UX", fields={"promote": "true"}),
+        dict(seq=8, actor=M_LEAD, op="set_superadmin", target="U4", fields={"promote": "yes"}),
         dict(seq=9, actor=ADMIN, op="delete_user", target="U3"),
         dict(seq=10, actor=ADMIN, op="delete_user", target="U0"),
         dict(seq=11, actor=LONER, op="update_profile", fields={"name": "  Lo  "}),
@@ -226,9 +231,12 @@ def test_user_ops(spark, sample):
         dict(seq=14, actor="nobody@example.com", op="update_profile", fields={"name": "x"}),
         dict(seq=15, actor=None, op="update_profile", fields={"name": "x"}),
         dict(seq=16, actor=None, op="register_user", fields={"email": "new@example.com"}),
+        dict(seq=17, actor=None, op="set_superadmin", target="U4", fields={"promote": "maybe"}),
+        dict(seq=18, actor=None, op="update_profile", fields={"name": "x" * 129}),
     ])
+    # Routes checking the caller inside the handler validate the body first (422 before 401).
     assert status(dec) == {1: 201, 2: 400, 3: 403, 4: 422, 5: 200, 6: 400, 7: 404, 8: 403, 9: 204, 10: 400,
-                           11: 200, 12: 400, 13: 200, 14: 404, 15: 401, 16: 400}
+                           11: 200, 12: 400, 13: 200, 14: 404, 15: 401, 16: 400, 17: 422, 18: 422}
     users = {r.email: r for r in new["users"].collect()}
     assert users["new@example.com"].is_superadmin is False
     assert users[M_ANALYST].is_superadmin is True
@@ -265,10 +273,12 @@ def test_one_row_batches_match_a_step_model(spark, sample):
 def test_every_op_has_rules_and_a_success_status():
     rules = _rules("false")
     assert set(rules) == set(ALL_OPS) == set(OK_STATUS)
-    # Ops that need a signed-in actor check it first.
+    # Ops that need a signed-in actor check it before any other rule but body validation (422).
     for op, rs in rules.items():
         if op not in ("register_user", "request_access"):
-            assert rs[0][1] == 401, op
+            statuses = [st for _, st, _ in rs]
+            assert 401 in statuses, op
+            assert all(st == 422 for st in statuses[:statuses.index(401)]), op
 
 
 def test_unknown_op_is_rejected(spark, sample):
