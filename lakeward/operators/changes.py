@@ -1,14 +1,15 @@
 """Catalog changes as batches: ``apply_changes(tables, changes) -> (tables, decisions)``.
 
 Input rows (``schemas.CHANGES``): ``seq, event_at, actor_email, op,
-target_id, fields map<string,string>``.  In ``fields`` an absent key means
-"keep", a present key with a NULL value means "set NULL".
+target_id, fields map<string,string>``; ``seq`` is unique within a batch.
+In ``fields`` an absent key means "keep", a present key with a NULL value
+means "set NULL".
 
 Semantics of a batch:
 
 * every change is decided against the snapshot at batch start; the first
-  failing rule (in the order of ``RULES``) gives the status, else the op's
-  success status;
+  failing rule (in the order of ``_rules``) gives the status, else the
+  op's success status (``OK_STATUS``); unknown ops get 400;
 * inside a batch, inserts are applied first, then field updates and flags
   (the last ``seq`` per field wins), then deletes with their cascades;
 * where two changes of one batch claim the same key (a name, a
@@ -17,9 +18,12 @@ Semantics of a batch:
   recomputed batch writes the same rows); times are the change's
   ``event_at``.
 
-The decision frame is one pass over the changes with a fixed set of
-equi-joins (actor flags, target row, referenced row, actor's grant,
-membership, name owner, in-batch first claim); effects are collapsed per
+The decision frame is built in a few passes: one entity table (each
+catalog table scanned once), one exploded lookup join for the target row,
+the referenced row, the unique-name owner and the actor's flags
+(regrouped per ``seq``), two joins with the grant table (actor's role on
+the relevant team, the membership addressed), and a per-key minimum for
+in-batch claims.  Rules are SQL ``CASE`` text.  Effects are collapsed per
 key with partial aggregates and applied with left / anti joins and unions.
 """
 
