@@ -96,7 +96,7 @@ def q_request_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decisions(spark, sf_dir, "request_access")
 
 
-@query("changed_assets", DECISIONS_SQL + """,
+CHANGED_ASSETS_SQL = DECISIONS_SQL + """,
 ok AS (SELECT * FROM dec WHERE status < 300),
 fresh AS (SELECT target_id, field_value AS freshness FROM (
     SELECT target_id, field_value, row_number() OVER (PARTITION BY target_id ORDER BY seq DESC) AS rn
@@ -114,7 +114,10 @@ LEFT JOIN fresh fr ON fr.target_id = a.id
 LEFT JOIN flag fg ON fg.target_id = a.id
 LEFT JOIN stamp s ON s.target_id = a.id
 WHERE a.id NOT IN (SELECT target_id FROM gone)
-""")
+"""
+
+
+@query("changed_assets", CHANGED_ASSETS_SQL)
 def q_changed_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assets table after the whole change log (updates, flags, deletes)."""
     c = catalog(spark, sf_dir)

@@ -1,14 +1,16 @@
-"""Registered streaming query: access requests decided by a Structured Streaming job."""
+"""Registered streaming queries: access requests decided by a stream-static join (O-R1) and the
+change log applied per micro-batch onto a versioned snapshot store (O-R2)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.plans.change_queries import _decision_sql
+from lakeward.plans.change_queries import CHANGED_ASSETS_SQL, _decision_sql
 from lakeward.plans.registry import query
+from lakeward.sources import store
 from lakeward.sources.projection import catalog, read_table
-from lakeward.streaming.streams import request_stream, stream_folder
+from lakeward.streaming.streams import change_stream, request_stream, stream_folder
 
 
 def change_records_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +25,15 @@ def change_records_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = (F.when(etype == "click", "update_asset").when(etype == "view", "publish_asset")
           .when(etype == "error", "unpublish_asset").when(etype == "signup", "delete_asset")
           .otherwise("request_access"))
+    field_name = F.when((k % 10 == 0) | (etype != "click"), F.lit(None).cast("string")).otherwise("freshness")
+    field_value = F.when(k % 3 == 0, "daily").when(k % 3 == 1, "hourly")
     return events.join(customer, customer.c_custkey == events.user_id).select(
         F.col("event_id").alias("seq"), F.col("ts").alias("event_at"),
         F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
         .alias("actor_email"),
         op.alias("op"), F.concat(F.lit("A"), F.col("user_id") * 14 + k).alias("target_id"),
-        F.create_map().cast("map<string,string>").alias("fields"),
+        F.when(field_name.isNotNull(), F.create_map(field_name, field_value))
+        .otherwise(F.create_map().cast("map<string,string>")).alias("fields"),
     )
 
 
@@ -42,3 +47,17 @@ def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return out.select("seq", "op", "target_id", "status", "reason")
+
+
+@query("change_stream", CHANGED_ASSETS_SQL)
+def q_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-R2: the projected catalog committed as snapshot version 0, the events
+    file streamed as change records and applied per micro-batch by
+    ``foreachBatch`` (one committed version per batch); returns the assets
+    of the latest committed snapshot."""
+    c = catalog(spark, sf_dir)
+    folder = stream_folder(spark, "changes")
+    root = f"{folder}/store"
+    store.write_snapshot(c.tables(), root, 0)
+    change_stream(change_records_stream(spark, sf_dir), root, f"{folder}/checkpoint").awaitTermination()
+    return store.read_snapshot(spark, root)["assets"].select("id", "freshness", "published", "updated_at")
