@@ -284,3 +284,12 @@ def test_every_op_has_rules_and_a_success_status():
 def test_unknown_op_is_rejected(spark, sample):
     _, dec = run(spark, sample, [dict(seq=1, actor="admin@example.com", op="drop_everything", target="A1")])
     assert dec[1][:2] == (400, "Unknown operation")
+
+
+def test_ordinal_across_buckets(spark):
+    from lakeward.operators.changes import ordinal
+
+    seqs = [1, 2, 5, 9, 10, 11, 40, 41, 100]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq long")
+    got = sorted((r.seq, r._ord) for r in ordinal(df, "seq", "_ord", bucket=4).collect())
+    assert got == [(s, i + 1) for i, s in enumerate(seqs)]
