@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import vocab
 from lakeward.operators.access import team_grants
-from lakeward.session import checkpoint_dir
+from lakeward.session import materialize as write_and_read
 from lakeward.sources import schemas
 
 ASSET_OPS = ("create_asset", "update_asset", "delete_asset", "publish_asset", "unpublish_asset")
@@ -557,14 +557,11 @@ def decided(tables: dict[str, DataFrame], changes: DataFrame, materialize: bool
     """The decided change frame, cut from its lineage once.
 
     Every table's effects and the decisions read it, so it is computed
-    once and written to the shared checkpoint folder (a reliable
-    checkpoint survives a lost executor; nothing is kept on one machine).
+    once and written as a table under the shared checkpoint folder (it
+    survives a lost executor; nothing is kept on one machine).
     """
     ch = decide(tables, changes).select(*DECIDED_COLUMNS)
-    if materialize:
-        checkpoint_dir(ch.sparkSession)
-        ch = ch.checkpoint(eager=True)
-    return ch
+    return write_and_read(ch, "decided-changes") if materialize else ch
 
 
 class ChangedTables(Mapping):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -71,3 +72,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
+
+
+def materialize(df, label: str):
+    """Cut ``df``'s lineage by writing it once as a parquet table in a new folder
+    under the shared checkpoint folder, and read it back.
+
+    The plan runs once (an eager ``checkpoint()`` of an unpersisted frame
+    runs it twice); the files live on shared storage, so a lost executor
+    does not lose them.  Each call takes a fresh folder: nothing that may be
+    read is overwritten.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lakeward-tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
