@@ -108,7 +108,7 @@ def _explode(*structs: str) -> str:
     return f"explode(array({', '.join(structs)})) AS e"
 
 
-def entities(t: dict[str, DataFrame]) -> DataFrame:
+def entities(t: dict[str, DataFrame], wanted: DataFrame | None = None) -> DataFrame:
     """Every row a change can look up, one row per (kind, key), from one scan per table.
 
     Kinds: ``asset`` (team via its domain; flag = has a domain), ``domain``,
@@ -117,10 +117,19 @@ def entities(t: dict[str, DataFrame]) -> DataFrame:
     owners, and ``flag`` (actor e-mail: superadmin / platform member).
     ``e_count`` counts the rows behind a key (a name taken twice, a key
     violation); aggregation per key keeps one lookup row per key.
+
+    With ``wanted`` (columns ``kind, key``: what a batch asks for) only those
+    rows are kept before anything is shuffled: a small batch's key set is
+    broadcast by AQE, so the catalog is scanned once and only the rows the
+    batch refers to reach the aggregate.
     """
     doms = t["domains"]
     dom_team = doms.groupBy("id").agg(F.min("team_id").alias("_dteam")).withColumnRenamed("id", "domain_id")
-    assets = t["assets"].join(dom_team, "domain_id", "left")
+    assets = t["assets"]
+    if wanted is not None:
+        asked = wanted.filter(F.col("kind") == "asset").select(F.col("key").alias("id"))
+        assets = assets.join(asked, "id", "left_semi")
+    assets = assets.join(dom_team, "domain_id", "left")
     platform_teams = t["teams"].filter(F.col("is_platform")).select(F.col("id").alias("team_id"))
     platform_members = t["team_members"].join(platform_teams, "team_id", "left_semi")
     parts = [
@@ -137,6 +146,9 @@ def entities(t: dict[str, DataFrame]) -> DataFrame:
                                              _entity("layer_name", "lower(name)", uid="id"))),
     ]
     union = reduce(DataFrame.unionByName, parts).selectExpr("e.*").filter("e_id IS NOT NULL")
+    if wanted is not None:
+        w = wanted.select(F.col("kind").alias("_wk"), F.col("key").alias("_wid"))
+        union = union.join(w, (union.e_kind == w._wk) & (union.e_id == w._wid), "left_semi")
     aggs = ([f"min({c}) AS {c}" for c in ENTITY_COLUMNS] + [f"bool_or({c}) AS {c}" for c in ENTITY_FLAGS]
             + ["count(1) AS e_count"])
     return union.groupBy("e_kind", "e_id").agg(*[F.expr(a) for a in aggs])
@@ -436,11 +448,12 @@ LOOKUP_ROLES = {
 }
 
 
-def _lookup_all(ch: DataFrame, ents: DataFrame) -> DataFrame:
+def _lookup_all(ch: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     """All first-round lookups of every change in one join with the entity table.
 
-    Each change asks for up to four (kind, key) rows; the answers are
-    regrouped per change (``seq`` is unique within a batch) and joined back.
+    Each change asks for up to four (kind, key) rows; the entity table keeps
+    only the asked keys; the answers are regrouped per change (``seq`` is
+    unique within a batch) and joined back.
     """
     def ask(role: str, kind, key):
         return F.struct(F.lit(role).alias("role"), kind.alias("kind"), key.alias("key"))
@@ -451,6 +464,7 @@ def _lookup_all(ch: DataFrame, ents: DataFrame) -> DataFrame:
         ask("nm", F.col("n_kind_"), F.col("n_key_")),
         ask("fl", F.lit("flag"), F.col("actor_email")),
     )).alias("a")).select("seq", "a.*").filter(F.col("kind").isNotNull() & F.col("key").isNotNull())
+    ents = entities(t, asks.select("kind", "key").distinct())
     hits = asks.join(ents, (asks.kind == ents.e_kind) & (asks.key == ents.e_id))
     found = hits.groupBy(F.col("seq").alias("_seq")).agg(*[
         F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c[2:]}")
@@ -461,16 +475,15 @@ def _lookup_all(ch: DataFrame, ents: DataFrame) -> DataFrame:
 
 def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
     """Every change with ``status``, ``reason`` and the looked-up columns it used."""
-    grants = team_grants(t["team_members"])
-    ents = entities(t)
 
     ch = changes.select(
         "seq", "event_at", "actor_email", "op", "target_id",
         F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"),
     ).selectExpr("*", f"{TARGET_KIND} AS t_kind", f"{TARGET_KEY} AS t_key", f"{REF_KIND} AS r_kind",
                  f"{REF_KEY} AS r_key", f"{NAME_KIND} AS n_kind_", f"{NAME_KEY} AS n_key_")
-    ch = _lookup_all(ch, ents)
+    ch = _lookup_all(ch, t)
     ch = ch.selectExpr("*", f"{GRANT_TEAM} AS g_team", f"{MEMBER_TEAM} AS m_team", f"{MEMBER_EMAIL} AS m_email")
+    grants = team_grants(t["team_members"])
 
     # Second round (needs the target's team / e-mail): the actor's grant on a
     # team and the membership a change addresses; both joins key the grant
