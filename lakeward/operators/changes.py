@@ -118,9 +118,10 @@ def entities(t: dict[str, DataFrame], wanted: DataFrame | None = None) -> DataFr
     ``e_count`` counts the rows behind a key (a name taken twice, a key
     violation); aggregation per key keeps one lookup row per key.
 
-    With ``wanted`` (columns ``kind, key``: what a batch asks for) only those
-    rows are kept before anything is shuffled: a small batch's key set is
-    broadcast by AQE, so the catalog is scanned once and only the rows the
+    With ``wanted`` (columns ``kind, key``: what a batch asks for) the asset
+    and user rows (the sources that grow with the catalog) are cut to the
+    asked keys before anything is shuffled: a small batch's key set is
+    broadcast by AQE, so those tables are scanned once and only the rows the
     batch refers to reach the aggregate.
     """
     doms = t["domains"]
@@ -128,23 +129,29 @@ def entities(t: dict[str, DataFrame], wanted: DataFrame | None = None) -> DataFr
     assets = t["assets"].join(dom_team, "domain_id", "left")
     platform_teams = t["teams"].filter(F.col("is_platform")).select(F.col("id").alias("team_id"))
     platform_members = t["team_members"].join(platform_teams, "team_id", "left_semi")
+    asset_rows = assets.selectExpr(_explode(_entity("asset", "id", team="_dteam", name="name", owner="owner_email",
+                                                    flag="_dteam IS NOT NULL"))).selectExpr("e.*")
+    user_rows = t["users"].selectExpr(_explode(_entity("user", "id", email="email", name="name", uid="id"),
+                                               _entity("user_email", "email", email="email", name="name", uid="id"),
+                                               _entity("flag", "email", admin="is_superadmin"))).selectExpr("e.*")
+    if wanted is not None:
+        # The two sources that grow with the catalog keep only the asked keys
+        # (the small ones are taken whole).
+        w = wanted.select(F.col("kind").alias("_wk"), F.col("key").alias("_wid"))
+        asset_rows = asset_rows.join(w, (asset_rows.e_kind == w._wk) & (asset_rows.e_id == w._wid), "left_semi")
+        user_rows = user_rows.join(w, (user_rows.e_kind == w._wk) & (user_rows.e_id == w._wid), "left_semi")
     parts = [
-        assets.selectExpr(_explode(_entity("asset", "id", team="_dteam", name="name", owner="owner_email",
-                                           flag="_dteam IS NOT NULL"))),
+        asset_rows,
         doms.selectExpr(_explode(_entity("domain", "id", team="team_id", flag="true"),
-                                 _entity("domain_name", "name", uid="id"))),
-        t["teams"].selectExpr(_explode(_entity("team", "id", team="id", name="name", flag="is_platform"))),
-        t["users"].selectExpr(_explode(_entity("user", "id", email="email", name="name", uid="id"),
-                                       _entity("user_email", "email", email="email", name="name", uid="id"),
-                                       _entity("flag", "email", admin="is_superadmin"))),
-        platform_members.selectExpr(_explode(_entity("flag", "email", platform="true"))),
+                                 _entity("domain_name", "name", uid="id"))).selectExpr("e.*"),
+        t["teams"].selectExpr(_explode(_entity("team", "id", team="id", name="name",
+                                               flag="is_platform"))).selectExpr("e.*"),
+        user_rows,
+        platform_members.selectExpr(_explode(_entity("flag", "email", platform="true"))).selectExpr("e.*"),
         t["data_layers"].selectExpr(_explode(_entity("layer", "id", name="name"),
-                                             _entity("layer_name", "lower(name)", uid="id"))),
+                                             _entity("layer_name", "lower(name)", uid="id"))).selectExpr("e.*"),
     ]
-    union = reduce(DataFrame.unionByName, parts).selectExpr("e.*").filter("e_id IS NOT NULL")
-    if wanted is not None:
-        w = wanted.select(F.col("kind").alias("_wk"), F.col("key").alias("_wid"))
-        union = union.join(w, (union.e_kind == w._wk) & (union.e_id == w._wid), "left_semi")
+    union = reduce(DataFrame.unionByName, parts).filter("e_id IS NOT NULL")
     aggs = ([f"min({c}) AS {c}" for c in ENTITY_COLUMNS] + [f"bool_or({c}) AS {c}" for c in ENTITY_FLAGS]
             + ["count(1) AS e_count"])
     return union.groupBy("e_kind", "e_id").agg(*[F.expr(a) for a in aggs])
