@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeward.llm.common import table, written
+
 #: Fixed by the contract: words of a text whose A-Z are lower-cased, and the same words before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -42,19 +44,28 @@ def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def find_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW,
               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, th, i, len, wid, gram): every occurrence of a window, at 1-based word i; th is the text's hash."""
+    """(doc_id, th, n_words, i, len, wid): one pass over the documents.
+
+    Every occurrence of a window, at 1-based word i; and for every document
+    row one row with i = 0 that carries the text's number of words.  th is
+    the text's hash.
+    """
     grams = item_windows(items, n).select("wid", "gram").distinct()
     size, lengths = grams.agg(F.sum(F.length(F.array_join("gram", " ")) * 4 + 32 * F.size("gram")),
                               F.collect_set(F.size("gram"))).first()
+    # The document's own row passes the join by an entry that no window of words equals: the empty one.
+    grams = grams.union(items.sparkSession.range(1).select(F.xxhash64(F.array()).alias("wid"),
+                                                           F.array().cast("array<string>").alias("gram")))
     if (size or 0) <= broadcast_bytes:
         grams = F.broadcast(grams)
-    each = F.array(*[F.lit(x) for x in sorted(lengths)]) if lengths else F.array().cast("array<int>")
+    each = F.array(*[F.lit(x) for x in [0, *sorted(lengths)]])
     tokens = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     windows = (tokens.select("doc_id", "th", "w", F.explode(each).alias("len")).where("size(w) >= len")
-               .select("doc_id", "th", "w", "len", F.explode(F.expr("sequence(1, size(w) - len + 1)")).alias("i"))
-               .select("*", F.xxhash64(F.expr("slice(w, i, len)")).alias("wid")))
-    return (windows.join(grams, "wid").where("slice(w, i, len) = gram")
-            .select("doc_id", "th", "i", "len", "wid", "gram"))
+               .select("doc_id", "th", "w", "len", F.explode(F.expr(
+                   "sequence(if(len = 0, 0, 1), if(len = 0, 0, size(w) - len + 1))")).alias("i"))
+               .withColumn("g", F.expr("slice(w, greatest(i, 1), len)")).withColumn("wid", F.xxhash64("g")))
+    return (windows.join(grams, "wid").where("g = gram")
+            .select("doc_id", "th", F.size("w").cast("long").alias("n_words"), "i", "len", "wid"))
 
 
 def covered(spans: Column) -> Column:
@@ -67,28 +78,23 @@ def covered(spans: Column) -> Column:
         lambda a: a["c"].cast("long"))
 
 
-def hit_spans(hits: DataFrame) -> DataFrame:
-    """(doc_id, th, spans): the occurrences of each hit document, sorted; bounded by the document's words."""
-    return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("i", "len"))).alias("spans"))
-
-
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = find_hits(docs, items, n)
-    found = item_windows(items, n).select("wid", "gram", "item_id").where("item_id is not null")
-    per_item = (hits.select("doc_id", "th", "wid", "gram").distinct().join(found, ["wid", "gram"])
-                .groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    found = written(find_hits(docs, items, n), "decontaminate-hits")
+    # Two windows of one hash (both verified above) would only add up here; their items are told apart by the pair.
+    of_window = item_windows(items, n).where("item_id is not null").select("wid", F.col("item_id").cast("string").alias("id"))
+    per_item = (found.where("i > 0").select("doc_id", "th", "wid").distinct().join(of_window.distinct(), "wid")
+                .groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("id")).alias("ids"))
                 .select(F.col("doc_id").alias("i_id"), F.col("th").alias("i_th"), "ids"))
-    per_hit = hit_spans(hits).select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"),
-                                     covered(F.col("spans")).alias("n_hit"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    per_doc = found.groupBy("doc_id", "th").agg(
+        F.max("n_words").alias("n_words"), F.count_if(F.col("i") == 0).alias("copies"),
+        F.array_sort(F.collect_set(F.when(F.col("i") > 0, F.struct("i", "len")))).alias("spans"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return (base.join(per_hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "left")
-            .join(per_item, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("th") == F.col("i_th")), "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-                    F.size(ids).cast("long").alias("n_items"),
+    n_hit = covered(F.col("spans"))
+    return (per_doc.join(per_item, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("th") == F.col("i_th")), "left")
+            .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
                     F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
-                    (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
+                    (n_hit > 0).alias("contaminated"), F.explode(F.expr("sequence(1, copies)")).alias("copy")).drop("copy"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, action: str = "document") -> DataFrame:
@@ -96,29 +102,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, action: st
 
     Clean rows come back unchanged.  A cut keeps what stands between the words.
     """
-    hits = find_hits(docs, items, n)
+    if action not in ("document", "span"):
+        raise ValueError("action: document or span")
+    hits = (written(find_hits(docs, items, n).where("i > 0"), "decontaminate-hits").groupBy("doc_id", "th")
+            .agg(F.collect_set(F.struct("i", "len")).alias("spans"))
+            .select(F.col("doc_id").alias("_id"), F.col("th").alias("_bad"), F.array_distinct(F.flatten(F.transform(
+                "spans", lambda s: F.sequence(s["i"], s["i"] + s["len"] - 1)))).alias("_hit")))
     keyed = docs.withColumn("_th", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_bad"))
     if action == "document":
-        bad = hits.select(F.col("doc_id").alias("_id"), F.col("th").alias("_bad")).distinct()
-        return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_bad")),
-                          "left_anti").drop("_th")
-    if action != "span":
-        raise ValueError("action: document or span")
-    bad = hit_spans(hits).select(F.col("doc_id").alias("_id"), F.col("th").alias("_bad"),
-                                 F.array_distinct(F.flatten(F.transform(
-                                     "spans", lambda s: F.sequence(s["i"], s["i"] + s["len"] - 1)))).alias("_hit"))
+        return keyed.join(hits, same, "left_anti").select(docs.columns)
     gaps, own = F.split("text", ANY_CASE_WORD), F.regexp_extract_all("text", F.lit(ANY_CASE_WORD), F.lit(0))
     cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(
         F.sequence(F.lit(1), F.size(own)),
         lambda i: F.concat(F.when(F.array_contains("_hit", i), F.lit("")).otherwise(F.get(own, i - 1)), F.get(gaps, i))), ""))
-    joined = keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_bad")), "left")
-    return joined.withColumn("text", F.when(F.col("_hit").isNotNull(), cut).otherwise(F.col("text"))).select(docs.columns)
+    return (keyed.join(hits, same, "left")
+            .withColumn("text", F.when(F.col("_hit").isNotNull(), cut).otherwise(F.col("text"))).select(docs.columns))
 
 
 def op9(spark, sf_dir):
     """Every word window of ``documents`` against every window of ``benchmark``."""
-    from lakeward.llm.common import table
-
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
