@@ -26,6 +26,11 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def document_key():
+    """One string for a document row: its id and its text's hash (rows equal in both are one document)."""
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back (survives lost executors)."""
     return materialize(df, label)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import components, python_batches, table, written
+from lakeward.llm.common import components, document_key, python_batches, table, written
 
 N = 5
 SIMILARITY = 0.8
@@ -271,22 +271,16 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
-    Documents without words stay, and so does every column.  Of repeated
-    rows that would stay, one stays.
+    Documents without words stay, and so does every column.  Rows equal in
+    doc_id and text come back as one row.
     """
-    found = near_duplicates(docs, **how)
+    found = near_duplicates(docs, **how).withColumn(
+        "_key", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("th").cast("string")))
     best = (found.where("cls is not null").groupBy("group").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("b")))
-    best = best.select(F.col("b.doc_id").alias("_id"), F.col("b.th").alias("_best"))
-    wordless = found.where("cls is null").select(F.col("doc_id").alias("_id"), F.col("th").alias("_best"))
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_best"))
-    repeated = (found.where("cls is not null").groupBy("doc_id", "th").count().where("count > 1")
-                .select(F.col("doc_id").alias("_rid"), F.col("th").alias("_rth")))
-    kept = keyed.join(best.union(wordless.distinct()).distinct(), same, "left_semi")
-    again = F.col("doc_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth"))
-    return kept.join(repeated, again, "left_anti").select(docs.columns).union(
-        kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "_th"]).select(docs.columns))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "_key")).alias("b")).select("b._key"))
+    stay = best.union(found.where("cls is null").select("_key")).distinct()
+    kept = docs.withColumn("_key", document_key()).join(stay, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(docs.columns)
 
 
 def op6(spark, sf_dir):

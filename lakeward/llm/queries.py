@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lakeward.llm import bpe, decontaminate, jaccard, language, toxicity
+from lakeward.llm import bpe, decontaminate, jaccard, language, linededup, toxicity, vectors
 
 QUERIES = {
     "op2_language_id": language.op2,
+    "op3_line_dedup": linededup.op3,
     "op6_ngram_jaccard_join": jaccard.op6,
+    "op7_embedding_near_dedup": vectors.op7,
     "op8_toxicity": toxicity.op8,
     "op9_benchmark_decontamination": decontaminate.op9,
     "op10_byte_bpe": bpe.op10,
