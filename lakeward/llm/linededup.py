@@ -6,15 +6,18 @@ line is one shingle).  Two lines are near-duplicates if the Jaccard
 similarity of their shingle sets is at least ``SIMILARITY``.
 
 1. Equal lines are one: grouped by a 64-bit hash, with their first place.
-2. Signature: MinHash over the shingles at word starts (and inside runs of
-   more than ``LONG_WORD`` characters without a space, at every character),
-   a selection by content that both lines of a pair make alike.  A value is
-   the minimum of hash XOR a constant; ``BANDS`` bands of ``ROWS`` values.
+2. Signature: MinHash over the shingles at word starts, a selection by
+   content that both lines of a pair make alike.  A value is the minimum of
+   hash XOR a constant; ``BANDS`` bands of ``ROWS`` values.  Lines with few
+   words (under the larger count of ``FEW``) or with a word longer than
+   ``LONG_WORD`` also get a signature of all their shingles; those under the
+   smaller count only that one.
 3. Lines that share a band meet in a bucket.  Every member is compared with
    the bucket's pivot (its smallest line) on the full shingle sets.  If
-   some members were unlike all pivots so far, the smallest of them is the
-   next pivot for all members, until none is left.  So rows grow with
-   members x clusters of a bucket, never with pairs.
+   some members were unlike all pivots so far, the smallest of them (one,
+   then two, four, ...) are the next pivots for all members, until none is
+   left.  So rows grow with members x clusters of a bucket, and the rounds
+   with the clusters' logarithm.
 4. Verified links give components (distributed union-find); of each
    component one line stays, the one with the first place by (doc_id, text
    hash, line number), null ids last.
@@ -33,7 +36,7 @@ from __future__ import annotations
 import random
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.llm.common import components, document_key, table, written
@@ -43,6 +46,7 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 LONG_WORD = 24
+FEW = (12, 16)
 
 
 def _constants(count: int) -> list[int]:
@@ -50,25 +54,33 @@ def _constants(count: int) -> list[int]:
     return [rng.getrandbits(64) - 2 ** 63 for _ in range(count)]
 
 
-def band_hashes(line: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """array<long>: the band hashes of a line."""
-    starts = rf"(?s)(?<=^|\s|\S{{{LONG_WORD}}})(?=(\S.{{0,{SHINGLE - 1}}}))"
-    hashes = F.transform(F.array_distinct(F.regexp_extract_all(line, F.lit(starts), F.lit(1))), lambda s: F.xxhash64(s))
+def banded_lines(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(lid, bands array<long>) of ``lines`` (lid, line); a line may have a row for either kind of signature."""
+    words = lines.select("lid", "line", F.split(F.trim("line"), r"\s+").alias("w")).withColumn("n", F.size("w"))
+    at_words = (words.where(F.col("n") >= FEW[0]).select("lid", "w", F.posexplode("w").alias("i", "word"))
+                .select("lid", F.xxhash64(F.substring(F.concat_ws(
+                    " ", "word", *[F.get("w", F.col("i") + k) for k in range(1, SHINGLE // 2)]), 1, SHINGLE)).alias("h")))
+    short = (F.col("n") < FEW[1]) | F.exists("w", lambda x: F.char_length(x) > LONG_WORD)
+    everywhere = words.where(short).select("lid", F.explode(_runs(F.col("line"))).alias("s")).select("lid", F.xxhash64("s").alias("h"))
     c = _constants(bands * rows)
 
-    def band(h, b):
-        return F.xxhash64(F.lit(b), *[
-            F.array_min(F.transform(h, lambda x, k=c[b * rows + r]: x.bitwiseXOR(F.lit(k)))) for r in range(rows)])
+    def signed(hashes, kind):
+        low = hashes.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(k))).alias(f"m{j}") for j, k in enumerate(c)])
+        return low.select("lid", F.array(*[F.xxhash64(F.lit(kind), F.lit(b), *[f"m{b * rows + r}" for r in range(rows)])
+                                           for b in range(bands)]).alias("bands"))
 
-    # The hashes are made once: they are the one element that the outer transform maps.
-    return F.element_at(F.transform(F.array(hashes), lambda h: F.array(*[band(h, b) for b in range(bands)])), 1)
+    return signed(at_words, 0).union(signed(everywhere, 1))
+
+
+def _runs(line: Column) -> Column:
+    """The character shingles of a line; a shorter line is one."""
+    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(runs)
 
 
 def shingle_set(line: Column) -> Column:
     """array<long>: hashes of all distinct character shingles."""
-    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(runs),
-                                        lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_runs(line), lambda s: F.xxhash64(s)))
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -99,27 +111,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) over ``lines`` (lid, line, bands): components of near-duplicate lines; lines without any are absent."""
-    banded = lines.select("lid", F.explode(F.array_distinct("bands")).alias("band"))
+    """(node, root) over ``lines`` (lid, line): components of near-duplicate lines; lines without any are absent."""
+    banded = written(banded_lines(lines), "lines-bands").select("lid", F.explode("bands").alias("band"))
     full = banded.groupBy(F.struct("band").alias("k")).agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
-    full = full.where("low < high").select(F.col("k.band").alias("band"), "low")
-    members = written(banded.join(full, "band"), "lines-members")  # band, lid, low: buckets of two lines and more
+    pivots = written(full.where("low < high").select(F.col("k.band").alias("band"), "low"), "lines-pivots")
+    members = written(banded.join(pivots, "band").select("band", "lid"), "lines-members")
     texts = written(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), "lines-texts")
-    tried, links = None, None
+    settled, links, width = None, None, 1
     while True:
-        pairs = members.where("lid <> low").select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
+        met = members.join(pivots, "band")
+        pairs = met.where("lid <> low").select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
         found = written(_verified(pairs, texts, similarity), "lines-verified")
         links = found.where("alike") if links is None else links.union(found.where("alike"))
-        # Members that were like this pivot, or were pivots, are settled; the others name the next pivot.
+        # Members that are like a pivot, or were pivots, are settled; of the others come the next pivots.
         like = found.where("alike").select(F.col("u").alias("lid"), F.col("v").alias("low"))
-        settled = (members.join(like, ["lid", "low"], "left_semi").select("band", "lid")
-                   .union(members.where("lid = low").select("band", "lid")))
-        tried = settled if tried is None else written(tried.union(settled).distinct(), "lines-settled")
-        left = members.join(tried, ["band", "lid"], "left_anti")
-        pivots = left.groupBy(F.struct("band").alias("k")).agg(F.min("lid").alias("next"))
-        members = written(members.join(pivots.select(F.col("k.band").alias("band"), "next"), "band")
-                          .select("band", "lid", F.col("next").alias("low")), "lines-members")
-        if members.isEmpty():
+        now = met.join(like, ["lid", "low"], "left_semi").select("band", "lid").union(
+            pivots.select("band", F.col("low").alias("lid")))
+        settled = written((now if settled is None else settled.union(now)).distinct(), "lines-settled")
+        width *= 2
+        order = F.row_number().over(Window.partitionBy("band").orderBy("lid"))
+        pivots = written(members.join(settled, ["band", "lid"], "left_anti").withColumn("n", order)
+                         .where(F.col("n") <= width).select("band", F.col("lid").alias("low")), "lines-pivots")
+        if pivots.isEmpty():
             return components(links, "lines-groups")
 
 
@@ -132,7 +145,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = places(docs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
     lines = found.groupBy("lid").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
-    lines = _bucketed(lines.withColumn("bands", band_hashes(F.col("line"))), "lid", "lakeward_lines")
+    lines = _bucketed(lines, "lid", "lakeward_lines")
     groups = similar_lines(lines, similarity)
     spots = lines.select("lid", "first", "n")
     grouped = spots.join(groups, spots["lid"] == groups["node"]).select("lid", "root", "first")
