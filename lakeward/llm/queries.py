@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
-from lakeward.llm import bpe, decontaminate, jaccard, language, linededup, toxicity, vectors
+from lakeward.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    language,
+    linededup,
+    pii,
+    quality,
+    tokencount,
+    toxicity,
+    vectors,
+)
 
 QUERIES = {
+    "op1_token_counts": tokencount.op1,
     "op2_language_id": language.op2,
     "op3_line_dedup": linededup.op3,
+    "op4_quality": quality.op4,
+    "op5_pii": pii.op5,
     "op6_ngram_jaccard_join": jaccard.op6,
     "op7_embedding_near_dedup": vectors.op7,
     "op8_toxicity": toxicity.op8,
