@@ -6,12 +6,14 @@ line is one shingle).  Two lines are near-duplicates if the Jaccard
 similarity of their shingle sets is at least ``SIMILARITY``.
 
 1. Equal lines are one: grouped by a 64-bit hash, with their first place.
-2. Signature: MinHash over the shingles at word starts, a selection by
-   content that both lines of a pair make alike.  A value is the minimum of
-   hash XOR a constant; ``BANDS`` bands of ``ROWS`` values.  Lines with few
-   words (under the larger count of ``FEW``) or with a word longer than
-   ``LONG_WORD`` also get a signature of all their shingles; those under the
-   smaller count only that one.
+2. Signature: MinHash over the character runs at word starts (two words and
+   ``THIRD`` characters of the next: long enough that common words alone
+   make few buckets), a selection by content that both lines of a pair make
+   alike.  A value is the minimum of
+   hash XOR a constant; ``BANDS`` bands of ``ROWS`` values.  Short lines
+   (under the larger length of ``FEW``) and lines with a word of
+   ``LONG_WORD`` characters also get a signature of all their shingles;
+   those under the smaller length only that one.
 3. Lines that share a band meet in a bucket.  Every member is compared with
    the bucket's pivot (its smallest line) on the full shingle sets.  If
    some members were unlike all pivots so far, the smallest of them (one,
@@ -43,10 +45,11 @@ from lakeward.llm.common import components, document_key, table, written
 from lakeward.session import checkpoint_dir
 
 SHINGLE = 8
+THIRD = 4
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 LONG_WORD = 24
-FEW = (12, 16)
+FEW = (80, 104)
 
 
 def _constants(count: int) -> list[int]:
@@ -56,12 +59,12 @@ def _constants(count: int) -> list[int]:
 
 def banded_lines(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(lid, bands array<long>) of ``lines`` (lid, line); a line may have a row for either kind of signature."""
-    words = lines.select("lid", "line", F.split(F.trim("line"), r"\s+").alias("w")).withColumn("n", F.size("w"))
-    at_words = (words.where(F.col("n") >= FEW[0]).select("lid", "w", F.posexplode("w").alias("i", "word"))
-                .select("lid", F.xxhash64(F.substring(F.concat_ws(
-                    " ", "word", *[F.get("w", F.col("i") + k) for k in range(1, SHINGLE // 2)]), 1, SHINGLE)).alias("h")))
-    short = (F.col("n") < FEW[1]) | F.exists("w", lambda x: F.char_length(x) > LONG_WORD)
-    everywhere = words.where(short).select("lid", F.explode(_runs(F.col("line"))).alias("s")).select("lid", F.xxhash64("s").alias("h"))
+    size = F.char_length("line")
+    at_words = (lines.where(size >= FEW[0]).select("lid", F.split("line", " ").alias("w"))
+                .select("lid", F.explode(F.transform("w", lambda x, i: F.xxhash64(
+                    x, F.get("w", i + 1), F.substring(F.get("w", i + 2), 1, THIRD)))).alias("h")))
+    everywhere = (lines.where((size < FEW[1]) | F.col("line").rlike(rf"\S{{{LONG_WORD}}}"))
+                  .select("lid", F.explode(_runs(F.col("line"))).alias("s")).select("lid", F.xxhash64("s").alias("h")))
     c = _constants(bands * rows)
 
     def signed(hashes, kind):
@@ -99,15 +102,13 @@ def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     return spark.table(name)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``pairs`` (u, v) with alike: whether the full shingle sets are at least this similar."""
-    a = texts.select(F.col("lid").alias("u"), F.col("line").alias("a"))
-    b = texts.select(F.col("lid").alias("v"), F.col("line").alias("b"))
-    sets = (pairs.join(a, "u").join(b, "v")
-            .select("u", "v", shingle_set(F.col("a")).alias("a"), shingle_set(F.col("b")).alias("b"))
-            .select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"),
-                    F.size(F.array_intersect("a", "b")).alias("both")))
-    return sets.select("u", "v", (F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).alias("alike"))
+    a = sets.select(F.col("lid").alias("u"), F.col("s").alias("a"))
+    b = sets.select(F.col("lid").alias("v"), F.col("s").alias("b"))
+    sizes = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"),
+                                                   F.size(F.array_intersect("a", "b")).alias("both"))
+    return sizes.select("u", "v", (F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).alias("alike"))
 
 
 def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -116,12 +117,13 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     full = banded.groupBy(F.struct("band").alias("k")).agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
     pivots = written(full.where("low < high").select(F.col("k.band").alias("band"), "low"), "lines-pivots")
     members = written(banded.join(pivots, "band").select("band", "lid"), "lines-members")
-    texts = written(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), "lines-texts")
+    sets = written(lines.join(members.select("lid").distinct(), "lid", "left_semi")
+                   .select("lid", shingle_set(F.col("line")).alias("s")), "lines-sets")
     settled, links, width = None, None, 1
     while True:
         met = members.join(pivots, "band")
         pairs = met.where("lid <> low").select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
-        found = written(_verified(pairs, texts, similarity), "lines-verified")
+        found = written(_verified(pairs, sets, similarity), "lines-verified")
         links = found.where("alike") if links is None else links.union(found.where("alike"))
         # Members that are like a pivot, or were pivots, are settled; of the others come the next pivots.
         like = found.where("alike").select(F.col("u").alias("lid"), F.col("v").alias("low"))
