@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,20 @@ def document_key():
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once under the shared checkpoint folder and read back (survives lost executors)."""
-    return materialize(df, label)
+    """``df`` written once under the shared checkpoint folder and read back (survives lost executors).
+
+    The driver then collects its garbage, upon which Spark drops the shuffle
+    files of the finished plan: long jobs hold the disk of one step, not of all.
+    """
+    out = materialize(df, label)
+    free_shuffles(df.sparkSession)
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _min_neighbour(edges: DataFrame) -> DataFrame:

@@ -15,17 +15,18 @@ similarity of their shingle sets is at least ``SIMILARITY``.
    ``LONG_WORD`` characters also get a signature of all their shingles;
    those under the smaller length only that one.
 3. Lines that share a band meet in a bucket.  Every member is compared with
-   the bucket's pivot (its smallest line) on the full shingle sets.  If
-   some members were unlike all pivots so far, the smallest of them (one,
-   then two, four, ...) are the next pivots for all members, until none is
-   left.  So rows grow with members x clusters of a bucket, and the rounds
-   with the clusters' logarithm.
+   the bucket's pivot (its smallest line) on the full shingle sets; those
+   that are like it are settled.  The others go on among themselves, with
+   two pivots, then four, and so on, until none is left.  So rows grow with
+   members x clusters of a bucket, never with all pairs, and the rounds with
+   the clusters' logarithm.
 4. Verified links give components (distributed union-find); of each
    component one line stays, the one with the first place by (doc_id, text
    hash, line number), null ids last.
 
-Recall is that of the banding (0.997 at 0.8); inside a bucket, two members
-that are like different pivots but not like each other's are not compared.
+Recall is that of the banding (0.997 at 0.8).  Inside a bucket a settled
+member is not compared further: two clusters that only a settled member
+joins stay two, unless another of their common buckets shows the link.
 
 Defined results: a document that had lines and keeps only blank ones is
 dropped; one that had none (null, empty or blank text) stays as it is.  Rows
@@ -41,7 +42,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import components, document_key, table, written
+from lakeward.llm.common import components, document_key, free_shuffles, table, written
 from lakeward.session import checkpoint_dir
 
 SHINGLE = 8
@@ -99,43 +100,45 @@ def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     name = f"{label}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    free_shuffles(spark)
     return spark.table(name)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``pairs`` (u, v) with alike: whether the full shingle sets are at least this similar."""
-    a = sets.select(F.col("lid").alias("u"), F.col("s").alias("a"))
-    b = sets.select(F.col("lid").alias("v"), F.col("s").alias("b"))
-    sizes = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"),
-                                                   F.size(F.array_intersect("a", "b")).alias("both"))
-    return sizes.select("u", "v", (F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).alias("alike"))
+    a = texts.select(F.col("lid").alias("u"), F.col("line").alias("a"))
+    b = texts.select(F.col("lid").alias("v"), F.col("line").alias("b"))
+    sets = (pairs.join(a, "u").join(b, "v")
+            .select("u", "v", shingle_set(F.col("a")).alias("a"), shingle_set(F.col("b")).alias("b"))
+            .select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"),
+                    F.size(F.array_intersect("a", "b")).alias("both")))
+    return sets.select("u", "v", (F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).alias("alike"))
 
 
 def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) over ``lines`` (lid, line): components of near-duplicate lines; lines without any are absent."""
     banded = written(banded_lines(lines), "lines-bands").select("lid", F.explode("bands").alias("band"))
-    full = banded.groupBy(F.struct("band").alias("k")).agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
-    pivots = written(full.where("low < high").select(F.col("k.band").alias("band"), "low"), "lines-pivots")
+    full = banded.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
+    pivots = written(full.where("low < high").select("band", "low"), "lines-pivots")
     members = written(banded.join(pivots, "band").select("band", "lid"), "lines-members")
-    sets = written(lines.join(members.select("lid").distinct(), "lid", "left_semi")
-                   .select("lid", shingle_set(F.col("line")).alias("s")), "lines-sets")
-    settled, links, width = None, None, 1
+    texts = written(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), "lines-texts")
+    links, width = None, 1
     while True:
-        met = members.join(pivots, "band")
-        pairs = met.where("lid <> low").select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
-        found = written(_verified(pairs, sets, similarity), "lines-verified")
+        met = members.join(pivots, "band").where("lid <> low")
+        pairs = met.select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
+        found = written(_verified(pairs, texts, similarity), "lines-verified")
         links = found.where("alike") if links is None else links.union(found.where("alike"))
-        # Members that are like a pivot, or were pivots, are settled; of the others come the next pivots.
+        # Members that are like a pivot, and the pivots, are settled in their bucket; the others go on.
         like = found.where("alike").select(F.col("u").alias("lid"), F.col("v").alias("low"))
-        now = met.join(like, ["lid", "low"], "left_semi").select("band", "lid").union(
-            pivots.select("band", F.col("low").alias("lid")))
-        settled = written((now if settled is None else settled.union(now)).distinct(), "lines-settled")
+        settled = met.join(like, ["lid", "low"], "left_semi").select("band", "lid").union(
+            pivots.select("band", F.col("low").alias("lid"))).distinct()
+        members = written(members.join(settled, ["band", "lid"], "left_anti"), "lines-members")
+        if members.isEmpty():
+            return components(links, "lines-groups")
         width *= 2
         order = F.row_number().over(Window.partitionBy("band").orderBy("lid"))
-        pivots = written(members.join(settled, ["band", "lid"], "left_anti").withColumn("n", order)
-                         .where(F.col("n") <= width).select("band", F.col("lid").alias("low")), "lines-pivots")
-        if pivots.isEmpty():
-            return components(links, "lines-groups")
+        pivots = written(members.withColumn("n", order).where(F.col("n") <= width)
+                         .select("band", F.col("lid").alias("low")), "lines-pivots")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
