@@ -89,7 +89,7 @@ def parse_columns(schema_json: Column | str) -> Column:
     The branch is taken on the first non-blank character, so an object
     never reaches the array parser.
     """
-    text = F.ltrim(_col(schema_json))
+    text = F.regexp_replace(_col(schema_json), r"^\s+", "")
     head = F.substring(text, 1, 1)
     raw_items = F.from_json(text, ArrayType(StringType()), _STRICT_JSON)
     as_array = F.transform(raw_items, lambda item: F.from_json(item, COLUMN_STRUCT, _STRICT_JSON))

@@ -69,8 +69,14 @@ def has(key: str) -> Column:
     return F.coalesce(F.map_contains_key(F.col("fields"), F.lit(key)), F.lit(False))
 
 
+#: Reserved field: the batch that a change came in, set by ``apply_changes``; part of every new id.
+BATCH_FIELD = "_batch"
+
+
 def new_id(op: str) -> Column:
-    return F.concat(F.lit(ID_PREFIX[op]), F.col("seq").cast("string"))
+    """Ids of created rows: seq is unique within a batch, the batch's name makes it unique across batches."""
+    batch = F.coalesce(F.concat(f(BATCH_FIELD), F.lit("-")), F.lit(""))
+    return F.concat(F.lit(ID_PREFIX[op]), batch, F.col("seq").cast("string"))
 
 
 def _op(*ops: str) -> Column:
@@ -780,8 +786,15 @@ def decisions_of(ch: DataFrame) -> DataFrame:
 
 
 def apply_changes(tables: dict[str, DataFrame], changes: DataFrame,
-                  materialize: bool = True) -> tuple[ChangedTables, DataFrame]:
-    """Decide every change against the snapshot; return the new tables and the decisions."""
+                  materialize: bool = True, batch: str | None = None) -> tuple[ChangedTables, DataFrame]:
+    """Decide every change against the snapshot; return the new tables and the decisions.
+
+    ``batch`` names the change set: ids of created rows hold it, so two sets
+    with equal seqs create different rows.
+    """
+    if batch is not None:
+        own = F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, _: k != BATCH_FIELD)
+        changes = changes.withColumn("fields", F.map_concat(own, F.create_map(F.lit(BATCH_FIELD), F.lit(batch))))
     ch = decided(tables, changes, materialize)
     return ChangedTables(tables, ch.filter(F.col("status") < 300)), decisions_of(ch)
 

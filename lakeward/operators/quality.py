@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import vocab
 from lakeward.functions.columns import asset_columns
-from lakeward.plans.sizing import literal_broadcast
 
 REFERENCE_COLUMNS = ["relation", "child_table", "child_id", "ref_value"]
 
@@ -54,7 +53,7 @@ def dangling_references(t: dict[str, DataFrame]) -> DataFrame:
 # Keys checked per table: (key name, SQL expression of the key).
 UNIQUE_KEYS: dict[str, list[tuple[str, str]]] = {
     "teams": [("id", "id")],
-    "team_members": [("id", "id"), ("team_id,email", "concat_ws('|', team_id, email)")],
+    "team_members": [("id", "id"), ("team_id,email", "concat(team_id, '|', email)")],
     "domains": [("id", "id"), ("name", "name")],
     "assets": [("id", "id")],
     "data_layers": [("id", "id"), ("lower(name)", "lower(name)")],
@@ -97,6 +96,6 @@ def unknown_types(assets: DataFrame) -> DataFrame:
     listed = list(vocab.SOURCE_TYPE_VOCABULARY)
     cols = asset_columns(assets, keep=("source_type",)).withColumn(
         "vocab_key", F.when(F.col("source_type").isin(listed), F.col("source_type")).otherwise(F.lit("")))
-    known = literal_broadcast(type_vocabulary(spark))
+    known = F.broadcast(type_vocabulary(spark))  # a fixed list
     return cols.join(known, ["vocab_key", "type"], "left_anti").select(
         "asset_id", "col_pos", "name", "type", "source_type")

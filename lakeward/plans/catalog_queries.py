@@ -256,8 +256,8 @@ SELECT table_name, key_name, key_value, n_rows FROM (
   UNION ALL SELECT 'users', 'id', id, count(*) FROM users GROUP BY id
   UNION ALL SELECT 'domains', 'name', name, count(*) FROM domains GROUP BY name
   UNION ALL SELECT 'data_layers', 'lower(name)', lower(name), count(*) FROM data_layers GROUP BY lower(name)
-  UNION ALL SELECT 'team_members', 'team_id,email', concat_ws('|', team_id, email), count(*)
-    FROM team_members GROUP BY concat_ws('|', team_id, email)
+  UNION ALL SELECT 'team_members', 'team_id,email', team_id || '|' || email, count(*)
+    FROM team_members GROUP BY team_id || '|' || email
   UNION ALL SELECT 'users', 'email', email, count(*) FROM users GROUP BY email
 ) k WHERE n_rows > 1
 """)

@@ -65,8 +65,13 @@ def harvest_many(frames: dict[str, DataFrame]) -> DataFrame:
 _QUOTES = r"""^["']|["']$"""
 
 
+def _strip(c: Column | str) -> Column:
+    """Without white space of any kind at either end (carriage returns and tabs too)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _unquote(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, _QUOTES, ""))
+    return _strip(F.regexp_replace(c, _QUOTES, ""))
 
 
 def yaml_columns(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
@@ -82,10 +87,10 @@ def yaml_columns(files: DataFrame, id_col: str = "file_id", text_col: str = "tex
     lines = files.select(F.col(id_col).alias("file_id"),
                          F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
     per_file = Window.partitionBy("file_id")
-    lines = lines.withColumn("is_list", F.bool_or(F.trim("raw").rlike(r"(?i)^columns\s*:")).over(per_file))
+    lines = lines.withColumn("is_list", F.bool_or(_strip("raw").rlike(r"(?i)^columns\s*:")).over(per_file))
 
     # Simple layout.
-    simple_line = F.trim("raw")
+    simple_line = _strip("raw")
     simple = (
         lines.filter(~F.col("is_list"))
         .withColumn("line", simple_line)
@@ -98,8 +103,8 @@ def yaml_columns(files: DataFrame, id_col: str = "file_id", text_col: str = "tex
     )
 
     # List layout: a "- name:" line opens an item; later "key: value" lines fill it.
-    line = F.rtrim("raw")
-    is_item = line.rlike(r"^\s+-\s+name\s*:")
+    line = F.regexp_replace("raw", r"\s+$", "")
+    is_item = line.rlike(r"(?i)^\s+-\s+name\s*:")
     listed = (
         lines.filter(F.col("is_list"))
         .withColumn("line", line)

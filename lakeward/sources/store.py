@@ -6,8 +6,9 @@ Layout under a shared root (never a machine-local folder on a cluster)::
     root/v=<N>/commit/...parquet      written last: version N is complete
 
 A new version never overwrites what readers may be reading; readers take
-the highest committed version.  Writing version N again is refused, so a
-replayed micro-batch (version = batch id) cannot write twice.
+the highest committed version.  Writing a committed version again is
+refused.  A commit can name the stream and batch that it came from and the
+version it was made from, so that a replayed micro-batch is known again.
 """
 
 from __future__ import annotations
@@ -23,16 +24,21 @@ from lakeward.sources import schemas
 from lakeward.sources.catalog import TABLE_DEFAULTS, add_missing_columns
 
 
+COMMIT = "version long, n_tables int, stream string, batch long, parent long, committed_at timestamp"
+
+
 def _version_dir(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/v={int(version)}"
 
 
 def committed_versions(spark: SparkSession, root: str) -> DataFrame:
-    """``version`` of every committed snapshot under ``root`` (empty if none)."""
+    """The commit record of every snapshot under ``root`` (empty if there is none)."""
     try:
-        return spark.read.parquet(f"{root.rstrip('/')}/v=*/commit").select("version")
-    except AnalysisException:
-        return spark.createDataFrame([], "version long")
+        return spark.read.schema(COMMIT).parquet(f"{root.rstrip('/')}/v=*/commit")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT)
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
@@ -41,8 +47,15 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return None if row is None or row["v"] is None else int(row["v"])
 
 
-def write_snapshot(tables: Mapping[str, DataFrame], root: str, version: int) -> str:
-    """Write all tables of one version, then its commit marker.  Returns the folder."""
+def batch_committed(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
+    """Whether a version made from this batch of this stream is committed."""
+    return not committed_versions(spark, root).where(
+        (F.col("stream") == stream) & (F.col("batch") == int(batch))).isEmpty()
+
+
+def write_snapshot(tables: Mapping[str, DataFrame], root: str, version: int, stream: str | None = None,
+                   batch: int | None = None, parent: int | None = None) -> str:
+    """Write all tables of one version, then its commit record.  Returns the folder."""
     spark = next(iter(tables.values())).sparkSession
     if version in {r["version"] for r in committed_versions(spark, root)
                    .filter(F.col("version") == int(version)).collect()}:
@@ -50,7 +63,8 @@ def write_snapshot(tables: Mapping[str, DataFrame], root: str, version: int) ->
     folder = _version_dir(root, version)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.createDataFrame([(int(version), len(tables))], "version long, n_tables int") \
+    spark.createDataFrame([(int(version), len(tables), stream, batch, parent)],
+                          "version long, n_tables int, stream string, batch long, parent long") \
         .withColumn("committed_at", F.current_timestamp()) \
         .write.mode("errorifexists").parquet(f"{folder}/commit")
     return folder

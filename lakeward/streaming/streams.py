@@ -4,8 +4,9 @@
   stream-static join of the request stream with the asset table, append
   mode, exactly-once into a file sink.
 * ``change_stream``: every micro-batch is one change set
-  (``apply_changes``) committed as snapshot version ``batch_id + 1``; a
-  replayed batch finds its version committed and writes nothing again.
+  (``apply_changes``) committed as the version after the latest, with the
+  stream's and the batch's id; a replayed batch finds that pair committed
+  and writes nothing again.
 
 Sinks and checkpoints live under the session's shared checkpoint folder
 (``spark.checkpoint.dir``), never on one machine's local disk.
@@ -71,25 +72,30 @@ def request_stream(requests: DataFrame, assets: DataFrame, out_path: str, checkp
 
 
 def change_stream(changes: DataFrame, store_root: str, checkpoint: str,
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, stream_id: str | None = None) -> StreamingQuery:
     """O-R2: apply each micro-batch of change records as one change set.
 
-    The store must hold a committed snapshot (version 0 or later).  Batch
-    ``b`` reads the latest committed version below ``b + 1``, applies the
-    batch and commits version ``b + 1`` with the batch's decisions.
+    The store must hold a committed snapshot.  A batch reads the latest
+    committed version, whatever its number, and commits the next one with
+    its decisions.  ``stream_id`` (default: the checkpoint's path) and the
+    batch id make up the identity by which a replay is skipped; a new
+    stream on the store has another identity, so none of its batches is
+    taken for a replay.  Ids of created rows hold the version.  One stream
+    writes to a store at a time.
     """
+    stream = stream_id or checkpoint
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = int(batch_id) + 1
-        if store.latest_version(spark, store_root) is not None and \
-                store.committed_versions(spark, store_root).filter(F.col("version") == version).count() > 0:
+        if store.batch_committed(spark, store_root, stream, batch_id):
             return  # replay of a committed batch
-        tables = store.read_snapshot(spark, store_root)
-        new_tables, decisions = apply_changes(tables, batch)
+        parent = store.latest_version(spark, store_root)
+        tables = store.read_snapshot(spark, store_root, parent)
+        version = parent + 1
+        new_tables, decisions = apply_changes(tables, batch, batch=str(version))
         out = {name: new_tables[name] for name in tables}
         out["decisions"] = decisions
-        store.write_snapshot(out, store_root, version)
+        store.write_snapshot(out, store_root, version, stream, int(batch_id), parent)
 
     writer = changes.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

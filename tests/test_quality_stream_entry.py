@@ -88,6 +88,23 @@ def test_change_stream_commits_one_version_per_batch(spark, sample):
     assert store.latest_version(spark, root) == 1
 
 
+def test_change_stream_loses_no_batch_on_an_older_store(spark, sample):
+    folder = tempfile.mkdtemp(prefix="lakeward-changes-")
+    root, src = f"{folder}/store", f"{folder}/src"
+    store.write_snapshot(sample, root, 3)
+    rows = [(1, T0, M_ANALYST, "publish_asset", "A2", {}),
+            (2, T0, M_ANALYST, "request_access", "A1", {"requester_email": LONER})]
+    spark.createDataFrame(rows, schemas.CHANGES).coalesce(1).write.parquet(src)
+    for version, checkpoint in ((4, "one"), (5, "two")):  # another stream's first batch is no replay of the first's
+        change_stream(spark.readStream.schema(schemas.CHANGES).parquet(src), root, f"{folder}/{checkpoint}").awaitTermination()
+        assert store.latest_version(spark, root) == version
+    snap = store.read_snapshot(spark, root)
+    assert {r.id: r.published for r in snap["assets"].collect()}["A2"] is True
+    ids = [r.id for r in snap["access_requests"].collect()]
+    assert len(ids) == len(set(ids)) == 5 and {"request-4-2", "request-5-2"} <= set(ids)
+    assert store.batch_committed(spark, root, f"{folder}/one", 0) and not store.batch_committed(spark, root, f"{folder}/one", 1)
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 

@@ -111,3 +111,19 @@ def test_yaml_columns(spark):
         ("s", 3, "created.at", "TIMESTAMP", True, ""),
         ("s", 4, "columns_x", "STRING", True, ""),
     ]
+
+
+def test_yaml_columns_of_odd_files(spark):
+    from lakeward.sources.harvest import yaml_columns
+
+    files = spark.createDataFrame([(1, "columns:\r\n  - Name: a\r\n    type: INT\r\n  - name: b\r\n    type: STRING\r\n"),
+                                   (2, "\tuser_id: INT\n\tname: STRING\n")], "file_id int, text string")
+    got = sorted((r.file_id, r.name, r.type) for r in yaml_columns(files).collect())
+    assert got == [(1, "a", "INT"), (1, "b", "STRING"), (2, "name", "STRING"), (2, "user_id", "INT")]
+
+
+def test_schema_text_after_white_space(spark):
+    from lakeward.functions.columns import parse_columns
+
+    df = spark.createDataFrame([('\n\t {"a": "INT"}',)], "schema_json string")
+    assert [c.name for c in df.select(parse_columns("schema_json").alias("c")).first().c] == ["a"]
