@@ -240,8 +240,9 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
     first = first.where("low < high").select(F.col("k.band").alias("band"), "low")
     places = components(banded.join(first, "band").where("cls <> low").select(F.col("cls").alias("u"), F.col("low").alias("v")),
                         "jaccard-places")
-    places = written(places, "jaccard-places")
-    sizes = places.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
+    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large component.
+    sizes = places.groupBy(F.struct("root").alias("k")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
+    sizes = sizes.select(F.col("k.root").alias("root"), "nb")
     dealt = (places.join(sizes, "root").join(classes, places["node"] == classes["cls"])
              .select("root", "cls", "n_copies", "rep", "rep_th", "nb",
                      F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nb")).cast("int").alias("block")))

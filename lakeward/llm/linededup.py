@@ -154,12 +154,13 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     groups = similar_lines(lines, similarity)
     spots = lines.select("lid", "first", "n")
     grouped = spots.join(groups, spots["lid"] == groups["node"]).select("lid", "root", "first")
-    best = grouped.groupBy("root").agg(F.min("first").alias("keep"))
+    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large group.
+    best = grouped.groupBy(F.struct("root").alias("k")).agg(F.min("first").alias("keep")).select(F.col("k.root").alias("root"), "keep")
     fuzzy = grouped.join(best, "root").select("lid", "keep")
     repeated = spots.where("n > 1").join(fuzzy.select("lid"), "lid", "left_anti").select("lid", F.col("first").alias("keep"))
     decided = fuzzy.union(repeated)
     gone = (found.select("lid", place.alias("here"), "_key", "pos").join(decided, "lid").where("here <> keep")
-            .groupBy("_key").agg(F.collect_set("pos").alias("_pos")))
+            .groupBy(F.struct("_key").alias("k")).agg(F.collect_set("pos").alias("_pos")).select(F.col("k._key").alias("_key"), "_pos"))
     joined = docs.withColumn("_key", document_key()).join(gone, "_key", "left")
     parts = F.split("text", "\n")
     kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("_pos", i), x)), lambda x: x.isNotNull())

@@ -157,7 +157,9 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, sigmas: flo
         F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     classes = written(classes, "vectors-classes")
     dim = classes.agg(F.max(F.size("unit"))).first()[0] or 1
-    sizes = classes.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
+    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large label.
+    sizes = classes.groupBy(F.struct("label").alias("k")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
+    sizes = sizes.select(F.col("k.label").alias("label"), "nb")
     dealt = classes.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("nb")).cast("int"))
     tasks = (dealt.withColumn("x", F.explode(F.expr("sequence(0, nb - 1)")))
              .select("label", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"),
