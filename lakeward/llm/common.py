@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeward.session import materialize
@@ -33,6 +33,19 @@ def document_key():
     return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"))
 
 
+def first_of_each(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``, the same whatever the partitioning.
+
+    A group is cut within shares of it first (dealt by a hash of the order),
+    so no task gets a group that grows with the table.
+    """
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64(*order), F.lit(shares))
+    for window in (Window.partitionBy(group, share), Window.partitionBy(group)):
+        rows = rows.withColumn("_n", F.row_number().over(window.orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    return rows
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back (survives lost executors).
 

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeward.llm.common import held_out, python_batches, table
+from lakeward.llm.common import first_of_each, held_out, python_batches, table
 from lakeward.llm.convnet import ConvNet, cut
 
 WINDOW = 128
@@ -37,8 +37,7 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     """At most ``per_language`` (lang, text start) of each language, the same rows whatever the partitioning."""
     rows = (docs.where("lang is not null and text is not null").where(~held_out())
             .select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")))
-    best = Window.partitionBy("lang").orderBy("h", "t")
-    rows = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_language)
+    rows = first_of_each(rows, "lang", ["h", "t"], per_language)
     return sorted((r.lang, r.t) for r in rows.limit(per_language * MAX_LANGUAGES).collect())
 
 

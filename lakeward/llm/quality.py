@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import held_out, python_batches, table, written
+from lakeward.llm.common import first_of_each, held_out, python_batches, table, written
 
 PER_CLASS = 2000
 MOST_KAPPA = 1e4
@@ -54,8 +54,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     """At most ``per_class`` (doc_id, text hash, quality) of each label, whatever the partitioning."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality")
     rows = known.join(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")), "doc_id")
-    best = Window.partitionBy("quality").orderBy("h", "doc_id")
-    rows = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_class)
+    rows = first_of_each(rows, "quality", ["h", "doc_id"], per_class)
     return [(r.doc_id, r.h, r.quality) for r in rows.limit(2 * per_class).collect()]
 
 

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import held_out, python_batches, table
+from lakeward.llm.common import first_of_each, held_out, python_batches, table
 from lakeward.llm.convnet import ConvNet, cut
 
 BUCKETS = 1 << 15
@@ -80,9 +80,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     text = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "lang",
                                                  F.substring("text", 1, SAMPLE_CHARS).alias("t"))
     # First the ids of the sample, then their texts: the shuffles carry no text but the sample's.
-    best = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    ids = (known.join(text.select("doc_id", "h"), "doc_id").withColumn("n", F.row_number().over(best))
-           .where(F.col("n") <= per_class).select("doc_id", "h", "toxic"))
+    ids = first_of_each(known.join(text.select("doc_id", "h"), "doc_id"), "toxic", ["h", "doc_id"], per_class)
     picked = [(r.doc_id, r.h, r.toxic) for r in ids.limit(2 * per_class).collect()]
     if not picked:
         return []
