@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from lakeward.session import materialize
 
 #: Rows per Arrow batch: a batch of long texts stays at some MB in a Python worker.
 ARROW_ROWS = 256
+#: Links per written file of a round of ``components``.
+LINKS_PER_FILE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +81,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of an undirected graph given as rows (u, v) of longs; root is the component's smallest node.
 
     Distributed union-find by alternating large-star and small-star steps
-    until the edges are stars; every round is written to the shared folder.
+    until the edges are stars; every round is written to the shared folder,
+    in as many files as its links need.
     Only a count and a checksum come to the driver.  Isolated nodes and
     self-links are absent; an empty table gives an empty result.
     """
@@ -96,6 +100,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         small = _min_neighbour(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), f"{label}-edges")
+        files = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(now[0] / LINKS_PER_FILE))
+        edges = written(small.where("u <> v").distinct().coalesce(files), f"{label}-edges")
+    # Stars: every node but the roots is the u of one row.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
