@@ -218,7 +218,7 @@ MEMBER_EMAIL = _sql_case({("add_member", "change_role", "remove_member"): _sql_f
 CLAIM_KEY = _sql_case({
     ("create_domain", "update_domain", "create_layer", "update_layer", "register_user"):
         "CASE WHEN n_key_ IS NOT NULL THEN concat(n_kind_, '|', n_key_) END",
-    ("add_member",): "concat('member|', m_team, '|', m_email)"})
+    ("add_member",): "concat('member|', char_length(m_team), '|', m_team, '|', m_email)"})
 
 
 def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
@@ -502,9 +502,13 @@ def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
                       F.col("is_owner").alias("_owner"))
     mem = grants.select(F.col("email").alias("_m_email"), F.col("team_id").alias("_m_team"),
                         F.lit(True).alias("_m_exists"))
+    # Most changes address no membership: they join by their seq with a NULL
+    # e-mail, which matches nothing and spreads them over the tasks.
+    m_email = F.when(ch.m_team.isNotNull(), ch.m_email)
+    m_team = F.coalesce(ch.m_team, F.concat(F.lit("#"), ch.seq.cast("string")))
     ch = (
         ch.join(g, (ch.actor_email == g._g_email) & (ch.g_team == g._g_team), "left")
-        .join(mem, (ch.m_email == mem._m_email) & (ch.m_team == mem._m_team), "left")
+        .join(mem, (m_email == mem._m_email) & (m_team == mem._m_team), "left")
     )
     ch = ch.select(
         *[c for c in ch.columns if not c.startswith("_") and c not in ("a_admin", "a_platform")],
@@ -516,16 +520,19 @@ def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
         F.coalesce("_m_exists", F.lit(False)).alias("m_exists"),
     ).selectExpr("*", f"{_status_sql(pre_batch=True)} AS pre_status").selectExpr("*", f"{CLAIM_KEY} AS claim_key")
     # In-batch claims on one key: the lowest seq among changes that pass
-    # every other rule wins.  A per-key minimum (partial aggregation) keeps
-    # a hot key cheap.
+    # every other rule wins, and later updates of the winner's own target
+    # lose nothing.  A per-key minimum (partial aggregation) keeps a hot key
+    # cheap; changes without a claim join by their seq, which no claim equals.
+    ch = ch.withColumn("_renamed", F.when(_op("update_domain", "update_layer"), F.col("target_id")))
     firsts = (
         ch.filter(F.col("claim_key").isNotNull() & F.col("pre_status").isNull())
-        .groupBy("claim_key").agg(F.min("seq").alias("_first_seq"))
+        .groupBy("claim_key").agg(F.min("seq").alias("_first_seq"), F.min_by("_renamed", "seq").alias("_first_renamed"))
         .withColumnRenamed("claim_key", "_claim_key")
     )
-    ch = ch.join(firsts, ch.claim_key == firsts._claim_key, "left").selectExpr(
-        *[c for c in ch.columns],
-        "coalesce(claim_key IS NOT NULL AND _first_seq IS NOT NULL AND seq <> _first_seq, false) AS claim_lost")
+    key = F.coalesce(ch.claim_key, F.concat(F.lit("#"), ch.seq.cast("string")))
+    ch = ch.join(firsts, key == firsts._claim_key, "left").selectExpr(
+        *[c for c in ch.columns if c != "_renamed"],
+        "coalesce(seq <> _first_seq AND NOT coalesce(_renamed = _first_renamed, false), false) AS claim_lost")
     return ch.selectExpr("*", f"{_status_sql(pre_batch=False)} AS status", f"{_reason_sql()} AS reason")
 
 

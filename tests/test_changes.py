@@ -213,6 +213,17 @@ def test_layer_ops(spark, sample):
     assert {r.id: r.layer_id for r in new["assets"].collect()}["A1"] is None  # unclassified
 
 
+def test_renames_of_one_target_share_its_claim(spark, sample):
+    new, dec = run(spark, sample, [
+        dict(seq=1, actor=ADMIN, op="update_layer", target="L1", fields={"name": "quartz"}),
+        dict(seq=2, actor=ADMIN, op="update_layer", target="L1", fields={"name": "Quartz"}),
+        dict(seq=3, actor=ADMIN, op="update_layer", target="L3", fields={"name": "QUARTZ"}),
+        dict(seq=4, actor=ADMIN, op="create_layer", fields={"name": "quartz"}),
+    ])
+    assert status(dec) == {1: 200, 2: 200, 3: 409, 4: 409}
+    assert {r.id: r.name for r in new["data_layers"].collect()}["L1"] == "Quartz"
+
+
 def test_user_ops(spark, sample):
     new, dec = run(spark, sample, [
         dict(seq=1, actor=None, op="register_user", fields={"email": "new@example.com"}),
