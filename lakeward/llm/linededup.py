@@ -6,14 +6,9 @@ line is one shingle).  Two lines are near-duplicates if the Jaccard
 similarity of their shingle sets is at least ``SIMILARITY``.
 
 1. Equal lines are one: grouped by a 64-bit hash, with their first place.
-2. Signature: MinHash over the character runs at word starts (two words and
-   ``THIRD`` characters of the next: long enough that common words alone
-   make few buckets), a selection by content that both lines of a pair make
-   alike.  A value is the minimum of
-   hash XOR a constant; ``BANDS`` bands of ``ROWS`` values.  Short lines
-   (under the larger length of ``FEW``) and lines with a word of
-   ``LONG_WORD`` characters also get a signature of all their shingles;
-   those under the smaller length only that one.
+2. Signature: MinHash over all the line's shingles, whatever its length.  A
+   value is the minimum of hash XOR a constant; ``BANDS`` bands of ``ROWS``
+   values.
 3. Lines that share a band meet in a bucket.  Every member is compared with
    the bucket's pivot (its smallest line) on the full shingle sets; those
    that are like it are settled.  The others go on among themselves, with
@@ -46,11 +41,8 @@ from lakeward.llm.common import components, document_key, free_shuffles, table,
 from lakeward.session import checkpoint_dir
 
 SHINGLE = 8
-THIRD = 4
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
-LONG_WORD = 24
-FEW = (80, 104)
 
 
 def _constants(count: int) -> list[int]:
@@ -59,21 +51,12 @@ def _constants(count: int) -> list[int]:
 
 
 def banded_lines(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(lid, bands array<long>) of ``lines`` (lid, line); a line may have a row for either kind of signature."""
-    size = F.char_length("line")
-    at_words = (lines.where(size >= FEW[0]).select("lid", F.split("line", " ").alias("w"))
-                .select("lid", F.explode(F.transform("w", lambda x, i: F.xxhash64(
-                    x, F.get("w", i + 1), F.substring(F.get("w", i + 2), 1, THIRD)))).alias("h")))
-    everywhere = (lines.where((size < FEW[1]) | F.col("line").rlike(rf"\S{{{LONG_WORD}}}"))
-                  .select("lid", F.explode(_runs(F.col("line"))).alias("s")).select("lid", F.xxhash64("s").alias("h")))
+    """(lid, bands array<long>) of ``lines`` (lid, line)."""
+    hashes = lines.select("lid", F.explode(_runs(F.col("line"))).alias("s")).select("lid", F.xxhash64("s").alias("h"))
     c = _constants(bands * rows)
-
-    def signed(hashes, kind):
-        low = hashes.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(k))).alias(f"m{j}") for j, k in enumerate(c)])
-        return low.select("lid", F.array(*[F.xxhash64(F.lit(kind), F.lit(b), *[f"m{b * rows + r}" for r in range(rows)])
-                                           for b in range(bands)]).alias("bands"))
-
-    return signed(at_words, 0).union(signed(everywhere, 1))
+    low = hashes.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(k))).alias(f"m{j}") for j, k in enumerate(c)])
+    return low.select("lid", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)])
+                                       for b in range(bands)]).alias("bands"))
 
 
 def _runs(line: Column) -> Column:

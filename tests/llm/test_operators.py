@@ -61,6 +61,31 @@ def test_lines_keep_one_of_each_group(spark):
     assert got == {1: f"{line}\n{other}\n\nshort", 2: "own line here", 4: None, 5: " \n", 7: "last", 8: unspaced}
 
 
+def edited_pairs(rng, sep, lengths, n, edits):
+    """(line, the same line with some letters changed), of similarity at least 0.8."""
+    out = []
+    while len(out) < n:
+        line = sep.join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(*lengths))) for _ in range(300))[:200]
+        other = list(line)
+        for at in rng.sample(range(200), edits):
+            other[at] = rng.choice("ABCDEFGHIJ") if other[at] != sep else sep
+        other = "".join(other)
+        a, b = ({x[k:k + 8] for k in range(193)} for x in (line, other))
+        if line != other and 0.8 <= len(a & b) / len(a | b) < 0.9:
+            out.append((line, other))
+    return out
+
+
+@pytest.mark.parametrize("sep,lengths", [(" ", (2, 8)), (" ", (10, 20)), ("\t", (2, 8)), ("\t", (10, 20))])
+def test_line_signatures_reach_the_bandings_recall(spark, sep, lengths):
+    pairs = edited_pairs(random.Random(12), sep, lengths, 300, 3)
+    frame = spark.createDataFrame([(2 * k + j, x) for k, p in enumerate(pairs) for j, x in enumerate(p)], "lid long, line string")
+    rows = {}
+    for r in linededup.banded_lines(frame).collect():
+        rows.setdefault(r.lid, set()).update(r.bands)
+    assert sum(bool(rows[2 * k] & rows[2 * k + 1]) for k in range(300)) >= 294
+
+
 def test_decontamination(spark, corpus):
     items = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog and runs away"), (2, "tiny item"), (None, "null id"),
                                    (3, None), (4, "!!")], "item_id long, text string")
