@@ -15,13 +15,17 @@ similarity of their shingle sets is at least ``SIMILARITY``.
    two pivots, then four, and so on, until none is left.  So rows grow with
    members x clusters of a bucket, never with all pairs, and the rounds with
    the clusters' logarithm.
-4. Verified links give components (distributed union-find); of each
+4. What the rounds leave open: pairs of a bucket whose lines are in different
+   components so far, one of them settled before it met the other.  Buckets
+   that have such pairs are dealt into blocks of about ``BLOCK`` lines, one task row per
+   pair of blocks, which compares them on the full shingle sets (in the
+   first band they share) and gives out the linked components, never the pairs.
+5. Verified links give components (distributed union-find); of each
    component one line stays, the one with the first place by (doc_id, text
    hash, line number), null ids last.
 
-Recall is that of the banding (0.997 at 0.8).  Inside a bucket a settled
-member is not compared further: two clusters that only a settled member
-joins stay two, unless another of their common buckets shows the link.
+Recall is that of the banding (0.997 at 0.8): every pair that shares a band
+is compared, unless its lines are in one component already.
 
 Defined results: a document that had lines and keeps only blank ones is
 dropped; one that had none (null, empty or blank text) stays as it is.  Rows
@@ -43,6 +47,7 @@ from lakeward.session import checkpoint_dir
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
+BLOCK = 64
 
 
 def _constants(count: int) -> list[int]:
@@ -98,14 +103,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return sets.select("u", "v", (F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).alias("alike"))
 
 
+def _between(members: DataFrame, signed: DataFrame, texts: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): roots of components that a verified link joins, among the pairs that the rounds did not compare.
+
+    Members that are in no component were pivots all along and met each
+    other; so one line of each open pair is in a component.
+    """
+    found = (members.join(groups, F.col("lid") == F.col("node"), "left")
+             .select("band", "lid", F.coalesce("root", "lid").alias("root"), F.col("node").isNotNull().alias("settled")))
+    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large bucket.
+    wide = (found.groupBy(F.struct("band").alias("k"))
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("settled").alias("any"), F.count("*").alias("n"))
+            .where("low < high and any").select(F.col("k.band").alias("band"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
+    dealt = written(found.join(wide, "band").select("band", "lid", "root", "settled", "nb",
+                                                    F.pmod(F.xxhash64("lid", F.lit(1)), F.col("nb")).cast("int").alias("block")), "lines-open")
+    dealt = dealt.join(signed, "lid").join(texts, "lid")
+    tasks = (dealt.select("*", F.explode(F.expr("sequence(0, nb - 1)")).alias("x"))
+             .groupBy("band", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+             .agg(F.collect_list(F.struct("block", "lid", "root", "settled", "bands", "line")).alias("m")))
+    tasks = tasks.withColumn("m", F.transform("m", lambda x: F.struct(
+        x["block"].alias("block"), x["lid"].alias("lid"), x["root"].alias("root"), x["settled"].alias("settled"),
+        x["bands"].alias("bands"), shingle_set(x["line"]).alias("s"))))
+
+    def linked(x, y):
+        na, nb = F.size(x["s"]), F.size(y["s"])
+        both = F.size(F.array_intersect(x["s"], y["s"]))
+        first = F.filter(F.zip_with(x["bands"], y["bands"], lambda a, b: F.when(a == b, a)), lambda b: b.isNotNull())
+        return ((y["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (x["lid"] < y["lid"])) & (x["root"] != y["root"])
+                & (x["settled"] | y["settled"]) & (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9)
+                & (F.get(first, F.lit(0)) == F.col("band")) & (both >= similarity * (na + nb - both) - 1e-9))
+
+    pairs = F.transform(F.filter("m", lambda x: x["block"] == F.col("i")), lambda x: F.array_distinct(F.transform(
+        F.filter("m", lambda y: linked(x, y)),
+        lambda y: F.struct(F.least(x["root"], y["root"]).alias("u"), F.greatest(x["root"], y["root"]).alias("v")))))
+    return tasks.select(F.explode(F.array_distinct(F.flatten(pairs))).alias("p")).select("p.u", "p.v").distinct()
+
+
 def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) over ``lines`` (lid, line): components of near-duplicate lines; lines without any are absent."""
-    banded = written(banded_lines(lines), "lines-bands").select("lid", F.explode("bands").alias("band"))
+    signed = written(banded_lines(lines), "lines-bands")
+    banded = signed.select("lid", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
     pivots = written(full.where("low < high").select("band", "low"), "lines-pivots")
     members = written(banded.join(pivots, "band").select("band", "lid"), "lines-members")
     texts = written(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), "lines-texts")
-    links, width = None, 1
+    shared, links, width = members, None, 1
     while True:
         met = members.join(pivots, "band").where("lid <> low")
         pairs = met.select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
@@ -117,11 +159,16 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             pivots.select("band", F.col("low").alias("lid"))).distinct()
         members = written(members.join(settled, ["band", "lid"], "left_anti"), "lines-members")
         if members.isEmpty():
-            return components(links, "lines-groups")
+            break
         width *= 2
         order = F.row_number().over(Window.partitionBy("band").orderBy("lid"))
         pivots = written(members.withColumn("n", order).where(F.col("n") <= width)
                          .select("band", F.col("lid").alias("low")), "lines-pivots")
+    groups = written(components(links, "lines-groups"), "lines-groups")
+    more = written(_between(shared, signed, texts, groups, similarity), "lines-between")
+    if more.isEmpty():
+        return groups
+    return components(groups.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "lines-groups")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

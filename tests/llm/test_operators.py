@@ -86,6 +86,43 @@ def test_line_signatures_reach_the_bandings_recall(spark, sep, lengths):
     assert sum(bool(rows[2 * k] & rows[2 * k + 1]) for k in range(300)) >= 294
 
 
+def test_settled_lines_still_meet_the_others_of_their_buckets(spark, monkeypatch):
+    rng = random.Random(21)
+
+    def changed(line, places):
+        return "".join("#" if k in places else x for k, x in enumerate(line))
+
+    def alike(x, y):
+        a, b = ({z[k:k + 8] for k in range(len(z) - 7)} for z in (x, y))
+        return len(a & b) / len(a | b) >= 0.8
+
+    base = [prose(rng, 60)[:300] for _ in range(30)]
+    # Chains of ever more changed letters: neighbours are alike, the ends are not.
+    lines = [changed(x, range(20, 20 + 30 * k, 30)) for x in base for k in range(9)]
+    lines += [prose(rng, 40) for _ in range(150)]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(rng.sample(lines, len(lines)))], "lid long, line string")
+    rows = frame.collect()
+    # One band for all: every pair is a candidate, and the result is that of brute force.
+    one = linededup.F.array(*[linededup.F.lit(b) for b in range(2)])
+    monkeypatch.setattr(linededup, "banded_lines", lambda lines: lines.select("lid", one.cast("array<long>").alias("bands")))
+    root = {r.lid: r.lid for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            if a.lid < b.lid and abs(len(a.line) - len(b.line)) < 70 and alike(a.line, b.line):
+                low, high = sorted((find(a.lid), find(b.lid)))
+                root[high] = low
+    want = {r.lid: find(r.lid) for r in rows}
+    got = {r.node: r.root for r in linededup.similar_lines(frame).collect()}
+    sizes = list(want.values())
+    assert got == {k: v for k, v in want.items() if sizes.count(v) > 1} and len(got) >= 200
+
+
 def test_decontamination(spark, corpus):
     items = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog and runs away"), (2, "tiny item"), (None, "null id"),
                                    (3, None), (4, "!!")], "item_id long, text string")
