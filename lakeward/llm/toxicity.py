@@ -10,9 +10,10 @@ rows (the rest at random), then everything is trained.
 Training rows are bounded: ``PER_CLASS`` distinct texts of each label from
 outside the held-out fold, ``SAMPLE_CHARS`` characters of each.  The net
 is some hundred KB and is broadcast.  Scores never see labels, lang, source
-or doc_id.  A threshold for each language is then set on the training rows
-(``thresholds``): the least score at which the language's precision is at
-least ``PRECISION``; languages with few toxic rows take the global one.
+or doc_id.  A threshold for each language is then set on the scores of all
+labelled rows outside the fold (``thresholds``; the training rows are among
+them): the least score at which the language's precision is at least
+``PRECISION``; languages with few toxic rows in the table take the global one.
 
 Defined results: null and empty texts get the net's score for no words; if
 a label is missing altogether every score is the base rate.  Repeated rows
@@ -27,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import first_of_each, held_out, python_batches, table
+from lakeward.llm.common import first_of_each, held_out, python_batches, table, written
 from lakeward.llm.convnet import ConvNet, cut
 
 BUCKETS = 1 << 15
@@ -40,6 +41,7 @@ PER_CLASS = 2000
 SAMPLE_CHARS = 32_768
 PRECISION = 0.9
 MIN_TOXIC = 20
+BINS = 4096
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -74,13 +76,17 @@ def symbols(text: str | None) -> np.ndarray:
     return _seen.rows[index]
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels outside the held-out fold, once each."""
+    return labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "toxic").distinct()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str, str]]:
     """At most ``per_class`` (toxic, text, lang) of each label, whatever the partitioning."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "toxic")
     text = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "lang",
                                                  F.substring("text", 1, SAMPLE_CHARS).alias("t"))
     # First the ids of the sample, then their texts: the shuffles carry no text but the sample's.
-    ids = first_of_each(known.join(text.select("doc_id", "h"), "doc_id"), "toxic", ["h", "doc_id"], per_class)
+    ids = first_of_each(known(labels).join(text.select("doc_id", "h"), "doc_id"), "toxic", ["h", "doc_id"], per_class)
     picked = [(r.doc_id, r.h, r.toxic) for r in ids.limit(2 * per_class).collect()]
     if not picked:
         return []
@@ -133,23 +139,30 @@ def score_texts(net: ConvNet | None, base: float, texts: list[str | None], chunk
     return net.probabilities(top)[:, 1].astype(float) if texts else np.zeros(0)
 
 
-def thresholds(net: ConvNet | None, sample: list[tuple[int, str, str]], base: float) -> dict[str, float]:
-    """Per language (and "" for all): the least score from which on precision is at least PRECISION."""
-    score = score_texts(net, base, [t for _, t, _ in sample])
-    y, lang = np.array([t for t, _, _ in sample]), np.array([x for _, _, x in sample])
-
-    def least(pick: np.ndarray) -> float:
-        order = np.argsort(-score[pick], kind="stable")
-        s, t = score[pick][order], y[pick][order]
-        precise = np.cumsum(t) / np.arange(1, len(t) + 1) >= PRECISION
-        precise &= np.append(s[1:] < s[:-1], True)  # ties stand together
-        return float(s[np.flatnonzero(precise)[-1]]) if precise.any() else 1.0
-
-    out = {"": least(np.full(len(y), True)) if len(y) else 1.0}
-    for x in sorted(set(lang.tolist()) - {""}):
-        if (y[lang == x] == 1).sum() >= MIN_TOXIC:
-            out[x] = least(lang == x)
-    return out
+def thresholds(labelled: DataFrame) -> DataFrame:
+    """(lang, threshold) of rows (lang, score, toxic): the least score from which on precision is at least PRECISION.
+
+    lang "" is for all rows; other languages are here if they have
+    ``MIN_TOXIC`` toxic rows.  Exact, and no task gets a whole language:
+    equal scores are summed first, then scores are ranked within ``BINS``
+    bins on top of what the higher bins hold.
+    """
+    langs = F.when(F.coalesce("lang", F.lit("")) == "", F.array(F.lit(""))).otherwise(F.array(F.lit(""), "lang"))
+    ties = (labelled.select(F.explode(langs).alias("lang"), "score", "toxic").groupBy("lang", "score")
+            .agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+            .withColumn("bin", F.floor(F.col("score") * BINS)))
+    ties = written(ties, "toxicity-ties")
+    higher = Window.partitionBy("lang").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = ties.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    bins = bins.select(F.struct("lang", "bin").alias("k"), F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("over_n"),
+                       F.coalesce(F.sum("t").over(higher), F.lit(0)).alias("over_t"))
+    within = Window.partitionBy("lang", "bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ties.join(bins, (F.col("lang") == F.col("k.lang")) & (F.col("bin") == F.col("k.bin")))
+    ranked = ranked.select("lang", "score", "t", (F.col("over_n") + F.sum("n").over(within)).alias("n_from"),
+                           (F.col("over_t") + F.sum("t").over(within)).alias("t_from"))
+    precise = F.min(F.when(F.col("t_from") / F.col("n_from") >= PRECISION, F.col("score")))
+    return (ranked.groupBy("lang").agg(F.coalesce(precise, F.lit(1.0)).alias("threshold"), F.sum("t").alias("toxic"))
+            .where((F.col("lang") == "") | (F.col("toxic") >= MIN_TOXIC)).select("lang", "threshold"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -158,21 +171,25 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     python_batches(spark)
     sample = labelled_sample(docs, labels)
     net = train(sample)
-    base = sum(t for t, _, _ in sample) / max(1, len(sample))
-    shared = spark.sparkContext.broadcast((net, base, thresholds(net, sample, base)))
+    base = sum(x[0] for x in sample) / max(1, len(sample))
+    shared = spark.sparkContext.broadcast((net, base))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, base, limits = shared.value
+        net, base = shared.value
         for batch in batches:
             score = score_texts(net, base, batch.column(1).to_pylist())
-            limit = [limits.get(x, limits[""]) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(limit, pa.float64())],
-                                             ["doc_id", "score", "threshold"])
-
-    scored = docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, score double, threshold double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-                         "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score, pa.float64())], ["doc_id", "lang", "score"])
+
+    scored = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    scored = written(scored.mapInArrow(run, f"doc_id {kind}, lang string, score double"), "toxicity-scores")
+    limits = written(thresholds(scored.join(known(labels), "doc_id")), "toxicity-thresholds")
+    of_all = limits.where("lang = ''").first()
+    limits = F.broadcast(limits.where("lang <> ''").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own")))
+    limit = F.coalesce("_own", F.lit(of_all.threshold if of_all else 1.0))
+    return (scored.join(limits, F.col("lang") == F.col("_lang"), "left")
+            .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                    limit.alias("threshold"), (F.col("score") >= limit).alias("flagged")))
 
 
 def op8(spark, sf_dir):

@@ -163,6 +163,27 @@ def test_models_give_a_row_each(spark, corpus, labels):
     assert back.where("decode(bytes, 'UTF-8') <> coalesce(text, '')").count() == 0
 
 
+def test_toxicity_thresholds_count_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_CLASS", 5)
+    monkeypatch.setattr(toxicity.labelled_sample, "__defaults__", (5,))
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 12) + (" vile" * (rng.random() < (0.8 if k % 3 == 0 else 0.1))), ("en", "fi", None)[k % 5 % 3]) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(600)], "doc_id long, toxic int")
+    got = toxicity.toxicity(documents(spark, rows), labels).collect()
+    lang, outside = {k: x for k, _, x in rows}, [r for r in got if not r.held_out]
+
+    def least(found):
+        good = [s for s in {r.score for r in found}
+                if sum(r.doc_id % 3 == 0 for r in found if r.score >= s) / sum(r.score >= s for r in found) >= toxicity.PRECISION]
+        return min(good, default=1.0)
+
+    for x in ("en", "fi", None):
+        assert sum(lang[r.doc_id] == x and r.doc_id % 3 == 0 for r in outside) >= toxicity.MIN_TOXIC
+        want = least([r for r in outside if x is None or lang[r.doc_id] == x])
+        assert {r.threshold for r in got if lang[r.doc_id] == x} == {want}
+    assert all(r.flagged == (r.score >= r.threshold) for r in got)
+
+
 def test_empty_tables(spark, corpus, labels):
     none, no_labels = corpus.limit(0), labels.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
