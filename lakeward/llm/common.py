@@ -49,6 +49,14 @@ def first_of_each(rows: DataFrame, group: str, order: list[str], n: int) -> Data
     return rows
 
 
+def distinct_texts(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """(group, h, doc_id): the first ``n`` distinct texts of each group by text hash, each with its smallest doc_id.
+
+    ``rows`` has the group, h (text hash) and doc_id; copies of a text take one place.
+    """
+    return first_of_each(rows.groupBy(group, "h").agg(F.min("doc_id").alias("doc_id")), group, ["h"], n)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back (survives lost executors).
 

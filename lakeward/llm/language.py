@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network (numpy) over fixed-length windows.
 
 The network is trained on the driver on a bounded sample of labelled rows
-(``PER_LANGUAGE`` rows of each language, ``SAMPLE_CHARS`` characters of
-each, ``MAX_LANGUAGES`` languages) from outside the held-out fold; it is
+(``PER_LANGUAGE`` distinct texts of each language, ``SAMPLE_CHARS`` characters of
+each; of more than ``MAX_LANGUAGES`` languages those with the most texts in it, then by name) from outside the held-out fold; it is
 some KB and is broadcast.  Prediction reads the lower-cased bytes of each
 whole text as windows of ``WINDOW`` bytes; a document's probabilities are
 the windows' means, weighted by their bytes.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeward.llm.common import first_of_each, held_out, python_batches, table
+from lakeward.llm.common import distinct_texts, held_out, python_batches, table, written
 from lakeward.llm.convnet import ConvNet, cut
 
 WINDOW = 128
@@ -35,10 +35,12 @@ MIN_SCORE = 0.3
 
 def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``per_language`` (lang, text start) of each language, the same rows whatever the partitioning."""
-    rows = (docs.where("lang is not null and text is not null").where(~held_out())
-            .select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")))
-    rows = first_of_each(rows, "lang", ["h", "t"], per_language)
-    return sorted((r.lang, r.t) for r in rows.limit(per_language * MAX_LANGUAGES).collect())
+    rows = docs.where("lang is not null and text is not null").where(~held_out()).select("lang", F.xxhash64("text").alias("h"), "doc_id", "text")
+    ids = written(distinct_texts(rows, "lang", per_language), "language-sample")
+    most = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    ids = ids.join(F.broadcast(most.select("lang")), "lang")
+    texts = rows.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(ids.select("lang", "h")), ["lang", "h"])
+    return sorted((r.lang, r.t) for r in texts.dropDuplicates(["lang", "h"]).collect())
 
 
 def symbols(text: str) -> np.ndarray:

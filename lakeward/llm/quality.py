@@ -3,7 +3,7 @@
 1. Evidence: a logistic regression (numpy) on counts over the whole text
    (kinds of characters, word and line lengths, repetition), learnt from a
    bounded sample of labelled rows outside the held-out fold
-   (``PER_CLASS`` of each label).  Its probability is p.
+   (``PER_CLASS`` distinct texts of each label).  Its probability is p.
 2. Grouped sums (n, sum p, sum p^2) for each path, summed up for each host
    and for all.  Between-group variance by moments gives the weight
    kappa = m (1 - m) / variance - 1 of a group's prior, at either level.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import first_of_each, held_out, python_batches, table, written
+from lakeward.llm.common import distinct_texts, held_out, python_batches, table, written
 
 PER_CLASS = 2000
 MOST_KAPPA = 1e4
@@ -52,10 +52,9 @@ def features(text: str | None) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, int, int]]:
     """At most ``per_class`` (doc_id, text hash, quality) of each label, whatever the partitioning."""
-    known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality")
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality").distinct()
     rows = known.join(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")), "doc_id")
-    rows = first_of_each(rows, "quality", ["h", "doc_id"], per_class)
-    return [(r.doc_id, r.h, r.quality) for r in rows.limit(2 * per_class).collect()]
+    return [(r.doc_id, r.h, r.quality) for r in distinct_texts(rows, "quality", per_class).collect()]
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 60, l2: float = 1e-2) -> np.ndarray:
@@ -80,7 +79,7 @@ def evidence(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFr
     if len({q for _, _, q in sample}) == 2:
         wanted = F.broadcast(spark.createDataFrame(sample, "doc_id long, h long, quality int"))
         rows = (docs.select("doc_id", F.xxhash64("text").alias("h"), F.substring("text", 1, 32_768).alias("t"))
-                .join(wanted, ["doc_id", "h"]).select("doc_id", "quality", "t").limit(2 * len(sample)).collect())
+                .join(wanted, ["doc_id", "h"]).dropDuplicates(["quality", "h"]).select("doc_id", "quality", "t").collect())
         rows = sorted({(r.doc_id, r.quality, r.t) for r in rows})
         net = fit(np.array([features(t) for _, _, t in rows]), np.array([q for _, q, _ in rows], float))
     base = sum(q for _, _, q in sample) / len(sample) if sample else 0.5

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import first_of_each, held_out, python_batches, table, written
+from lakeward.llm.common import distinct_texts, held_out, python_batches, table, written
 from lakeward.llm.convnet import ConvNet, cut
 
 BUCKETS = 1 << 15
@@ -81,25 +81,25 @@ def known(labels: DataFrame) -> DataFrame:
     return labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "toxic").distinct()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str, str]]:
-    """At most ``per_class`` (toxic, text, lang) of each label, whatever the partitioning."""
-    text = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "lang",
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str]]:
+    """At most ``per_class`` (toxic, text) of each label, whatever the partitioning."""
+    text = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"),
                                                  F.substring("text", 1, SAMPLE_CHARS).alias("t"))
     # First the ids of the sample, then their texts: the shuffles carry no text but the sample's.
-    ids = first_of_each(known(labels).join(text.select("doc_id", "h"), "doc_id"), "toxic", ["h", "doc_id"], per_class)
-    picked = [(r.doc_id, r.h, r.toxic) for r in ids.limit(2 * per_class).collect()]
+    ids = distinct_texts(known(labels).join(text.select("doc_id", "h"), "doc_id"), "toxic", per_class)
+    picked = [(r.doc_id, r.h, r.toxic) for r in ids.collect()]
     if not picked:
         return []
     wanted = docs.sparkSession.createDataFrame(picked, "doc_id long, h long, toxic int")
-    rows = (text.join(F.broadcast(wanted), ["doc_id", "h"]).select("h", "toxic", "t", "lang").limit(4 * per_class).collect())
-    return sorted({(r.toxic, r.t, r.lang or "") for r in rows})
+    rows = text.join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select("toxic", "t").collect()
+    return sorted({(r.toxic, r.t) for r in rows})
 
 
-def train(sample: list[tuple[int, str, str]]) -> ConvNet | None:
-    y = np.array([t for t, _, _ in sample], np.int64)
+def train(sample: list[tuple[int, str]]) -> ConvNet | None:
+    y = np.array([t for t, _ in sample], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    docs = [symbols(t) for _, t, _ in sample]
+    docs = [symbols(t) for _, t in sample]
     df = np.zeros((2, BUCKETS))
     for s, t in zip(docs, y, strict=True):
         df[t, np.unique(s)] += 1

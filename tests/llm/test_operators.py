@@ -184,6 +184,22 @@ def test_toxicity_thresholds_count_all_labelled_rows(spark, monkeypatch):
     assert all(r.flagged == (r.score >= r.threshold) for r in got)
 
 
+def test_copies_take_one_place_of_a_sample(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, f"copy {k % 5}", "en") for k in range(400)] + [(400 + k, prose(rng, 9), "en") for k in range(60)]
+    rows += [(401, rows[401][1], "en")] * 300 + [(1000 + k, "yksi teksti", "fi") for k in range(2)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, 1, 1) for k in range(460)], "doc_id long, quality int, toxic int")
+    outside = {t for k, t, _ in rows if k < 1000 and zlib.crc32(str(k).encode()) % 5}
+    for part in (toxicity, quality):
+        found = part.labelled_sample(docs, labels, 200)
+        assert len(found) == len({x[1] for x in found}) == len(outside)
+    found = language.labelled_sample(docs, 30)
+    assert sum(x[0] == "en" for x in found) == len({x for x in found if x[0] == "en"}) == 30
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
+    assert {x[0] for x in language.labelled_sample(docs, 30)} == {"en"}
+
+
 def test_empty_tables(spark, corpus, labels):
     none, no_labels = corpus.limit(0), labels.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
