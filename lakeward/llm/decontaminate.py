@@ -44,30 +44,58 @@ def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def find_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW,
               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, th, n_words, i, len, wid): one pass over the documents.
+    """(doc_id, th, n_words, i, len, wid): the windows of the documents that are a benchmark's.
 
     Every occurrence of a window, at 1-based word i; and for every document
     row one row with i = 0 that carries the text's number of words.  th is
-    the text's hash.
+    the text's hash.  One pass over the documents while the windows can be
+    broadcast; beyond that see ``_shuffled_hits``.
     """
     grams = item_windows(items, n).select("wid", "gram").distinct()
     size, lengths = grams.agg(F.sum(F.length(F.array_join("gram", " ")) * 4 + 32 * F.size("gram")),
                               F.collect_set(F.size("gram"))).first()
+    if (size or 0) > broadcast_bytes:
+        return _shuffled_hits(docs, grams, sorted(lengths))
     # The document's own row passes the join by an entry that no window of words equals: the empty one.
     grams = grams.union(items.sparkSession.range(1).select(F.xxhash64(F.array()).alias("wid"),
                                                            F.array().cast("array<string>").alias("gram")))
-    if (size or 0) <= broadcast_bytes:
-        grams = F.broadcast(grams)
     each = F.array(*[F.lit(x) for x in [0, *sorted(lengths)]])
     tokens = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     windows = (tokens.select("doc_id", "th", "w", F.explode(each).alias("len")).where("size(w) >= len")
                .select("doc_id", "th", "w", "len", F.explode(F.expr(
                    "sequence(if(len = 0, 0, 1), if(len = 0, 0, size(w) - len + 1))")).alias("i"))
                .withColumn("g", F.expr("slice(w, greatest(i, 1), len)")).withColumn("wid", F.xxhash64("g")))
-    return (windows.join(grams, "wid").where("g = gram")
+    return (windows.join(F.broadcast(grams), "wid").where("g = gram")
             .select("doc_id", "th", F.size("w").cast("long").alias("n_words"), "i", "len", "wid"))
 
 
+def _shuffled_hits(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """``find_hits`` for windows too large to broadcast: no shuffled row holds a document's words.
+
+    The documents' windows go by their hash alone; what meets a benchmark's
+    hash comes back to its text (once for each document), and only those
+    windows are shuffled as words and verified.  The documents' own rows
+    stand beside.
+    """
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    own = tokens.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), F.lit(0).alias("i"), F.lit(0).alias("len"),
+                        F.xxhash64(F.array()).alias("wid"))
+    each = F.array(*[F.lit(x) for x in lengths])
+    hashed = (tokens.select("doc_id", "th", "w", F.explode(each).alias("len")).where("size(w) >= len")
+              .select("doc_id", "th", "w", "len", F.explode(F.expr("sequence(1, size(w) - len + 1)")).alias("i"))
+              .select("doc_id", "th", "i", "len", F.xxhash64(F.expr("slice(w, i, len)")).alias("wid")))
+    met = (hashed.join(grams.select("wid"), "wid", "left_semi").groupBy("doc_id", "th")
+           .agg(F.collect_set(F.struct("i", "len", "wid")).alias("met"))
+           .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "met"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    found = (texts.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+             .select("doc_id", "th", words(F.col("text")).alias("w"), "met")
+             .select("doc_id", "th", "w", F.explode("met").alias("m"))
+             .select("doc_id", "th", F.size("w").cast("long").alias("n_words"), "m.i", "m.len", "m.wid",
+                     F.expr("slice(w, m.i, m.len)").alias("g")))
+    return own.union(found.join(grams, "wid").where("g = gram").select("doc_id", "th", "n_words", "i", "len", "wid"))
+
+
 def covered(spans: Column) -> Column:
     """How many words sorted (i, len) spans cover."""
     return F.aggregate(

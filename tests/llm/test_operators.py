@@ -136,6 +136,30 @@ def test_decontamination(spark, corpus):
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_a_large_benchmark_is_joined_without_the_documents_words(spark, corpus):
+    rng = random.Random(17)
+    texts = [r.text for r in corpus.collect()]
+    items = spark.createDataFrame([(1, " ".join(texts[0].split()[5:40])), (2, "short one"), (None, prose(rng, 15)), (3, texts[10][900:1200])],
+                                  "item_id long, text string")
+    small = decontaminate.find_hits(corpus, items)
+    large = decontaminate.find_hits(corpus, items, broadcast_bytes=0)
+    rows = [sorted(map(tuple, x.distinct().collect()), key=str) for x in (small, large)]
+    assert rows[0] == rows[1] and sum(r[3] > 0 for r in rows[1]) > 40
+    own = [sorted(map(str, x.where("i = 0").collect())) for x in (small, large)]
+    assert own[0] == own[1] and len(own[1]) == corpus.count()
+
+    def sides(plan):
+        if plan.nodeName() == "Join":
+            yield plan.left()
+        for k in range(plan.children().length()):
+            yield from sides(plan.children().apply(k))
+
+    # No window row is shuffled with the words of its document: words are a window's own, in rows without a longer array.
+    for side in sides(large._jdf.queryExecution().optimizedPlan()):
+        names = [side.output().apply(k).name() for k in range(side.output().length())]
+        assert "w" not in names, names
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.1], 0), (4, [1.0, 0.0], 1), (5, [0.0, 0.0], 0), (6, None, 0),
             (7, [1.0, None], 0), (8, [1.0, float("nan")], 0), (9, [1.0, 0.0], None), (10, [0.0, 1.0], 0), (1, [1.0, 0.0], 0)]
