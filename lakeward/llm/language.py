@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network (numpy) over fixed-length windows.
 
 The network is trained on the driver on a bounded sample of labelled rows
-(``PER_LANGUAGE`` distinct texts of each language, ``SAMPLE_CHARS`` characters of
-each; of more than ``MAX_LANGUAGES`` languages those with the most texts in it, then by name) from outside the held-out fold; it is
+(``PER_LANGUAGE`` distinct texts of each language, ``SAMPLE_WINDOWS`` windows of
+each, picked by their hash over the whole text; of more than ``MAX_LANGUAGES`` languages those with the most texts in it, then by name) from outside the held-out fold; it is
 some KB and is broadcast.  Prediction reads the lower-cased bytes of each
 whole text as windows of ``WINDOW`` bytes; a document's probabilities are
 the windows' means, weighted by their bytes.
@@ -14,6 +14,7 @@ row; null ids count as held out; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,31 +28,43 @@ from lakeward.llm.convnet import ConvNet, cut
 
 WINDOW = 128
 PER_LANGUAGE = 400
-SAMPLE_CHARS = 1024
+SAMPLE_WINDOWS = 8
 MAX_LANGUAGES = 200
 #: A document whose best language is less likely than this has no identified language (``identified``).
 MIN_SCORE = 0.3
 
 
-def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` (lang, text start) of each language, the same rows whatever the partitioning."""
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, h, text) to (lang, h, windows): some windows of the whole text by their hash, as bytes."""
+    for batch in batches:
+        out = []
+        for text in batch.column(2).to_pylist():
+            full = {w.tobytes() for w in cut(symbols(text), WINDOW)}
+            out.append(b"".join(sorted(full, key=lambda w: (zlib.crc32(w), w))[:SAMPLE_WINDOWS]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["lang", "h", "windows"])
+
+
+def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
+    """At most ``per_language`` (lang, windows) of each language, the same rows whatever the partitioning."""
+    python_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").where(~held_out()).select("lang", F.xxhash64("text").alias("h"), "doc_id", "text")
     ids = written(distinct_texts(rows, "lang", per_language), "language-sample")
     most = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     ids = ids.join(F.broadcast(most.select("lang")), "lang")
-    texts = rows.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(ids.select("lang", "h")), ["lang", "h"])
-    return sorted((r.lang, r.t) for r in texts.dropDuplicates(["lang", "h"]).collect())
+    texts = rows.join(F.broadcast(ids.select("lang", "h", "doc_id")), ["lang", "h", "doc_id"]).dropDuplicates(["lang", "h"])
+    found = texts.select("lang", "h", "text").mapInArrow(_picked, "lang string, h long, windows binary").collect()
+    return [(r.lang, bytes(r.windows)) for r in sorted(found, key=lambda r: (r.lang, r.h))]
 
 
 def symbols(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)[:, None]
 
 
-def train(sample: list[tuple[str, str]]) -> tuple[ConvNet | None, list[str]]:
+def train(sample: list[tuple[str, bytes]]) -> tuple[ConvNet | None, list[str]]:
     languages = sorted({lang for lang, _ in sample})
     docs, labels = [], []
-    for lang, text in sample:
-        for window in cut(symbols(text), WINDOW):
+    for lang, windows in sample:
+        for window in np.frombuffer(windows, np.uint8).reshape(-1, WINDOW, 1):
             if np.count_nonzero(window) >= 16:
                 docs.append(window[None])
                 labels.append(languages.index(lang))

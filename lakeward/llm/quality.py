@@ -50,6 +50,13 @@ def features(text: str | None) -> np.ndarray:
                      len(set(lines)) / len(lines), math.log1p(n / len(lines)) / 5, float(not words)])
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, quality, text) to (h, quality, features)."""
+    for batch in batches:
+        x = [features(t).tolist() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64()))], ["h", "quality", "x"])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, int, int]]:
     """At most ``per_class`` (doc_id, text hash, quality) of each label, whatever the partitioning."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality").distinct()
@@ -78,10 +85,11 @@ def evidence(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFr
     net = None
     if len({q for _, _, q in sample}) == 2:
         wanted = F.broadcast(spark.createDataFrame(sample, "doc_id long, h long, quality int"))
-        rows = (docs.select("doc_id", F.xxhash64("text").alias("h"), F.substring("text", 1, 32_768).alias("t"))
-                .join(wanted, ["doc_id", "h"]).dropDuplicates(["quality", "h"]).select("doc_id", "quality", "t").collect())
-        rows = sorted({(r.doc_id, r.quality, r.t) for r in rows})
-        net = fit(np.array([features(t) for _, _, t in rows]), np.array([q for _, q, _ in rows], float))
+        # Features are counted on the executors, over whole texts as in scoring; a row comes here as a few numbers.
+        rows = (docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+                .join(wanted, ["doc_id", "h"]).dropDuplicates(["quality", "h"]).select("h", "quality", "text"))
+        rows = sorted((r.h, r.quality, r.x) for r in rows.mapInArrow(_featured, "h long, quality int, x array<double>").collect())
+        net = fit(np.array([x for _, _, x in rows]), np.array([q for _, q, _ in rows], float))
     base = sum(q for _, _, q in sample) / len(sample) if sample else 0.5
     shared = spark.sparkContext.broadcast((net, base))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -8,7 +8,9 @@ first dimension starts at the word's shrunken log-odds in the training
 rows (the rest at random), then everything is trained.
 
 Training rows are bounded: ``PER_CLASS`` distinct texts of each label from
-outside the held-out fold, ``SAMPLE_CHARS`` characters of each.  The net
+outside the held-out fold, each as the windows of its whole text; if these
+are more than ``SAMPLE_WINDOWS`` for a label, fewer texts, never a part of one
+(but ``MIN_TEXTS`` at least).  The net
 is some hundred KB and is broadcast.  Scores never see labels, lang, source
 or doc_id.  A threshold for each language is then set on the scores of all
 labelled rows outside the fold (``thresholds``; the training rows are among
@@ -38,7 +40,8 @@ BUCKETS = 1 << 15
 PREFIXES = (3, 4, 6)
 WINDOW = 128
 PER_CLASS = 2000
-SAMPLE_CHARS = 32_768
+SAMPLE_WINDOWS = 100_000
+MIN_TEXTS = 20
 PRECISION = 0.9
 MIN_TOXIC = 20
 BINS = 4096
@@ -81,28 +84,44 @@ def known(labels: DataFrame) -> DataFrame:
     return labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "toxic").distinct()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str]]:
-    """At most ``per_class`` (toxic, text) of each label, whatever the partitioning."""
-    text = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"),
-                                                 F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, toxic, text) to (h, toxic, n windows, the windows' ids as bytes)."""
+    for batch in batches:
+        found = [cut(symbols(t), WINDOW).astype("<u2") for t in batch.column(2).to_pylist()]
+        # The net takes maxima over windows: equal ones count once.
+        found = [np.unique(w, axis=0) for w in found]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(w) for w in found], pa.int64()),
+                                          pa.array([w.tobytes() for w in found], pa.binary())], ["h", "toxic", "n", "windows"])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, np.ndarray]]:
+    """At most ``per_class`` (toxic, windows of the whole text) of each label, whatever the partitioning."""
+    python_batches(docs.sparkSession)
+    text = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
     # First the ids of the sample, then their texts: the shuffles carry no text but the sample's.
     ids = distinct_texts(known(labels).join(text.select("doc_id", "h"), "doc_id"), "toxic", per_class)
     picked = [(r.doc_id, r.h, r.toxic) for r in ids.collect()]
     if not picked:
         return []
     wanted = docs.sparkSession.createDataFrame(picked, "doc_id long, h long, toxic int")
-    rows = text.join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select("toxic", "t").collect()
-    return sorted({(r.toxic, r.t) for r in rows})
+    rows = text.join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select("h", "toxic", "text")
+    rows = written(rows.mapInArrow(_windowed, "h long, toxic int, n long, windows binary"), "toxicity-sample")
+    ahead = Window.partitionBy("toxic").orderBy("h")
+    taken = (rows.select("h", "toxic", F.sum("n").over(ahead).alias("sum"), F.row_number().over(ahead).alias("place"))
+             .where((F.col("sum") <= SAMPLE_WINDOWS) | (F.col("place") <= MIN_TEXTS)).select("h", "toxic"))
+    rows = rows.join(F.broadcast(taken), ["h", "toxic"]).select("toxic", "h", "windows").collect()
+    shape = (-1, WINDOW, 1 + len(PREFIXES))
+    return [(r.toxic, np.frombuffer(r.windows, "<u2").reshape(shape)) for r in sorted(rows, key=lambda r: (r.toxic, r.h))]
 
 
-def train(sample: list[tuple[int, str]]) -> ConvNet | None:
+def train(sample: list[tuple[int, np.ndarray]]) -> ConvNet | None:
     y = np.array([t for t, _ in sample], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    docs = [symbols(t) for _, t in sample]
     df = np.zeros((2, BUCKETS))
-    for s, t in zip(docs, y, strict=True):
+    for (_, s), t in zip(sample, y, strict=True):
         df[t, np.unique(s)] += 1
+    df[:, 0] = 0
     n = np.bincount(y, minlength=2)
     odds = np.log((df[1] + 1) / (n[1] + 2)) - np.log((df[0] + 1) / (n[0] + 2))
     net = ConvNet(BUCKETS, 2, dim=8, widths=(1, 2, 3), filters=8)
@@ -110,7 +129,7 @@ def train(sample: list[tuple[int, str]]) -> ConvNet | None:
     net.p["emb"][:, 0] = odds / np.sqrt(1 / (df[1] + 1) + 1 / (df[0] + 1)) / 5
     net.p["emb"][0] = 0
     weights = (1 / n)[y] * np.where(y == 1, 0.5, 1.0)
-    return net.fit([cut(s, WINDOW) for s in docs], y, weights.astype(np.float32), epochs=8, batch=32, rate=0.005, decay=1e-3)
+    return net.fit([s for _, s in sample], y, weights.astype(np.float32), epochs=8, batch=32, rate=0.005, decay=1e-3)
 
 
 def score_texts(net: ConvNet | None, base: float, texts: list[str | None], chunk: int = 2048) -> np.ndarray:

@@ -217,13 +217,30 @@ def test_copies_take_one_place_of_a_sample(spark, monkeypatch):
     outside = {t for k, t, _ in rows if k < 1000 and zlib.crc32(str(k).encode()) % 5}
     for part in (toxicity, quality):
         found = part.labelled_sample(docs, labels, 200)
-        assert len(found) == len({x[1] for x in found}) == len(outside)
+        assert len(found) == len({x[1] if part is quality else x[1].tobytes() for x in found}) == len(outside)
     found = language.labelled_sample(docs, 30)
     assert sum(x[0] == "en" for x in found) == len({x for x in found if x[0] == "en"}) == 30
     monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
     assert {x[0] for x in language.labelled_sample(docs, 30)} == {"en"}
 
 
+def test_training_sees_whole_texts(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(k, prose(rng, 6000) + (" wretchedly" * (k % 2)), "en") for k in range(30)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(30)], "doc_id long, quality int, toxic int")
+    outside = sorted(k for k, _, _ in rows if zlib.crc32(str(k).encode()) % 5)
+    found = toxicity.labelled_sample(docs, labels)
+    word = toxicity.symbols("wretchedly")[0].astype("<u2")
+    assert [any((w == word).all(axis=2).any() for w in windows[None]) for _, windows in found] == [bool(t) for t, _ in found]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(sorted(x.tolist())) or [0.0] * 14)
+    quality.evidence(docs, labels, "source", "lang")
+    assert seen == [sorted(quality.features(rows[k][1]).tolist() for k in outside)]
+    late = [(k, "x" * 2000 + "y" * 40_000, "en") for k in range(3, 4)]
+    assert any(b"y" * 128 in w for _, w in language.labelled_sample(documents(spark, late)))
+
+
 def test_empty_tables(spark, corpus, labels):
     none, no_labels = corpus.limit(0), labels.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
