@@ -85,6 +85,12 @@ def test_block_comparison_equals_brute_force():
     assert jaccard.recall(0.8) > 0.999 and jaccard.plan_bands(0.8, 0.99)[0] <= 16
 
 
+def test_words_of_one_crc_are_different_words():
+    assert not set(jaccard.shingles("plumless").tolist()) & set(jaccard.shingles("buckeroo").tolist())
+    assert jaccard.digest(jaccard.shingles("a plumless day")) != jaccard.digest(jaccard.shingles("a buckeroo day"))
+    assert not set(jaccard.shingles("one two", lane=1).tolist()) & set(jaccard.shingles("one two").tolist())
+
+
 def test_codes_drop_no_close_pair():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 64))

@@ -48,6 +48,16 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert kept[0].asDict().keys() == set(corpus.columns)
 
 
+def test_different_sets_of_one_hash_are_no_copies(spark):
+    signed = spark.createDataFrame([(1, 5, 7, 10, [1]), (2, 6, 7, 10, [1]), (3, 7, 7, 11, [1]), (4, 8, 7, 12, [1]), (5, 9, 8, 10, [1]),
+                                    (6, 9, None, None, None)], "doc_id long, th long, cls long, proof long, bands array<long>")
+    cls = {r.doc_id: r.cls for r in jaccard.told_apart(signed).collect()}
+    assert cls[1] == cls[2] == 7 and len({cls[k] for k in (1, 3, 4, 5)}) == 4 and cls[6] is None
+    docs = documents(spark, [(1, "plumless", "en"), (2, "buckeroo", "en"), (3, "Plumless!", "en")])
+    assert {r.doc_id: r.class_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [1, 2]
+
+
 def test_lines_keep_one_of_each_group(spark):
     rng = random.Random(9)
     line = prose(rng, 60)
