@@ -8,8 +8,8 @@ over batches of lines.  Its tokens are runs of letters, runs of digits and
 single signs; features are the shapes of the token and of two neighbours on
 either side, nothing of the words themselves.  A CRF span counts if it
 holds an @ (email) or as many digits as the kind has, and no letter or digit
-touches it; so lines without a digit or an @ cannot have one and are not
-decoded.  CRF spans
+touches it; so lines without an @ or a digit of any script cannot have one
+and are not decoded.  CRF spans
 that touch a base span are dropped.
 
 Offsets are code points, end exclusive.  Defined results: a null or empty
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,6 +141,8 @@ http://example.com/en/7817?page=2
 """.strip().splitlines()
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+#: What a line needs for a CRF span: an @, or anything that str.isdigit takes (more than \d, as the span check does).
+_MAYBE = re.compile("[@" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit()) + "]").search
 _SIGNS = "@+-.()/:,_"
 _LENGTHS = ("1", "2", "3", "4", "5", "6", "9", "z")
 SHAPES = ["pad"] + [a + b for a in (
@@ -285,7 +288,7 @@ def crf_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     for k, text in enumerate(texts):
         at = 0
         for line in text.split("\n"):
-            if re.search(r"[0-9@]", line):
+            if _MAYBE(line):
                 found = tokens(line)
                 lines.append(np.array([x for _, _, x in found]))
                 places.append((k, at, found))

@@ -85,6 +85,14 @@ def test_block_comparison_equals_brute_force():
     assert jaccard.recall(0.8) > 0.999 and jaccard.plan_bands(0.8, 0.99)[0] <= 16
 
 
+def test_crf_reads_lines_with_digits_of_any_script():
+    crf = pii.Crf().fit(pii.training_rows())
+    line = "please call 555-321-7654 soon"
+    for zero in (0x660, 0xFF10, 0x966):
+        other = "".join(chr(zero + int(c)) if c.isdigit() else c for c in line)
+        assert pii.crf_spans(crf, [other, "no digits here"]) == pii.crf_spans(crf, [line, ""]) == [[("phone", 12, 24)], []]
+
+
 def test_words_of_one_crc_are_different_words():
     assert not set(jaccard.shingles("plumless").tolist()) & set(jaccard.shingles("buckeroo").tolist())
     assert jaccard.digest(jaccard.shingles("a plumless day")) != jaccard.digest(jaccard.shingles("a buckeroo day"))
