@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,8 +140,7 @@ http://example.com/en/7817?page=2
 """.strip().splitlines()
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-#: What a line needs for a CRF span: an @, or anything that str.isdigit takes (more than \d, as the span check does).
-_MAYBE = re.compile("[@" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit()) + "]").search
+_DECIMAL = re.compile(r"[\d@]").search
 _SIGNS = "@+-.()/:,_"
 _LENGTHS = ("1", "2", "3", "4", "5", "6", "9", "z")
 SHAPES = ["pad"] + [a + b for a in (
@@ -288,7 +286,7 @@ def crf_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     for k, text in enumerate(texts):
         at = 0
         for line in text.split("\n"):
-            if _MAYBE(line):
+            if _DECIMAL(line) or not line.isascii() and any(map(str.isdigit, set(line))):
                 found = tokens(line)
                 lines.append(np.array([x for _, _, x in found]))
                 places.append((k, at, found))
