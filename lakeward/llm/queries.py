@@ -12,6 +12,7 @@ from lakeward.llm import (
     quality,
     tokencount,
     toxicity,
+    trie,
     vectors,
 )
 
@@ -26,8 +27,10 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_benchmark_decontamination": decontaminate.op9,
     "op10_byte_bpe": bpe.op10,
+    "op13_prefix_trie": trie.op13,
 }
 
 ORACLE = {
     "op9_benchmark_decontamination": decontaminate.OP9_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }
