@@ -13,6 +13,7 @@ from lakeward.llm import (
     tokencount,
     toxicity,
     trie,
+    urls,
     vectors,
 )
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_benchmark_decontamination": decontaminate.op9,
     "op10_byte_bpe": bpe.op10,
+    "op12_url_filter": urls.op12,
     "op13_prefix_trie": trie.op13,
 }
 
