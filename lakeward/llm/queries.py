@@ -8,6 +8,7 @@ from lakeward.llm import (
     jaccard,
     language,
     linededup,
+    phrases,
     pii,
     quality,
     tokencount,
@@ -28,11 +29,13 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_benchmark_decontamination": decontaminate.op9,
     "op10_byte_bpe": bpe.op10,
+    "op11_phrase_collocations": phrases.op11,
     "op12_url_filter": urls.op12,
     "op13_prefix_trie": trie.op13,
 }
 
 ORACLE = {
     "op9_benchmark_decontamination": decontaminate.OP9_SQL,
+    "op11_phrase_collocations": phrases.OP11_SQL,
     "op13_prefix_trie": trie.OP13_SQL,
 }
