@@ -39,21 +39,42 @@ class Automaton:
         return cls(alphabet, *_sums(ids[:-1].reshape(-1, N).astype(np.int32), np.asarray(weights, np.int64), len(alphabet), how))
 
     @classmethod
-    def count(cls, words: np.ndarray, alphabet: np.ndarray, skip: int = 0) -> Automaton:
-        """Counts of all n-grams of a sequence of places in ``alphabet`` (fewer than PACKED); 0 is a break.
+    def count(cls, words: np.ndarray, alphabet: np.ndarray, length: int, skip: int = 0, heavy: Automaton | None = None) -> Automaton:
+        """Counts of all n-grams of one length in a sequence of places in ``alphabet`` (fewer than PACKED); 0 is a break.
 
-        Only n-grams that end after the first ``skip`` places are counted.
+        n-grams that end in the first ``skip`` (at most two) places are there,
+        but count nothing.  With ``heavy`` only those whose words, and for three words both
+        pairs, are among its paths.
         """
-        w = words.astype(np.int64)
-        one, two, three = w[skip:], w[max(skip, 1):], w[max(skip, 2):]
-        before, first = w[max(skip, 1) - 1:-1] if len(w) > 1 else w[:0], w[max(skip, 2) - 2:-2] if len(w) > 2 else w[:0]
-        middle = w[max(skip, 2) - 1:-1] if len(w) > 2 else w[:0]
-        two, three = two[:len(before)], three[:len(first)]
-        pairs = (two > 0) & (before > 0)
-        triples = (three > 0) & (middle > 0) & (first > 0)
-        keys = np.concatenate([one[one > 0] << 42, (before[pairs] << 42) | (two[pairs] << 21),
-                               (first[triples] << 42) | (middle[triples] << 21) | three[triples]])
+        w = np.asarray(words, np.int64)
+        known = np.zeros(len(alphabet), bool)
+        if heavy is not None:
+            known[np.searchsorted(alphabet, heavy.grams[heavy.ids[:, 1] == 0, 0])] = True
+            w = np.where(known[w], w, 0)
+        if length == 1:
+            counts = np.bincount(w, minlength=len(alphabet))
+            counts[0] = 0
+            places = np.flatnonzero(counts)
+            np.subtract.at(counts, w[:skip], 1)
+            ids = np.zeros((len(places), N), np.int32)
+            ids[:, 0] = places
+            return cls(alphabet, ids, counts[places].astype(np.int64))
+        # pair[i] is of the words i and i + 1.
+        pair = (w[:-1] << 21) | w[1:]
+        full = (w[:-1] > 0) & (w[1:] > 0)
+        if length == 2:
+            keys = pair[full] << 21
+        else:
+            if heavy is not None:
+                two = heavy.grams[heavy.ids[:, 1] > 0]
+                sure = np.sort((np.searchsorted(alphabet, two[:, 0]) << 21) | np.searchsorted(alphabet, two[:, 1]))
+                at = np.searchsorted(sure, pair)
+                full &= np.append(sure, -1)[at] == pair
+            ends = full[:-1] & full[1:]
+            keys = (pair[:-1][ends] << 21) | w[2:][ends]
         keys, counts = np.unique(keys, return_counts=True)
+        if length == 2 and skip == 2 and len(full) and full[0]:
+            counts[np.searchsorted(keys, pair[0] << 21)] -= 1
         return cls(alphabet, _unpack(keys), counts.astype(np.int64))
 
     @classmethod

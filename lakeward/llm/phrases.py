@@ -1,25 +1,28 @@
 """Collocations of two or three words by weighted acyclic automata of n-gram counts.
 
 1. Shards: a task reads whole texts until it has about ``TOKENS`` words and
-   builds a count automaton of their 1- to 3-grams (``automata``); pieces of
-   a text are kept apart by breaks, and a text longer than a shard goes on
-   in the next one with its last two words as context.  Words are 64-bit
-   codes of (language, word), so one automaton serves all languages.
-   Two words with one code are looked for among all words; if there are
-   any, all is done again with another salt.
-2. Union: the n-grams are dealt into prefix ranges, whose bounds are
-   quantiles of n-grams sampled from the shards (they only balance the
-   work; a prefix that holds a third of all n-grams spans several ranges).
-   Each shard is cut at the bounds, and a task unites a range's pieces,
-   summing weights.  Only then are n-grams below ``MIN`` left out: a
-   phrase's parts occur at least as often as the phrase.
-3. Composition: a range asks the ranges of its phrases' parts, by an
-   automaton of the parts; there it is composed with the counts.  A part
-   asked for by many is asked once a range.  The parts' automaton carries
-   the largest count of the longer phrase that asks, so a phrase that a
-   longer one covers is found in the same step.
+   writes them as a sequence of places in its sorted alphabet.  Pieces of a
+   text are kept apart by breaks, and a text longer than a shard goes on in
+   the next one with its last two words as context.  Words are 64-bit codes
+   of (language, word), so one automaton serves all languages.
+2. Union, level by level (one word, two, three): each shard's sorted n-grams
+   make a count automaton, which is cut into prefix ranges; a task unites a
+   range's pieces, summing weights.  The bounds are quantiles of n-grams
+   shown by the shards and only balance the work: a prefix that holds a
+   third of all n-grams spans several ranges.  Paths below ``MIN`` are left
+   out after the union, and each shard is told which of its n-grams stayed;
+   at the next level it counts only n-grams all of whose parts did (a phrase
+   occurs no more often than its parts), so nothing is lost.
+3. Composition: the automata of all levels are united by prefix range.  A
+   range asks the ranges of its phrases' parts, by an automaton of the
+   parts; there it is composed with the counts.  A part asked for by many is
+   asked once a range.  The parts' automaton carries the largest count of
+   the longer phrase that asks, so a phrase that a longer one covers is
+   found in the same step.
 4. Scores are exact (Python integers), and the first ``TOP`` phrases of each
-   language are ranked from the best of its shares.
+   language are ranked from the best of its shares.  The words of all found
+   phrases are looked up in the shards; if two words share a code there, all
+   is done again with another salt.
 
 Defined results: a null text is empty, a null language ``und``; a phrase
 cut in several ways is scored by its lowest cut, the shortest first part in
@@ -31,24 +34,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.automata import Automaton
+from lakeward.llm.automata import Automaton, N
 from lakeward.llm.common import first_of_each, python_batches, table, written
 
 MIN = 10
 COVER = 50
 TOP = 2000
-TOKENS = 1_000_000
+TOKENS = 500_000
 #: Bytes of a text that are split into words at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: n-grams of a prefix range, before equal ones of several shards are united.
-RANGE = 2_000_000
+RANGE = 1_000_000
 #: n-grams that a shard shows for the ranges' bounds, and about how many shards are looked at.
 SHOWN, SHARDS = 64, 1024
 
@@ -126,13 +131,19 @@ class Shard:
 
     def row(self) -> dict:
         codes = np.array([0] + [_code(lang, word, self.salt) for lang, word in self.words[1:]], np.uint64)
-        # Codes that meet are one place here; the check of all words finds them.
+        # Codes that meet are one place here; the check of the found words sees them.
         alphabet, place = np.unique(codes, return_inverse=True)
         sequence = place[np.concatenate([p for p in self.parts if len(p)] or [np.zeros(0, np.int32)])]
-        grams = Automaton.count(sequence, alphabet, self.skip)
-        shown = grams.grams[:: max(1, len(grams) // SHOWN)]
-        return {"blob": grams.to_bytes(), "n_grams": len(grams), "shown": shown.tobytes(), "counts": self.counts,
-                "codes": codes[1:].astype(np.int64), "words": self.words[1:]}
+        return {"sequence": _packed(sequence.astype("<u4")), "alphabet": _packed(alphabet), "skip": self.skip,
+                "counts": self.counts, "codes": codes[1:].astype(np.int64), "words": self.words[1:]}
+
+
+def _packed(a: np.ndarray) -> bytes:
+    return (a.nbytes).to_bytes(8, "little") + pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+
+
+def _loose(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
 _codes: dict[tuple[str, bytes, int], int] = {}
@@ -146,32 +157,33 @@ def _code(lang: str, word: bytes, salt: int) -> int:
         head = f"{salt}|{lang}|".encode("utf-8", "replace")
         code = int.from_bytes(blake2b(head + word, digest_size=8).digest(), "little") or 1
         if len(word) <= 64:
-            if len(_codes) > 300_000:
+            if len(_codes) > 100_000:
                 _codes.clear()
             _codes[key] = code
     return code
 
 
-_SHARD = ("blob binary, n_grams long, shown binary, langs array<string>, counts array<long>, "
+_SHARD = ("shard long, sequence binary, alphabet binary, skip int, langs array<string>, counts array<long>, "
           "words array<struct<code:long,lang:string,word:string>>")
 
 
 def shards(docs: DataFrame, salt: int = 0, tokens: int = TOKENS, size: int = SLICE) -> DataFrame:
-    """Count automata of all texts of ``docs`` (text, lang): one row for about ``tokens`` words of a task."""
+    """The words of all texts of ``docs`` (text, lang): one row for about ``tokens`` words of a task."""
     python_batches(docs.sparkSession)
 
-    def batch_of(row: dict) -> pa.RecordBatch:
+    def batch_of(number: int, row: dict) -> pa.RecordBatch:
         fields = [pa.array(row["codes"], pa.int64()), pa.array([x for x, _ in row["words"]], pa.string()),
                   pa.array([w for _, w in row["words"]], pa.binary()).cast(pa.string())]
         words = pa.StructArray.from_arrays(fields, ["code", "lang", "word"])
-        offsets = pa.array([0, len(words)], pa.int32())
         return pa.RecordBatch.from_arrays(
-            [pa.array([row["blob"]], pa.binary()), pa.array([row["n_grams"]], pa.int64()), pa.array([row["shown"]], pa.binary()),
+            [pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()), pa.array([row["sequence"]], pa.binary()),
+             pa.array([row["alphabet"]], pa.binary()), pa.array([row["skip"]], pa.int32()),
              pa.array([list(row["counts"])], pa.list_(pa.string())), pa.array([list(row["counts"].values())], pa.list_(pa.int64())),
-             pa.ListArray.from_arrays(offsets, words)], ["blob", "n_grams", "shown", "langs", "counts", "words"])
+             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
+            ["shard", "sequence", "alphabet", "skip", "langs", "counts", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(salt)
+        shard, number = Shard(salt), 0
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 lang = lang.as_py()
@@ -179,19 +191,19 @@ def shards(docs: DataFrame, salt: int = 0, tokens: int = TOKENS, size: int = SLI
                     shard.add(lang, part)
                     if shard.size >= tokens:
                         context = shard.context()
-                        yield batch_of(shard.row())
-                        shard = Shard(salt)
+                        yield batch_of(number, shard.row())
+                        shard, number = Shard(salt), number + 1
                         shard.begin(lang, context)
                 shard.end_text()
         if shard.counts:
-            yield batch_of(shard.row())
+            yield batch_of(number, shard.row())
 
     return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"),
                        F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, _SHARD)
 
 
 def bounds(shards_: DataFrame, per_range: int = RANGE) -> np.ndarray:
-    """Sorted n-grams that cut all of the shards' n-grams into about equal prefix ranges."""
+    """Sorted n-grams that cut all n-grams of the automata (n_grams, shown) into about equal prefix ranges."""
     total, n = shards_.agg(F.sum("n_grams"), F.count("*")).first()
     ranges = math.ceil((total or 0) / per_range)
     if ranges < 2:
@@ -214,7 +226,7 @@ def bounds(shards_: DataFrame, per_range: int = RANGE) -> np.ndarray:
 
 def _by_range(rows: DataFrame, key: str, then: list[str], close, schema: str) -> DataFrame:
     """``close(range, iterator of its rows)`` for every range, its rows in the order of ``then``; it yields result rows."""
-    types = {"range": pa.int32(), "whence": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
+    types = {"range": pa.int32(), "whence": pa.int32(), "kind": pa.int32(), "blob": pa.binary(), "shown": pa.binary()}
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,26 +253,97 @@ def _by_range(rows: DataFrame, key: str, then: list[str], close, schema: str) ->
     return rows.repartition(key).sortWithinPartitions(key, *then).mapInArrow(run, schema)
 
 
-def united(shards_: DataFrame, splits: np.ndarray, least: int = MIN) -> DataFrame:
-    """(range, blob): the automaton of each prefix range, of n-grams that occur at least ``least`` times."""
+def level(rows: DataFrame, length: int, stayed: DataFrame | None, least: int, per_range: int) -> DataFrame:
+    """The n-grams of one length that occur at least ``least`` times, united by prefix range.
+
+    Rows (shard, blob, n_grams, shown): a range's automaton (shard is null),
+    and for every shard the paths of its own that are in it.  ``stayed`` has
+    such paths (shard, blob) of the levels before.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, sequence, alphabet, skip, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                heavy = Automaton.union([Automaton.from_bytes(b) for b in known]) if length > 1 else None
+                grams = Automaton.count(_loose(sequence, "<u4"), _loose(alphabet, "<u8"), length, skip, heavy)
+                if len(grams):
+                    yield _blobs([(shard, grams)])
+
+    rows = rows.select("shard", "sequence", "alphabet", "skip")
+    if stayed is None:
+        rows = rows.withColumn("known", F.array().cast("array<binary>"))
+    else:
+        known = stayed.groupBy(F.col("shard").alias("_s")).agg(F.collect_list("blob").alias("known"))
+        rows = rows.join(known, F.col("shard") == F.col("_s")).drop("_s")
+    counted = written(rows.mapInArrow(count, _BLOBS), f"phrases-counts-{length}")
+    splits = bounds(counted, per_range)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pieces = _pieces(Automaton.from_bytes(blob), splits)
+                yield pa.RecordBatch.from_arrays([pieces.column(0), pa.array([shard] * len(pieces), pa.int64()), pieces.column(1)],
+                                                 ["range", "shard", "blob"])
+
+    def close(number, rows):
+        kept: list[tuple[int, bytes]] = []
+
+        def blobs():
+            for _, shard, blob in rows:
+                kept.append((shard, blob))
+                yield blob
+
+        whole = _sum(blobs(), least)
+        if not len(whole):
+            return
+        yield _columns([(None, whole)])
+        if length == N:
+            return
+        for shard, blob in kept:
+            part = Automaton.from_bytes(blob)
+            part = part.take(whole.compose(part.grams) > 0)
+            if len(part):
+                yield _columns([(shard, part)])
+
+    pieces = counted.select("shard", "blob").mapInArrow(cut, "range int, shard long, blob binary")
+    return written(_by_range(pieces, "range", [], close, _BLOBS), f"phrases-level-{length}")
+
+
+_BLOBS = "shard long, blob binary, n_grams long, shown binary"
+
+
+def _columns(found: list[tuple[int | None, Automaton]]) -> list[tuple]:
+    return [(shard, a.to_bytes(), len(a), a.grams[:: max(1, len(a) // SHOWN)].tobytes()) for shard, a in found]
+
+
+def _blobs(found: list[tuple[int | None, Automaton]]) -> pa.RecordBatch:
+    shard, blob, n, shown = zip(*_columns(found), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(blob, pa.binary()), pa.array(n, pa.int64()),
+                                       pa.array(shown, pa.binary())], ["shard", "blob", "n_grams", "shown"])
+
+
+def _sum(blobs: Iterator[bytes], least: int) -> Automaton:
+    """The union of automata, of the paths that weigh ``least`` in all; they are taken in as they come."""
+    whole, more, size = Automaton.empty(), [], 0
+    for blob in blobs:
+        more.append(Automaton.from_bytes(blob))
+        size += len(more[-1])
+        if size > max(RANGE // 4, len(whole)):
+            whole, more, size = Automaton.union([whole, *more]), [], 0
+    whole = Automaton.union([whole, *more])
+    return whole.take(whole.weights >= least)
+
+
+def united(rows: DataFrame, splits: np.ndarray) -> DataFrame:
+    """(range, blob): the automaton of each prefix range, of all automata of ``rows`` (blob)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 yield _pieces(Automaton.from_bytes(blob), splits)
 
     def close(number, rows):
-        whole, more, size = Automaton.empty(), [], 0
-        for _, blob in rows:
-            more.append(Automaton.from_bytes(blob))
-            size += len(more[-1])
-            if size > max(RANGE, len(whole)):
-                whole, more, size = Automaton.union([whole, *more]), [], 0
-        whole = Automaton.union([whole, *more])
-        whole = whole.take(whole.weights >= least)
-        if len(whole):
-            yield [(number, whole.to_bytes())]
-
-    pieces = shards_.select("blob").mapInArrow(cut, "range int, blob binary")
+        yield [(number, _sum((blob for _, blob in rows), 1).to_bytes())]
+
+    pieces = rows.select("blob").mapInArrow(cut, "range int, blob binary")
     return _by_range(pieces, "range", [], close, "range int, blob binary")
 
 
@@ -352,17 +435,21 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN, cover: int =
     salt = 0
     while True:
         rows = written(shards(docs, salt, tokens, size), "phrases-shards")
-        word = F.struct("e.lang", "e.word")
-        words = written(rows.select(F.explode("words").alias("e")).groupBy("e.code").agg(
+        levels: list[DataFrame] = []
+        for length in range(1, N + 1):
+            stayed = [x.where("shard is not null").select("shard", "blob") for x in levels]
+            levels.append(level(rows, length, reduce(DataFrame.union, stayed) if stayed else None, least, per_range))
+        heavy = reduce(DataFrame.union, [x.where("shard is null") for x in levels])
+        splits = bounds(heavy, per_range)
+        found = written(scored(written(united(heavy, splits), "phrases-ranges"), splits, cover), "phrases-scored")
+        used = found.select(F.explode(F.array("c1", "c2", "c3")).alias("code")).distinct()
+        word = F.struct("lang", "word")
+        words = written(rows.select(F.inline("words")).join(used, "code", "left_semi").groupBy("code").agg(
             F.min(word).alias("w"), F.max(word).alias("other")), "phrases-words")
         if words.where("w <> other").isEmpty():
             break
         salt += 1
-    splits = bounds(rows, per_range)
-    ranges = written(united(rows, splits, least), "phrases-ranges")
-    found = written(scored(ranges, splits, cover), "phrases-scored")
-    used = found.select(F.explode(F.array("c1", "c2", "c3")).alias("code")).distinct()
-    words = written(words.join(used, "code", "left_semi").select("code", "w.lang", "w.word"), "phrases-used")
+    words = words.select("code", "w.lang", "w.word")
     for k in (1, 2, 3):
         theirs = words.select(F.col("code").alias("_c"), F.col("word").alias(f"w{k}"), *(["lang"] if k == 1 else []))
         found = found.join(theirs, F.col(f"c{k}") == F.col("_c"), "left").drop("_c")
