@@ -6,8 +6,11 @@ Library code never creates a session on its own: it takes the caller's.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -77,16 +80,72 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or configured
 
 
-def materialize(df, label: str):
-    """Cut ``df``'s lineage by writing it once as a parquet table in a new folder
-    under the shared checkpoint folder, and read it back.
+_scopes = threading.local()
+
+
+def scratch_database(spark: SparkSession) -> str:
+    """The database of written intermediates; its tables lie under the shared checkpoint folder."""
+    root = checkpoint_dir(spark).rstrip("/")
+    name = "lakeward_" + hashlib.md5(root.encode()).hexdigest()[:12]
+    if not spark.catalog.databaseExists(name):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{root}/lakeward-tables'")
+    return name
+
+
+def materialize(df, label: str, bucket: str | None = None):
+    """Cut ``df``'s lineage by writing it once as a table under the shared checkpoint folder, and read it back.
 
     The plan runs once (an eager ``checkpoint()`` of an unpersisted frame
     runs it twice); the files live on shared storage, so a lost executor
-    does not lose them.  Each call takes a fresh folder: nothing that may be
-    read is overwritten.
+    does not lose them.  Each call makes a fresh table, in buckets of
+    ``bucket`` if named; ``scratch`` drops it when it is no longer needed.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/lakeward-tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    name = f"{scratch_database(spark)}.{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write
+    if bucket is not None:
+        writer = writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket)
+    writer.saveAsTable(name)
+    out = spark.table(name)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append((out, name))
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Own the tables that ``materialize`` writes within: they are dropped at the end, with their files.
+
+    Yields ``keep``: a table given to it (as ``materialize`` returned it)
+    passes to the scope around, or stays if there is none.  An error drops
+    all of them.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    mine, kept = [], []
+    _scopes.open.append(mine)
+
+    def keep(df):
+        kept.append(df)
+        return df
+
+    done = False
+    try:
+        yield keep
+        done = True
+    finally:
+        _scopes.open.pop()
+        for df, name in mine:
+            if done and any(df is k for k in kept):
+                if _scopes.open:
+                    _scopes.open[-1].append((df, name))
+            else:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def discard(df) -> None:
+    """Drop a table of the innermost scope before its end."""
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        for entry in [e for e in scope if e[0] is df]:
+            scope.remove(entry)
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {entry[1]}")
