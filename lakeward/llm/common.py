@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeward.session import materialize
+from lakeward.session import discard, materialize, scratch
 
 #: Rows per Arrow batch: a batch of long texts stays at some MB in a Python worker.
 ARROW_ROWS = 256
@@ -57,15 +58,21 @@ def distinct_texts(rows: DataFrame, group: str, n: int) -> DataFrame:
     return first_of_each(rows.groupBy(group, "h").agg(F.min("doc_id").alias("doc_id")), group, ["h"], n)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once under the shared checkpoint folder and read back (survives lost executors).
+def written(df: DataFrame, label: str, bucket: str | None = None) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back (survives lost executors)."""
+    return materialize(df, label, bucket)
 
-    The driver then collects its garbage, upon which Spark drops the shuffle
-    files of the finished plan: long jobs hold the disk of one step, not of all.
+
+@contextlib.contextmanager
+def step(spark: SparkSession):
+    """A ``scratch`` scope for a step of an operator: at its end all it wrote is dropped but what it keeps.
+
+    Then the driver collects its garbage, upon which Spark drops the shuffle
+    files of the finished plans.
     """
-    out = materialize(df, label)
-    free_shuffles(df.sparkSession)
-    return out
+    with scratch(spark) as keep:
+        yield keep
+    free_shuffles(spark)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -94,22 +101,25 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     Only a count and a checksum come to the driver.  Isolated nodes and
     self-links are absent; an empty table gives an empty result.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges = written(edges, f"{label}-edges")
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _min_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = _min_neighbour(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            small.select("u", F.col("m").alias("v")))
-        files = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(now[0] / LINKS_PER_FILE))
-        edges = written(small.where("u <> v").distinct().coalesce(files), f"{label}-edges")
+    with step(edges.sparkSession) as keep:
+        edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+        edges = written(edges, f"{label}-edges")
+        mark = None
+        while True:
+            now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if now == mark or now[0] == 0:
+                break
+            mark = now
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = _min_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.where("u <> v").distinct()
+            small = _min_neighbour(large)
+            small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+                small.select("u", F.col("m").alias("v")))
+            files = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(now[0] / LINKS_PER_FILE))
+            last, edges = edges, written(small.where("u <> v").distinct().coalesce(files), f"{label}-edges")
+            discard(last)
+        keep(edges)
     # Stars: every node but the roots is the u of one row.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

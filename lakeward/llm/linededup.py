@@ -10,19 +10,24 @@ similarity of their shingle sets is at least ``SIMILARITY``.
    value is the minimum of hash XOR a constant; ``BANDS`` bands of ``ROWS``
    values.
 3. Lines that share a band meet in a bucket.  Every member is compared with
-   the bucket's pivot (its smallest line) on the full shingle sets; those
-   that are like it are settled.  The others go on among themselves, with
-   two pivots, then four, and so on, until none is left.  So rows grow with
-   members x clusters of a bucket, never with all pairs, and the rounds with
-   the clusters' logarithm.
-4. What the rounds leave open: pairs of a bucket whose lines are in different
-   components so far, one of them settled before it met the other.  Buckets
-   that have such pairs are dealt into blocks of about ``BLOCK`` lines, one task row per
-   pair of blocks, which compares them on the full shingle sets (in the
-   first band they share) and gives out the linked components, never the pairs.
-5. Verified links give components (distributed union-find); of each
-   component one line stays, the one with the first place by (doc_id, text
-   hash, line number), null ids last.
+   the bucket's smallest line on the full shingle sets; the links found give
+   components (distributed union-find).
+4. Buckets whose lines are in several components go on: members of the
+   bucket's largest component (its main one) and the rest are dealt into
+   blocks of about ``BLOCK`` lines or ``BLOCK_CHARS`` characters.  A task row
+   holds two blocks, of the rest or of the rest and the main component, and
+   compares every pair of lines of different components, in the first band
+   that they share, on the full shingle sets.  It gives out which components
+   are linked, never pairs of lines.  So a large group of near copies costs
+   its size; only lines unlike each other that still share a bucket are
+   compared pair by pair.
+5. Verified links give components; of each one line stays, the one with the
+   first place by (doc_id, text hash, line number), null ids last.
+
+Two tests spare most sets: sizes that differ too much; and the words of a
+bitmap of ``WORDS`` x 64 bits a line, whose common bits bound the common
+shingles from above.  Both are exact.  Lines of one 64-bit hash are told
+apart by a second one, so that only equal lines are one.
 
 Recall is that of the banding (0.997 at 0.8): every pair that shares a band
 is compared, unless its lines are in one component already.
@@ -36,18 +41,18 @@ columns come back unchanged.
 from __future__ import annotations
 
 import random
-import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import components, document_key, free_shuffles, table, written
-from lakeward.session import checkpoint_dir
+from lakeward.llm.common import components, document_key, step, table, written
 
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
-BLOCK = 64
+BLOCK = 128
+BLOCK_CHARS = 1 << 20
+WORDS = 16
 
 
 def _constants(count: int) -> list[int]:
@@ -55,120 +60,161 @@ def _constants(count: int) -> list[int]:
     return [rng.getrandbits(64) - 2 ** 63 for _ in range(count)]
 
 
+def _points(line: Column) -> Column:
+    """The characters of a line, four bytes each, so that a shingle is cut out without a walk."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(points: Column) -> Column:
+    """The shingles' first characters, from 0; a line shorter than a shingle has one."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(points) / 4).cast("int") - SHINGLE))
+
+
+def _shingle(points: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(points, start * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def _exploded(lines: DataFrame) -> DataFrame:
+    """(lid, h): the shingles of ``lines`` (lid, line)."""
+    points = lines.select("lid", _points(F.col("line")).alias("p"))
+    return points.select("lid", "p", F.explode(_starts(F.col("p"))).alias("i")).select(
+        "lid", _shingle(F.col("p"), F.col("i")).alias("h"))
+
+
 def banded_lines(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(lid, bands array<long>) of ``lines`` (lid, line)."""
-    hashes = lines.select("lid", F.explode(_runs(F.col("line"))).alias("s")).select("lid", F.xxhash64("s").alias("h"))
     c = _constants(bands * rows)
-    low = hashes.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(k))).alias(f"m{j}") for j, k in enumerate(c)])
+    low = _exploded(lines).groupBy("lid").agg(
+        *[F.min(F.col("h").bitwiseXOR(F.lit(k))).alias(f"m{j}") for j, k in enumerate(c)])
     return low.select("lid", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)])
                                        for b in range(bands)]).alias("bands"))
 
 
-def _runs(line: Column) -> Column:
-    """The character shingles of a line; a shorter line is one."""
-    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(runs)
-
-
 def shingle_set(line: Column) -> Column:
     """array<long>: hashes of all distinct character shingles."""
-    return F.array_distinct(F.transform(_runs(line), lambda s: F.xxhash64(s)))
+    # The array of one element binds the characters, so that they are made once.
+    sets = F.transform(F.array(_points(line)), lambda p: F.transform(_starts(p), lambda i: _shingle(p, i)))
+    return F.array_distinct(F.get(sets, F.lit(0)))
+
+
+def measured(lines: DataFrame) -> DataFrame:
+    """``lines`` (lid, line) with n (distinct shingles), bits (a bitmap of them) and ones (its set bits)."""
+    h, none = F.col("h"), F.lit(0).cast("long")
+    word, bit = F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)), h.bitwiseAND(F.lit(63)).cast("int")
+    bitmap = [F.bit_or(F.when(word == w, F.call_function("shiftleft", F.lit(1).cast("long"), bit)).otherwise(none)).alias(f"b{w}")
+              for w in range(WORDS)]
+    maps = _exploded(lines).groupBy("lid").agg(*bitmap)
+    maps = maps.select("lid", F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits"),
+                       sum((F.bit_count(f"b{w}") for w in range(WORDS)), F.lit(0)).alias("ones"))
+    return lines.join(maps, "lid").select("lid", "line", F.size(shingle_set(F.col("line"))).alias("n"), "bits", "ones")
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, _key, pos, line, lid): every line that is not blank."""
+    """(doc_id, th, _key, pos, line, lid, proof): every line that is not blank."""
     return (docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), document_key().alias("_key"),
                                                   F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .where(F.col("line").rlike(r"\S")).select("*", F.xxhash64("line").alias("lid")))
+            .where(F.col("line").rlike(r"\S")).select("*", F.xxhash64("line").alias("lid"), F.xxhash64(F.lit(1), "line").alias("proof")))
+
+
+def told_apart(found: DataFrame, clash: DataFrame) -> DataFrame:
+    """``found`` with a lid of its own for each (lid, proof) of ``clash`` (_lid, least): lids that different lines share."""
+    other = F.col("least").isNotNull() & (F.col("proof") > F.col("least"))
+    return found.join(clash, F.col("lid") == F.col("_lid"), "left").withColumn(
+        "lid", F.when(other, F.xxhash64("lid", "proof")).otherwise(F.col("lid"))).select(found.columns)
+
 
+def distinct_lines(found: DataFrame) -> DataFrame:
+    """(lid, line, first, n, least, most): each line once, with its first place, its places, and its smallest and largest proof."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
+    lines = found.groupBy("lid").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"),
+                                     F.min("proof").alias("least"), F.max("proof").alias("most"))
+    # In buckets of the key: later joins on it move only the other side.
+    return written(lines, "lines-distinct", bucket="lid")
+
+
+def _may_be_alike(x: dict, y: dict, similarity: float) -> Column:
+    """False only for lines that can't be alike, by their sizes and bitmaps (n, bits, ones)."""
+    sizes = F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9
+    common = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
+    # Shingles that share a bit with another of their line may be common without adding to the common bits.
+    most = common + F.least(x["n"] - x["ones"], y["n"] - y["ones"])
+    return sizes & _enough(most, x, y, similarity)
 
-def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """``df`` written under the shared checkpoint folder in buckets of ``key``: later joins on it move only the other side."""
-    spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
-    free_shuffles(spark)
-    return spark.table(name)
 
+def _enough(both: Column, x: dict, y: dict, similarity: float) -> Column:
+    """Whether so many common shingles make the lines alike: both / (n + n - both) >= similarity."""
+    return both * (1 + similarity) >= similarity * (x["n"] + y["n"]) - 1e-9
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (u, v) with alike: whether the full shingle sets are at least this similar."""
-    a = texts.select(F.col("lid").alias("u"), F.col("line").alias("a"))
-    b = texts.select(F.col("lid").alias("v"), F.col("line").alias("b"))
-    sets = (pairs.join(a, "u").join(b, "v")
-            .select("u", "v", shingle_set(F.col("a")).alias("a"), shingle_set(F.col("b")).alias("b"))
-            .select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"),
-                    F.size(F.array_intersect("a", "b")).alias("both")))
-    return sets.select("u", "v", (F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).alias("alike"))
+
+def _with_first(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the links between the members of a bucket (lid, low) and its smallest line."""
+    pairs = members.where("lid <> low").select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
+    for k in "uv":
+        pairs = pairs.join(texts.select(F.col("lid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "bits", "ones")]), k)
+    x, y = ({c: F.col(f"{c}_{k}") for c in ("n", "bits", "ones")} for k in "uv")
+    both = F.size(F.array_intersect(shingle_set(F.col("line_u")), shingle_set(F.col("line_v"))))
+    return pairs.where(_may_be_alike(x, y, similarity) & _enough(both, x, y, similarity)).select("u", "v")
 
 
 def _between(members: DataFrame, signed: DataFrame, texts: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): roots of components that a verified link joins, among the pairs that the rounds did not compare.
+    """(u, v): roots of components that a verified link joins, among all pairs that share a band.
 
-    Members that are in no component were pivots all along and met each
-    other; so one line of each open pair is in a component.
+    ``groups`` (node, root) has the components so far; a line that is in
+    none is its own root.
     """
-    found = (members.join(groups, F.col("lid") == F.col("node"), "left")
-             .select("band", "lid", F.coalesce("root", "lid").alias("root"), F.col("node").isNotNull().alias("settled")))
-    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large bucket.
-    wide = (found.groupBy(F.struct("band").alias("k"))
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("settled").alias("any"), F.count("*").alias("n"))
-            .where("low < high and any").select(F.col("k.band").alias("band"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
-    dealt = written(found.join(wide, "band").select("band", "lid", "root", "settled", "nb",
-                                                    F.pmod(F.xxhash64("lid", F.lit(1)), F.col("nb")).cast("int").alias("block")), "lines-open")
-    dealt = dealt.join(signed, "lid").join(texts, "lid")
-    tasks = (dealt.select("*", F.explode(F.expr("sequence(0, nb - 1)")).alias("x"))
-             .groupBy("band", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-             .agg(F.collect_list(F.struct("block", "lid", "root", "settled", "bands", "line")).alias("m")))
-    tasks = tasks.withColumn("m", F.transform("m", lambda x: F.struct(
-        x["block"].alias("block"), x["lid"].alias("lid"), x["root"].alias("root"), x["settled"].alias("settled"),
-        x["bands"].alias("bands"), shingle_set(x["line"]).alias("s"))))
-
-    def linked(x, y):
-        na, nb = F.size(x["s"]), F.size(y["s"])
-        both = F.size(F.array_intersect(x["s"], y["s"]))
-        first = F.filter(F.zip_with(x["bands"], y["bands"], lambda a, b: F.when(a == b, a)), lambda b: b.isNotNull())
-        return ((y["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (x["lid"] < y["lid"])) & (x["root"] != y["root"])
-                & (x["settled"] | y["settled"]) & (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9)
-                & (F.get(first, F.lit(0)) == F.col("band")) & (both >= similarity * (na + nb - both) - 1e-9))
-
-    pairs = F.transform(F.filter("m", lambda x: x["block"] == F.col("i")), lambda x: F.array_distinct(F.transform(
-        F.filter("m", lambda y: linked(x, y)),
-        lambda y: F.struct(F.least(x["root"], y["root"]).alias("u"), F.greatest(x["root"], y["root"]).alias("v")))))
-    return tasks.select(F.explode(F.array_distinct(F.flatten(pairs))).alias("p")).select("p.u", "p.v").distinct()
+    with step(members.sparkSession) as keep:
+        found = written(members.join(groups, F.col("lid") == F.col("node"), "left").join(texts.select("lid", "n"), "lid")
+                        .select("band", "lid", F.coalesce("root", "lid").alias("root"), "n"), "lines-rooted")
+        # Grouped by structs of the keys, so that the join back has an exchange of its own and AQE can split a large bucket.
+        parts = found.groupBy(F.struct("band", "root").alias("k")).agg(F.count("*").alias("m"), F.sum("n").alias("chars"))
+        blocks = lambda m, chars: F.ceil(F.greatest(m / BLOCK, chars / BLOCK_CHARS)).cast("int")
+        wide = (parts.groupBy(F.struct("k.band").alias("b"))
+                .agg(F.max(F.struct("m", "chars", "k.root")).alias("main"), F.sum("m").alias("m"), F.sum("chars").alias("chars"))
+                .where("m > main.m")
+                .select(F.col("b.band").alias("band"), F.col("main.root").alias("main"), blocks(F.col("main.m"), F.col("main.chars")).alias("nm"),
+                        blocks(F.col("m") - F.col("main.m"), F.col("chars") - F.col("main.chars")).alias("nr")))
+        h = F.xxhash64("lid", F.lit(1))
+        dealt = written(found.join(wide, "band").select(
+            "band", "lid", "root", "nm", "nr", (F.col("root") == F.col("main")).alias("in_main"),
+            F.when(F.col("root") == F.col("main"), F.col("nr") + F.pmod(h, "nm")).otherwise(F.pmod(h, "nr")).cast("int").alias("block")),
+            "lines-open")
+        # Blocks 0 to nr - 1 are the rest's, nr to nr + nm - 1 the main component's.
+        other = F.when(F.col("in_main"), F.expr("sequence(0, nr - 1)")).otherwise(F.expr("sequence(0, nr + nm - 1)"))
+        tasks = (dealt.join(signed, "lid").join(texts, "lid").select("*", F.explode(other).alias("x"))
+                 .groupBy("band", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+                 .agg(F.collect_list(F.struct("block", "lid", "root", "bands", "line", "n", "bits", "ones")).alias("m")))
+        tasks = tasks.withColumn("m", F.transform("m", lambda x: F.struct(
+            x["block"].alias("block"), x["lid"].alias("lid"), x["root"].alias("root"), x["bands"].alias("bands"), x["n"].alias("n"),
+            x["bits"].alias("bits"), x["ones"].alias("ones"), shingle_set(x["line"]).alias("s"))))
+
+        def linked(x, y):
+            first = F.filter(F.zip_with(x["bands"], y["bands"], lambda a, b: F.when(a == b, a)), lambda b: b.isNotNull())
+            return ((x["root"] != y["root"]) & ((F.col("i") < F.col("j")) | (x["lid"] < y["lid"])) & _may_be_alike(x, y, similarity)
+                    & (F.get(first, F.lit(0)) == F.col("band")) & _enough(F.size(F.array_intersect(x["s"], y["s"])), x, y, similarity))
+
+        sides = tasks.select("band", "i", "j", F.filter("m", lambda x: x["block"] == F.col("i")).alias("a"),
+                             F.filter("m", lambda x: x["block"] == F.col("j")).alias("b"))
+        links = F.transform("a", lambda x: F.transform(F.filter("b", lambda y: linked(x, y)), lambda y: F.struct(
+            F.least(x["root"], y["root"]).alias("u"), F.greatest(x["root"], y["root"]).alias("v"))))
+        out = sides.select(F.explode(F.array_distinct(F.flatten(links))).alias("p")).select("p.u", "p.v").distinct()
+        return keep(written(out, "lines-between"))
 
 
 def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) over ``lines`` (lid, line): components of near-duplicate lines; lines without any are absent."""
-    signed = written(banded_lines(lines), "lines-bands")
-    banded = signed.select("lid", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
-    pivots = written(full.where("low < high").select("band", "low"), "lines-pivots")
-    members = written(banded.join(pivots, "band").select("band", "lid"), "lines-members")
-    texts = written(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), "lines-texts")
-    shared, links, width = members, None, 1
-    while True:
-        met = members.join(pivots, "band").where("lid <> low")
-        pairs = met.select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
-        found = written(_verified(pairs, texts, similarity), "lines-verified")
-        links = found.where("alike") if links is None else links.union(found.where("alike"))
-        # Members that are like a pivot, and the pivots, are settled in their bucket; the others go on.
-        like = found.where("alike").select(F.col("u").alias("lid"), F.col("v").alias("low"))
-        settled = met.join(like, ["lid", "low"], "left_semi").select("band", "lid").union(
-            pivots.select("band", F.col("low").alias("lid"))).distinct()
-        members = written(members.join(settled, ["band", "lid"], "left_anti"), "lines-members")
-        if members.isEmpty():
-            break
-        width *= 2
-        order = F.row_number().over(Window.partitionBy("band").orderBy("lid"))
-        pivots = written(members.withColumn("n", order).where(F.col("n") <= width)
-                         .select("band", F.col("lid").alias("low")), "lines-pivots")
-    groups = written(components(links, "lines-groups"), "lines-groups")
-    more = written(_between(shared, signed, texts, groups, similarity), "lines-between")
-    if more.isEmpty():
-        return groups
-    return components(groups.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "lines-groups")
+    with step(lines.sparkSession) as keep:
+        signed = written(banded_lines(lines), "lines-bands")
+        banded = signed.select("lid", F.explode("bands").alias("band"))
+        # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large bucket.
+        first = (banded.groupBy(F.struct("band").alias("k")).agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
+                 .where("low < high").select(F.col("k.band").alias("band"), "low"))
+        members = written(banded.join(first, "band").select("band", "lid", "low"), "lines-members")
+        texts = written(measured(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line")), "lines-texts")
+        groups = components(written(_with_first(members, texts, similarity), "lines-links"), "lines-groups")
+        more = _between(members, signed, texts, groups, similarity)
+        if not more.isEmpty():
+            groups = components(groups.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "lines-groups")
+        return keep(written(groups, "lines-similar"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -178,18 +224,22 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ``without_repeats`` drops them.
     """
     found = places(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
-    lines = found.groupBy("lid").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
-    lines = _bucketed(lines, "lid", "lakeward_lines")
-    groups = similar_lines(lines, similarity)
-    spots = lines.select("lid", "first", "n")
-    grouped = spots.join(groups, spots["lid"] == groups["node"]).select("lid", "root", "first")
-    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large group.
-    best = grouped.groupBy(F.struct("root").alias("k")).agg(F.min("first").alias("keep")).select(F.col("k.root").alias("root"), "keep")
-    fuzzy = grouped.join(best, "root").select("lid", "keep")
-    repeated = spots.where("n > 1").join(fuzzy.select("lid"), "lid", "left_anti").select("lid", F.col("first").alias("keep"))
-    decided = fuzzy.union(repeated)
-    gone = (found.select("lid", place.alias("here"), "_key", "pos").join(decided, "lid").where("here <> keep")
+    with step(docs.sparkSession) as keep:
+        lines = distinct_lines(found)
+        clash = written(lines.where("least < most").select(F.col("lid").alias("_lid"), "least"), "lines-clashes")
+        if not clash.isEmpty():
+            found = told_apart(found, keep(clash))
+            lines = distinct_lines(found)
+        groups = similar_lines(lines.select("lid", "line"), similarity)
+        spots = lines.select("lid", "first", "n")
+        grouped = spots.join(groups, spots["lid"] == groups["node"]).select("lid", "root", "first")
+        # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large group.
+        best = grouped.groupBy(F.struct("root").alias("k")).agg(F.min("first").alias("keep")).select(F.col("k.root").alias("root"), "keep")
+        fuzzy = grouped.join(best, "root").select("lid", "keep")
+        repeated = spots.where("n > 1").join(fuzzy.select("lid"), "lid", "left_anti").select("lid", F.col("first").alias("keep"))
+        decided = keep(written(fuzzy.union(repeated), "lines-decided"))
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
+    gone = (found.select("lid", here.alias("here"), "_key", "pos").join(decided, "lid").where("here <> keep")
             .groupBy(F.struct("_key").alias("k")).agg(F.collect_set("pos").alias("_pos")).select(F.col("k._key").alias("_key"), "_pos"))
     joined = docs.withColumn("_key", document_key()).join(gone, "_key", "left")
     parts = F.split("text", "\n")
