@@ -39,18 +39,14 @@ class Automaton:
         return cls(alphabet, *_sums(ids[:-1].reshape(-1, N).astype(np.int32), np.asarray(weights, np.int64), len(alphabet), how))
 
     @classmethod
-    def count(cls, words: np.ndarray, alphabet: np.ndarray, length: int, skip: int = 0, heavy: Automaton | None = None) -> Automaton:
+    def count(cls, words: np.ndarray, alphabet: np.ndarray, length: int, skip: int = 0, pairs: np.ndarray | None = None) -> Automaton:
         """Counts of all n-grams of one length in a sequence of places in ``alphabet`` (fewer than PACKED); 0 is a break.
 
         n-grams that end in the first ``skip`` (at most two) places are there,
-        but count nothing.  With ``heavy`` only those whose words, and for three words both
-        pairs, are among its paths.
+        but count nothing.  With ``pairs`` (codes) only those of three words
+        whose first two and last two words are among them.
         """
         w = np.asarray(words, np.int64)
-        known = np.zeros(len(alphabet), bool)
-        if heavy is not None:
-            known[np.searchsorted(alphabet, heavy.grams[heavy.ids[:, 1] == 0, 0])] = True
-            w = np.where(known[w], w, 0)
         if length == 1:
             counts = np.bincount(w, minlength=len(alphabet))
             counts[0] = 0
@@ -65,11 +61,9 @@ class Automaton:
         if length == 2:
             keys = pair[full] << 21
         else:
-            if heavy is not None:
-                two = heavy.grams[heavy.ids[:, 1] > 0]
-                sure = np.sort((np.searchsorted(alphabet, two[:, 0]) << 21) | np.searchsorted(alphabet, two[:, 1]))
-                at = np.searchsorted(sure, pair)
-                full &= np.append(sure, -1)[at] == pair
+            if pairs is not None:
+                sure = np.sort((np.searchsorted(alphabet, pairs[:, 0]) << 21) | np.searchsorted(alphabet, pairs[:, 1]))
+                full &= np.append(sure, -1)[np.searchsorted(sure, pair)] == pair
             ends = full[:-1] & full[1:]
             keys = (pair[:-1][ends] << 21) | w[2:][ends]
         keys, counts = np.unique(keys, return_counts=True)

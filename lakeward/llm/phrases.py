@@ -12,7 +12,9 @@
    third of all n-grams spans several ranges.  Paths below ``MIN`` are left
    out after the union, and each shard is told which of its n-grams stayed;
    at the next level it counts only n-grams all of whose parts did (a phrase
-   occurs no more often than its parts), so nothing is lost.
+   occurs no more often than its parts), so nothing is lost.  A word that
+   stayed is from then on known by its path's number, as dense numbers pack
+   better than codes.
 3. Composition: the automata of all levels are united by prefix range.  A
    range asks the ranges of its phrases' parts, by an automaton of the
    parts; there it is composed with the counts.  A part asked for by many is
@@ -44,12 +46,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.llm.automata import Automaton, N
-from lakeward.llm.common import first_of_each, python_batches, table, written
+from lakeward.llm.common import first_of_each, python_batches, step, table, written
+from lakeward.session import discard
 
 MIN = 10
 COVER = 50
 TOP = 2000
-TOKENS = 500_000
+TOKENS = 1_000_000
 #: Bytes of a text that are split into words at once.
 SLICE = 1 << 19
 #: n-grams of a prefix range, before equal ones of several shards are united.
@@ -226,9 +229,6 @@ def bounds(shards_: DataFrame, per_range: int = RANGE) -> np.ndarray:
 
 def _by_range(rows: DataFrame, key: str, then: list[str], close, schema: str) -> DataFrame:
     """``close(range, iterator of its rows)`` for every range, its rows in the order of ``then``; it yields result rows."""
-    types = {"range": pa.int32(), "whence": pa.int32(), "kind": pa.int32(), "blob": pa.binary(), "shown": pa.binary()}
-    names = [c.split()[0] for c in schema.split(", ")]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
             for batch in batches:
@@ -246,9 +246,7 @@ def _by_range(rows: DataFrame, key: str, then: list[str], close, schema: str) ->
                     yield row
 
             for out in close(number, mine()):
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for n, c in zip(names, columns, strict=True)],
-                                                 names)
+                yield _batch(out, schema)
 
     return rows.repartition(key).sortWithinPartitions(key, *then).mapInArrow(run, schema)
 
@@ -256,25 +254,33 @@ def _by_range(rows: DataFrame, key: str, then: list[str], close, schema: str) ->
 def level(rows: DataFrame, length: int, stayed: DataFrame | None, least: int, per_range: int) -> DataFrame:
     """The n-grams of one length that occur at least ``least`` times, united by prefix range.
 
-    Rows (shard, blob, n_grams, shown): a range's automaton (shard is null),
-    and for every shard the paths of its own that are in it.  ``stayed`` has
-    such paths (shard, blob) of the levels before.
+    Rows (shard, length, blob, n_grams, shown, codes, number): a range's
+    automaton over the numbers of words (shard is null; for length 1 also the
+    words' codes and the first one's number), and for every shard the paths of its own that are in it, for
+    length 1 over codes and with the words' numbers as weights.  ``stayed``
+    has such paths (shard, length, blob) of the levels before.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, sequence, alphabet, skip, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                heavy = Automaton.union([Automaton.from_bytes(b) for b in known]) if length > 1 else None
-                grams = Automaton.count(_loose(sequence, "<u4"), _loose(alphabet, "<u8"), length, skip, heavy)
+                sequence, alphabet, pairs = _loose(sequence, "<u4"), _loose(alphabet, "<u8"), None
+                if length > 1:
+                    words, pairs = (Automaton.union([Automaton.from_bytes(k["blob"]) for k in known if k["length"] == n]) for n in (1, 2))
+                    place = np.zeros(len(alphabet), np.int64)
+                    place[np.searchsorted(alphabet, words.grams[:, 0])] = np.arange(1, len(words) + 1)
+                    sequence, alphabet = place[sequence], np.append(np.uint64(0), words.weights.astype(np.uint64))
+                    pairs = pairs.grams
+                grams = Automaton.count(sequence, alphabet, length, skip, pairs)
                 if len(grams):
-                    yield _blobs([(shard, grams)])
+                    yield _batch([(shard, *_columns(grams))], _COUNTS)
 
     rows = rows.select("shard", "sequence", "alphabet", "skip")
     if stayed is None:
-        rows = rows.withColumn("known", F.array().cast("array<binary>"))
+        rows = rows.withColumn("known", F.expr("array()").cast("array<struct<length:int,blob:binary>>"))
     else:
-        known = stayed.groupBy(F.col("shard").alias("_s")).agg(F.collect_list("blob").alias("known"))
+        known = stayed.groupBy(F.col("shard").alias("_s")).agg(F.collect_list(F.struct("length", "blob")).alias("known"))
         rows = rows.join(known, F.col("shard") == F.col("_s")).drop("_s")
-    counted = written(rows.mapInArrow(count, _BLOBS), f"phrases-counts-{length}")
+    counted = written(rows.mapInArrow(count, _COUNTS), f"phrases-counts-{length}")
     splits = bounds(counted, per_range)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,30 +301,41 @@ def level(rows: DataFrame, length: int, stayed: DataFrame | None, least: int, pe
         whole = _sum(blobs(), least)
         if not len(whole):
             return
-        yield _columns([(None, whole)])
+        codes, out = None, whole
+        if length == 1:
+            codes = whole.grams[:, 0]
+            numbers = (number << 32) + 1 + np.arange(len(whole), dtype=np.int64)
+            out = Automaton(np.append(np.uint64(0), numbers.astype(np.uint64)), np.zeros((len(whole), N), np.int32), whole.weights)
+            out.ids[:, 0] = np.arange(1, len(whole) + 1)
+            whole = Automaton(whole.alphabet, whole.ids, numbers)
+        yield [(None, length, *_columns(out), None if codes is None else codes.astype(np.int64).tolist(), (number << 32) + 1)]
         if length == N:
             return
         for shard, blob in kept:
             part = Automaton.from_bytes(blob)
-            part = part.take(whole.compose(part.grams) > 0)
+            weights = whole.compose(part.grams)
+            part = Automaton(part.alphabet, part.ids, weights).take(weights > 0)
             if len(part):
-                yield _columns([(shard, part)])
+                yield [(shard, length, *_columns(part), None, None)]
 
     pieces = counted.select("shard", "blob").mapInArrow(cut, "range int, shard long, blob binary")
-    return written(_by_range(pieces, "range", [], close, _BLOBS), f"phrases-level-{length}")
+    out = written(_by_range(pieces, "range", [], close, _LEVEL), f"phrases-level-{length}")
+    discard(counted)
+    return out
 
 
-_BLOBS = "shard long, blob binary, n_grams long, shown binary"
+_COUNTS = "shard long, blob binary, n_grams long, shown binary"
+_LEVEL = "shard long, length int, blob binary, n_grams long, shown binary, codes array<long>, number long"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
-def _columns(found: list[tuple[int | None, Automaton]]) -> list[tuple]:
-    return [(shard, a.to_bytes(), len(a), a.grams[:: max(1, len(a) // SHOWN)].tobytes()) for shard, a in found]
+def _columns(a: Automaton) -> tuple[bytes, int, bytes]:
+    return a.to_bytes(), len(a), a.grams[:: max(1, len(a) // SHOWN)].tobytes()
 
 
-def _blobs(found: list[tuple[int | None, Automaton]]) -> pa.RecordBatch:
-    shard, blob, n, shown = zip(*_columns(found), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(blob, pa.binary()), pa.array(n, pa.int64()),
-                                       pa.array(shown, pa.binary())], ["shard", "blob", "n_grams", "shown"])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, types = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
 
 def _sum(blobs: Iterator[bytes], least: int) -> Automaton:
@@ -429,36 +446,46 @@ def scored(ranges: DataFrame, splits: np.ndarray, cover: int = COVER) -> DataFra
     return _by_range(answered, "range", ["kind"], close, "c1 long, c2 long, c3 long, a long, l long, r long, score long")
 
 
+def _words_of(rows: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
+    """(number, w, other) of all words of the phrases: the smallest and the largest (lang, word) of a word's code."""
+    used = found.select(F.explode(F.array("c1", "c2", "c3")).alias("number")).distinct()
+    codes = first.where("shard is null").select(F.posexplode("codes").alias("k", "code"), "number").select(
+        (F.col("number") + F.col("k")).alias("number"), "code").join(used, "number", "left_semi")
+    word = F.struct("lang", "word")
+    return (rows.select(F.inline("words")).join(codes, "code").groupBy("number").agg(F.min(word).alias("w"), F.max(word).alias("other")))
+
+
 def collocations(docs: DataFrame, top: int = TOP, least: int = MIN, cover: int = COVER, tokens: int = TOKENS,
                  per_range: int = RANGE, size: int = SLICE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``top`` phrases."""
     salt = 0
-    while True:
-        rows = written(shards(docs, salt, tokens, size), "phrases-shards")
-        levels: list[DataFrame] = []
-        for length in range(1, N + 1):
-            stayed = [x.where("shard is not null").select("shard", "blob") for x in levels]
-            levels.append(level(rows, length, reduce(DataFrame.union, stayed) if stayed else None, least, per_range))
-        heavy = reduce(DataFrame.union, [x.where("shard is null") for x in levels])
-        splits = bounds(heavy, per_range)
-        found = written(scored(written(united(heavy, splits), "phrases-ranges"), splits, cover), "phrases-scored")
-        used = found.select(F.explode(F.array("c1", "c2", "c3")).alias("code")).distinct()
-        word = F.struct("lang", "word")
-        words = written(rows.select(F.inline("words")).join(used, "code", "left_semi").groupBy("code").agg(
-            F.min(word).alias("w"), F.max(word).alias("other")), "phrases-words")
-        if words.where("w <> other").isEmpty():
-            break
-        salt += 1
-    words = words.select("code", "w.lang", "w.word")
+    with step(docs.sparkSession) as keep:
+        while True:
+            # In buckets of the shard: the joins with what stayed move only that.
+            rows = written(shards(docs, salt, tokens, size), "phrases-shards", bucket="shard")
+            levels: list[DataFrame] = []
+            for length in range(1, N + 1):
+                stayed = [x.where("shard is not null").select("shard", "length", "blob") for x in levels]
+                levels.append(level(rows, length, reduce(DataFrame.union, stayed) if stayed else None, least, per_range))
+            heavy = reduce(DataFrame.union, [x.where("shard is null") for x in levels])
+            splits = bounds(heavy, per_range)
+            ranges = written(united(heavy, splits), "phrases-ranges")
+            found = written(scored(ranges, splits, cover), "phrases-scored")
+            words = written(_words_of(rows, levels[0], found), "phrases-words")
+            if words.where("w <> other").isEmpty():
+                break
+            salt += 1
+        keep(found), keep(words)
+        totals = keep(written(rows.select(F.explode(F.arrays_zip("langs", "counts")).alias("e")).groupBy(
+            F.col("e.langs").alias("lang")).agg(F.sum("e.counts").alias("n")), "phrases-totals"))
+    words = words.select("number", "w.lang", "w.word")
     for k in (1, 2, 3):
-        theirs = words.select(F.col("code").alias("_c"), F.col("word").alias(f"w{k}"), *(["lang"] if k == 1 else []))
+        theirs = words.select(F.col("number").alias("_c"), F.col("word").alias(f"w{k}"), *(["lang"] if k == 1 else []))
         found = found.join(theirs, F.col(f"c{k}") == F.col("_c"), "left").drop("_c")
     found = found.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "l", "r", "score",
                          (-F.col("score")).alias("by_score"), (-F.col("a")).alias("by_a"))
     order = ["by_score", "by_a", "phrase"]
     best = first_of_each(found, "lang", order, top)
-    totals = (rows.select(F.explode(F.arrays_zip("langs", "counts")).alias("e"))
-              .groupBy(F.col("e.langs").alias("lang")).agg(F.sum("e.counts").alias("n")))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
