@@ -52,11 +52,11 @@ from lakeward.session import discard
 MIN = 10
 COVER = 50
 TOP = 2000
-TOKENS = 1_000_000
+TOKENS = 500_000
 #: Bytes of a text that are split into words at once.
 SLICE = 1 << 19
 #: n-grams of a prefix range, before equal ones of several shards are united.
-RANGE = 1_000_000
+RANGE = 500_000
 #: n-grams that a shard shows for the ranges' bounds, and about how many shards are looked at.
 SHOWN, SHARDS = 64, 1024
 
@@ -160,7 +160,7 @@ def _code(lang: str, word: bytes, salt: int) -> int:
         head = f"{salt}|{lang}|".encode("utf-8", "replace")
         code = int.from_bytes(blake2b(head + word, digest_size=8).digest(), "little") or 1
         if len(word) <= 64:
-            if len(_codes) > 100_000:
+            if len(_codes) > 50_000:
                 _codes.clear()
             _codes[key] = code
     return code
