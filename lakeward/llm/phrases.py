@@ -138,7 +138,17 @@ class Shard:
         alphabet, place = np.unique(codes, return_inverse=True)
         sequence = place[np.concatenate([p for p in self.parts if len(p)] or [np.zeros(0, np.int32)])]
         return {"sequence": _packed(sequence.astype("<u4")), "alphabet": _packed(alphabet), "skip": self.skip,
-                "counts": self.counts, "codes": codes[1:].astype(np.int64), "words": self.words[1:]}
+                "counts": self.counts, "words": _said(self.words[1:], codes[1:])}
+
+
+def _said(words: list[tuple[str, bytes]], codes: np.ndarray) -> bytes:
+    """The words with their codes and languages, packed."""
+    batch = pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array([x for x, _ in words], pa.string()),
+                                        pa.array([w for _, w in words], pa.binary()).cast(pa.string())], ["code", "lang", "word"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -167,7 +177,7 @@ def _code(lang: str, word: bytes, salt: int) -> int:
 
 
 _SHARD = ("shard long, sequence binary, alphabet binary, skip int, langs array<string>, counts array<long>, "
-          "words array<struct<code:long,lang:string,word:string>>")
+          "words binary")
 
 
 def shards(docs: DataFrame, salt: int = 0, tokens: int = TOKENS, size: int = SLICE) -> DataFrame:
@@ -175,14 +185,11 @@ def shards(docs: DataFrame, salt: int = 0, tokens: int = TOKENS, size: int = SLI
     python_batches(docs.sparkSession)
 
     def batch_of(number: int, row: dict) -> pa.RecordBatch:
-        fields = [pa.array(row["codes"], pa.int64()), pa.array([x for x, _ in row["words"]], pa.string()),
-                  pa.array([w for _, w in row["words"]], pa.binary()).cast(pa.string())]
-        words = pa.StructArray.from_arrays(fields, ["code", "lang", "word"])
         return pa.RecordBatch.from_arrays(
             [pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()), pa.array([row["sequence"]], pa.binary()),
              pa.array([row["alphabet"]], pa.binary()), pa.array([row["skip"]], pa.int32()),
              pa.array([list(row["counts"])], pa.list_(pa.string())), pa.array([list(row["counts"].values())], pa.list_(pa.int64())),
-             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
+             pa.array([row["words"]], pa.binary())],
             ["shard", "sequence", "alphabet", "skip", "langs", "counts", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +459,16 @@ def _words_of(rows: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
     codes = first.where("shard is null").select(F.posexplode("codes").alias("k", "code"), "number").select(
         (F.col("number") + F.col("k")).alias("number"), "code").join(used, "number", "left_semi")
     word = F.struct("lang", "word")
-    return (rows.select(F.inline("words")).join(codes, "code").groupBy("number").agg(F.min(word).alias("w"), F.max(word).alias("other")))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in batch.column(0):
+                whole = pa.ipc.open_stream(words.as_buffer()).read_next_batch()
+                for k in range(0, len(whole), 10_000):
+                    yield whole.slice(k, 10_000)
+
+    said = rows.select("words").mapInArrow(spell, "code long, lang string, word string")
+    return (said.join(codes, "code").groupBy("number").agg(F.min(word).alias("w"), F.max(word).alias("other")))
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = MIN, cover: int = COVER, tokens: int = TOKENS,

@@ -233,9 +233,14 @@ def test_words_with_one_code_are_told_apart(spark, monkeypatch):
     real = phrases._code
     docs = texts(spark, rows)
     got = []
-    monkeypatch.setattr(phrases, "shards", lambda d, salt, tokens, size, keep=phrases.shards: got.append(salt) or (
-        keep(d, salt, tokens, size) if salt else keep(d, salt, tokens, size).withColumn(
-            "words", F.concat("words", F.transform("words", lambda w: w.withField("word", F.lit("other")))))))
+    monkeypatch.setattr(phrases, "shards", lambda d, salt, tokens, size, keep=phrases.shards: got.append(salt) or keep(d, salt, tokens, size))
+    found = phrases._words_of
+
+    def others(rows, first, phrases_):
+        out = found(rows, first, phrases_)
+        return out if len(got) > 1 else out.withColumn("other", F.struct(F.col("other.lang").alias("lang"), F.lit("other").alias("word")))
+
+    monkeypatch.setattr(phrases, "_words_of", others)
     assert sorted(map(tuple, phrases.collocations(docs).collect())) == brute_phrases(rows) and got == [0, 1]
     assert real("en", b"x", 0) != real("en", b"x", 1) != real("fr", b"x", 1)
 
