@@ -10,10 +10,15 @@ Semantics of a batch:
 * every change is decided against the snapshot at batch start; the first
   failing rule (in the order of ``_rules``) gives the status, else the
   op's success status (``OK_STATUS``); unknown ops get 400;
+* unique names (of domains and layers, e-mails, memberships) go in the
+  order of ``seq``: a name is taken by the first accepted change that claims
+  it while it is free, and is free again after an accepted rename or delete
+  of its holder with a lower ``seq`` (``claims``); a name that several rows
+  of the snapshot hold already stays taken;
 * inside a batch, inserts are applied first, then field updates and flags
-  (the last ``seq`` per field wins), then deletes with their cascades;
-* where two changes of one batch claim the same key (a name, a
-  membership, an e-mail), the lowest ``seq`` wins and the others fail;
+  (the last ``seq`` per field wins), then deletes with their cascades; a
+  membership is what its last change by ``seq`` says, unless its team or
+  user goes;
 * new ids are derived from ``seq`` (deterministic, so a replayed or
   recomputed batch writes the same rows); times are the change's
   ``event_at``.
@@ -32,11 +37,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions import vocab
 from lakeward.operators.access import team_grants
+from lakeward.session import discard, scratch
 from lakeward.session import materialize as write_and_read
 from lakeward.sources import schemas
 
@@ -49,6 +55,9 @@ USER_OPS = ("register_user", "set_superadmin", "delete_user", "update_profile")
 REQUEST_OPS = ("request_access",)
 ALL_OPS = ASSET_OPS + DOMAIN_OPS + TEAM_OPS + MEMBER_OPS + LAYER_OPS + USER_OPS + REQUEST_OPS
 
+# Ops that may claim a unique name.
+CLAIM_OPS = ("create_domain", "update_domain", "create_layer", "update_layer", "register_user", "add_member")
+
 # Ops that insert a row; their decision carries the new id.
 CREATE_OPS = ("create_asset", "create_domain", "create_team", "add_member", "create_layer", "register_user",
               "request_access")
@@ -149,7 +158,7 @@ def entities(t: dict[str, DataFrame], wanted: DataFrame | None = None) -> DataFr
     parts = [
         asset_rows,
         doms.selectExpr(_explode(_entity("domain", "id", team="team_id", flag="true"),
-                                 _entity("domain_name", "name", uid="id"))).selectExpr("e.*"),
+                                 _entity("domain_name", "name", team="team_id", uid="id"))).selectExpr("e.*"),
         t["teams"].selectExpr(_explode(_entity("team", "id", team="id", name="name",
                                                flag="is_platform"))).selectExpr("e.*"),
         user_rows,
@@ -221,12 +230,12 @@ CLAIM_KEY = _sql_case({
     ("add_member",): "concat('member|', char_length(m_team), '|', m_team, '|', m_email)"})
 
 
-def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
-    """Rules per op, in order: (SQL condition, status, reason).
+#: The condition of the rules on unique names: the name is not free when the change claims it (``claims``).
+LOST = "claim_lost"
 
-    Conditions read the columns ``decide`` looks up; ``lost`` is true when a
-    lower seq of the same batch already claimed the key.
-    """
+
+def _rules() -> dict[str, list[tuple[str, int, str]]]:
+    """Rules per op, in order: (SQL condition, status, reason).  Conditions read the columns ``decide`` looks up."""
     F_, H = _sql_f, _sql_has
     actor = "actor_email IS NULL"
     t_found, r_found = "tg_id IS NOT NULL", "rf_id IS NOT NULL"
@@ -246,8 +255,6 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
     role_set_bad = f"({F_('role')} IS NULL OR {F_('role')} NOT IN ({roles}))"
     score_bad = (f"({H('quality_score')} AND {F_('quality_score')} IS NOT NULL "
                  f"AND try_cast({F_('quality_score')} AS DOUBLE) IS NULL)")
-    taken = "coalesce(n_count, 0) > 0"
-    taken_not_me = "(coalesce(n_count, 0) > 1 OR (coalesce(n_count, 0) = 1 AND n_any_id <> target_id))"
     self_target = "tg_email = actor_email"
     promote = f"lower({F_('promote')}) IN ('true', '1', 'yes', 'on')"
     promote_bad = (f"({F_('promote')} IS NULL OR lower({F_('promote')}) NOT IN "
@@ -290,15 +297,14 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
             (bad_len(F_("name"), lim["domain"]), 422, "Invalid domain name"),
             (f"NOT {mgr}", 403, "Only team managers can create domains"),
             (f"NOT {r_found}", 400, "Team not found"),
-            (f"{taken} OR {lost}", 409, "Domain name already exists"),
+            (LOST, 409, "Domain name already exists"),
         ],
         "update_domain": [
             auth,
             (f"NOT {t_found}", 404, "Domain not found"),
             (f"NOT {mgr}", 403, "Only team managers can update domains"),
             (no_fields("domains"), 400, "No fields to update"),
-            (f"{H('name')} AND {bad_len(F_('name'), lim['domain'])}", 422, "Invalid domain name"),
-            (f"{H('name')} AND ({taken_not_me} OR {lost})", 409, "Domain name already exists"),
+            (LOST, 409, "Domain name already exists"),
         ],
         "delete_domain": [
             auth,
@@ -329,7 +335,7 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
             (role_bad, 400, "Role must be 'manager' or 'member'"),
             (f"NOT {r_found}", 400, "No user account found for that email"),
             (f"NOT {t_found}", 404, "Team not found"),
-            (f"m_exists OR {lost}", 400, "User is already a member of this team"),
+            (LOST, 400, "User is already a member of this team"),
         ],
         "change_role": [
             auth,
@@ -362,7 +368,7 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
             auth,
             ("NOT is_global", 403, "Superadmin access required"),
             (f"trim({F_('name')}) = ''", 400, "Name is required"),
-            (f"{taken} OR {lost}", 409, "A layer with that name already exists"),
+            (LOST, 409, "A layer with that name already exists"),
         ],
         "update_layer": [
             (f"{H('name')} AND {bad_len(F_('name'), lim['layer'])}", 422, "Invalid layer name"),
@@ -371,7 +377,7 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
             auth,
             ("NOT is_global", 403, "Superadmin access required"),
             (f"NOT {t_found}", 404, "Layer not found"),
-            (f"{H('name')} AND ({taken_not_me} OR {lost})", 409, "A layer with that name already exists"),
+            (LOST, 409, "A layer with that name already exists"),
             (no_fields("data_layers"), 400, "No fields to update"),
             (f"{H('name')} AND trim({F_('name')}) = ''", 400, "Name is required"),
         ],
@@ -383,7 +389,7 @@ def _rules(lost: str) -> dict[str, list[tuple[str, int, str]]]:
         "register_user": [
             (f"coalesce(char_length({F_('email')}), 0) < 1", 422, "Invalid e-mail"),
             ("actor_email IS NOT NULL AND NOT is_global", 403, "Superadmin access required"),
-            (f"{taken} OR {lost}", 400, "Email already registered"),
+            (LOST, 400, "Email already registered"),
         ],
         "set_superadmin": [
             (promote_bad, 422, "promote must be a boolean"),
@@ -426,19 +432,27 @@ OK_STATUS = {
 }
 
 
-def _status_sql(pre_batch: bool) -> str:
-    """First failing rule's status; ``pre_batch`` leaves out in-batch claims and gives NULL on success."""
+def _status_sql(names: str) -> str:
+    """The first failing rule's status.
+
+    ``names``: ``decided`` takes the outcome of the claims; ``open`` gives
+    NULL if all rules but those on names pass; ``early`` NULL if all rules
+    before the one on names pass.
+    """
     branches = {}
-    for op, rules in _rules("false" if pre_batch else "claim_lost").items():
+    for op, rules in _rules().items():
+        if names == "early":
+            rules = rules[:next((k for k, r in enumerate(rules) if r[0] == LOST), len(rules))]
+        rules = [r for r in rules if names == "decided" or r[0] != LOST]
         whens = " ".join(f"WHEN {cond} THEN {status}" for cond, status, _ in rules)
-        ok = "NULL" if pre_batch else str(OK_STATUS[op])
-        branches[(op,)] = f"CASE {whens} ELSE {ok} END"
-    return _sql_case(branches, "CAST(NULL AS INT)" if pre_batch else "400")
+        ok = str(OK_STATUS[op]) if names == "decided" else "NULL"
+        branches[(op,)] = f"CASE {whens} ELSE {ok} END" if whens else ok
+    return _sql_case(branches, "400" if names == "decided" else "CAST(NULL AS INT)")
 
 
 def _reason_sql() -> str:
     branches = {}
-    for op, rules in _rules("claim_lost").items():
+    for op, rules in _rules().items():
         whens = " ".join(f"WHEN {cond} THEN {_lit(reason)}" for cond, _, reason in rules)
         branches[(op,)] = f"CASE {whens} ELSE 'ok' END"
     return _sql_case(branches, "'Unknown operation'")
@@ -452,7 +466,7 @@ def _lit(text: str) -> str:
 LOOKUP_ROLES = {
     "tg": ["e_id", "e_team", "e_flag", "e_email", "e_name", "e_owner", "e_uid"],
     "rf": ["e_id", "e_team"],
-    "nm": ["e_count", "e_uid"],
+    "nm": ["e_count", "e_uid", "e_team"],
     "fl": ["e_admin", "e_platform"],
 }
 
@@ -479,7 +493,7 @@ def _lookup_all(ch: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
         F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c[2:]}")
         for role, cols in LOOKUP_ROLES.items() for c in cols])
     return ch.join(found, ch.seq == found._seq, "left").drop("_seq").withColumnsRenamed(
-        {"nm_count": "n_count", "nm_uid": "n_any_id", "fl_admin": "a_admin", "fl_platform": "a_platform"})
+        {"nm_count": "n_count", "nm_uid": "n_any_id", "nm_team": "n_team", "fl_admin": "a_admin", "fl_platform": "a_platform"})
 
 
 def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
@@ -518,22 +532,121 @@ def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
         F.coalesce("_manager", F.lit(False)).alias("a_manager"),
         F.coalesce("_owner", F.lit(False)).alias("a_owner"),
         F.coalesce("_m_exists", F.lit(False)).alias("m_exists"),
-    ).selectExpr("*", f"{_status_sql(pre_batch=True)} AS pre_status").selectExpr("*", f"{CLAIM_KEY} AS claim_key")
-    # In-batch claims on one key: the lowest seq among changes that pass
-    # every other rule wins, and later updates of the winner's own target
-    # lose nothing.  A per-key minimum (partial aggregation) keeps a hot key
-    # cheap; changes without a claim join by their seq, which no claim equals.
-    ch = ch.withColumn("_renamed", F.when(_op("update_domain", "update_layer"), F.col("target_id")))
-    firsts = (
-        ch.filter(F.col("claim_key").isNotNull() & F.col("pre_status").isNull())
-        .groupBy("claim_key").agg(F.min("seq").alias("_first_seq"), F.min_by("_renamed", "seq").alias("_first_renamed"))
-        .withColumnRenamed("claim_key", "_claim_key")
-    )
-    key = F.coalesce(ch.claim_key, F.concat(F.lit("#"), ch.seq.cast("string")))
-    ch = ch.join(firsts, key == firsts._claim_key, "left").selectExpr(
-        *[c for c in ch.columns if c != "_renamed"],
-        "coalesce(seq <> _first_seq AND NOT coalesce(_renamed = _first_renamed, false), false) AS claim_lost")
-    return ch.selectExpr("*", f"{_status_sql(pre_batch=False)} AS status", f"{_reason_sql()} AS reason")
+    ).selectExpr("*", f"{_status_sql('open')} AS open_status", f"{_status_sql('early')} AS early_status",
+                 f"{CLAIM_KEY} AS claim_key")
+    if changes.where(_op(*CLAIM_OPS)).isEmpty():
+        ch = ch.withColumn(LOST, F.lit(False))
+    else:
+        # The fixpoint's rounds read the looked-up changes, so they are written once.
+        ch = write_and_read(ch, "looked-up-changes")
+        # Claims that win need no row: changes join those that lost by their seq.
+        lost = claims(ch).where("not won").select(F.col("seq").alias("_lost"))
+        ch = ch.join(lost, F.col("seq") == F.col("_lost"), "left").withColumn(LOST, F.col("_lost").isNotNull()).drop("_lost")
+    return ch.selectExpr("*", f"{_status_sql('decided')} AS status", f"{_reason_sql()} AS reason")
+
+
+# -------------------------------------------------------------- claims ---
+
+
+def _moves(ch: DataFrame, claim: DataFrame) -> DataFrame:
+    """(who, at): the accepted changes that take a holder of a claimed name away, other than renames."""
+    ok = ch.where("open_status IS NULL")
+    direct = ok.selectExpr(_sql_case({
+        ("delete_domain",): "concat('domain_name|', target_id)", ("delete_layer",): "concat('layer_name|', target_id)",
+        ("delete_user",): "concat('user_email|', target_id)",
+        ("remove_member", "unassign_user"): "concat('member|', char_length(m_team), '|', m_team, '|', m_email)"}) + " AS who", "seq AS at")
+    # A team takes its domains with it: those that hold a claimed name, or claim one.
+    theirs = claim.select(F.explode(F.array(F.struct("who", F.col("who_team").alias("team")),
+                                            F.struct(F.col("holder").alias("who"), F.col("n_team").alias("team")))).alias("x"))
+    theirs = theirs.select("x.*").where("who IS NOT NULL AND team IS NOT NULL").distinct()
+    teams = ok.where("op = 'delete_team'").groupBy(F.col("target_id").alias("_team")).agg(F.min("seq").alias("at"))
+    cascade = theirs.join(teams, F.col("team") == F.col("_team")).select("who", "at")
+    return direct.where("who IS NOT NULL").union(cascade)
+
+
+def claims(ch: DataFrame) -> DataFrame:
+    """(seq, won): every claim on a unique name, in the order of seq, as a fixpoint over the names still open.
+
+    ``ch`` holds the looked-up changes.  A claim is a create, or a rename of
+    its target; it holds the name if all other rules pass and its target is
+    not deleted by a lower seq.  A round takes each name's first open claim:
+    the name's holder is the last claim that won and holds, or the
+    snapshot's row.  If the holder has moved away since, the claim wins; if
+    it may yet turn out to have moved (a rename that is open itself), the
+    name waits; else the claim loses unless the holder renames itself.  All
+    later claims up to the next possible move of the holder lose in the same
+    round, so a name that a third of all changes claim takes one round, and
+    the rounds grow with the chain of moves, not with the claims.  Rounds
+    are written tables; only a count comes to the driver.
+    """
+    rename = F.col("op").isin("update_domain", "update_layer")
+    kind = F.when(F.col("op") == "add_member", "member").otherwise(F.col("n_kind_"))
+    holder = (F.when(F.col("op") == "add_member", F.when(F.col("m_exists"), F.col("claim_key")))
+              .when(F.col("n_count") == 1, F.concat(F.col("n_kind_"), F.lit("|"), F.col("n_any_id")))
+              # Held by several rows: nobody's move frees it.
+              .when(F.col("n_count") > 1, F.lit("several")))
+    who = (F.when(F.col("op") == "add_member", F.col("claim_key")).when(rename, F.concat(kind, F.lit("|"), F.col("target_id")))
+           .otherwise(F.concat(F.lit("new|"), F.col("op"), F.lit("|"), F.col("seq").cast("string"))))
+    undecided = F.lit(None).cast("boolean")
+    claim = ch.where("claim_key IS NOT NULL AND early_status IS NULL").select(
+        "seq", F.col("claim_key").alias("key"), who.alias("who"), rename.alias("rename"), holder.alias("holder"),
+        F.col("open_status").isNull().alias("holds"), F.when(F.col("n_count") == 1, F.col("n_team")).alias("n_team"),
+        F.when(rename, F.col("tg_team")).when(F.col("op") == "create_domain", F.col("rf_team")).alias("who_team"), undecided.alias("won"))
+    # An assignment sets a membership whether it is free or not.
+    put = F.concat(F.lit("member|"), F.char_length("m_team").cast("string"), F.lit("|"), "m_team", F.lit("|"), "m_email")
+    none = F.lit(None).cast("string")
+    puts = ch.where("op = 'assign_user' AND open_status IS NULL").select(
+        "seq", put.alias("key"), put.alias("who"), F.lit(False).alias("rename"), F.when(F.col("m_exists"), put).alias("holder"),
+        F.lit(True).alias("holds"), none.alias("n_team"), none.alias("who_team"), F.lit(True).alias("won"))
+    claim = claim.union(puts.join(claim.select(F.col("key").alias("_key")).distinct(), F.col("key") == F.col("_key"), "left_semi"))
+    with scratch(ch.sparkSession) as keep:
+        moves = write_and_read(_moves(ch, claim), "claims-moves")
+        gone = moves.groupBy(F.col("who").alias("_who")).agg(F.min("at").alias("gone_at"))
+        claim = claim.join(gone, F.col("who") == F.col("_who"), "left")
+        # A membership's removal frees it; a renamed row's removal before the rename voids the rename's hold.
+        holds = F.col("holds") & ~(F.col("rename") & F.coalesce(F.col("gone_at") < F.col("seq"), F.lit(False)))
+        claim = write_and_read(claim.withColumn("holds", holds)
+                               .select("seq", "key", "who", "rename", "holder", "holds", "won"), "claims-open")
+        while not claim.where("won IS NULL").isEmpty():
+            first = claim.where("won IS NULL").groupBy("key").agg(F.min("seq").alias("s"), F.min_by("who", "seq").alias("w"),
+                                                                  F.min_by("holds", "seq").alias("h"), F.min_by("rename", "seq").alias("ren"))
+            # The holder before s: the last claim that won and holds, else the snapshot's.
+            begun = F.when(F.col("won") & F.col("holds") & (F.col("seq") < F.col("s")), F.col("seq"))
+            held = claim.join(first.select(F.col("key").alias("_key"), "s"), F.col("key") == F.col("_key")).groupBy("key").agg(
+                F.max_by("who", begun).alias("last"), F.max(begun).alias("since"), F.max("holder").alias("holder"))
+            state = first.join(held, "key").select("key", "s", "w", "h", "ren", F.coalesce("last", "holder").alias("owner"),
+                                                   F.coalesce("since", F.lit(-2 ** 63)).alias("since"))
+            # Moves away: deletes, and renames that won (sure) or are open.
+            going = moves.select("who", "at", F.lit(True).alias("sure")).union(
+                claim.where("rename AND holds AND (won IS NULL OR won)").select("who", "seq", F.coalesce("won", F.lit(False))))
+            going = going.select(F.col("who").alias("_who"), "at", "sure")
+            asked = state.select("key", "s", "since", F.explode(F.array_distinct(F.array(F.coalesce("owner", F.lit("")), "w"))).alias("x"))
+            seen = (asked.join(going, F.col("x") == F.col("_who")).groupBy("key", "x").agg(
+                F.min(F.when(F.col("sure") & (F.col("at") > F.col("since")) & (F.col("at") < F.col("s")), F.col("at"))).alias("moved"),
+                F.min(F.when(~F.col("sure") & (F.col("at") > F.col("since")) & (F.col("at") < F.col("s")), F.col("at"))).alias("maybe"),
+                F.min(F.when(F.col("at") > F.col("s"), F.col("at"))).alias("next")))
+            of = lambda side: seen.select(F.col("key").alias(f"_k{side}"), F.col("x").alias(f"_x{side}"),
+                                          *[F.col(c).alias(f"{c}_{side}") for c in ("moved", "maybe", "next")])
+            state = (state.join(of("o"), (F.col("key") == F.col("_ko")) & (F.col("owner") == F.col("_xo")), "left")
+                     .join(of("w"), (F.col("key") == F.col("_kw")) & (F.col("w") == F.col("_xw")), "left"))
+            free = F.col("owner").isNull() | F.col("moved_o").isNotNull()
+            own = F.col("ren") & F.coalesce(F.col("owner") == F.col("w"), F.lit(False))
+            wins = free | own
+            waits = ~wins & F.col("maybe_o").isNotNull()
+            # Who holds the name after s, and when that one may next move.
+            takes = wins & F.col("h")
+            until = F.when(takes, F.coalesce("next_w", F.lit(2 ** 63 - 1))).when(wins, F.col("s")).otherwise(
+                F.coalesce("next_o", F.lit(2 ** 63 - 1)))
+            state = state.where(~waits).select(F.col("key").alias("_key"), "s", wins.alias("wins"), until.alias("until"))
+            now = claim.join(state, F.col("key") == F.col("_key"), "left")
+            open_ = F.col("won").isNull() & F.col("_key").isNotNull()
+            won = (F.when(open_ & (F.col("seq") == F.col("s")), F.col("wins"))
+                   .when(open_ & (F.col("seq") < F.col("until")), F.lit(False)).otherwise(F.col("won")))
+            now = write_and_read(now.select("seq", "key", "who", "rename", "holder", "holds", won.alias("won")), "claims-open")
+            discard(claim)
+            claim = now
+        keep(claim)
+    return claim.select("seq", "won")
 
 
 # -------------------------------------------------------------- effects ---
@@ -571,15 +684,9 @@ def _apply_updates(table: DataFrame, updates: DataFrame, key_cols: list[str], fi
     return joined.select(*out)
 
 
-def _anti(table: DataFrame, keys: DataFrame, left_cols: list[str]) -> DataFrame:
-    k = keys.select(*[F.col(c).alias(f"_d{i}") for i, c in enumerate(keys.columns)]).distinct()
-    cond = reduce(lambda a, b: a & b, [table[lc] == k[f"_d{i}"] for i, lc in enumerate(left_cols)])
-    return table.join(k, cond, "left_anti")
-
-
 # Columns of the decided frame that the effects read.
 DECIDED_COLUMNS = ["seq", "event_at", "actor_email", "op", "target_id", "fields", "status", "reason",
-                   "tg_id", "tg_email", "tg_uid", "tg_name", "tg_owner", "m_exists"]
+                   "tg_id", "tg_email", "tg_uid", "tg_name", "tg_owner", "m_team", "m_email", "m_exists"]
 
 
 def decided(tables: dict[str, DataFrame], changes: DataFrame, materialize: bool = True) -> DataFrame:
@@ -593,29 +700,40 @@ def decided(tables: dict[str, DataFrame], changes: DataFrame, materialize: bool
     return write_and_read(ch, "decided-changes") if materialize else ch
 
 
+#: What a change removes directly, as (kind, key): rows of that kind, and in ``gone`` all that hangs on them.
+GONE_KIND = _sql_case({("delete_team",): "'teams'", ("delete_domain",): "'domains'", ("delete_asset",): "'assets'",
+                       ("delete_layer",): "'data_layers'", ("delete_user",): "'users'"})
+
+
 class ChangedTables(Mapping):
-    """The catalog after a batch; each table's plan is built when first read."""
+    """The catalog after a batch; each table's plan is built when first read.
+
+    ``base`` may hold the tables cut to some of their rows, those that the
+    result is wanted for (``touched`` tells which rows change); lookups over
+    whole tables read ``snapshot``.
+    """
 
-    def __init__(self, snapshot: dict[str, DataFrame], ok: DataFrame):
-        self._snap, self._ok = snapshot, ok
+    def __init__(self, snapshot: dict[str, DataFrame], ok: DataFrame, base: Mapping[str, DataFrame] | None = None,
+                 gone: DataFrame | None = None):
+        self._snap, self._ok, self._base, self._gone = snapshot, ok, base or snapshot, gone
         self._built: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
-            if name not in self._snap:
+            if name not in self._base:
                 raise KeyError(name)
             builder = getattr(self, f"_{name}", None)
-            frame = builder() if builder else self._snap[name]
+            frame = builder() if builder else self._base[name]
             if name in schemas.CATALOG_SCHEMAS:
                 frame = frame.select(*schemas.CATALOG_SCHEMAS[name].fieldNames())
             self._built[name] = frame
         return self._built[name]
 
     def __iter__(self):
-        return iter(self._snap)
+        return iter(self._base)
 
     def __len__(self) -> int:
-        return len(self._snap)
+        return len(self._base)
 
     def acc(self, *ops: str) -> DataFrame:
         """Accepted changes of these ops."""
@@ -623,20 +741,77 @@ class ChangedTables(Mapping):
 
     # --- what goes away (deletes and cascades) ---------------------------
 
-    def gone_teams(self) -> DataFrame:
-        return self.acc("delete_team").select(F.col("target_id").alias("id"))
-
-    def gone_domains(self) -> DataFrame:
-        doms = self._snap["domains"].select("id", "team_id").unionByName(self._domain_inserts().select("id", "team_id"))
-        by_team = doms.join(self.gone_teams().withColumnRenamed("id", "team_id"), "team_id", "left_semi").select("id")
-        return self.acc("delete_domain").select(F.col("target_id").alias("id")).unionByName(by_team)
-
-    def gone_assets(self) -> DataFrame:
-        assets = self._snap["assets"].select("id", "domain_id").unionByName(
-            self._asset_inserts().select("id", "domain_id"))
-        by_domain = assets.join(self.gone_domains().withColumnRenamed("id", "domain_id"), "domain_id",
-                                "left_semi").select("id")
-        return self.acc("delete_asset").select(F.col("target_id").alias("id")).unionByName(by_domain)
+    def gone(self) -> DataFrame:
+        """(table, id, team_id, email): every row that the batch's deletes take, cascades and rows made in the batch included.
+
+        One keyed frame for all tables, written once.  The deletes are the
+        seeds; each table is scanned once, its rows exploded to the keys
+        they hang on, and met with the seeds and what went before it in the
+        order teams, domains, assets, requests; memberships hang on teams
+        and e-mails.  team_id and email are those of a membership.
+        """
+        if self._gone is not None:
+            return self._gone
+        key = lambda kind, col: F.struct(F.lit(kind).alias("kind"), F.col(col).alias("key"))
+        deletes = self._ok.withColumn("kind", F.expr(GONE_KIND)).where("kind IS NOT NULL")
+        seeds = deletes.select("kind", F.col("target_id").alias("key")).union(
+            self.acc("delete_user").select(F.lit("emails"), "tg_email"))
+
+        def hit(rows: DataFrame, keys: list[Column], known: DataFrame, *more: Column) -> DataFrame:
+            # Grouped by a struct of the key: the semi join has an exchange of its own, and AQE can split a hot parent's rows.
+            known = known.where("key IS NOT NULL").groupBy(F.struct("kind", "key").alias("k")).agg(F.count("*").alias("n"))
+            known = known.select(F.col("k.kind").alias("_kind"), F.col("k.key").alias("_key"))
+            asked = rows.select("id", *more, F.explode(F.array(*keys)).alias("a"))
+            return asked.join(known, (F.col("a.kind") == F.col("_kind")) & (F.col("a.key") == F.col("_key")), "left_semi").drop("a").distinct()
+
+        def rows_of(name: str, found: DataFrame) -> DataFrame:
+            member = name == "team_members"
+            none = F.lit(None).cast("string")
+            return found.select(F.lit(name).alias("table"), "id", *((["team_id", "email"]) if member else
+                                                                    [none.alias("team_id"), none.alias("email")]))
+
+        parts = [rows_of(name, seeds.where(F.col("kind") == name).select(F.col("key").alias("id")).distinct())
+                 for name in ("teams", "data_layers", "users")]
+        domains = self._snap["domains"].select("id", "team_id").unionByName(self._domain_inserts().select("id", "team_id"))
+        gone_domains = hit(domains, [key("domains", "id"), key("teams", "team_id")], seeds)
+        assets = self._snap["assets"].select("id", "domain_id").unionByName(self._asset_inserts().select("id", "domain_id"))
+        gone_assets = hit(assets, [key("assets", "id"), key("domains", "domain_id")],
+                          seeds.union(gone_domains.select(F.lit("domains"), "id")))
+        requests = self._snap["access_requests"].select("id", "asset_id").unionByName(self._request_inserts().select("id", "asset_id"))
+        gone_requests = hit(requests, [key("assets", "asset_id")], gone_assets.select(F.lit("assets").alias("kind"), F.col("id").alias("key")))
+        members = self._snap["team_members"].select("id", "team_id", "email").unionByName(
+            self._memberships().where("id IS NOT NULL").select("id", "team_id", "email"))
+        gone_members = hit(members, [key("teams", "team_id"), key("emails", "email")], seeds, F.col("team_id"), F.col("email"))
+        parts += [rows_of("domains", gone_domains), rows_of("assets", gone_assets), rows_of("access_requests", gone_requests),
+                  rows_of("team_members", gone_members)]
+        self._gone = write_and_read(reduce(DataFrame.unionByName, parts), "gone-rows")
+        return self._gone
+
+    def _left(self, name: str, table: DataFrame) -> DataFrame:
+        """``table`` without its gone rows."""
+        gone = self.gone().where(F.col("table") == name).select(F.col("id").alias("_gone"))
+        return table.join(gone, table.id == F.col("_gone"), "left_anti")
+
+    def touched(self) -> DataFrame:
+        """(table, key): what changes, by the key that the table is bucketed by (``BUCKET_KEYS``); a superset, distinct."""
+        gone = self.gone()
+        parts = [gone.where(F.col("table").isin("teams", "domains", "assets", "data_layers", "users")).select("table", F.col("id").alias("key")),
+                 gone.where(F.col("table") == "team_members").select("table", F.col("team_id").alias("key"))]
+        went = gone.where(F.col("table") == "access_requests").select(F.col("id").alias("_id"))
+        requests = self._snap["access_requests"].select("id", "asset_id").join(went, F.col("id") == F.col("_id"), "left_semi")
+        layers = gone.where(F.col("table") == "data_layers").select(F.col("id").alias("_layer"))
+        unclassified = self._snap["assets"].select("id", "layer_id").join(layers, F.col("layer_id") == F.col("_layer"), "left_semi")
+        parts += [requests.select(F.lit("access_requests"), "asset_id"), unclassified.select(F.lit("assets"), "id"),
+                  self._memberships().select(F.lit("team_members"), "team_id")]
+        for name, ops, key in (("assets", ("update_asset", "publish_asset", "unpublish_asset"), F.col("target_id")),
+                               ("domains", ("update_domain",), F.col("target_id")), ("teams", ("update_team",), F.col("target_id")),
+                               ("data_layers", ("update_layer",), F.col("target_id")), ("users", ("set_superadmin",), F.col("target_id")),
+                               ("users", ("update_profile",), F.col("tg_uid")), ("access_requests", ("request_access",), F.col("target_id")),
+                               ("assets", ("create_asset",), new_id("create_asset")), ("domains", ("create_domain",), new_id("create_domain")),
+                               ("teams", ("create_team",), new_id("create_team")), ("data_layers", ("create_layer",), new_id("create_layer")),
+                               ("users", ("register_user",), new_id("register_user"))):
+            parts.append(self.acc(*ops).select(F.lit(name), key))
+        return reduce(DataFrame.union, parts).distinct()
 
     # --- inserts ---------------------------------------------------------
 
@@ -659,11 +834,50 @@ class ChangedTables(Mapping):
             f("team_id").alias("team_id"), F.col("event_at").alias("created_at"),
             F.col("event_at").alias("updated_at"))
 
+    def _request_inserts(self) -> DataFrame:
+        return self.acc("request_access").select(
+            new_id("request_access").alias("id"), F.col("target_id").alias("asset_id"),
+            F.coalesce(f("requester_email"), F.col("actor_email")).alias("requester_email"),
+            F.lit("pending").alias("status"), F.col("event_at").alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("decision_at"))
+
+    def _memberships(self) -> DataFrame:
+        """(team_id, email, id, role, put, removed): what the batch's changes say of each membership.
+
+        id is a new row's: the first one made, or after a removal the last
+        (null if the membership stood at batch start and was not removed);
+        ``put`` is the seq of the last change that makes or sets it,
+        ``removed`` that of the last that removes it; role is the last one
+        set.
+        """
+        team, email, role = F.col("m_team").alias("team_id"), F.col("m_email").alias("email"), F.coalesce(f("role"), F.lit("member"))
+        no_id, no_seq, seq = F.lit(None).cast("string").alias("id"), F.lit(None).cast("long"), F.col("seq")
+
+        def said(ops: tuple, team: Column, email: Column, id_: Column, role: Column, put: Column, removed: Column) -> DataFrame:
+            stood = F.lit(False) if ops == ("create_team",) else F.col("m_exists")
+            return self.acc(*ops).select(team, email, id_, role.alias("role"), put.alias("put"), removed.alias("removed"),
+                                         stood.alias("stood"), seq.alias("at"))
+
+        events = [
+            said(("create_team",), new_id("create_team").alias("team_id"), F.col("actor_email").alias("email"),
+                 new_id("create_team_owner").alias("id"), F.lit("owner"), seq, no_seq),
+            said(("add_member",), team, email, new_id("add_member").alias("id"), role, seq, no_seq),
+            said(("assign_user",), team, email, new_id("assign_user").alias("id"), role, seq, no_seq),
+            said(("change_role",), team, email, no_id, f("role"), no_seq, no_seq),
+            said(("remove_member", "unassign_user"), team, email, no_id, F.lit(None).cast("string"), no_seq, seq)]
+        made = F.when(F.col("id").isNotNull(), F.col("at"))
+        return (reduce(DataFrame.unionByName, events).groupBy("team_id", "email").agg(
+            F.max_by("role", F.when(F.col("role").isNotNull(), F.col("at"))).alias("role"), F.max("put").alias("put"),
+            F.max("removed").alias("removed"), F.bool_or("stood").alias("stood"), F.max_by("id", made).alias("last_id"),
+            F.min_by("id", made).alias("first_id"))
+            .select("team_id", "email", F.when(F.col("removed").isNotNull(), F.col("last_id")).when(~F.col("stood"), F.col("first_id")).alias("id"),
+                    "role", "put", "removed"))
+
     # --- tables ----------------------------------------------------------
 
     def _assets(self) -> DataFrame:
         fields_ = schemas.UPDATABLE_FIELDS["assets"]
-        table = self._snap["assets"].unionByName(self._asset_inserts())
+        table = self._base["assets"].unionByName(self._asset_inserts())
         flag_rows = self.acc("publish_asset", "unpublish_asset").withColumn(
             "fields", F.create_map(F.lit("published"), F.when(_op("publish_asset"), "true").otherwise("false")))
         upd = self.acc("update_asset").withColumn("fields", F.map_filter("fields", lambda k, v: k.isin(*fields_)))
@@ -671,7 +885,7 @@ class ChangedTables(Mapping):
             F.col("target_id").alias("id"), "seq", "event_at", "fields"), ["id"], fields_ + ["published"])
         table = _apply_updates(table, updates, ["id"], fields_ + ["published"],
                                {"quality_score": "double", "published": "boolean"}, stamp="updated_at")
-        table = _anti(table, self.gone_assets(), ["id"])
+        table = self._left("assets", table)
         # Assets of a removed layer become unclassified.
         lay = self.acc("delete_layer").select(F.col("target_id").alias("_gone_layer")).distinct()
         joined = table.join(lay, table.layer_id == lay._gone_layer, "left")
@@ -680,64 +894,46 @@ class ChangedTables(Mapping):
             if c == "layer_id" else table[c] for c in table.columns])
 
     def _access_requests(self) -> DataFrame:
-        inserts = self.acc("request_access").select(
-            new_id("request_access").alias("id"), F.col("target_id").alias("asset_id"),
-            F.coalesce(f("requester_email"), F.col("actor_email")).alias("requester_email"),
-            F.lit("pending").alias("status"), F.col("event_at").alias("created_at"),
-            F.lit(None).cast("timestamp_ntz").alias("decision_at"))
-        table = self._snap["access_requests"].unionByName(inserts)
-        return _anti(table, self.gone_assets(), ["asset_id"])
+        return self._left("access_requests", self._base["access_requests"].unionByName(self._request_inserts()))
 
     def _domains(self) -> DataFrame:
         fields_ = schemas.UPDATABLE_FIELDS["domains"]
-        table = self._snap["domains"].unionByName(self._domain_inserts())
+        table = self._base["domains"].unionByName(self._domain_inserts())
         updates = _last_values(self.acc("update_domain").select(
             F.col("target_id").alias("id"), "seq", "event_at", "fields"), ["id"], fields_)
         table = _apply_updates(table, updates, ["id"], fields_, {}, stamp="updated_at")
-        return _anti(table, self.gone_domains(), ["id"])
+        return self._left("domains", table)
 
     def _teams(self) -> DataFrame:
         fields_ = schemas.UPDATABLE_FIELDS["teams"]
         inserts = self.acc("create_team").select(
             new_id("create_team").alias("id"), f("name").alias("name"),
             F.coalesce(f("description"), F.lit("")).alias("description"), F.lit(False).alias("is_platform"))
-        table = self._snap["teams"].unionByName(inserts)
+        table = self._base["teams"].unionByName(inserts)
         updates = _last_values(self.acc("update_team").select(
             F.col("target_id").alias("id"), "seq", "event_at", "fields"), ["id"], fields_)
         table = _apply_updates(table, updates, ["id"], fields_, {})
-        return _anti(table, self.gone_teams(), ["id"])
+        return self._left("teams", table)
 
     def _team_members(self) -> DataFrame:
-        new_rows = reduce(DataFrame.unionByName, [
-            self.acc("create_team").select(
-                new_id("create_team_owner").alias("id"), new_id("create_team").alias("team_id"),
-                F.col("actor_email").alias("email"), F.lit("owner").alias("role"), "seq"),
-            self.acc("add_member").select(
-                new_id("add_member").alias("id"), F.col("target_id").alias("team_id"), f("email").alias("email"),
-                F.coalesce(f("role"), F.lit("member")).alias("role"), "seq"),
-            self.acc("assign_user").filter(~F.col("m_exists")).select(
-                new_id("assign_user").alias("id"), f("team_id").alias("team_id"), F.col("tg_email").alias("email"),
-                F.coalesce(f("role"), F.lit("member")).alias("role"), "seq"),
-        ])
-        # One new membership per (team, e-mail): first id, last role.
-        inserts = new_rows.groupBy("team_id", "email").agg(
-            F.min_by("id", "seq").alias("id"), F.max_by("role", "seq").alias("role")).select(
-            "id", "team_id", "email", "role")
-        table = self._snap["team_members"].unionByName(inserts)
-        role_rows = self.acc("change_role").select(
-            F.col("target_id").alias("team_id"), f("email").alias("email"), "seq", "event_at",
-            F.create_map(F.lit("role"), f("role")).alias("fields"))
-        assign_rows = self.acc("assign_user").filter(F.col("m_exists")).select(
-            f("team_id").alias("team_id"), F.col("tg_email").alias("email"), "seq", "event_at",
-            F.create_map(F.lit("role"), F.coalesce(f("role"), F.lit("member"))).alias("fields"))
-        updates = _last_values(role_rows.unionByName(assign_rows), ["team_id", "email"], ["role"])
-        table = _apply_updates(table, updates, ["team_id", "email"], ["role"], {})
-        gone = self.acc("remove_member").select(F.col("target_id").alias("team_id"), f("email").alias("email")) \
-            .unionByName(self.acc("unassign_user").select(f("team_id").alias("team_id"),
-                                                            F.col("tg_email").alias("email")))
-        table = _anti(table, self.gone_teams(), ["team_id"])
-        table = _anti(table, gone, ["team_id", "email"])
-        return _anti(table, self.acc("delete_user").select(F.col("tg_email").alias("email")), ["email"])
+        """One full outer join of the memberships with what the batch says of them, removals and cascades included."""
+        said = self._memberships().select("team_id", "email", F.col("id").alias("new_id"), F.col("role").alias("new_role"), "put", "removed",
+                                          F.lit(False).alias("went"))
+        gone = self.gone().where(F.col("table") == "team_members").select("team_id", "email").distinct().withColumn("_went", F.lit(True))
+        said = said.unionByName(gone.select("team_id", "email", F.lit(None).cast("string").alias("new_id"),
+                                            F.lit(None).cast("string").alias("new_role"), F.lit(None).cast("long").alias("put"),
+                                            F.lit(None).cast("long").alias("removed"), F.col("_went").alias("went")))
+        said = said.groupBy(F.struct(F.col("team_id").alias("t"), F.col("email").alias("e")).alias("k")).agg(
+            *[F.max(c).alias(c) for c in ("new_id", "new_role", "put", "removed")], F.bool_or("went").alias("went"))
+        table = self._base["team_members"]
+        out = table.join(said, (table.team_id == F.col("k.t")) & (table.email == F.col("k.e")), "full_outer")
+        # A removal ends the row that stood before it; a later change makes the row anew.
+        ended = F.col("removed").isNotNull()
+        stays = ~F.coalesce("went", F.lit(False)) & (~ended | F.coalesce(F.col("put") > F.col("removed"), F.lit(False)))
+        made = F.col("new_id").isNotNull() & (ended | table.id.isNull())
+        return out.where(stays & (table.id.isNotNull() | table.team_id.isNotNull() | table.email.isNotNull() | made)).select(
+            F.when(made, F.col("new_id")).otherwise(table.id).alias("id"), F.coalesce(table.team_id, F.col("k.t")).alias("team_id"),
+            F.coalesce(table.email, F.col("k.e")).alias("email"), F.coalesce("new_role", table.role).alias("role"))
 
     def _data_layers(self) -> DataFrame:
         fields_ = schemas.UPDATABLE_FIELDS["data_layers"]
@@ -749,13 +945,13 @@ class ChangedTables(Mapping):
             F.coalesce(f("color"), F.lit(vocab.DEFAULT_LAYER_COLOR)).alias("color"), "seq",
             F.col("event_at").alias("created_at")), "seq", "_ord").select(
             "id", "name", "color", (last + F.col("_ord")).cast("int").alias("position"), "created_at")
-        table = self._snap["data_layers"].unionByName(inserts)
+        table = self._base["data_layers"].unionByName(inserts)
         rows = self.acc("update_layer").withColumn(
             "fields", F.transform_values("fields", lambda k, v: F.when(k == "name", F.trim(v)).otherwise(v)))
         updates = _last_values(rows.select(F.col("target_id").alias("id"), "seq", "event_at", "fields"),
                                ["id"], fields_)
         table = _apply_updates(table, updates, ["id"], fields_, {"position": "int"})
-        return _anti(table, self.acc("delete_layer").select(F.col("target_id").alias("id")), ["id"])
+        return self._left("data_layers", table)
 
     def _users(self) -> DataFrame:
         signups = self.acc("register_user")
@@ -766,7 +962,7 @@ class ChangedTables(Mapping):
             (first_ever & F.col("actor_email").isNull() & (F.col("seq") == first_signup)).alias("is_superadmin"),
             F.coalesce(f("name"), F.lit("")).alias("name"), F.lit("").alias("avatar"),
             F.col("event_at").alias("created_at"))
-        table = self._snap["users"].unionByName(inserts)
+        table = self._base["users"].unionByName(inserts)
         admin_rows = self.acc("set_superadmin").select(
             F.col("target_id").alias("id"), "seq", "event_at",
             F.create_map(F.lit("is_superadmin"),
@@ -779,7 +975,7 @@ class ChangedTables(Mapping):
         updates = _last_values(admin_rows.unionByName(profile_rows), ["id"], ["is_superadmin", "name", "avatar"])
         table = _apply_updates(table, updates, ["id"], ["is_superadmin", "name", "avatar"],
                                {"is_superadmin": "boolean"})
-        return _anti(table, self.acc("delete_user").select(F.col("target_id").alias("id")), ["id"])
+        return self._left("users", table)
 
 
 def decisions_of(ch: DataFrame) -> DataFrame:
@@ -799,31 +995,31 @@ def apply_changes(tables: dict[str, DataFrame], changes: DataFrame,
     ``batch`` names the change set: ids of created rows hold it, so two sets
     with equal seqs create different rows.
     """
+    # A record's own field of that name never gets into an id.
+    own = F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, _: k != BATCH_FIELD)
     if batch is not None:
-        own = F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, _: k != BATCH_FIELD)
-        changes = changes.withColumn("fields", F.map_concat(own, F.create_map(F.lit(BATCH_FIELD), F.lit(batch))))
+        own = F.map_concat(own, F.create_map(F.lit(BATCH_FIELD), F.lit(batch)))
+    changes = changes.withColumn("fields", own)
     ch = decided(tables, changes, materialize)
     return ChangedTables(tables, ch.filter(F.col("status") < 300)), decisions_of(ch)
 
 
-def ordinal(df: DataFrame, order_col: str, out_col: str, bucket: int = 1 << 20) -> DataFrame:
-    """1-based position of each row by ``order_col`` (unique), without a global window.
+def ordinal(df: DataFrame, order_col: str, out_col: str) -> DataFrame:
+    """1-based position of each row by ``order_col`` (unique), whatever its values, without a window over all rows.
 
-    Rows are grouped into ranges of ``bucket`` consecutive order values (a
-    range holds at most ``bucket`` rows); a row's ordinal is its rank inside
-    its range plus the row count of all earlier ranges.  Only the per-range
-    counts (one row per non-empty range) meet in one place.
+    The rows are written in range partitions of the order; a row's position
+    is its rank in its range plus the rows of the ranges before.  Only the
+    count of each range comes to the driver.
     """
-    from pyspark.sql import Window
-
-    b = df.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(bucket)))
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                              F.lit(0))).select("_bucket", "_offset")
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col))
-    return b.withColumn("_within", within).join(offsets, "_bucket").withColumn(
-        out_col, F.col("_offset") + F.col("_within")).drop("_bucket", "_within", "_offset")
+    ranged = write_and_read(df.repartitionByRange(F.col(order_col)).withColumn("_range", F.spark_partition_id()), "ranged-rows")
+    earlier, before = 0, {}
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        before[r["_range"]] = earlier
+        earlier += r["count"]
+    offsets = df.sparkSession.createDataFrame(sorted(before.items()), "_in int, _offset long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order_col))
+    return (ranged.withColumn("_within", within).join(F.broadcast(offsets), F.col("_range") == F.col("_in"))
+            .withColumn(out_col, F.col("_offset") + F.col("_within")).drop("_range", "_in", "_within", "_offset"))
 
 
 def notifications(tables: dict[str, DataFrame], changes: DataFrame,
