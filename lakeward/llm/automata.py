@@ -104,6 +104,19 @@ class Automaton:
             out[same] = self.weights[at[same]]
         return out
 
+    def weights_of(self, other: Automaton) -> np.ndarray:
+        """Composition with an automaton: the weight that this one gives to each path of the other, 0 where it accepts none."""
+        if len(self.alphabet) >= PACKED - 1:
+            return self.compose(other.grams)
+        place = np.searchsorted(self.alphabet, other.alphabet)
+        known = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == other.alphabet
+        # A word unknown here stands where no path has one.
+        place = np.where(known, place, PACKED - 1)
+        own, asked = _pack(self.ids.astype(np.int64)), _pack(place[other.ids])
+        at = np.searchsorted(own, asked)
+        same = np.append(own, -1)[at] == asked
+        return np.where(same, np.append(self.weights, 0)[at], 0)
+
     def _find(self, asked: np.ndarray) -> np.ndarray:
         """For each n-gram of codes the first path that is not before it: a binary search among the arcs, level by level."""
         place = np.searchsorted(self.alphabet, asked)
@@ -158,6 +171,10 @@ class Automaton:
         return cls(alphabet, ids, arrays[2].astype(np.int64))
 
 
+def _pack(w: np.ndarray) -> np.ndarray:
+    return (w[:, 0] << 42) | (w[:, 1] << 21) | w[:, 2]
+
+
 def _unpack(keys: np.ndarray) -> np.ndarray:
     low = PACKED - 1
     return np.stack([keys >> 42, (keys >> 21) & low, keys & low], axis=1).astype(np.int32)
@@ -167,9 +184,8 @@ def _sums(ids: np.ndarray, weights: np.ndarray, words: int, how) -> tuple[np.nda
     """Distinct paths in order, with the sums (or maxima) of their weights."""
     if not len(ids):
         return ids, weights
-    if words < PACKED:
-        w = ids.astype(np.int64)
-        keys = (w[:, 0] << 42) | (w[:, 1] << 21) | w[:, 2]
+    if words < PACKED - 1:
+        keys = _pack(ids.astype(np.int64))
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))

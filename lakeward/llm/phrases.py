@@ -52,11 +52,11 @@ from lakeward.session import discard
 MIN = 10
 COVER = 50
 TOP = 2000
-TOKENS = 500_000
+TOKENS = 750_000
 #: Bytes of a text that are split into words at once.
 SLICE = 1 << 19
 #: n-grams of a prefix range, before equal ones of several shards are united.
-RANGE = 500_000
+RANGE = 1_000_000
 #: n-grams that a shard shows for the ranges' bounds, and about how many shards are looked at.
 SHOWN, SHARDS = 64, 1024
 
@@ -320,10 +320,10 @@ def level(rows: DataFrame, length: int, stayed: DataFrame | None, least: int, pe
             return
         for shard, blob in kept:
             part = Automaton.from_bytes(blob)
-            weights = whole.compose(part.grams)
+            weights = whole.weights_of(part)
             part = Automaton(part.alphabet, part.ids, weights).take(weights > 0)
             if len(part):
-                yield [(shard, length, *_columns(part), None, None)]
+                yield [(shard, length, part.to_bytes(), len(part), None, None, None)]
 
     pieces = counted.select("shard", "blob").mapInArrow(cut, "range int, shard long, blob binary")
     out = written(_by_range(pieces, "range", [], close, _LEVEL), f"phrases-level-{length}")
@@ -413,7 +413,7 @@ def scored(ranges: DataFrame, splits: np.ndarray, cover: int = COVER) -> DataFra
             if whence < 0:
                 own = other
                 continue
-            counts = own.compose(other.grams)
+            counts = own.weights_of(other)
             lies = (other.ids[:, 1] > 0) & (100 * other.weights >= cover * counts)
             if lies.any():
                 covered.append(other.take(lies))

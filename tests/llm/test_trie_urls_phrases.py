@@ -272,3 +272,5 @@ def test_automata():
         asked = np.concatenate([g[:50], rng.integers(0, 9, (50, 3)).astype(np.uint64)])
         known = dict(zip(paths, a.weights.tolist(), strict=True))
         assert a.compose(asked).tolist() == [known.get(tuple(x), 0) for x in asked.tolist()]
+        other = Automaton.build(asked, np.ones(len(asked), int))
+        assert a.weights_of(other).tolist() == [known.get(tuple(x), 0) for x in other.grams.tolist()]
