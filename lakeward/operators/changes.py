@@ -792,8 +792,12 @@ class ChangedTables(Mapping):
         gone = self.gone().where(F.col("table") == name).select(F.col("id").alias("_gone"))
         return table.join(gone, table.id == F.col("_gone"), "left_anti")
 
+    def on(self, base: Mapping[str, DataFrame]) -> ChangedTables:
+        """The same changes on tables cut to some of their rows."""
+        return ChangedTables(self._snap, self._ok, base, self.gone())
+
     def touched(self) -> DataFrame:
-        """(table, key): what changes, by the key that the table is bucketed by (``BUCKET_KEYS``); a superset, distinct."""
+        """(table, key): what changes, by the key that the store buckets the table by; a superset, distinct."""
         gone = self.gone()
         parts = [gone.where(F.col("table").isin("teams", "domains", "assets", "data_layers", "users")).select("table", F.col("id").alias("key")),
                  gone.where(F.col("table") == "team_members").select("table", F.col("team_id").alias("key"))]
@@ -811,7 +815,7 @@ class ChangedTables(Mapping):
                                ("teams", ("create_team",), new_id("create_team")), ("data_layers", ("create_layer",), new_id("create_layer")),
                                ("users", ("register_user",), new_id("register_user"))):
             parts.append(self.acc(*ops).select(F.lit(name), key))
-        return reduce(DataFrame.union, parts).distinct()
+        return reduce(DataFrame.union, parts).where("key IS NOT NULL").distinct()
 
     # --- inserts ---------------------------------------------------------
 

@@ -1,15 +1,11 @@
-"""Integrity jobs, the streams, and the driver contract."""
+"""Integrity jobs and the driver contract."""
 
 from __future__ import annotations
 
-import datetime as dt
 import os
-import tempfile
 
 from lakeward.operators import quality
-from lakeward.sources import schemas, store
-from lakeward.streaming.streams import change_stream, request_decisions, request_stream
-from tests.conftest import ADMIN, GHOST, LONER, M_ANALYST, T0, frames, sample_rows
+from tests.conftest import GHOST, LONER, T0, frames, sample_rows
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -51,60 +47,6 @@ def test_unknown_types(spark):
     assert got == [("A1", "x", "INT"), ("A2", "p", "INT64"), ("A3", "s", "integer")]
 
 
-def test_request_stream(spark, sample):
-    folder = tempfile.mkdtemp(prefix="lakeward-reqs-")
-    src = f"{folder}/src"
-    rows = [(1, T0, LONER, "request_access", "A1", {"message": "hi"}),
-            (2, T0, LONER, "request_access", "AX", {}),
-            (3, T0, M_ANALYST, "publish_asset", "A2", {})]
-    spark.createDataFrame(rows, schemas.CHANGES).write.parquet(src)
-    stream = spark.readStream.schema(schemas.CHANGES).parquet(src)
-    q = request_stream(stream, sample["assets"], f"{folder}/out", f"{folder}/ckpt")
-    q.awaitTermination()
-    out = {r.seq: (r.status, r.notify_to is not None) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert out == {1: (201, True), 2: (404, False)}
-    # the same function decides a batch frame identically
-    batch = request_decisions(spark.createDataFrame(rows[:2], schemas.CHANGES), sample["assets"])
-    assert {r.seq: r.status for r in batch.collect()} == {1: 201, 2: 404}
-
-
-def test_change_stream_commits_one_version_per_batch(spark, sample):
-    folder = tempfile.mkdtemp(prefix="lakeward-changes-")
-    root, src = f"{folder}/store", f"{folder}/src"
-    store.write_snapshot(sample, root, 0)
-    rows = [(1, T0, M_ANALYST, "publish_asset", "A2", {}),
-            (2, T0 + dt.timedelta(seconds=1), ADMIN, "delete_asset", "A3", {})]
-    spark.createDataFrame(rows, schemas.CHANGES).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(schemas.CHANGES).parquet(src)
-    change_stream(stream, root, f"{folder}/ckpt").awaitTermination()
-    assert store.latest_version(spark, root) == 1
-    snap = store.read_snapshot(spark, root)
-    assert {r.id: r.published for r in snap["assets"].collect()} == {"A1": True, "A2": True}
-    assert sorted(r.id for r in snap["access_requests"].collect()) == ["R1", "R2"]
-    decisions = spark.read.parquet(f"{root}/v=1/decisions")
-    assert {r.seq: r.status for r in decisions.collect()} == {1: 200, 2: 204}
-    # Restarting on the same checkpoint finds nothing new and writes nothing again.
-    change_stream(spark.readStream.schema(schemas.CHANGES).parquet(src), root, f"{folder}/ckpt").awaitTermination()
-    assert store.latest_version(spark, root) == 1
-
-
-def test_change_stream_loses_no_batch_on_an_older_store(spark, sample):
-    folder = tempfile.mkdtemp(prefix="lakeward-changes-")
-    root, src = f"{folder}/store", f"{folder}/src"
-    store.write_snapshot(sample, root, 3)
-    rows = [(1, T0, M_ANALYST, "publish_asset", "A2", {}),
-            (2, T0, M_ANALYST, "request_access", "A1", {"requester_email": LONER})]
-    spark.createDataFrame(rows, schemas.CHANGES).coalesce(1).write.parquet(src)
-    for version, checkpoint in ((4, "one"), (5, "two")):  # another stream's first batch is no replay of the first's
-        change_stream(spark.readStream.schema(schemas.CHANGES).parquet(src), root, f"{folder}/{checkpoint}").awaitTermination()
-        assert store.latest_version(spark, root) == version
-    snap = store.read_snapshot(spark, root)
-    assert {r.id: r.published for r in snap["assets"].collect()}["A2"] is True
-    ids = [r.id for r in snap["access_requests"].collect()]
-    assert len(ids) == len(set(ids)) == 5 and {"request-4-2", "request-5-2"} <= set(ids)
-    assert store.batch_committed(spark, root, f"{folder}/one", 0) and not store.batch_committed(spark, root, f"{folder}/one", 1)
-
-
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 
