@@ -608,41 +608,42 @@ def claims(ch: DataFrame) -> DataFrame:
         claim = write_and_read(claim.withColumn("holds", holds)
                                .select("seq", "key", "who", "rename", "holder", "holds", "won"), "claims-open")
         while not claim.where("won IS NULL").isEmpty():
-            first = claim.where("won IS NULL").groupBy("key").agg(F.min("seq").alias("s"), F.min_by("who", "seq").alias("w"),
-                                                                  F.min_by("holds", "seq").alias("h"), F.min_by("rename", "seq").alias("ren"))
+            seq, holds = F.col("seq"), F.when(F.col("holds"), F.col("seq"))
+            # Each name's first open claim (s, by w), and its first that would hold it (hs, by wh).
+            first = claim.where("won IS NULL").groupBy("key").agg(
+                F.min(seq).alias("s"), F.min_by("who", seq).alias("w"), F.min_by("holds", seq).alias("h"), F.min_by("rename", seq).alias("ren"),
+                F.min(holds).alias("hs"), F.min_by("who", holds).alias("wh"))
             # The holder before s: the last claim that won and holds, else the snapshot's.
-            begun = F.when(F.col("won") & F.col("holds") & (F.col("seq") < F.col("s")), F.col("seq"))
+            begun = F.when(F.col("won") & F.col("holds") & (seq < F.col("s")), seq)
             held = claim.join(first.select(F.col("key").alias("_key"), "s"), F.col("key") == F.col("_key")).groupBy("key").agg(
                 F.max_by("who", begun).alias("last"), F.max(begun).alias("since"), F.max("holder").alias("holder"))
-            state = first.join(held, "key").select("key", "s", "w", "h", "ren", F.coalesce("last", "holder").alias("owner"),
-                                                   F.coalesce("since", F.lit(-2 ** 63)).alias("since"))
+            state = first.join(held, "key").withColumn("owner", F.coalesce("last", "holder")).withColumn(
+                "since", F.coalesce("since", F.lit(-2 ** 63)))
             # Moves away: deletes, and renames that won (sure) or are open.
             going = moves.select("who", "at", F.lit(True).alias("sure")).union(
                 claim.where("rename AND holds AND (won IS NULL OR won)").select("who", "seq", F.coalesce("won", F.lit(False))))
-            going = going.select(F.col("who").alias("_who"), "at", "sure")
-            asked = state.select("key", "s", "since", F.explode(F.array_distinct(F.array(F.coalesce("owner", F.lit("")), "w"))).alias("x"))
-            seen = (asked.join(going, F.col("x") == F.col("_who")).groupBy("key", "x").agg(
-                F.min(F.when(F.col("sure") & (F.col("at") > F.col("since")) & (F.col("at") < F.col("s")), F.col("at"))).alias("moved"),
-                F.min(F.when(~F.col("sure") & (F.col("at") > F.col("since")) & (F.col("at") < F.col("s")), F.col("at"))).alias("maybe"),
-                F.min(F.when(F.col("at") > F.col("s"), F.col("at"))).alias("next")))
-            of = lambda side: seen.select(F.col("key").alias(f"_k{side}"), F.col("x").alias(f"_x{side}"),
-                                          *[F.col(c).alias(f"{c}_{side}") for c in ("moved", "maybe", "next")])
-            state = (state.join(of("o"), (F.col("key") == F.col("_ko")) & (F.col("owner") == F.col("_xo")), "left")
-                     .join(of("w"), (F.col("key") == F.col("_kw")) & (F.col("w") == F.col("_xw")), "left"))
-            free = F.col("owner").isNull() | F.col("moved_o").isNotNull()
-            own = F.col("ren") & F.coalesce(F.col("owner") == F.col("w"), F.lit(False))
-            wins = free | own
-            waits = ~wins & F.col("maybe_o").isNotNull()
-            # Who holds the name after s, and when that one may next move.
-            takes = wins & F.col("h")
-            until = F.when(takes, F.coalesce("next_w", F.lit(2 ** 63 - 1))).when(wins, F.col("s")).otherwise(
-                F.coalesce("next_o", F.lit(2 ** 63 - 1)))
-            state = state.where(~waits).select(F.col("key").alias("_key"), "s", wins.alias("wins"), until.alias("until"))
+            side = lambda name, x, after: F.struct(F.lit(name).alias("side"), F.col(x).alias("x"), F.col(after).alias("after"))
+            asked = state.select("key", "s", "since", F.inline(F.array(side("o", "owner", "s"), side("w", "w", "s"), side("h", "wh", "hs"))))
+            before = (F.col("at") > F.col("since")) & (F.col("at") < F.col("s"))
+            seen = asked.join(going, F.col("x") == F.col("who")).groupBy(F.col("key").alias("_key")).agg(
+                F.min(F.when((F.col("side") == "o") & before & F.col("sure"), F.col("at"))).alias("moved"),
+                F.min(F.when((F.col("side") == "o") & before & ~F.col("sure"), F.col("at"))).alias("maybe"),
+                *[F.min(F.when((F.col("side") == x) & (F.col("at") > F.col("after")), F.col("at"))).alias(f"next_{x}") for x in "owh"])
+            state = state.join(seen, F.col("key") == F.col("_key"), "left").drop("_key")
+            free = F.col("owner").isNull() | F.col("moved").isNotNull()
+            own = ~free & F.col("ren") & (F.col("owner") == F.col("w"))
+            ever = F.lit(2 ** 63 - 1)
+            state = state.where(free | own | F.col("maybe").isNull()).select(
+                F.col("key").alias("_key"), F.when(free, "free").when(own, "own").otherwise("held").alias("is"), "s", "h",
+                F.coalesce("hs", ever).alias("hs"), *[F.coalesce(f"next_{x}", ever).alias(f"next_{x}") for x in "owh"])
             now = claim.join(state, F.col("key") == F.col("_key"), "left")
-            open_ = F.col("won").isNull() & F.col("_key").isNotNull()
-            won = (F.when(open_ & (F.col("seq") == F.col("s")), F.col("wins"))
-                   .when(open_ & (F.col("seq") < F.col("until")), F.lit(False)).otherwise(F.col("won")))
-            now = write_and_read(now.select("seq", "key", "who", "rename", "holder", "holds", won.alias("won")), "claims-open")
+            # A free name goes to the first that would hold it; an own one stays; then all lose until the holder may move.
+            wins = F.when(F.col("is") == "free", seq <= F.col("hs")).when(F.col("is") == "own", seq == F.col("s")).otherwise(F.lit(False))
+            loses = (F.when(F.col("is") == "free", seq < F.col("next_h")).when(F.col("is") == "own", F.col("h") & (seq < F.col("next_w")))
+                     .when(F.col("is") == "held", seq < F.col("next_o")).otherwise(F.lit(False)))
+            won = F.when(F.col("won").isNull() & F.col("_key").isNotNull() & wins, F.lit(True)).when(
+                F.col("won").isNull() & F.col("_key").isNotNull() & loses, F.lit(False)).otherwise(F.col("won"))
+            now = write_and_read(now.select("seq", "key", "who", "rename", "holder", claim.holds, won.alias("won")), "claims-open")
             discard(claim)
             claim = now
         keep(claim)

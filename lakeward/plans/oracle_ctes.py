@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from lakeward.sources.projection import FULL_LOG
+
 # The projection rules of FIXTURES.md §2, as DuckDB SQL.
 CTES: dict[str, str] = {
     "teams": """SELECT concat('T',n_nationkey) id, n_name name,
@@ -59,6 +61,14 @@ FROM (SELECT l_orderkey,l_partkey,max(l_shipdate) s FROM lineitem GROUP BY l_ord
 FROM events JOIN customer ON c_custkey=user_id""",
 }
 
+CTES["full_log"] = """SELECT e seq, ts event_at, {columns}
+FROM (SELECT event_id e, event_id // 24 m, user_id u, c_nationkey nat, ts,
+        concat(lower(replace(c_name,'#','.')),'@example.com') own
+      FROM events JOIN customer ON c_custkey=user_id),
+     (SELECT count(*) n_cust, min(CASE WHEN c_nationkey = 0 AND c_custkey % 10 <> 9
+        THEN concat(lower(replace(c_name,'#','.')),'@example.com') END) plat FROM customer),
+     (SELECT count(*) n_supp FROM supplier)""".format(columns=",\n  ".join(f"{x} {c}" for c, x in FULL_LOG.items()))
+
 _WORD = re.compile(r"[a-z_]+")
 
 

@@ -141,7 +141,88 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "ELSE CAST(map() AS MAP<STRING, STRING>) END AS fields")
 
 
+# Change records of all 24 ops: the columns of ``full_log`` over an event (e its id, m = e div 24, u its user) and its
+# customer (own e-mail, nat); n_cust, n_supp and plat (a platform member's e-mail) are the same for all.  The text is
+# read by Spark and, as a CTE, by the oracle.
+OPS_IN_ORDER = ("create_asset", "update_asset", "delete_asset", "publish_asset", "unpublish_asset", "create_domain", "update_domain",
+                "delete_domain", "create_team", "update_team", "delete_team", "add_member", "change_role", "remove_member", "assign_user",
+                "unassign_user", "create_layer", "update_layer", "delete_layer", "register_user", "set_superadmin", "delete_user",
+                "update_profile", "request_access")
+_CUSTOMER = "concat('customer.', lpad(CAST({k} AS STRING), 9, '0'), '@example.com')"
+
+
+def _by_op(**values: str) -> str:
+    whens = " ".join(f"WHEN {OPS_IN_ORDER.index(op)} THEN {value}" for op, value in values.items())
+    return f"CASE e % 24 {whens} END"
+
+
+_ROLE = "CASE m % 8 WHEN 0 THEN 'owner' WHEN 1 THEN NULL WHEN 2 THEN 'manager' ELSE 'member' END"
+_SOME_TEAM = "concat('T', m % 27)"
+_OWN_TEAM = "concat('T', nat)"
+_SOME_ASSET = "concat('A', u * 14 + m % 16)"
+FULL_LOG = {
+    "actor_email": "CASE WHEN e % 24 = 22 AND m % 12 = 5 THEN 'ghost@example.com' ELSE CASE (m * 3 + e % 24) % 8 WHEN 0 THEN NULL "
+                   f"WHEN 1 THEN {_CUSTOMER.format(k=1)} WHEN 2 THEN {_CUSTOMER.format(k=1)} WHEN 3 THEN plat WHEN 4 THEN plat ELSE own END END",
+    "op": "CASE e % 24 " + " ".join(f"WHEN {k} THEN '{op}'" for k, op in enumerate(OPS_IN_ORDER)) + " END",
+    "target_id": _by_op(
+        update_asset=_SOME_ASSET, delete_asset=_SOME_ASSET, publish_asset=_SOME_ASSET, unpublish_asset=_SOME_ASSET,
+        update_domain="concat('D', (m * 7) % (n_supp + 2))", delete_domain="concat('D', (m * 11 + 3) % 17 * 6)",
+        update_team=_SOME_TEAM, delete_team="CASE WHEN m % 4 = 0 THEN 'T0' ELSE concat('T', 20 + m % 7) END",
+        add_member=_SOME_TEAM, change_role=_OWN_TEAM, remove_member=_OWN_TEAM,
+        assign_user="concat('U', (m * 17) % (n_cust + 2))", unassign_user="concat('U', CASE WHEN m % 9 = 0 THEN n_cust + 5 ELSE u END)",
+        update_layer="concat('L', m % 7)", delete_layer="concat('L', 2 + m % 5)",
+        set_superadmin="CASE WHEN m % 6 = 0 THEN 'U1' ELSE concat('U', (m * 5) % (n_cust + 2)) END",
+        delete_user="CASE WHEN m % 7 = 0 THEN 'U1' ELSE concat('U', 2 + (m * 3) % (n_cust + 2)) END", request_access=_SOME_ASSET),
+    "f_name": _by_op(
+        create_asset="CASE WHEN m % 9 = 4 THEN '' ELSE concat('New asset ', e) END",
+        create_domain="CASE WHEN m % 17 = 5 THEN '' WHEN m % 3 = 0 THEN concat('Supplier#', lpad(CAST(m % (n_supp + 3) AS STRING), 9, '0')) "
+                      "ELSE concat('Name ', m % 40) END",
+        update_domain="CASE WHEN m % 5 IN (2, 3) THEN concat('Renamed ', e) END",
+        create_team="CASE WHEN m % 9 = 4 THEN '' ELSE concat('Team ', e) END", update_team="CASE WHEN m % 4 = 0 THEN concat('Team name ', e) END",
+        create_layer="CASE m % 7 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN 'Asia' WHEN 3 THEN ' europe ' ELSE concat(' Layer ', m % 30, ' ') END",
+        update_layer="CASE m % 6 WHEN 0 THEN concat('L name ', e) WHEN 1 THEN '  ' END",
+        register_user="CASE WHEN m % 2 = 0 THEN concat('N ', e) END",
+        update_profile="CASE m % 5 WHEN 0 THEN concat('  P ', e, ' ') WHEN 1 THEN repeat('x', 129) END"),
+    "f_description": _by_op(update_domain="CASE WHEN m % 5 = 1 THEN concat('About ', e) END", create_team="CASE WHEN m % 2 = 0 THEN concat('D ', e) END",
+                            update_team="CASE WHEN m % 4 = 1 THEN concat('D ', e) END"),
+    "f_domain_id": _by_op(create_asset="concat('D', m % (n_supp + 2))"),
+    "f_quality_score": _by_op(create_asset="CASE m % 7 WHEN 1 THEN 'abc' WHEN 2 THEN '0.5' END", update_asset="CASE m % 7 WHEN 3 THEN 'abc' WHEN 4 THEN '0.25' END"),
+    "f_freshness": _by_op(update_asset="CASE m % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'hourly' END"),
+    "f_team_id": _by_op(create_domain="CASE WHEN m % 6 = 1 THEN 'T99' ELSE concat('T', nat % 20) END",
+                        assign_user=f"CASE WHEN m % 13 <> 0 THEN {_SOME_TEAM} END", unassign_user=f"CASE WHEN m % 13 <> 0 THEN {_OWN_TEAM} END"),
+    "f_email": _by_op(add_member=f"CASE WHEN m % 15 <> 7 THEN {_CUSTOMER.format(k='(m * 13) % (n_cust + 2)')} END", change_role="own",
+                      remove_member="CASE WHEN m % 10 <> 9 THEN own END",
+                      register_user=f"CASE m % 8 WHEN 0 THEN '' WHEN 1 THEN {_CUSTOMER.format(k='m % n_cust')} "
+                                    f"WHEN 2 THEN {_CUSTOMER.format(k='m % n_cust')} ELSE concat('new', m % 50, '@example.com') END"),
+    "f_role": _by_op(add_member=_ROLE, assign_user=_ROLE,
+                     change_role="CASE m % 6 WHEN 0 THEN 'owner' WHEN 1 THEN NULL WHEN 2 THEN 'manager' WHEN 3 THEN 'manager' ELSE 'member' END"),
+    "f_color": _by_op(create_layer="CASE WHEN m % 2 = 0 THEN '#111111' END", update_layer="CASE WHEN m % 6 = 2 THEN '#222222' END"),
+    "f_position": _by_op(update_layer="CASE m % 6 WHEN 3 THEN '7' WHEN 4 THEN 'x' END"),
+    "f_promote": _by_op(set_superadmin="CASE m % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' WHEN 4 THEN 'false' END"),
+    "f_avatar": _by_op(update_profile="CASE m % 5 WHEN 2 THEN 'http://x' WHEN 3 THEN 'data:image/png;base64,AA' END"),
+    "f_requester_email": _by_op(request_access="CASE WHEN m % 4 = 0 THEN 'guest@example.com' END"),
+}
+
+
+def full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change records of all 24 ops in the ``schemas.CHANGES`` shape, one per event."""
+    events, customer = read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer")
+    own = EMAIL_SQL.format(c="c_name")
+    # Two counts and one e-mail, the same for all records.
+    n_cust, plat = customer.agg(F.count(F.lit(1)), F.min(F.expr(
+        f"CASE WHEN c_nationkey = 0 AND c_custkey % 10 <> 9 THEN {own} END"))).first()
+    n_supp = read_table(spark, sf_dir, "supplier").count()
+    rows = (events.join(customer, customer.c_custkey == events.user_id)
+            .select(*_x("event_id AS e", "event_id div 24 AS m", "user_id AS u", "c_nationkey AS nat", f"{own} AS own", "ts"),
+                    F.lit(n_cust).alias("n_cust"), F.lit(plat).cast("string").alias("plat"), F.lit(n_supp).alias("n_supp")))
+    flat = rows.select(F.col("e").alias("seq"), F.col("ts").alias("event_at"), *[F.expr(x).alias(c) for c, x in FULL_LOG.items()])
+    names = [c for c in FULL_LOG if c.startswith("f_")]
+    fields = F.map_filter(F.create_map(*[x for c in names for x in (F.lit(c[2:]), F.col(c))]), lambda k, v: v.isNotNull())
+    return flat.select("seq", "event_at", "actor_email", "op", "target_id", fields.alias("fields"))
+
+
 PROJECTIONS = {
+    "full_log": full_log,
     "teams": teams,
     "users": users,
     "team_members": team_members,
