@@ -81,6 +81,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def told_apart(rows: DataFrame, key: str, proof: str, label: str) -> DataFrame:
+    """``rows`` with a key of its own for each (key, proof): things are one if both hashes of theirs agree."""
+    clash = rows.where(F.col(key).isNotNull()).groupBy(F.struct(key).alias("k")).agg(F.min(proof).alias("_low"), F.max(proof).alias("_high"))
+    clash = written(clash.where("_low < _high").select(F.col(f"k.{key}").alias("_key"), "_low"), f"{label}-clashes")
+    if clash.isEmpty():
+        return rows
+    other = F.col("_low").isNotNull() & (F.col(proof) > F.col("_low"))
+    return written(rows.join(clash, F.col(key) == F.col("_key"), "left")
+                   .withColumn(key, F.when(other, F.xxhash64(key, proof)).otherwise(F.col(key))).select(rows.columns), f"{label}-apart")
+
+
 def _min_neighbour(edges: DataFrame) -> DataFrame:
     """(u, v, m): m is the smallest of u and all its neighbours.
 

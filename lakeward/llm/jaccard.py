@@ -13,7 +13,7 @@ work is on classes.
    and the links' connected components are found (distributed union-find).
    A component is only a place to compare in.
 3. Inside a component all classes are compared on their full sets: blocks
-   of ``BLOCK`` classes, one task per pair of blocks, sparse counting in
+   of about ``BLOCK`` classes or ``BLOCK_GRAMS`` n-grams, one task per pair of blocks, sparse counting in
    numpy.  A task gives out counts of links and a spanning forest, never
    the pairs; a third of all rows in one component makes more tasks, not
    larger ones.
@@ -36,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import components, document_key, python_batches, table, written
+from lakeward.llm import common
+from lakeward.llm.common import components, document_key, python_batches, step, table, written
 
 N = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 BLOCK = 512
+#: n-grams of a block's classes, about.
+BLOCK_GRAMS = 1 << 21
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -84,21 +87,26 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: str | None, n: int = N, lane: int = 0) -> np.ndarray:
-    """The distinct n-word runs of a text as sorted 64-bit hashes; the other lane has hashes independent of these."""
+def word_runs(text: str | None, n: int = N, lanes: int = 2) -> np.ndarray:
+    """The n-word runs of a text in order, as 64-bit hashes in one lane, or in two independent ones."""
     global _words
     found = _WORDS((text or "").lower())
     if len(_words) > 300_000:
         _words = _Words()
     index = np.fromiter(map(_words.__getitem__, found), np.int64, len(found))
-    w = _words.rows[lane][index]
-    if not len(w):
+    w = _words.rows[:lanes, index]
+    if not w.shape[1]:
         return w
-    k = min(n, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
+    k = min(n, w.shape[1])
+    h = np.full((lanes, w.shape[1] - k + 1), k, np.uint64)
     for j in range(k):
-        h = _mix(h ^ w[j:len(w) - k + 1 + j])
-    return np.unique(h)
+        h = _mix(h ^ w[:, j:w.shape[1] - k + 1 + j])
+    return h
+
+
+def shingles(text: str | None, n: int = N) -> np.ndarray:
+    """The distinct n-word runs of a text as sorted 64-bit hashes."""
+    return np.unique(word_runs(text, n, 1)[0])
 
 
 def digest(sets: np.ndarray) -> int:
@@ -123,36 +131,31 @@ def signature(sets: np.ndarray, bands: int, rows: int, chunk: int = 4096) -> np.
 
 
 def signatures(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, th (text hash), cls (hash of the whole set, null without words), proof (another one), bands array<long>."""
+    """doc_id, th (text hash), cls (hash of the whole set, null without words), proof (another one), grams (the set's size),
+    bands array<long>."""
     python_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, proof, band = [], [], []
+            cls, proof, grams, band = [], [], [], []
             for text in batch.column(2).to_pylist():
-                s = shingles(text, n)
+                s, other = (np.unique(lane) for lane in word_runs(text, n))
                 cls.append(digest(s) if len(s) else None)
-                proof.append(digest(shingles(text, n, 1)) if len(s) else None)
+                proof.append(digest(other) if len(s) else None)
+                grams.append(len(s))
                 band.append(signature(s, bands, rows).astype(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(proof, pa.int64()),
-                 pa.array(band, pa.list_(pa.int64()))], ["doc_id", "th", "cls", "proof", "bands"])
+                 pa.array(grams, pa.int64()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "th", "cls", "proof", "grams", "bands"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
-        run, f"doc_id {kind}, th long, cls long, proof long, bands array<long>")
+        run, f"doc_id {kind}, th long, cls long, proof long, grams long, bands array<long>")
 
 
 def told_apart(signed: DataFrame) -> DataFrame:
     """``signed`` with a key of its own, in cls, for each (cls, proof): texts are copies if both hashes of their sets agree."""
-    clash = signed.where("cls is not null").groupBy("cls").agg(F.min("proof").alias("low"), F.max("proof").alias("high"))
-    clash = written(clash.where("low < high").select(F.col("cls").alias("_cls"), "low"), "jaccard-clashes")
-    if clash.isEmpty():
-        return signed
-    other = F.col("low").isNotNull() & (F.col("proof") > F.col("low"))
-    return written(signed.join(F.broadcast(clash), F.col("cls") == F.col("_cls"), "left")
-                   .withColumn("cls", F.when(other, F.xxhash64("cls", "proof")).otherwise(F.col("cls")))
-                   .select(signed.columns), "jaccard-signatures")
+    return common.told_apart(signed, "cls", "proof", "jaccard")
 
 
 def compare_block(cls: list[int], sets: list[np.ndarray], left: np.ndarray, similarity: float,
@@ -258,43 +261,49 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
     least this similar; class_id and group_id are the smallest doc_id of the
     copies and of the near-duplicate group; group is the group's inner key.
     """
-    signed = told_apart(written(signatures(docs, n, bands, rows), "jaccard-signatures"))
-    classes = signed.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "th")).alias("one"))
-    classes = written(classes.select("cls", "class_id", "n_copies", F.col("one.doc_id").alias("rep"),
-                                     F.col("one.th").alias("rep_th")), "jaccard-classes")
-    banded = (signed.where("cls is not null").select("cls", F.explode("bands").alias("band")).distinct())
-    first = banded.groupBy(F.struct("band").alias("k")).agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-    first = first.where("low < high").select(F.col("k.band").alias("band"), "low")
-    places = components(banded.join(first, "band").where("cls <> low").select(F.col("cls").alias("u"), F.col("low").alias("v")),
-                        "jaccard-places")
-    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large component.
-    sizes = places.groupBy(F.struct("root").alias("k")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
-    sizes = sizes.select(F.col("k.root").alias("root"), "nb")
-    dealt = (places.join(sizes, "root").join(classes, places["node"] == classes["cls"])
-             .select("root", "cls", "n_copies", "rep", "rep_th", "nb",
-                     F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nb")).cast("int").alias("block")))
-    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text")
-    dealt = dealt.join(texts, dealt["rep"].eqNullSafe(F.col("_id")) & (dealt["rep_th"] == F.col("_th")))
-    tasks = (dealt.select("root", "cls", "n_copies", "block", "text", F.explode(F.expr("sequence(0, nb - 1)")).alias("x"))
-             .select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "cls", "n_copies",
-                     "block", "text")
-             .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"))
-    found = written(_compared(tasks, n, similarity), "jaccard-links")
-    links = found.where("linked is not null").groupBy("cls").agg(F.sum("linked").alias("linked"))
-    groups = components(found.where("other is not null").select(F.col("cls").alias("u"), F.col("other").alias("v")),
-                        "jaccard-groups")
-    classes = (classes.join(links, "cls", "left")
-               .join(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls", "left")
-               .select("cls", "class_id", "n_copies", F.coalesce("linked", F.lit(0)).alias("linked"),
-                       F.coalesce("grp", "cls").alias("grp")))
-    first = classes.groupBy("grp").agg(F.min("class_id").alias("group_id"))
-    classes = classes.join(first, "grp").select(
-        F.col("cls").alias("c"), "class_id", "n_copies", (F.col("linked") + F.col("n_copies") - 1).alias("n_links"),
-        F.col("grp").alias("group"), "group_id")
-    return (signed.select("doc_id", "th", "cls").join(classes, F.col("cls") == F.col("c"), "left")
+    with step(docs.sparkSession) as keep:
+        signed = told_apart(written(signatures(docs, n, bands, rows), "jaccard-signatures"))
+        classes = signed.where("cls is not null").groupBy("cls").agg(
+            F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), F.max("grams").alias("grams"),
+            F.min(F.struct("doc_id", "th")).alias("one"))
+        classes = written(classes.select("cls", "class_id", "n_copies", "grams", F.col("one.doc_id").alias("rep"),
+                                         F.col("one.th").alias("rep_th")), "jaccard-classes")
+        banded = (signed.where("cls is not null").select("cls", F.explode("bands").alias("band")).distinct())
+        first = banded.groupBy(F.struct("band").alias("k")).agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+        first = first.where("low < high").select(F.col("k.band").alias("band"), "low")
+        places = components(banded.join(first, "band").where("cls <> low").select(F.col("cls").alias("u"), F.col("low").alias("v")),
+                            "jaccard-places")
+        placed = places.join(classes, places["node"] == classes["cls"])
+        # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large component.
+        sizes = placed.groupBy(F.struct("root").alias("k")).agg(F.ceil(F.greatest(
+            F.count("*") / F.lit(BLOCK), F.sum("grams") / F.lit(BLOCK_GRAMS))).cast("int").alias("nb"))
+        sizes = sizes.select(F.col("k.root").alias("root"), "nb")
+        # Written, so that its size is known when the texts are fetched: few classes are broadcast, not all texts shuffled.
+        dealt = written(placed.join(sizes, "root").select(
+            "root", "cls", "n_copies", "rep", "rep_th", "nb",
+            F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nb")).cast("int").alias("block")), "jaccard-dealt")
+        texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text")
+        dealt = texts.join(dealt, dealt["rep"].eqNullSafe(F.col("_id")) & (dealt["rep_th"] == F.col("_th")))
+        tasks = (dealt.select("root", "cls", "n_copies", "block", "text", F.explode(F.expr("sequence(0, nb - 1)")).alias("x"))
+                 .select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "cls", "n_copies",
+                         "block", "text")
+                 .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"))
+        found = written(_compared(tasks, n, similarity), "jaccard-links")
+        links = found.where("linked is not null").groupBy("cls").agg(F.sum("linked").alias("linked"))
+        groups = components(found.where("other is not null").select(F.col("cls").alias("u"), F.col("other").alias("v")),
+                            "jaccard-groups")
+        classes = written(classes.join(links, "cls", "left")
+                          .join(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls", "left")
+                          .select("cls", "class_id", "n_copies", F.coalesce("linked", F.lit(0)).alias("linked"),
+                                  F.coalesce("grp", "cls").alias("grp")), "jaccard-grouped")
+        first = classes.groupBy(F.struct("grp").alias("k")).agg(F.min("class_id").alias("group_id")).select(F.col("k.grp").alias("grp"), "group_id")
+        classes = classes.join(first, "grp").select(
+            F.col("cls").alias("c"), "class_id", "n_copies", (F.col("linked") + F.col("n_copies") - 1).alias("n_links"),
+            F.col("grp").alias("group"), "group_id")
+        return keep(written(
+            signed.select("doc_id", "th", "cls").join(classes, F.col("cls") == F.col("c"), "left")
             .select("doc_id", "th", "cls", "class_id", F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links"), "group", "group_id"))
+                    F.coalesce("n_links", F.lit(0)).alias("n_links"), "group", "group_id"), "jaccard-found"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import components, python_batches, table, written
+from lakeward.llm.common import components, python_batches, table, told_apart, written
 
 SIMILARITY = 0.93
 BLOCK = 2048
@@ -150,9 +150,12 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, sigmas: flo
     top = F.array_max(F.transform(x, F.abs))
     # Scaled by the largest component first, so that neither tiny nor huge vectors leave double precision.
     unit = F.transform("s", lambda v: v / F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, y: a + y * y)))
+    known = F.col("s").isNotNull()
     rows = (vectors.select("vec_id", "label", F.when(fine, F.transform(x, lambda v: v / top)).alias("s"))
-            .select("vec_id", "label", unit.alias("unit"), F.when(F.col("s").isNotNull(), F.xxhash64("label", unit)).alias("node")))
-    rows = written(rows, "vectors-rows")
+            .select("vec_id", "label", unit.alias("unit"), F.when(known, F.xxhash64("label", unit)).alias("node"),
+                    F.when(known, F.xxhash64(F.lit(1), "label", unit)).alias("proof")))
+    # Two directions of one hash are told apart by the second.
+    rows = told_apart(written(rows, "vectors-rows"), "node", "proof", "vectors")
     classes = rows.where("node is not null").groupBy("node", "label").agg(
         F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     classes = written(classes, "vectors-classes")
@@ -172,7 +175,8 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, sigmas: flo
     known = (classes.select("node", "copies", "low").join(counts, "node", "left").join(groups, "node", "left")
              .select("node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low",
                      F.coalesce("root", "node").alias("grp")))
-    best = known.groupBy("grp").agg(F.min("low").alias("component_id"))
+    best = (known.groupBy(F.struct("grp").alias("k")).agg(F.min("low").alias("component_id"))
+            .select(F.col("k.grp").alias("grp"), "component_id"))
     known = known.join(best, "grp").select(F.col("node").alias("k"), "n_links", "component_id")
     return (rows.select("vec_id", "node").join(known, F.col("node") == F.col("k"), "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,35 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert kept[0].asDict().keys() == set(corpus.columns)
 
 
+@pytest.mark.parametrize("how", [{"BLOCK": 3}, {"BLOCK_GRAMS": 300}])
+def test_near_duplicates_over_several_blocks(spark, monkeypatch, how):
+    for name, value in how.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(8)
+    base = [prose(rng, 80).split() for _ in range(3)]
+    docs = documents(spark, [(k, " ".join(w if rng.random() > .004 * (k % 8) else "new" + str(k) for w in base[k % 3]), "en") for k in range(60)])
+    sets = [set(jaccard.shingles(r.text).tolist()) for r in docs.orderBy("doc_id").collect()]
+    links = {k: [j for j, t in enumerate(sets) if j != k and len(s & t) / len(s | t) >= 0.8] for k, s in enumerate(sets)}
+    found = {r.doc_id: (r.n_links, r.group_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert {k: v[0] for k, v in found.items()} == {k: len(v) for k, v in links.items()} and sum(map(len, links.values())) > 200
+    assert all(found[k][1] == found[j][1] for k, v in links.items() for j in v)
+
+
+def test_vectors_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(4, 16))
+    rows = [(k, [float(v) for v in centre[k % 4] + rng.normal(size=16) * .15 * (k % 5)], k % 2, "x", 1) for k in range(90)]
+    rows += [(200, rows[0][1], 0, "x", 1), (201, [2 * v for v in rows[0][1]], 0, "x", 1), (202, rows[0][1], None, "x", 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node string, proof int")
+    unit = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in rows}
+    linked = {i: [j for j, _, lab, *_ in rows if j != i and lab is not None and lab == label and unit[i] @ unit[j] >= 0.93] for i, _, label, *_ in rows}
+    found = {r.vec_id: r for r in vectors.near_vectors(frame).collect()}
+    assert {k: r.n_links for k, r in found.items()} == {k: len(v) for k, v in linked.items()} and sum(map(len, linked.values())) > 100
+    for k, v in linked.items():
+        assert all(found[k].component_id == found[j].component_id <= k for j in v) and found[k].kept == (found[k].component_id == k)
+
+
 def test_different_sets_of_one_hash_are_no_copies(spark):
     signed = spark.createDataFrame([(1, 5, 7, 10, [1]), (2, 6, 7, 10, [1]), (3, 7, 7, 11, [1]), (4, 8, 7, 12, [1]), (5, 9, 8, 10, [1]),
                                     (6, 9, None, None, None)], "doc_id long, th long, cls long, proof long, bands array<long>")
