@@ -8,7 +8,8 @@ documents; the last returns the digests of the encoded and decoded texts.
 from __future__ import annotations
 
 from lakeward.llm import bpe, decontaminate, jaccard, language, linededup
-from lakeward.llm.common import table, written
+from lakeward.llm.common import step, table, written
+from lakeward.session import discard, scratch
 
 
 def language_id(spark, docs, sf_dir):
@@ -51,6 +52,12 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     """All stages over the ``documents`` of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            before = docs
+            with step(spark) as of_stage:
+                docs = of_stage(written(stage(spark, before, sf_dir), f"pipeline-{name}"))
+            # The next stage reads what this one wrote: its own input is finished.
+            discard(before)
+        keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
