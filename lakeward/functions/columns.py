@@ -82,23 +82,29 @@ def parse_columns(schema_json: Column | str) -> Column:
 
     * a non-empty JSON array: its elements as they are (non-objects give an
       all-NULL descriptor but still count as a column);
-    * a non-empty JSON object ``{name: type}``: one descriptor per entry,
-      ``nullable`` true and ``description`` '';
-    * anything else (``{}``, ``[]``, scalars, invalid JSON, NULL): NULL.
-
-    The branch is taken on the first non-blank character, so an object
-    never reaches the array parser.
+    * a non-empty JSON object ``{name: type}``: one descriptor per name, in
+      the order of first occurrence and with its last value, ``nullable``
+      true and ``description`` ''; a null value's type is 'null', as text;
+    * anything else (``{}``, ``[]``, scalars, NULL, and texts that are not
+      one whole JSON document, so anything after its end too): NULL.
+
+    The text is read as the only element of an array, so that the parser
+    sees all of it; the branch is then taken on its first character, so an
+    object never reaches the array parser.
     """
-    text = F.regexp_replace(_col(schema_json), r"^\s+", "")
-    head = F.substring(text, 1, 1)
-    raw_items = F.from_json(text, ArrayType(StringType()), _STRICT_JSON)
+    text = _col(schema_json)
+    whole = F.from_json(F.concat(F.lit("["), text, F.lit("]")), ArrayType(StringType()), _STRICT_JSON)
+    doc = F.when(F.size(whole) == 1, F.get(whole, F.lit(0)))
+    head = F.substring(F.regexp_replace(text, r"^\s+", ""), 1, 1)
+    raw_items = F.from_json(doc, ArrayType(StringType()), _STRICT_JSON)
     as_array = F.transform(raw_items, lambda item: F.from_json(item, COLUMN_STRUCT, _STRICT_JSON))
-    entries = F.map_entries(F.from_json(text, MapType(StringType(), StringType()), _STRICT_JSON))
+    entries = F.map_entries(F.from_json(doc, MapType(StringType(), StringType()), _STRICT_JSON))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     as_object = F.transform(
-        entries,
-        lambda e: F.struct(
-            e["key"].alias("name"),
-            e["value"].alias("type"),
+        names,
+        lambda name: F.struct(
+            name.alias("name"),
+            F.coalesce(F.element_at(F.filter(entries, lambda e: e["key"] == name), -1)["value"], F.lit("null")).alias("type"),
             F.lit(True).alias("nullable"),
             F.lit("").alias("description"),
         ),
@@ -134,7 +140,7 @@ def encode_columns(cols: Column | str) -> Column:
 # ----------------------------------------------------------------- names ---
 
 
-def clean_name(name: Column | str, max_len: int, trim: bool = True) -> Column:
+def clean_name(name: Column | str, trim: bool = True) -> Column:
     """The stored form of a name: trimmed when ``trim`` (layers, profiles)."""
     name = _col(name)
     return F.trim(name) if trim else name
@@ -142,7 +148,7 @@ def clean_name(name: Column | str, max_len: int, trim: bool = True) -> Column:
 
 def name_ok(name: Column | str, max_len: int, trim: bool = True) -> Column:
     """Length 1..max_len after the optional trim; NULL names fail."""
-    cleaned = clean_name(name, max_len, trim)
+    cleaned = clean_name(name, trim)
     return F.coalesce(F.char_length(cleaned).between(1, max_len), F.lit(False))
 
 

@@ -148,6 +148,52 @@ def visibility_scopes(viewers: DataFrame, members: DataFrame, flags: DataFrame)
     return published.unionByName(everything).unionByName(own)
 
 
+def scope_assets(assets: DataFrame, domains: DataFrame) -> DataFrame:
+    """The assets behind the scopes: ``scope, team_id`` and the asset's columns, one row per asset.
+
+    Published assets are in the scope ``published`` (team_id NULL), drafts
+    in their team's scope; the scope ``all`` is the drafts of every team.
+    """
+    rows = assets_with_team(assets, domains)
+    shown = F.coalesce(F.col("published"), F.lit(False))
+    team = F.when(~shown, F.col("team_id"))
+    return rows.select(F.when(shown, SCOPE_PUBLISHED).otherwise(SCOPE_TEAM).alias("scope"), team.alias("scope_team"),
+                       *[c for c in rows.columns])
+
+
+def visible_assets_batch(assets: DataFrame, domains: DataFrame, members: DataFrame, flags: DataFrame,
+                         viewers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """O-X4: (scopes of the viewers, assets of the scopes): which assets each viewer sees, without pairing them.
+
+    ``expand`` pairs them for the viewers that are asked for.
+    """
+    return visibility_scopes(viewers, members, flags), scope_assets(assets, domains)
+
+
+def expand(scopes: DataFrame, scoped: DataFrame) -> DataFrame:
+    """``viewer, asset_id`` of some viewers' scopes (cut ``scopes`` to the viewers that are asked for)."""
+    hit = ((F.col("s") == SCOPE_PUBLISHED) & (F.col("scope") == SCOPE_PUBLISHED)) | (
+        (F.col("scope") == SCOPE_TEAM) & ((F.col("s") == SCOPE_ALL) | ((F.col("s") == SCOPE_TEAM) & (F.col("t") == F.col("scope_team")))))
+    asked = scopes.select("viewer", F.col("scope").alias("s"), F.col("team_id").alias("t"))
+    return scoped.select("id", "scope", "scope_team").join(asked, hit).select("viewer", F.col("id").alias("asset_id"))
+
+
+def summed_per_viewer(scopes: DataFrame, scoped: DataFrame, *sums: Column) -> DataFrame:
+    """Per viewer the sums over its visible assets, from one aggregate per scope (``sums`` over the columns of ``scoped``)."""
+    names = [f"_s{i}" for i in range(len(sums))]
+    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large team.
+    per = scoped.groupBy(F.struct("scope", "scope_team").alias("k")).agg(*[F.sum(c).alias(n) for c, n in zip(sums, names, strict=True)])
+    per = per.select(F.col("k.scope").alias("_scope"), F.col("k.scope_team").alias("_team"), *names)
+    published = per.where(F.col("_scope") == SCOPE_PUBLISHED)
+    drafts = per.where(F.col("_scope") == SCOPE_TEAM)
+    own = (scopes.where(F.col("scope") == SCOPE_TEAM).join(drafts, F.col("team_id") == F.col("_team")).select("viewer", *names))
+    # The two scopes that many viewers share come as scalars: no key is met by all of them.
+    shared = scopes.where(F.col("scope") != SCOPE_TEAM).select("viewer", *[
+        F.when(F.col("scope") == SCOPE_ALL, drafts.agg(F.sum(n).alias(n)).scalar()).otherwise(published.agg(F.sum(n).alias(n)).scalar()).alias(n)
+        for n in names])
+    return shared.unionByName(own).groupBy("viewer").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(f"sum_{i}") for i, n in enumerate(names)])
+
+
 # ----------------------------------------------------------------- O-X5 ---
 
 

@@ -50,32 +50,35 @@ def dangling_references(t: dict[str, DataFrame]) -> DataFrame:
         *REFERENCE_COLUMNS)
 
 
-# Keys checked per table: (key name, SQL expression of the key).
-UNIQUE_KEYS: dict[str, list[tuple[str, str]]] = {
-    "teams": [("id", "id")],
-    "team_members": [("id", "id"), ("team_id,email", "concat(team_id, '|', email)")],
-    "domains": [("id", "id"), ("name", "name")],
-    "assets": [("id", "id")],
-    "data_layers": [("id", "id"), ("lower(name)", "lower(name)")],
-    "access_requests": [("id", "id")],
-    "users": [("id", "id"), ("email", "email")],
+# Keys checked per table: (key name, SQL expressions of its parts).
+UNIQUE_KEYS: dict[str, list[tuple[str, tuple[str, ...]]]] = {
+    "teams": [("id", ("id",))],
+    "team_members": [("id", ("id",)), ("team_id,email", ("team_id", "email"))],
+    "domains": [("id", ("id",)), ("name", ("name",))],
+    "assets": [("id", ("id",))],
+    "data_layers": [("id", ("id",)), ("lower(name)", ("lower(name)",))],
+    "access_requests": [("id", ("id",))],
+    "users": [("id", ("id",)), ("email", ("email",))],
 }
 
 
 def duplicate_keys(t: dict[str, DataFrame]) -> DataFrame:
     """O-J12: primary and unique key violations: ``table_name, key_name, key_value, n_rows``.
 
-    Every key of a row is emitted by one scan of its table; one aggregate
-    (partial + final) counts all keys at once.
+    Every key of a row is emitted by one scan of its table, as an array of
+    its parts (so parts that hold the separator do not collide); one
+    aggregate (partial + final) counts all keys at once.  A key with a NULL
+    part equals no other.  key_value joins the parts by ``|``.
     """
     parts = []
     for table, keys in UNIQUE_KEYS.items():
-        items = ", ".join(f"named_struct('key_name', '{name}', 'key_value', {expr})" for name, expr in keys)
+        items = ", ".join(f"named_struct('key_name', '{name}', 'parts', array({', '.join(exprs)}))" for name, exprs in keys)
         parts.append(t[table].selectExpr(f"'{table}' AS table_name", f"explode(array({items})) AS k")
-                     .selectExpr("table_name", "k.key_name", "k.key_value"))
-    return (reduce(DataFrame.unionByName, parts)
-            .groupBy("table_name", "key_name", "key_value").agg(F.count(F.lit(1)).alias("n_rows"))
-            .filter(F.col("n_rows") > 1))
+                     .selectExpr("table_name", "k.key_name", "k.parts"))
+    return (reduce(DataFrame.unionByName, parts).filter("NOT exists(parts, x -> x IS NULL)")
+            .groupBy("table_name", "key_name", "parts").agg(F.count(F.lit(1)).alias("n_rows"))
+            .filter(F.col("n_rows") > 1)
+            .select("table_name", "key_name", F.array_join("parts", "|").alias("key_value"), "n_rows"))
 
 
 def type_vocabulary(spark: SparkSession) -> DataFrame:

@@ -142,52 +142,38 @@ def ordered_teams(visible_teams: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- O-T5 ---
 
 
-def page_per_viewer(scopes: DataFrame, assets_with_team: DataFrame, n: int = vocab.PAGE_DEFAULT,
-                    salts: int = 32) -> DataFrame:
+def page_per_viewer(scopes: DataFrame, assets_with_team: DataFrame, n: int = vocab.PAGE_DEFAULT) -> DataFrame:
     """First ``n`` visible assets by name for many viewers at once.
 
-    Works on the factorized visibility (``access.visibility_scopes``): the
-    top ``n`` of each scope is ranked once (published set, drafts per team,
-    all drafts), then every viewer merges the candidate lists of its own
-    scopes and keeps ``n``.  A viewer row meets at most ``n`` candidates per
-    scope, so nothing pairs a viewer with the whole catalog.
-
-    The shared scopes (``published``, ``all``) are one key held by every
-    viewer; they are salted: viewers carry ``hash(viewer) mod salts`` and
-    the at most ``n`` shared candidates are copied once per salt, so the
-    hot key is spread over ``salts`` partitions.  Team keys are left to
-    adaptive skew-join splitting.
+    Works on the factorized visibility (``access.visibility_scopes``).  Each
+    scope's first ``n`` assets are one sorted array: those of the published
+    set and of all drafts come as scalars, so no key is shared by all
+    viewers; those of a team's drafts are joined to its members' scopes.
+    A viewer merges its arrays, keeps ``n`` and only then becomes rows:
+    nothing pairs a viewer with the whole catalog, and no window runs over
+    viewers.
     """
     rows = assets_with_team.select("id", "name", "published", "team_id")
     order = [F.col("name").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    # Sorts as the order does: NULLs last.
+    item = F.struct(F.col("name").isNull().alias("no_name"), "name", F.col("id").isNull().alias("no_id"), "id")
     draft = ~F.coalesce(F.col("published"), F.lit(False))
-    # Global top n: per-partition top n, then one merge of the survivors.
-    published_top = (
-        rows.filter(~draft).orderBy(*order).limit(n)
-        .select("id", "name", F.lit("published").alias("scope"), F.lit("").alias("scope_team"))
-    )
-    all_top = (
-        rows.filter(draft).orderBy(*order).limit(n)
-        .select("id", "name", F.lit("all").alias("scope"), F.lit("").alias("scope_team"))
-    )
+
+    def first(df: DataFrame) -> Column:
+        # Per-partition top n, then one merge of the survivors.
+        return df.orderBy(*order).limit(n).agg(F.array_sort(F.collect_list(item)).alias("top")).scalar()
+
     # Top n per team: the rank filter lets Spark cut each team to n rows
     # per input partition before the shuffle, so a hot team stays small.
     w = Window.partitionBy("team_id").orderBy(*order)
-    team_top = (
-        rows.filter(draft).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
-        .select("id", "name", F.lit("team").alias("scope"), F.col("team_id").alias("scope_team"))
-    )
-    shared = published_top.unionByName(all_top).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    candidates = shared.unionByName(team_top.withColumn("salt", F.lit(0)))
-    keyed = scopes.select(
-        "viewer", "scope", F.coalesce(F.col("team_id"), F.lit("")).alias("scope_team"),
-        F.when(F.col("scope") == "team", F.lit(0))
-        .otherwise(F.pmod(F.hash(F.col("viewer")), F.lit(salts))).alias("salt"))
-    merged = keyed.join(candidates, ["scope", "scope_team", "salt"])
-    wv = Window.partitionBy("viewer").orderBy(*order)
-    return (
-        merged.withColumn("rank", F.row_number().over(wv))
-        .filter(F.col("rank") <= n)
-        .select("viewer", F.col("id").alias("asset_id"), "name", F.col("rank").cast("int"))
-    )
+    team_top = (rows.filter(draft).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
+                .groupBy(F.struct("team_id").alias("k")).agg(F.array_sort(F.collect_list(item)).alias("top"))
+                .select(F.col("k.team_id").alias("_team"), "top"))
+    team = (scopes.filter(F.col("scope") == "team").join(team_top, F.col("team_id") == F.col("_team"))
+            .select("viewer", "top"))
+    others = scopes.filter(F.col("scope") != "team").select(
+        "viewer", F.when(F.col("scope") == "all", first(rows.filter(draft))).otherwise(first(rows.filter(~draft))).alias("top"))
+    merged = (others.unionByName(team).groupBy("viewer")
+              .agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, n).alias("top")))
+    return (merged.select("viewer", F.posexplode("top").alias("at", "a"))
+            .select("viewer", F.col("a.id").alias("asset_id"), F.col("a.name").alias("name"), (F.col("at") + 1).cast("int").alias("rank")))

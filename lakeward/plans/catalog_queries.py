@@ -523,14 +523,33 @@ def q_visible_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("visible_assets_batch", f"""
+SELECT v.viewer, count(a.id) AS n_assets, CAST(coalesce(sum(CAST(substr(a.id, 2) AS BIGINT)), 0) AS BIGINT) AS id_sum,
+  count(a.id) FILTER (a.published) AS n_published
+FROM {o.VIEWERS} v
+LEFT JOIN (SELECT a.*, d.team_id FROM assets a JOIN domains d ON a.domain_id = d.id) a
+  ON a.published
+  OR coalesce((SELECT f.is_global FROM {o.FLAGS} f WHERE f.email = v.viewer), false)
+  OR a.team_id IN (SELECT team_id FROM team_members tm WHERE tm.email = v.viewer)
+GROUP BY v.viewer
+""")
+def q_visible_assets_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-X4: the factorized visibility of every account and the anonymous viewer, summed up per viewer: how many assets,
+    the sum of their numbers, how many of them published."""
+    c = catalog(spark, sf_dir)
+    scopes, scoped = access.visible_assets_batch(c.assets, c.domains, c.team_members, _flags(c), access.viewers_of(c.users))
+    sums = access.summed_per_viewer(scopes, scoped, F.lit(1), F.substring("id", 2, 30).cast("long"), F.col("published").cast("int"))
+    return sums.select("viewer", F.col("sum_0").alias("n_assets"), F.col("sum_1").alias("id_sum"), F.col("sum_2").alias("n_published"))
+
+
+@query("visibility_scopes", f"""
 SELECT viewer, 'published' AS scope, CAST(NULL AS VARCHAR) AS team_id FROM {o.VIEWERS} v
 UNION ALL SELECT v.viewer, 'all', NULL FROM {o.VIEWERS} v JOIN {o.FLAGS} f ON v.viewer = f.email WHERE f.is_global
 UNION ALL SELECT DISTINCT v.viewer, 'team', tm.team_id FROM {o.VIEWERS} v
   JOIN team_members tm ON v.viewer = tm.email
   WHERE v.viewer NOT IN (SELECT email FROM {o.FLAGS} f WHERE f.is_global AND email IS NOT NULL)
 """)
-def q_visible_assets_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-X4: the factorized visibility of every account and the anonymous viewer."""
+def q_visibility_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scopes of every account and the anonymous viewer."""
     c = catalog(spark, sf_dir)
     return access.visibility_scopes(access.viewers_of(c.users), c.team_members, _flags(c))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeward.functions.columns import asset_columns
 from lakeward.plans.registry import query
-from lakeward.sources.harvest import harvest_many, yaml_columns, yaml_from_columns
-from lakeward.sources.projection import catalog, read_table
+from lakeward.sources.harvest import harvest_parquet, yaml_columns, yaml_from_columns
+from lakeward.sources.projection import catalog
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -32,9 +33,9 @@ FROM cols c JOIN flags f ON c.dataset = f.dataset AND c.name = f.name
 
 @query("harvest_columns", _harvest_sql())
 def q_harvest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-S5 over every driver table: one descriptor per column, nullability observed."""
-    frames = {t: read_table(spark, sf_dir, t) for t in DRIVER_TABLES}
-    return harvest_many(frames).select("dataset", "col_pos", "name", "type", "nullable")
+    """O-S5 over every driver table: one descriptor per column, nullability from the footers, or from the data of nested columns."""
+    paths = {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in DRIVER_TABLES}
+    return harvest_parquet(spark, paths).select("dataset", "col_pos", "name", "type", "nullable")
 
 
 @query("yaml_columns", """
@@ -51,8 +52,14 @@ FROM (SELECT * FROM assets WHERE json_valid(schema_json)
      LATERAL (SELECT key, value, row_number() OVER (ORDER BY id) AS rn FROM json_each(a.schema_json)) e
 """)
 def q_yaml_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-S6: YAML schema files (one per asset, rendered from its described
-    columns as stand-in input) parsed back into column descriptors."""
+    """O-S6: YAML schema files (one per asset, rendered from its described columns as stand-in input) parsed back into
+    column descriptors: a list for arrays, simple lines with comments for objects, and carriage returns in every third."""
     c = catalog(spark, sf_dir)
-    files = yaml_from_columns(asset_columns(c.assets).withColumnRenamed("asset_id", "file_id"))
-    return yaml_columns(files)
+    listed = yaml_from_columns(asset_columns(c.assets.where(F.ltrim("schema_json").startswith("["))).withColumnRenamed("asset_id", "file_id"))
+    rows = asset_columns(c.assets.where(F.ltrim("schema_json").startswith("{")))
+    line = F.concat(F.lit("# the next column\n\n"), "name", F.lit(":   '"), "type", F.lit("' "))
+    simple = rows.groupBy(F.col("asset_id").alias("file_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("col_pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    files = listed.unionByName(simple)
+    third = F.pmod(F.crc32(F.col("file_id").cast("binary")), F.lit(3)) == 0
+    return yaml_columns(files.withColumn("text", F.when(third, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,11 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", **options
     return reader.format(fmt).load(path)
 
 
+def _descriptor(i: int, f: T.StructField, nullable: Column) -> Column:
+    return F.struct(F.lit(i + 1).alias("col_pos"), F.lit(f.name).alias("name"), F.lit(catalog_type(f.dataType)).alias("type"),
+                    F.lit(f.dataType.simpleString()).alias("spark_type"), nullable.alias("nullable"))
+
+
 def harvest_columns(df: DataFrame, dataset: str) -> DataFrame:
     """One descriptor per column: ``dataset, col_pos, name, type, spark_type, nullable``.
 
@@ -48,11 +53,7 @@ def harvest_columns(df: DataFrame, dataset: str) -> DataFrame:
                      for i, f in enumerate(fields)])
     # Names and types are known from the schema: the one-row result is
     # unpivoted with them as literals (no join, no second pass).
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(i + 1).alias("col_pos"), F.lit(f.name).alias("name"),
-                 F.lit(catalog_type(f.dataType)).alias("type"), F.lit(f.dataType.simpleString()).alias("spark_type"),
-                 F.col(f"c{i}").alias("nullable"))
-        for i, f in enumerate(fields)]))
+    rows = F.explode(F.array(*[_descriptor(i, f, F.col(f"c{i}")) for i, f in enumerate(fields)]))
     return flags.select(rows.alias("s")).select(F.lit(dataset).alias("dataset"), "s.*")
 
 
@@ -60,6 +61,40 @@ def harvest_many(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [harvest_columns(df, name) for name, df in frames.items()])
 
 
+#: Types whose NULLs Parquet footers count column by column.
+_FLAT = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType,
+         T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def harvest_parquet(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """``harvest_many`` of Parquet datasets (name to path), from their footers.
+
+    Counts of flat columns are pushed into the scan, which answers them from
+    the row groups' NULL counts; only nested columns, of which a footer
+    tells nothing about the outer value, are read.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    key = "spark.sql.sources.useV1SourceList"
+    v1 = spark.conf.get(key)
+    try:
+        # The version 2 reader is the one that takes aggregates.
+        spark.conf.set(key, ",".join(x for x in v1.split(",") if x != "parquet"))
+        footers = {name: spark.read.parquet(path) for name, path in paths.items()}
+    finally:
+        spark.conf.set(key, v1)
+    parts = []
+    for name, df in footers.items():
+        fields = list(enumerate(df.schema.fields))
+        flat = [(i, f) for i, f in fields if isinstance(f.dataType, _FLAT)]
+        nested = [(i, f) for i, f in fields if not isinstance(f.dataType, _FLAT)]
+        for some, source in ((flat, df), (nested, spark.read.parquet(paths[name]) if nested else None)):
+            if some:
+                counts = source.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in some])
+                rows = F.explode(F.array(*[_descriptor(i, f, F.col("n") > F.col(f"c{i}")) for i, f in some]))
+                parts.append(counts.select(rows.alias("s")).select(F.lit(name).alias("dataset"), "s.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ------------------------------------------------------------------ O-S6 ---
 
 _QUOTES = r"""^["']|["']$"""
@@ -80,65 +115,39 @@ def yaml_columns(files: DataFrame, id_col: str = "file_id", text_col: str = "tex
     Two layouts: simple ``name: type`` lines, or a ``columns:`` list of
     ``- name:`` items with ``type``, ``nullable`` (anything but ``false`` is
     true) and ``description`` keys.  Output: ``file_id, col_pos, name, type,
-    nullable, description``.  Built-in functions only; a file's lines are
-    numbered by ``posexplode`` and list items found by a running count over
-    the file's own lines.
+    nullable, description``.  A file is read in its own row, by array
+    functions over its lines: the list's items run from one ``- name:`` line
+    to the next.  No window and no shuffle.
     """
-    lines = files.select(F.col(id_col).alias("file_id"),
-                         F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
-    per_file = Window.partitionBy("file_id")
-    lines = lines.withColumn("is_list", F.bool_or(_strip("raw").rlike(r"(?i)^columns\s*:")).over(per_file))
-
-    # Simple layout.
-    simple_line = _strip("raw")
-    simple = (
-        lines.filter(~F.col("is_list"))
-        .withColumn("line", simple_line)
-        .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-        .withColumn("name", F.regexp_extract("line", r"^([\w.]+)\s*:\s*(.+)", 1))
-        .withColumn("type_raw", F.regexp_extract("line", r"^([\w.]+)\s*:\s*(.+)", 2))
-        .filter((F.col("name") != "") & (F.lower("name") != "columns"))
-        .select("file_id", "line_no", "name", _unquote(F.col("type_raw")).alias("type"),
-                F.lit(True).alias("nullable"), F.lit("").alias("description"))
-    )
-
-    # List layout: a "- name:" line opens an item; later "key: value" lines fill it.
-    line = F.regexp_replace("raw", r"\s+$", "")
-    is_item = line.rlike(r"(?i)^\s+-\s+name\s*:")
-    listed = (
-        lines.filter(F.col("is_list"))
-        .withColumn("line", line)
-        .withColumn("is_item", is_item)
-        .withColumn("item", F.sum(F.col("is_item").cast("int")).over(
-            per_file.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(F.col("item") > 0)
-        .withColumn("key", F.when(F.col("is_item"), F.lit("name"))
-                    .otherwise(F.regexp_extract("line", r"^\s+(\w+)\s*:\s*(.*)", 1)))
-        .withColumn("value", F.when(F.col("is_item"),
-                                    _unquote(F.regexp_replace("line", r"(?i).*name\s*:\s*", "")))
-                    .otherwise(_unquote(F.regexp_extract("line", r"^\s+(\w+)\s*:\s*(.*)", 2))))
-        .filter(F.col("is_item") | F.col("key").isin("type", "nullable", "description"))
-    )
-
-    def last(key: str) -> Column:
-        return F.max_by(F.when(~F.col("is_item") & (F.col("key") == key), F.col("value")),
-                        F.when(~F.col("is_item") & (F.col("key") == key), F.col("line_no")))
-
-    items = (
-        listed.groupBy("file_id", "item").agg(
-            F.min("line_no").alias("line_no"),
-            F.max_by(F.when(F.col("is_item"), F.col("value")), F.when(F.col("is_item"), F.col("line_no")))
-            .alias("name"),
-            last("type").alias("type"), last("nullable").alias("nullable_raw"),
-            last("description").alias("description"))
-        .filter(F.col("name").isNotNull() & (F.col("name") != ""))
-        .select("file_id", "line_no", "name", F.coalesce("type", F.lit("")).alias("type"),
-                F.coalesce(F.col("nullable_raw") != "false", F.lit(True)).alias("nullable"),
-                F.coalesce("description", F.lit("")).alias("description"))
-    )
-    both = simple.unionByName(items)
-    return both.withColumn("col_pos", F.row_number().over(per_file.orderBy("line_no")).cast("int")).select(
-        "file_id", "col_pos", "name", "type", "nullable", "description")
+    lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    files = files.select(F.col(id_col).alias("file_id"), lines.alias("lines"))
+    is_list = F.exists("lines", lambda x: _strip(x).rlike(r"(?i)^columns\s*:"))
+
+    pair = r"^([\w.]+)\s*:\s*(.+)"
+    plain = F.filter(F.transform("lines", _strip), lambda x: (x != "") & ~x.startswith("#"))
+    simple = F.filter(F.transform(plain, lambda x: F.struct(
+        F.regexp_extract(x, pair, 1).alias("name"), _unquote(F.regexp_extract(x, pair, 2)).alias("type"),
+        F.lit(True).alias("nullable"), F.lit("").alias("description"))),
+        lambda c: (c["name"] != "") & (F.lower(c["name"]) != "columns"))
+
+    n = F.size("lines")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("lines", i).rlike(r"(?i)^\s+-\s+name\s*:"))
+    items = F.transform("starts", lambda i, at: F.slice("lines", i, F.coalesce(F.get("starts", at + 1), F.size("lines") + 1) - i))
+    key_line = r"^\s+(\w+)\s*:\s*(.*)"
+
+    def last(item: Column, key: str) -> Column:
+        found = F.filter(F.slice(item, 2, F.size(item)), lambda x: F.regexp_extract(x, key_line, 1) == key)
+        return F.when(F.size(found) > 0, _unquote(F.regexp_extract(F.element_at(found, -1), key_line, 2)))
+
+    listed = F.filter(F.transform("items", lambda item: F.struct(
+        _unquote(F.regexp_replace(F.get(item, F.lit(0)), r"(?i).*name\s*:\s*", "")).alias("name"),
+        F.coalesce(last(item, "type"), F.lit("")).alias("type"),
+        F.coalesce(last(item, "nullable") != "false", F.lit(True)).alias("nullable"),
+        F.coalesce(last(item, "description"), F.lit("")).alias("description"))), lambda c: c["name"] != "")
+
+    return (files.where("lines is not null").withColumn("starts", starts).withColumn("items", items)
+            .select("file_id", F.posexplode(F.when(is_list, listed).otherwise(simple)).alias("at", "c"))
+            .select("file_id", (F.col("at") + 1).cast("int").alias("col_pos"), "c.name", "c.type", "c.nullable", "c.description"))
 
 
 def yaml_from_columns(columns: DataFrame) -> DataFrame:

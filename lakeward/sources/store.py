@@ -17,6 +17,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from lakeward.functions import vocab
@@ -83,6 +84,34 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return out
 
 
+def read_versions(spark: SparkSession, root: str, name: str, schema: StructType, versions: list[int] | None = None,
+                  defaults: Mapping[str, object] | None = None) -> DataFrame:
+    """O-S3: the rows of one table in several versions of different layouts, as one table of ``schema``, by one scan.
+
+    ``schema`` is the newest layout; older versions may lack columns or
+    fields of nested columns and may have narrower types (Parquet widens
+    them while reading).  A column that a version's files lack gets its
+    default there (``defaults``, else NULL); where the files have it, a NULL
+    stays NULL.  Only each version's footer schema is read beforehand.  The
+    version is in the column ``version``.
+    """
+    if versions is None:
+        versions = sorted(r["version"] for r in committed_versions(spark, root).select("version").collect())
+    paths = {v: f"{_version_dir(root, v)}/{name}" for v in versions}
+    if not paths:
+        return spark.createDataFrame([], schema).withColumn("version", F.lit(None).cast("long"))
+    own = {v: spark.read.parquet(path).schema for v, path in paths.items()}
+    rows = spark.read.schema(schema).parquet(*paths.values()).withColumn(
+        "version", F.regexp_extract(F.col("_metadata.file_path"), rf"/v=([0-9]+)/{name}/", 1).cast("long"))
+    columns = []
+    for f in schema.fields:
+        lacking = [v for v in versions if f.name not in own[v].fieldNames()]
+        default = F.lit((defaults or {}).get(f.name)).cast(f.dataType)
+        value = F.col(f.name)
+        columns.append((F.when(F.col("version").isin(lacking), default).otherwise(value) if lacking else value).alias(f.name))
+    return rows.select(*columns, "version")
+
+
 def seed_defaults(layers: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """O-S4: the four default layers only if there is no layer at all; a platform
     team only if no team is a platform team.  Ids are fixed, so seeding twice
