@@ -31,6 +31,8 @@ from lakeward.llm.common import python_batches, table
 
 #: Entries of one generation of a worker's cache of encoded pre-tokens (two generations are held).
 CACHE = 500_000
+#: Characters of the longest pre-token that is kept there.
+KEPT = 128
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -148,7 +150,9 @@ class Coder:
                 ids = self.old.get(token)
                 if ids is None:
                     ids = outer.encode_token(token.encode("utf-8", "surrogatepass"))
-                self[token] = ids
+                # A long pre-token hardly comes again, and would fill the cache.
+                if len(token) <= KEPT:
+                    self[token] = ids
                 return ids
 
         self.lately = Lately()

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lakeward.session import discard, materialize, scratch
 
-#: Rows per Arrow batch: a batch of long texts stays at some MB in a Python worker.
+#: Rows and bytes per Arrow batch: a batch of long texts stays at some MB in a Python worker, or is one text.
 ARROW_ROWS = 256
+ARROW_BYTES = 16 << 20
 #: Links per written file of a round of ``components``.
 LINKS_PER_FILE = 1_000_000
 
@@ -23,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, by rows and by bytes, for the session's later plans too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def held_out(doc_id="doc_id"):
@@ -41,11 +43,13 @@ def first_of_each(rows: DataFrame, group: str, order: list[str], n: int) -> Data
     """The first ``n`` rows of each group by ``order``, the same whatever the partitioning.
 
     A group is cut within shares of it first (dealt by a hash of the order),
-    so no task gets a group that grows with the table.
+    then within few larger shares, then as a whole: a task gets a share of a
+    group, or at most ``n`` rows of each of its smaller shares.
     """
     shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.pmod(F.xxhash64(*order), F.lit(shares))
-    for window in (Window.partitionBy(group, share), Window.partitionBy(group)):
+    for many in dict.fromkeys([shares, math.isqrt(shares), 1]):
+        share = F.pmod(F.xxhash64(*order), F.lit(many))
+        window = Window.partitionBy(group, share) if many > 1 else Window.partitionBy(group)
         rows = rows.withColumn("_n", F.row_number().over(window.orderBy(*order))).where(F.col("_n") <= n).drop("_n")
     return rows
 

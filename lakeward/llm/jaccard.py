@@ -278,12 +278,12 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
         sizes = placed.groupBy(F.struct("root").alias("k")).agg(F.ceil(F.greatest(
             F.count("*") / F.lit(BLOCK), F.sum("grams") / F.lit(BLOCK_GRAMS))).cast("int").alias("nb"))
         sizes = sizes.select(F.col("k.root").alias("root"), "nb")
-        # Written, so that its size is known when the texts are fetched: few classes are broadcast, not all texts shuffled.
         dealt = written(placed.join(sizes, "root").select(
             "root", "cls", "n_copies", "rep", "rep_th", "nb",
             F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nb")).cast("int").alias("block")), "jaccard-dealt")
         texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text")
-        dealt = texts.join(dealt, dealt["rep"].eqNullSafe(F.col("_id")) & (dealt["rep_th"] == F.col("_th")))
+        # By shuffle whatever the number of classes, so that disk and time grow with the input at every size.
+        dealt = texts.join(dealt.hint("merge"), dealt["rep"].eqNullSafe(F.col("_id")) & (dealt["rep_th"] == F.col("_th")))
         tasks = (dealt.select("root", "cls", "n_copies", "block", "text", F.explode(F.expr("sequence(0, nb - 1)")).alias("x"))
                  .select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "cls", "n_copies",
                          "block", "text")

@@ -29,7 +29,8 @@ from lakeward.llm.convnet import ConvNet, cut
 WINDOW = 128
 PER_LANGUAGE = 400
 SAMPLE_WINDOWS = 8
-MAX_LANGUAGES = 200
+#: Texts to train on in all: with many languages each gets fewer, but every language one at least.
+SAMPLE = 80_000
 #: A document whose best language is less likely than this has no identified language (``identified``).
 MIN_SCORE = 0.3
 
@@ -48,10 +49,11 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     """At most ``per_language`` (lang, windows) of each language, the same rows whatever the partitioning."""
     python_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").where(~held_out()).select("lang", F.xxhash64("text").alias("h"), "doc_id", "text")
+    languages = rows.select(F.count_distinct("lang")).first()[0]
+    per_language = min(per_language, max(1, SAMPLE // max(1, languages)))
+    # Written, so that its size is known when the texts are fetched.
     ids = written(distinct_texts(rows, "lang", per_language), "language-sample")
-    most = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    ids = ids.join(F.broadcast(most.select("lang")), "lang")
-    texts = rows.join(F.broadcast(ids.select("lang", "h", "doc_id")), ["lang", "h", "doc_id"]).dropDuplicates(["lang", "h"])
+    texts = rows.join(ids, ["lang", "h", "doc_id"]).dropDuplicates(["lang", "h"])
     found = texts.select("lang", "h", "text").mapInArrow(_picked, "lang string, h long, windows binary").collect()
     return [(r.lang, bytes(r.windows)) for r in sorted(found, key=lambda r: (r.lang, r.h))]
 

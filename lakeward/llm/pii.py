@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,6 +149,8 @@ SHAPES = ["pad"] + [a + b for a in (
 _SHAPE = {s: k for k, s in enumerate(SHAPES)}
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in ("B", "I")]
 REACH = 2
+#: Tokens from which on a line is decoded alone, in pieces of as many.
+LONG = 1 << 14
 
 
 def shape(token: str, spaced: bool) -> int:
@@ -162,9 +165,15 @@ def shape(token: str, spaced: bool) -> int:
     return _SHAPE[name + " " * spaced]
 
 
-def tokens(line: str) -> list[tuple[int, int, int]]:
-    """(start, end, shape) of each token."""
-    return [(m.start(), m.end(), shape(m[0], m.start() == 0 or line[m.start() - 1].isspace())) for m in _TOKENS.finditer(line)]
+def tokens(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The starts, ends and shapes of a line's tokens (nine bytes a token, whatever the line's length)."""
+    starts, ends, shapes = array("i"), array("i"), array("B")
+    for m in _TOKENS.finditer(line):
+        s = m.start()
+        starts.append(s)
+        ends.append(m.end())
+        shapes.append(shape(m[0], s == 0 or line[s - 1].isspace()))
+    return np.frombuffer(starts, np.int32), np.frombuffer(ends, np.int32), np.frombuffer(shapes, np.uint8)
 
 
 class Crf:
@@ -217,9 +226,9 @@ class Crf:
         return self
 
     def decode(self, lines: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each line (Viterbi), lines of like length together."""
-        out: list = [None] * len(lines)
-        order = sorted(range(len(lines)), key=lambda k: len(lines[k]))
+        """The best tags of each line (Viterbi), lines of like length together; very long ones alone."""
+        out: list = [self.decode_long(x) if len(x) > LONG else None for x in lines]
+        order = sorted((k for k in range(len(lines)) if out[k] is None), key=lambda k: len(lines[k]))
         move = self.move + self.banned
         k = 0
         while k < len(order):
@@ -253,6 +262,28 @@ class Crf:
         return out
 
 
+    def decode_long(self, shapes: np.ndarray) -> np.ndarray:
+        """The best tags of one line: scores are made in pieces, and only a byte a tag and token stays."""
+        move, tags = self.move + self.banned, len(TAGS)
+        back, best, column = np.zeros((len(shapes), tags), np.int8), None, np.arange(tags)
+        for k in range(0, len(shapes), LONG):
+            left = max(0, k - REACH)
+            part = self.scores(shapes[left:k + LONG + REACH].astype(np.int64))[k - left:][:LONG]
+            for t, s in enumerate(part, k):
+                if t == 0:
+                    best = s + self.start
+                    continue
+                through = best[:, None] + move
+                back[t] = came = through.argmax(axis=0)
+                best = through[came, column] + s
+        path = np.zeros(len(shapes), np.int8)
+        tag = int(best.argmax())
+        for t in range(len(shapes) - 1, -1, -1):
+            path[t] = tag
+            tag = back[t, tag]
+        return path
+
+
 def training_rows() -> list[tuple[np.ndarray, np.ndarray]]:
     rows = []
     for marked in LABELLED:
@@ -264,10 +295,10 @@ def training_rows() -> list[tuple[np.ndarray, np.ndarray]]:
             text += m[2] if m else part
         found = tokens(text)
         tags = []
-        for s, e, _ in found:
+        for s, e in zip(found[0].tolist(), found[1].tolist(), strict=True):
             own = next(((a, k) for a, b, k in spans if a <= s and e <= b), None)
             tags.append(TAGS.index(f"{'B' if own[0] == s else 'I'}-{own[1]}") if own else 0)
-        rows.append((np.array([x for _, _, x in found]), np.array(tags)))
+        rows.append((found[2].astype(np.int64), np.array(tags)))
     return rows
 
 
@@ -288,23 +319,19 @@ def crf_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         for line in text.split("\n"):
             if _DECIMAL(line) or not line.isascii() and any(map(str.isdigit, set(line))):
                 found = tokens(line)
-                lines.append(np.array([x for _, _, x in found]))
+                lines.append(found[2])
                 places.append((k, at, found))
             at += len(line) + 1
-    for tags, (k, at, found) in zip(crf.decode(lines), places, strict=True):
-        t = 0
-        while t < len(tags):
-            if TAGS[tags[t]][0] != "B":
-                t += 1
-                continue
+    for tags, (k, at, (starts, ends, _)) in zip(crf.decode(lines), places, strict=True):
+        for t in np.flatnonzero(tags % 2 == 1).tolist():
+            # B tags are odd, each followed by its I tag.
             e = t + 1
-            while e < len(tags) and TAGS[tags[e]] == "I" + TAGS[tags[t]][1:]:
+            while e < len(tags) and tags[e] == tags[t] + 1:
                 e += 1
-            s, end, kind = at + found[t][0], at + found[e - 1][1], TAGS[tags[t]][2:]
+            s, end, kind = at + int(starts[t]), at + int(ends[e - 1]), TAGS[tags[t]][2:]
             alone = not (texts[k][s - 1:s].isalnum() or texts[k][end:end + 1].isalnum())
             if alone and _counts(kind, texts[k][s:end]):
                 out[k].append((kind, s, end))
-            t = e
     return out
 
 

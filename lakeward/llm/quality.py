@@ -7,14 +7,19 @@
 2. Grouped sums (n, sum p, sum p^2) for each path, summed up for each host
    and for all.  Between-group variance by moments gives the weight
    kappa = m (1 - m) / variance - 1 of a group's prior, at either level.
-3. Posteriors: host = (sum p + kappa_h * m) / (n + kappa_h); path = (sum p +
-   kappa_p * host) / (n + kappa_p).  Sparse sites shrink towards their
-   parent.
+3. Posteriors of a document's site from the other documents there (its own
+   p is left out of n and of the sums, so that it is not counted twice):
+   host = (sum p + kappa_h * m) / (n + kappa_h); path = (sum p + kappa_p *
+   host) / (n + kappa_p).  Sparse sites shrink towards their parent: a
+   document alone in its path has its host's posterior, one alone in its
+   host the global mean.
 4. Score: logit p + logit path - logit m, as a probability.
 
-Only the grouped sums are shuffled before the join; the weights come to the
+A host is any column that says where a document comes from, a path any
+column that divides a host.  Only the grouped sums are shuffled before the join; the weights come to the
 driver as a handful of numbers.  Defined results: null and empty texts have
-all counts zero; a null host or path is a group of its own; if a label is
+all counts zero; a null host or path is a group of its own; labels without
+an id are not learnt from; ids may be of any type; if a label is
 missing altogether p is the base rate; repeated rows each get their row.
 """
 
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.llm.common import distinct_texts, held_out, python_batches, table, written
@@ -57,11 +62,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64()))], ["h", "quality", "x"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, int, int]]:
-    """At most ``per_class`` (doc_id, text hash, quality) of each label, whatever the partitioning."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """At most ``per_class`` (quality, h, doc_id) of each label, whatever the partitioning; h is the text's hash."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality").distinct()
     rows = known.join(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")), "doc_id")
-    return [(r.doc_id, r.h, r.quality) for r in distinct_texts(rows, "quality", per_class).collect()]
+    # Written, so that its size is known when the texts are fetched.
+    return written(distinct_texts(rows, "quality", per_class), "quality-ids")
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 60, l2: float = 1e-2) -> np.ndarray:
@@ -81,16 +87,15 @@ def evidence(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFr
     """doc_id, host, path, p of every row."""
     spark = docs.sparkSession
     python_batches(spark)
-    sample = labelled_sample(docs, labels)
+    wanted = labelled_sample(docs, labels)
+    # Features are counted on the executors, over whole texts as in scoring; a row comes here as a few numbers.
+    rows = (docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"])
+            .dropDuplicates(["quality", "h"]).select("h", F.col("quality").cast("int").alias("quality"), "text"))
+    rows = sorted((r.h, r.quality, r.x) for r in rows.mapInArrow(_featured, "h long, quality int, x array<double>").collect())
     net = None
-    if len({q for _, _, q in sample}) == 2:
-        wanted = F.broadcast(spark.createDataFrame(sample, "doc_id long, h long, quality int"))
-        # Features are counted on the executors, over whole texts as in scoring; a row comes here as a few numbers.
-        rows = (docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-                .join(wanted, ["doc_id", "h"]).dropDuplicates(["quality", "h"]).select("h", "quality", "text"))
-        rows = sorted((r.h, r.quality, r.x) for r in rows.mapInArrow(_featured, "h long, quality int, x array<double>").collect())
+    if len({q for _, q, _ in rows}) == 2:
         net = fit(np.array([x for _, _, x in rows]), np.array([q for _, q, _ in rows], float))
-    base = sum(q for _, _, q in sample) / len(sample) if sample else 0.5
+    base = sum(q for _, q, _ in rows) / len(rows) if rows else 0.5
     shared = spark.sparkContext.broadcast((net, base))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -123,11 +128,14 @@ def site_scores(rows: DataFrame) -> DataFrame:
     n, s = paths.agg(F.sum("n"), F.sum("s")).first()
     mean = min(max((s or 0) / n, 1e-3), 1 - 1e-3) if n else 0.5
     top, low = _kappa(hosts, mean), _kappa(paths, mean)
-    hosts = hosts.select(F.struct("host").alias("k"), ((F.col("s") + top * mean) / (F.col("n") + top)).alias("host_posterior"))
-    paths = (paths.join(hosts, paths["host"].eqNullSafe(F.col("k.host"))).select(
-        F.struct("host", "path").alias("k"), "host_posterior",
-        ((F.col("s") + low * F.col("host_posterior")) / (F.col("n") + low)).alias("path_posterior")))
-    paths = paths.select(F.col("k.host").alias("h"), F.col("k.path").alias("t"), "host_posterior", "path_posterior")
+    # Sums go to the rows by structs of the keys, so that the join back has an exchange of its own and AQE can split a large site.
+    hosts = hosts.select(F.struct("host").alias("k"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    paths = (paths.join(hosts, paths["host"].eqNullSafe(F.col("k.host"))).select(F.struct("host", "path").alias("k"), "n", "s", "host_n", "host_s"))
+    paths = paths.select(F.col("k.host").alias("h"), F.col("k.path").alias("t"), "n", "s", "host_n", "host_s")
+
+    def posterior(n: str, s: str, kappa: float, parent: Column) -> Column:
+        others, total = F.col(n) - 1, F.col(s) - F.col("p")
+        return F.when(others + F.lit(kappa) > 0, (total + F.lit(kappa) * parent) / (others + F.lit(kappa))).otherwise(parent)
 
     def logit(c):
         c = F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -135,6 +143,8 @@ def site_scores(rows: DataFrame) -> DataFrame:
 
     z = logit(F.col("p")) + logit(F.col("path_posterior")) - F.lit(math.log(mean / (1 - mean)))
     return (rows.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("t")))
+            .withColumn("host_posterior", posterior("host_n", "host_s", top, F.lit(mean)))
+            .withColumn("path_posterior", posterior("n", "s", low, F.col("host_posterior")))
             .select("doc_id", "p", "host_posterior", "path_posterior", (1 / (1 + F.exp(-z))).alias("score")))
 
 

@@ -99,12 +99,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     python_batches(docs.sparkSession)
     text = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
     # First the ids of the sample, then their texts: the shuffles carry no text but the sample's.
-    ids = distinct_texts(known(labels).join(text.select("doc_id", "h"), "doc_id"), "toxic", per_class)
-    picked = [(r.doc_id, r.h, r.toxic) for r in ids.collect()]
-    if not picked:
-        return []
-    wanted = docs.sparkSession.createDataFrame(picked, "doc_id long, h long, toxic int")
-    rows = text.join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select("h", "toxic", "text")
+    # Written, so that its size is known when the texts are fetched.
+    wanted = written(distinct_texts(known(labels).join(text.select("doc_id", "h"), "doc_id"), "toxic", per_class), "toxicity-ids")
+    rows = text.join(wanted.select("doc_id", "h", "toxic"), ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select(
+        "h", F.col("toxic").cast("int").alias("toxic"), "text")
     rows = written(rows.mapInArrow(_windowed, "h long, toxic int, n long, windows binary"), "toxicity-sample")
     ahead = Window.partitionBy("toxic").orderBy("h")
     taken = (rows.select("h", "toxic", F.sum("n").over(ahead).alias("sum"), F.row_number().over(ahead).alias("place"))

@@ -257,11 +257,14 @@ def test_copies_take_one_place_of_a_sample(spark, monkeypatch):
     outside = {t for k, t, _ in rows if k < 1000 and zlib.crc32(str(k).encode()) % 5}
     for part in (toxicity, quality):
         found = part.labelled_sample(docs, labels, 200)
+        found = found if part is toxicity else [(r.doc_id, r.h, r.quality) for r in found.collect()]
         assert len(found) == len({x[1] if part is quality else x[1].tobytes() for x in found}) == len(outside)
     found = language.labelled_sample(docs, 30)
     assert sum(x[0] == "en" for x in found) == len({x for x in found if x[0] == "en"}) == 30
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
-    assert {x[0] for x in language.labelled_sample(docs, 30)} == {"en"}
+    monkeypatch.setattr(language, "SAMPLE", 10)
+    # Fewer texts of each language, but no language without any.
+    found = language.labelled_sample(docs, 30)
+    assert sorted({x[0] for x in found}) == ["en", "fi"] and sum(x[0] == "en" for x in found) == 5
 
 
 def test_training_sees_whole_texts(spark, monkeypatch):
@@ -299,3 +302,59 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     ids = [r.doc_id for r in out.collect()]
     assert 100 < len(ids) <= 200 and len(set(ids)) == len(ids)
+
+
+def test_ids_may_be_strings(spark, corpus, labels):
+    named = corpus.withColumn("doc_id", F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
+    theirs = labels.withColumn("doc_id", F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
+    n = corpus.count()
+    assert toxicity.toxicity(named, theirs).where("doc_id is null or doc_id like 'd-%'").count() == n
+    assert quality.site_scores(quality.evidence(named, theirs, "source", "lang")).count() == n
+    assert language.languages_of(named).count() == n and pii.personal_data(named).count() == n
+    assert jaccard.near_duplicates(named).count() == n and bpe.digests(named).count() == n
+    assert linededup.without_repeats(named).count() > 0
+
+
+def test_site_posteriors_leave_the_document_out(spark):
+    rng = random.Random(2)
+    rows = [(k, f"h{k % 4}", f"p{k % 3}", min(.98, max(.02, rng.gauss(.2 + .2 * (k % 4), .1)))) for k in range(60)]
+    # A path of one document, a host of one, a host that is null.
+    rows += [(100, "h0", "alone", .9), (101, "lonely", "p0", .1), (102, None, None, .5), (103, None, None, .7)]
+    frame = spark.createDataFrame(rows, "doc_id long, host string, path string, p double")
+    got = {r.doc_id: r for r in quality.site_scores(frame).collect()}
+    p = {r[0]: r[3] for r in rows}
+    mean = sum(p.values()) / len(rows)
+
+    def groups(key):
+        out = {}
+        for r in rows:
+            out.setdefault(key(r), []).append(r[3])
+        return out
+
+    def kappa(found):
+        live = [np.array(v) for v in found.values() if len(v) > 1]
+        spread = np.mean([(v.mean() - mean) ** 2 for v in live]) - np.mean([v.var(ddof=1) / len(v) for v in live])
+        return min(quality.MOST_KAPPA, max(0.0, mean * (1 - mean) / spread - 1)) if spread > 0 else quality.MOST_KAPPA
+
+    hosts, paths = groups(lambda r: r[1]), groups(lambda r: (r[1], r[2]))
+    top, low = kappa(hosts), kappa(paths)
+    for i, host, path, own in rows:
+        h, t = hosts[host], paths[host, path]
+        of_host = (sum(h) - own + top * mean) / (len(h) - 1 + top)
+        of_path = (sum(t) - own + low * of_host) / (len(t) - 1 + low)
+        odds = np.log(own / (1 - own)) + np.log(of_path / (1 - of_path)) - np.log(mean / (1 - mean))
+        assert got[i].host_posterior == pytest.approx(of_host) and got[i].path_posterior == pytest.approx(of_path)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-odds)))
+    assert got[100].path_posterior == pytest.approx(got[100].host_posterior) and got[101].host_posterior == pytest.approx(mean)
+    one = quality.site_scores(frame.where("doc_id = 100")).first()
+    assert one.host_posterior == one.path_posterior == pytest.approx(.9)
+
+
+def test_a_very_long_line_is_decoded_like_a_short_one(spark, monkeypatch):
+    rng = random.Random(11)
+    words = "mail me at jane @ example.org or card 4111/1111/1111/1111 from 10 . 0 . 0 . 12 the year 1998 room 404 call".split(" ")
+    line = " ".join(rng.choice(words) for _ in range(4000)) + " contact jane @ example.org now"
+    crf = pii.Crf().fit(pii.training_rows(), steps=60)
+    short = pii.crf_spans(crf, [line, "x 1 y"])
+    monkeypatch.setattr(pii, "LONG", 100)
+    assert pii.crf_spans(crf, [line, "x 1 y"]) == short and len(short[0]) > 5
