@@ -204,37 +204,9 @@ def visible_asset_counts(assets: DataFrame, domains: DataFrame, members: DataFra
     published count + drafts of the viewer's teams (a draft has one team, so
     per-team counts add up), or the full count for a global viewer.
     """
-    rows = assets_with_team(assets, domains)
-    # One aggregate per team; the totals and the per-team draft counts are
-    # all read from it (its shuffle is computed once and reused).
-    per_team = rows.groupBy("team_id").agg(
-        F.count(F.lit(1)).alias("n_all"),
-        F.count(F.when(F.coalesce(F.col("published"), F.lit(False)), 1)).alias("n_published"),
-    )
-    drafts_per_team = per_team.select("team_id", (F.col("n_all") - F.col("n_published")).alias("n_drafts"))
-    totals = per_team.agg(F.sum("n_all").alias("n_all"), F.sum("n_published").alias("n_published"))
-    scopes = visibility_scopes(viewers, members, flags)
-    # Scope rows of kind team/all never carry a NULL viewer, so plain
-    # left joins keep the anonymous viewer with no match.
-    team_part = (
-        scopes.filter(F.col("scope") == SCOPE_TEAM)
-        .join(drafts_per_team, "team_id")
-        .groupBy("viewer").agg(F.sum("n_drafts").alias("n_team_drafts"))
-    )
-    is_global = scopes.filter(F.col("scope") == SCOPE_ALL).select("viewer", F.lit(True).alias("is_global"))
-    n_all = F.coalesce(totals.select("n_all").scalar(), F.lit(0))
-    n_pub = F.coalesce(totals.select("n_published").scalar(), F.lit(0))
-    return (
-        viewers.select("viewer")
-        .join(team_part, "viewer", "left")
-        .join(is_global, "viewer", "left")
-        .select(
-            "viewer",
-            F.when(F.col("is_global"), n_all)
-            .otherwise(n_pub + F.coalesce("n_team_drafts", F.lit(0)))
-            .cast("long").alias("n_assets"),
-        )
-    )
+    scopes, scoped = visible_assets_batch(assets, domains, members, flags, viewers)
+    counts = summed_per_viewer(scopes, scoped, F.lit(1))
+    return counts.select("viewer", F.col("sum_0").cast("long").alias("n_assets"))
 
 
 # ----------------------------------------------------------- O-X6 / O-X7 ---
@@ -262,10 +234,11 @@ def visible_teams(teams: DataFrame, members: DataFrame, flags: DataFrame, viewer
 
 def visible_domain_counts(domains: DataFrame, members: DataFrame, flags: DataFrame, viewers: DataFrame) -> DataFrame:
     """Per viewer the number of listable domains (factorized through team keys)."""
-    per_team = domains.groupBy("team_id").agg(F.count(F.lit(1)).alias("n"))
+    # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large team.
+    per_team = domains.groupBy(F.struct("team_id").alias("k")).agg(F.count(F.lit(1)).alias("n")).select(F.col("k.team_id").alias("_team"), "n")
     scopes = visibility_scopes(viewers, members, flags)
     own = (
-        scopes.filter(F.col("scope") == SCOPE_TEAM).join(per_team, "team_id")
+        scopes.filter(F.col("scope") == SCOPE_TEAM).join(per_team, F.col("team_id") == F.col("_team"))
         .groupBy("viewer").agg(F.sum("n").alias("n_own"))
     )
     glob = scopes.filter(F.col("scope") == SCOPE_ALL).select("viewer", F.lit(True).alias("is_global"))
@@ -295,7 +268,9 @@ def access_decisions(pairs: DataFrame, assets: DataFrame, domains: DataFrame, me
     """
     rows = assets_with_team(assets, domains).select(
         F.col("id").alias("_asset"), F.col("team_id").alias("_team"), F.col("published").alias("_published"))
-    grants = members.select(F.col("email").alias("_member"), F.col("team_id").alias("_gteam")).distinct()
+    # Distinct by a struct of the pair: the join has an exchange of its own on both sides, and AQE can split a hot pair.
+    grants = members.groupBy(F.struct("email", "team_id").alias("k")).agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("k.email").alias("_member"), F.col("k.team_id").alias("_gteam"))
     gflags = flags.filter(F.col("is_global")).select(F.col("email").alias("_global"))
     joined = (
         pairs.join(rows, pairs[asset_col] == rows._asset, "left")

@@ -169,7 +169,9 @@ def entities(t: dict[str, DataFrame], wanted: DataFrame | None = None) -> DataFr
     union = reduce(DataFrame.unionByName, parts).filter("e_id IS NOT NULL")
     aggs = ([f"min({c}) AS {c}" for c in ENTITY_COLUMNS] + [f"bool_or({c}) AS {c}" for c in ENTITY_FLAGS]
             + ["count(1) AS e_count"])
-    return union.groupBy("e_kind", "e_id").agg(*[F.expr(a) for a in aggs])
+    # Grouped by a struct of the key: the lookup join has an exchange of its own on both sides, and AQE can split a hot key's asks.
+    return (union.groupBy(F.struct("e_kind", "e_id").alias("k")).agg(*[F.expr(a) for a in aggs])
+            .select("k.e_kind", "k.e_id", *ENTITY_COLUMNS, *ENTITY_FLAGS, "e_count"))
 
 
 # ------------------------------------------------------------ decision ---
@@ -507,6 +509,9 @@ def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
     ch = _lookup_all(ch, t)
     ch = ch.selectExpr("*", f"{GRANT_TEAM} AS g_team", f"{MEMBER_TEAM} AS m_team", f"{MEMBER_EMAIL} AS m_email")
     grants = team_grants(t["team_members"])
+    # Their key goes through a struct, so that the joins below have exchanges of their own and AQE can split a hot (actor, team).
+    grants = grants.groupBy(F.struct("email", "team_id").alias("k")).agg(
+        *[F.bool_or(c).alias(c) for c in ("is_member", "is_manager", "is_owner")]).select("k.email", "k.team_id", "is_member", "is_manager", "is_owner")
 
     # Second round (needs the target's team / e-mail): the actor's grant on a
     # team and the membership a change addresses; both joins key the grant
