@@ -145,3 +145,16 @@ def test_users_with_teams_flat_and_nested(spark, sample):
     nested = {r.email: [(t.team_name, t.role) for t in r.teams]
               for r in joins.users_with_team_lists(flat).collect()}
     assert nested[LONER] == [] and nested[M_LEAD] == [("Marketing", "owner")]
+
+
+def test_batch_visibility_expands_to_each_viewers_assets(spark, sample):
+    flags = access.effective_flags(sample["users"], sample["team_members"], sample["teams"])
+    viewers = access.viewers_of(sample["users"])
+    scopes, scoped = access.visible_assets_batch(sample["assets"], sample["domains"], sample["team_members"], flags, viewers)
+    pairs = {}
+    for r in access.expand(scopes, scoped).collect():
+        pairs.setdefault(r.viewer, set()).add(r.asset_id)
+    for viewer in [r.viewer for r in viewers.collect()]:
+        one = access.visible_assets(sample["assets"], sample["domains"], sample["team_members"], flags, viewer)
+        assert pairs[viewer] == {r.id for r in one.collect()}, viewer
+    assert scoped.count() == sample["assets"].count()

@@ -88,3 +88,12 @@ def test_search_wildcards_live_and_backslash_literal(spark):
     assert ids("\\b") == ["3"]                     # backslash is literal
     assert ids("äpfel") == ["4"]
     assert ids("") == ["1", "2", "3", "4", "5"] and ids(None) == ["1", "2", "3", "4", "5"]
+
+
+def test_parse_columns_reads_the_whole_document(spark):
+    cases = {'[{"name":"x"}] garbage': None, '{"a":"1"} x': None, '[{"name":"x"}],[{': None, '{}},{': None, '1],[2': None,
+             '{"a":"1","b":"2","a":"3"}': [("a", "3"), ("b", "2")], '{"a":null}': [("a", "null")], '\n\t {"a":"T"} \n': [("a", "T")],
+             '{"a":1,"b":true}': [("a", "1"), ("b", "true")], '[{"name":null,"type":"T"}]': [(None, "T")], '"text"': None, '': None, ' ': None}
+    df = spark.createDataFrame(list(cases.items()) and [(k,) for k in cases], "s string")
+    got = {r.s: None if r.c is None else [(x["name"], x["type"]) for x in r.c] for r in df.select("s", fx.parse_columns("s").alias("c")).collect()}
+    assert got == cases

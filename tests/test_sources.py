@@ -127,3 +127,56 @@ def test_schema_text_after_white_space(spark):
 
     df = spark.createDataFrame([('\n\t {"a": "INT"}',)], "schema_json string")
     assert [c.name for c in df.select(parse_columns("schema_json").alias("c")).first().c] == ["a"]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_yaml_files_are_read_in_their_own_rows(spark):
+    from lakeward.sources.harvest import yaml_columns
+
+    files = spark.createDataFrame([("a", "columns:\r\n  - name: x\r\n    type: INT\r\n    nullable: false\r\n  - name: \"\"\r\n  - name: y\r\n    description: 'd: e'"),
+                                   ("b", "# c\nid: 'INT'\n\nbad line\n columns : x\n"), ("c", "columns : none\n"), ("d", None), ("e", ""),
+                                   ("f", "id: INT\nColumns:\n  - name: z\n    type: A\n    type: B\n    other: 1")], "file_id string, text string")
+    out = yaml_columns(files)
+    assert "Exchange" not in plan_of(out) and "Window" not in plan_of(out)
+    got = sorted((r.file_id, r.col_pos, r.name, r.type, r.nullable, r.description) for r in out.collect())
+    assert got == [("a", 1, "x", "INT", False, ""), ("a", 2, "y", "", True, "d: e"), ("f", 1, "z", "B", True, "")]
+
+
+def test_harvest_reads_footers_not_data(spark, tmp_path):
+    from lakeward.sources.harvest import harvest_many, harvest_parquet
+
+    rows = [(k, None if k == 3 else "x" * 200 + str(k), [float(k)] if k else None, (k, None)) for k in range(5000)]
+    spark.createDataFrame(rows, "a long, b string, c array<double>, d struct<x:long,y:string>").repartition(3).write.parquet(f"{tmp_path}/t")
+    out = harvest_parquet(spark, {"t": f"{tmp_path}/t"})
+    text = plan_of(out)
+    assert "PushedAggregation: [COUNT(*), COUNT(a), COUNT(b)]" in text
+    # Only the nested columns are read, by the other reader.
+    assert "ReadSchema: struct<c:array<double>,d:struct<" in text and "b:string" not in text.split("FileScan")[1].split("ReadSchema")[1].split("\n")[0]
+    key = lambda r: (r.dataset, r.col_pos, r.name, r.type, r.spark_type, r.nullable)
+    assert sorted(map(key, out.collect())) == sorted(map(key, harvest_many({"t": spark.read.parquet(f"{tmp_path}/t")}).collect()))
+    assert {r.name: r.nullable for r in out.collect()} == {"a": False, "b": True, "c": True, "d": False}
+    empty = harvest_parquet(spark, {"e": _empty(spark, f"{tmp_path}/e")})
+    assert [r.nullable for r in empty.collect()] == [False, False]
+
+
+def _empty(spark, path):
+    spark.createDataFrame([], "a long, b array<int>").write.parquet(path)
+    return path
+
+
+def test_versions_of_other_layouts_are_one_scan(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+    root = str(tmp_path)
+    store.write_snapshot({"t": spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")}, root, 0)
+    store.write_snapshot({"t": spark.createDataFrame([(3, None, 7)], "id long, name string, level int")}, root, 2)
+    schema = StructType([StructField("id", LongType()), StructField("name", StringType()), StructField("level", IntegerType()),
+                         StructField("kind", StringType())])
+    out = store.read_versions(spark, root, "t", schema, defaults={"level": 5, "name": "never", "kind": "k"})
+    assert plan_of(out).count("FileScan") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 5, "k", 0), (2, None, 5, "k", 0), (3, None, 7, "k", 2)]
+    assert store.read_versions(spark, root, "t", schema, versions=[2]).count() == 1
+    assert store.read_versions(spark, root, "t", schema, versions=[]).count() == 0
