@@ -52,11 +52,11 @@ from lakeward.session import discard
 MIN = 10
 COVER = 50
 TOP = 2000
-TOKENS = 750_000
+TOKENS = 500_000
 #: Bytes of a text that are split into words at once.
 SLICE = 1 << 19
 #: n-grams of a prefix range, before equal ones of several shards are united.
-RANGE = 1_000_000
+RANGE = 750_000
 #: n-grams that a shard shows for the ranges' bounds, and about how many shards are looked at.
 SHOWN, SHARDS = 64, 1024
 
