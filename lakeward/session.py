@@ -144,8 +144,9 @@ def scratch(spark: SparkSession):
 
 
 def discard(df) -> None:
-    """Drop a table of the innermost scope before its end."""
-    for scope in getattr(_scopes, "open", [])[-1:]:
+    """Drop a table of an open scope before the scope's end."""
+    for scope in reversed(getattr(_scopes, "open", [])):
         for entry in [e for e in scope if e[0] is df]:
             scope.remove(entry)
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {entry[1]}")
+            return
