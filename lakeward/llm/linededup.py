@@ -41,11 +41,13 @@ columns come back unchanged.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import components, document_key, step, table, written
+from lakeward.llm.common import components, document_key, free_shuffles, step, table, written
+from lakeward.session import discard
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -200,8 +202,11 @@ def _between(members: DataFrame, signed: DataFrame, texts: DataFrame, groups: Da
         return keep(written(out, "lines-between"))
 
 
-def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) over ``lines`` (lid, line): components of near-duplicate lines; lines without any are absent."""
+def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, read: Callable[[], None] = lambda: None) -> DataFrame:
+    """(node, root) over ``lines`` (lid, line): components of near-duplicate lines; lines without any are absent.
+
+    ``read`` is called when the lines are not needed any more.
+    """
     with step(lines.sparkSession) as keep:
         signed = written(banded_lines(lines), "lines-bands")
         banded = signed.select("lid", F.explode("bands").alias("band"))
@@ -210,6 +215,8 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
                  .where("low < high").select(F.col("k.band").alias("band"), "low"))
         members = written(banded.join(first, "band").select("band", "lid", "low"), "lines-members")
         texts = written(measured(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line")), "lines-texts")
+        read()
+        free_shuffles(lines.sparkSession)
         groups = components(written(_with_first(members, texts, similarity), "lines-links"), "lines-groups")
         more = _between(members, signed, texts, groups, similarity)
         if not more.isEmpty():
@@ -229,9 +236,11 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         clash = written(lines.where("least < most").select(F.col("lid").alias("_lid"), "least"), "lines-clashes")
         if not clash.isEmpty():
             found = told_apart(found, keep(clash))
+            discard(lines)
             lines = distinct_lines(found)
-        groups = similar_lines(lines.select("lid", "line"), similarity)
-        spots = lines.select("lid", "first", "n")
+        # The texts of the lines are dropped once they have been read.
+        whole, spots = lines, written(lines.select("lid", "first", "n"), "lines-spots", bucket="lid")
+        groups = similar_lines(whole.select("lid", "line"), similarity, lambda: discard(whole))
         grouped = spots.join(groups, spots["lid"] == groups["node"]).select("lid", "root", "first")
         # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large group.
         best = grouped.groupBy(F.struct("root").alias("k")).agg(F.min("first").alias("keep")).select(F.col("k.root").alias("root"), "keep")
