@@ -1,4 +1,4 @@
-"""Registered streaming queries over the driver's events, cut into five micro-batches.
+"""Registered streaming queries over the driver's events, cut into micro-batches.
 
 Access requests go through the stateful request stream (O-R1), the whole
 change log through the change stream (O-R2); both commit to a bucketed
@@ -23,15 +23,16 @@ BATCH_SQL = ("CAST(floor((event_id - (SELECT min(event_id) FROM events)) * CAST(
              "/ ((SELECT max(event_id) FROM events) - (SELECT min(event_id) FROM events) + 1)) AS INT)").format(n=BATCHES)
 
 
-def write_batches(spark: SparkSession, sf_dir: str, folder: str, batches=range(BATCHES)) -> None:
-    """The events table as one file per micro-batch, written one after the other (a stream takes them in this order)."""
+def write_batches(spark: SparkSession, sf_dir: str, folder: str, of: int = BATCHES, batches: list[int] | None = None) -> None:
+    """The events table in ``of`` equal ranges of ids, one file per micro-batch, written one after the other (a stream
+    takes them in this order); ``batches`` names some of them."""
     events = read_table(spark, sf_dir, "events")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     if low is None:
         events.write.mode("append").parquet(folder)
         return
-    batch = F.floor((F.col("event_id") - low) * float(BATCHES) / (high - low + 1)).cast("int")
-    for k in batches:
+    batch = F.floor((F.col("event_id") - low) * float(of) / (high - low + 1)).cast("int")
+    for k in range(of) if batches is None else batches:
         events.where(batch == k).coalesce(1).write.mode("append").parquet(folder)
 
 
@@ -70,16 +71,16 @@ SELECT {REQUEST_ID_SQL} AS id, target_id AS asset_id, actor_email AS requester_e
 FROM dec WHERE op = 'request_access' AND status < 300
 """)
 def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-R1: five micro-batches of events as a stream of access requests, then two of them once more; the request
-    rows and notifications in the store: every accepted request once."""
+    """O-R1: two micro-batches of events as a stream of access requests, then the first once more; the request rows and
+    notifications in the store: every accepted request once."""
     c = catalog(spark, sf_dir)
     folder = stream_folder(spark, "requests")
     root = f"{folder}/store"
     buckets.create(spark, root, {"assets": c.assets, "access_requests": c.access_requests}, 8)
-    write_batches(spark, sf_dir, f"{folder}/in")
+    write_batches(spark, sf_dir, f"{folder}/in", 2)
     stream = lambda: request_stream(change_records_stream(spark, sf_dir, f"{folder}/in"), root, f"{folder}/checkpoint")
     stream().awaitTermination()
-    write_batches(spark, sf_dir, f"{folder}/in", (1, 3))
+    write_batches(spark, sf_dir, f"{folder}/in", 2, [0])
     stream().awaitTermination()
     tables = buckets.read(spark, root)
     told = tables["notifications"].withColumnRenamed("request_id", "id")
