@@ -163,6 +163,7 @@ def source_family(source_type: Column | str) -> Column:
 
 # --------------------------------------------------------- notification ---
 
+# --- Fixed values: the sentences of a notification. ---
 REVIEW_LINE = "Please review the request in the catalog UI."
 
 

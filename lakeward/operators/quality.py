@@ -82,23 +82,31 @@ def duplicate_keys(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def type_vocabulary(spark: SparkSession) -> DataFrame:
-    """``vocab_key, type`` for every source list and the default list."""
+    """``vocab_key, type`` for every source list, file format list (``format:<name>``) and the default list (``''``)."""
     rows = [(src, ty) for src, types in vocab.SOURCE_TYPE_VOCABULARY.items() for ty in types]
+    rows += [(f"format:{fmt}", ty) for fmt, types in vocab.FILE_FORMAT_VOCABULARY.items() for ty in types]
     rows += [("", ty) for ty in vocab.DEFAULT_TYPES]
     return spark.createDataFrame(rows, "vocab_key string, type string")
 
 
-def unknown_types(assets: DataFrame) -> DataFrame:
+def unknown_types(assets: DataFrame, formats: DataFrame | None = None) -> DataFrame:
     """O-F7: described column types outside the vocabulary of the asset's source.
 
-    Sources with their own list use it (exact, case-sensitive match); s3/gcs
-    would use the file format's list, which is not stored, so they and all
-    other sources fall back to the default list.
+    Sources with their own list use it (exact, case-sensitive match).  Files
+    in object storage (s3, gcs) use their file format's list, where
+    ``formats`` (asset_id, file_format, one row an asset) knows it: the
+    catalog does not store it.  All others use the default list.
     """
     spark = assets.sparkSession
     listed = list(vocab.SOURCE_TYPE_VOCABULARY)
-    cols = asset_columns(assets, keep=("source_type",)).withColumn(
-        "vocab_key", F.when(F.col("source_type").isin(listed), F.col("source_type")).otherwise(F.lit("")))
+    cols = asset_columns(assets, keep=("source_type",))
+    key = F.when(F.col("source_type").isin(listed), F.col("source_type"))
+    if formats is not None:
+        known_formats = formats.where(F.col("file_format").isin(list(vocab.FILE_FORMAT_VOCABULARY))).select(
+            F.col("asset_id").alias("_asset"), "file_format")
+        cols = cols.join(known_formats, F.col("asset_id") == F.col("_asset"), "left")
+        key = key.when(F.col("source_type").isin(*vocab.FILE_SOURCES), F.concat(F.lit("format:"), F.col("file_format")))
+    cols = cols.withColumn("vocab_key", F.coalesce(key, F.lit("")))
     known = F.broadcast(type_vocabulary(spark))  # a fixed list
     return cols.join(known, ["vocab_key", "type"], "left_anti").select(
         "asset_id", "col_pos", "name", "type", "source_type")

@@ -13,12 +13,9 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import vocab
 from lakeward.functions.columns import contains_pattern
+from lakeward.sources import schemas
 
-ASSET_COLUMNS = [
-    "id", "domain_id", "name", "description", "source_type", "connection_uri", "schema_json",
-    "owner_email", "tags", "quality_score", "freshness", "published", "created_at", "updated_at",
-    "layer_id",
-]
+ASSET_COLUMNS = schemas.ASSETS.fieldNames()
 
 
 def asc(*names: str) -> list[Column]:

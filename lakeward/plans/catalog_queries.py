@@ -418,20 +418,7 @@ def q_asset_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.asset_columns(c.assets)
 
 
-@query("source_family", """
-SELECT id AS asset_id, source_type, coalesce(CASE lower(source_type)
-  WHEN 'snowflake' THEN 'snowflake' WHEN 'bigquery' THEN 'cloud'
-  WHEN 'redshift' THEN 'cylinder' WHEN 'synapse' THEN 'cylinder' WHEN 'databricks' THEN 'cylinder'
-  WHEN 'postgres' THEN 'cylinder' WHEN 'postgresql' THEN 'cylinder' WHEN 'mysql' THEN 'cylinder'
-  WHEN 'clickhouse' THEN 'cylinder' WHEN 'duckdb' THEN 'cylinder'
-  WHEN 's3' THEN 'bucket' WHEN 'gcs' THEN 'bucket' WHEN 'minio' THEN 'bucket' WHEN 'adls' THEN 'bucket'
-  WHEN 'azure_blob' THEN 'bucket'
-  WHEN 'kafka' THEN 'stream' WHEN 'kinesis' THEN 'stream' WHEN 'pubsub' THEN 'stream'
-  WHEN 'csv' THEN 'document' WHEN 'tsv' THEN 'document' WHEN 'json' THEN 'document' WHEN 'xml' THEN 'document'
-  WHEN 'parquet' THEN 'document' WHEN 'avro' THEN 'document' WHEN 'orc' THEN 'document'
-  WHEN 'api' THEN 'api' WHEN 'rest' THEN 'api' WHEN 'graphql' THEN 'api' END, 'cylinder') AS family
-FROM assets
-""")
+@query("source_family", f"SELECT id AS asset_id, source_type, {o.source_family('source_type')} AS family FROM assets")
 def q_source_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
     return c.assets.select(F.col("id").alias("asset_id"), "source_type",
@@ -459,7 +446,7 @@ def q_notification_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("unknown_types", """
+@query("unknown_types", f"""
 WITH cols AS (
   SELECT a.id AS asset_id, a.source_type, CAST(e.rn AS INTEGER) AS col_pos,
     CASE WHEN json_type(a.schema_json) = 'ARRAY' THEN json_extract_string(e.value, '$.name') ELSE e.key END AS name,
@@ -467,30 +454,10 @@ WITH cols AS (
          ELSE json_extract_string(e.value, '$') END AS type
   FROM (SELECT * FROM assets WHERE json_valid(schema_json) AND json_type(schema_json) IN ('ARRAY', 'OBJECT')) a,
        LATERAL (SELECT key, value, row_number() OVER (ORDER BY id) AS rn FROM json_each(a.schema_json)) e),
-vocab(vocab_key, type) AS (VALUES
-  ('snowflake','VARCHAR'),('snowflake','NUMBER'),('snowflake','INTEGER'),('snowflake','FLOAT'),
-  ('snowflake','BOOLEAN'),('snowflake','DATE'),('snowflake','TIMESTAMP_NTZ'),('snowflake','TIMESTAMP_LTZ'),
-  ('snowflake','TIMESTAMP_TZ'),('snowflake','VARIANT'),('snowflake','ARRAY'),('snowflake','OBJECT'),
-  ('snowflake','BINARY'),
-  ('bigquery','STRING'),('bigquery','INTEGER'),('bigquery','INT64'),('bigquery','FLOAT'),('bigquery','FLOAT64'),
-  ('bigquery','BOOLEAN'),('bigquery','BOOL'),('bigquery','DATE'),('bigquery','DATETIME'),('bigquery','TIMESTAMP'),
-  ('bigquery','BYTES'),('bigquery','NUMERIC'),('bigquery','BIGNUMERIC'),('bigquery','RECORD'),('bigquery','JSON'),
-  ('redshift','VARCHAR'),('redshift','CHAR'),('redshift','INTEGER'),('redshift','BIGINT'),('redshift','SMALLINT'),
-  ('redshift','FLOAT'),('redshift','DOUBLE PRECISION'),('redshift','BOOLEAN'),('redshift','DATE'),
-  ('redshift','TIMESTAMP'),('redshift','TIMESTAMPTZ'),('redshift','NUMERIC'),('redshift','SUPER'),
-  ('synapse','VARCHAR'),('synapse','NVARCHAR'),('synapse','INT'),('synapse','BIGINT'),('synapse','SMALLINT'),
-  ('synapse','TINYINT'),('synapse','FLOAT'),('synapse','REAL'),('synapse','BIT'),('synapse','DATE'),
-  ('synapse','DATETIME2'),('synapse','DATETIMEOFFSET'),('synapse','DECIMAL'),
-  ('postgres','VARCHAR'),('postgres','TEXT'),('postgres','INTEGER'),('postgres','BIGINT'),('postgres','SMALLINT'),
-  ('postgres','FLOAT'),('postgres','DOUBLE PRECISION'),('postgres','BOOLEAN'),('postgres','DATE'),
-  ('postgres','TIMESTAMP'),('postgres','TIMESTAMPTZ'),('postgres','NUMERIC'),('postgres','UUID'),
-  ('postgres','JSON'),('postgres','JSONB'),
-  ('','STRING'),('','VARCHAR'),('','TEXT'),('','INTEGER'),('','BIGINT'),('','FLOAT'),('','BOOLEAN'),
-  ('','DATE'),('','TIMESTAMP'))
+vocab(vocab_key, type) AS (VALUES {o.type_vocabulary()})
 SELECT asset_id, col_pos, name, type, source_type FROM cols
 WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.type = cols.type AND v.vocab_key =
-  CASE WHEN cols.source_type IN ('snowflake','bigquery','redshift','synapse','postgres')
-       THEN cols.source_type ELSE '' END)
+  CASE WHEN cols.source_type IN ({o.OWN_LIST}) THEN cols.source_type ELSE '' END)
 """)
 def q_unknown_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)

@@ -176,6 +176,40 @@ def q_clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fx.clean_name("s", trim=False).alias("team_name"), fx.name_ok("s", limit["team"], trim=False).alias("team_ok"))
 
 
+@query("unknown_types_by_format", f"""
+WITH a AS (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM assets WHERE source_type IN ('s3', 'gcs', 'postgres')),
+cols AS (
+  SELECT id, source_type, 1 AS col_pos, 'x' AS name, 'INT64' AS type, n FROM a UNION ALL SELECT id, source_type, 2, 'y', 'STRING', n FROM a
+  UNION ALL SELECT id, source_type, 3, 'z', 'NUMBER', n FROM a),
+vocab(vocab_key, type) AS (VALUES {o.type_vocabulary()})
+SELECT id AS asset_id, CAST(col_pos AS INTEGER) AS col_pos, name, type, source_type FROM cols c
+WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.type = c.type AND v.vocab_key = CASE WHEN c.source_type = 'postgres' THEN 'postgres'
+  WHEN n % 4 = 0 THEN 'format:parquet' WHEN n % 4 = 1 THEN 'format:json' ELSE '' END)
+""")
+def q_unknown_types_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-F7 with the file formats of three quarters of the assets, one of them without a list."""
+    n = F.substring("id", 2, 30).cast("long")
+    assets = catalog(spark, sf_dir).assets.where("source_type IN ('s3', 'gcs', 'postgres')").withColumn(
+        "schema_json", F.lit('{"x":"INT64","y":"STRING","z":"NUMBER"}'))
+    formats = assets.select(F.col("id").alias("asset_id"), F.when(n % 4 == 0, "parquet").when(n % 4 == 1, "json").when(n % 4 == 2, "xlsx").alias("file_format"))
+    return quality.unknown_types(assets, formats)
+
+
+@query("notification_text_all", """
+SELECT r.id AS request_id, 'Access request for data asset: ' || a.name AS subject,
+  'User ' || r.requester_email || ' has requested access to the data asset ' || chr(39) || a.name || chr(39) || '.' || chr(10) || chr(10) || 'Message: '
+    || CASE r.status WHEN 'approved' THEN 'please, for ' || r.id ELSE '(none)' END || chr(10) || chr(10) || 'Please review the request in the catalog UI.' AS body
+FROM access_requests r JOIN assets a ON r.asset_id = a.id
+""")
+def q_notification_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-F6 for every request: with a message, with an empty one, and without."""
+    c = catalog(spark, sf_dir)
+    message = F.when(F.col("status") == "approved", F.concat(F.lit("please, for "), "id")).when(F.col("status") == "denied", "")
+    t = joins.request_targets(c.access_requests, c.assets)
+    return t.select(F.col("id").alias("request_id"), fx.notification_subject("asset_name").alias("subject"),
+                    fx.notification_body("requester_email", "asset_name", message).alias("body"))
+
+
 # ----------------------------------------------------- checks (J11, J12) ---
 
 

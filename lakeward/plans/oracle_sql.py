@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lakeward.functions import vocab
+
 
 def q(text: str) -> str:
     """A SQL string literal."""
@@ -50,3 +52,20 @@ FLAGS = """(SELECT coalesce(u.email, p.email) AS email,
   ON u.email = p.email)"""
 
 VIEWERS = "(SELECT DISTINCT email AS viewer FROM users UNION ALL SELECT NULL AS viewer)"
+
+
+def source_family(column: str) -> str:
+    """The family of a source type, as a CASE over the fixed values."""
+    whens = " ".join(f"WHEN {q(source)} THEN {q(family)}" for source, family in vocab.SOURCE_FAMILIES.items())
+    return f"coalesce(CASE lower({column}) {whens} END, {q(vocab.DEFAULT_FAMILY)})"
+
+
+def type_vocabulary() -> str:
+    """(vocab_key, type) rows of the fixed type lists: by source, by file format, and the default."""
+    rows = [(source, ty) for source, types in vocab.SOURCE_TYPE_VOCABULARY.items() for ty in types]
+    rows += [(f"format:{name}", ty) for name, types in vocab.FILE_FORMAT_VOCABULARY.items() for ty in types]
+    rows += [("", ty) for ty in vocab.DEFAULT_TYPES]
+    return ", ".join(f"({q(key)}, {q(ty)})" for key, ty in rows)
+
+
+OWN_LIST = ", ".join(q(source) for source in vocab.SOURCE_TYPE_VOCABULARY)
