@@ -115,3 +115,51 @@ NAME_LIMITS = {"layer": 64, "team": 128, "domain": 128, "profile": 128, "asset":
 PAGE_DEFAULT, PAGE_MAX = 100, 1000
 USER_SEARCH_LIMIT = 10
 RECENT_ASSETS = 5
+
+# --- Fixed values: why a change is turned down. ---
+REASONS: dict[str, str] = {
+    "authentication_required": "Authentication required",
+    "invalid_asset_fields": "Invalid asset fields",
+    "domain_not_found": "Domain not found",
+    "not_authorized_to_create_assets_in_this_domain": "Not authorized to create assets in this domain",
+    "quality_score_must_be_a_number": "quality_score must be a number",
+    "asset_not_found": "Asset not found",
+    "not_authorized_to_update_this_asset": "Not authorized to update this asset",
+    "no_fields_to_update": "No fields to update",
+    "not_authorized_to_delete_this_asset": "Not authorized to delete this asset",
+    "not_authorized_to_publish_this_asset": "Not authorized to publish this asset",
+    "not_authorized_to_unpublish_this_asset": "Not authorized to unpublish this asset",
+    "invalid_domain_name": "Invalid domain name",
+    "only_team_managers_can_create_domains": "Only team managers can create domains",
+    "team_not_found": "Team not found",
+    "domain_name_already_exists": "Domain name already exists",
+    "only_team_managers_can_update_domains": "Only team managers can update domains",
+    "only_team_managers_can_delete_domains": "Only team managers can delete domains",
+    "invalid_team_name": "Invalid team name",
+    "only_team_owners_can_modify_this_team": "Only team owners can modify this team",
+    "cannot_modify_platform_team": "Cannot modify platform team",
+    "cannot_delete_platform_team": "Cannot delete platform team",
+    "email_is_required": "email is required",
+    "only_team_managers_can_manage_members": "Only team managers can manage members",
+    "role_must_be_manager_or_member": "Role must be 'manager' or 'member'",
+    "no_user_account_found_for_that_email": "No user account found for that email",
+    "user_is_already_a_member_of_this_team": "User is already a member of this team",
+    "role_and_email_are_required": "role and email are required",
+    "member_not_found": "Member not found",
+    "team_id_is_required": "team_id is required",
+    "superadmin_access_required": "Superadmin access required",
+    "user_not_found": "User not found",
+    "invalid_layer_name": "Invalid layer name",
+    "name_is_required": "Name is required",
+    "a_layer_with_that_name_already_exists": "A layer with that name already exists",
+    "position_must_be_an_integer": "position must be an integer",
+    "layer_not_found": "Layer not found",
+    "invalid_e_mail": "Invalid e-mail",
+    "email_already_registered": "Email already registered",
+    "promote_must_be_a_boolean": "promote must be a boolean",
+    "cannot_remove_your_own_superadmin_status": "Cannot remove your own superadmin status",
+    "cannot_delete_your_own_account": "Cannot delete your own account",
+    "invalid_profile_name": "Invalid profile name",
+    "avatar_must_be_a_data_image_url": "avatar must be a data: image URL",
+    "requester_email_is_required": "requester_email is required",
+}

@@ -238,7 +238,7 @@ LOST = "claim_lost"
 
 def _rules() -> dict[str, list[tuple[str, int, str]]]:
     """Rules per op, in order: (SQL condition, status, reason).  Conditions read the columns ``decide`` looks up."""
-    F_, H = _sql_f, _sql_has
+    F_, H, R = _sql_f, _sql_has, vocab.REASONS
     actor = "actor_email IS NULL"
     t_found, r_found = "tg_id IS NOT NULL", "rf_id IS NOT NULL"
     asset_found = "(tg_id IS NOT NULL AND coalesce(tg_flag, false))"
@@ -263,162 +263,162 @@ def _rules() -> dict[str, list[tuple[str, int, str]]]:
                    f"('true', 'false', '1', '0', 'yes', 'no', 'on', 'off'))")
     missing = lambda key: f"{F_(key)} IS NULL"
     mgr = "(is_platform OR a_manager)"
-    auth = (actor, 401, "Authentication required")
+    auth = (actor, 401, R["authentication_required"])
     return {
         "create_asset": [
             auth,
             (f"{missing('domain_id')} OR {bad_len(F_('name'), lim['asset'])} OR {score_bad}", 422,
-             "Invalid asset fields"),
-            (f"NOT {r_found}", 400, "Domain not found"),
-            ("NOT (is_global OR a_member)", 403, "Not authorized to create assets in this domain"),
+             R["invalid_asset_fields"]),
+            (f"NOT {r_found}", 400, R["domain_not_found"]),
+            ("NOT (is_global OR a_member)", 403, R["not_authorized_to_create_assets_in_this_domain"]),
         ],
         "update_asset": [
             auth,
-            (score_bad, 422, "quality_score must be a number"),
-            (f"NOT {asset_found}", 404, "Asset not found"),
-            ("NOT (is_global OR a_member)", 403, "Not authorized to update this asset"),
-            (no_fields("assets"), 400, "No fields to update"),
+            (score_bad, 422, R["quality_score_must_be_a_number"]),
+            (f"NOT {asset_found}", 404, R["asset_not_found"]),
+            ("NOT (is_global OR a_member)", 403, R["not_authorized_to_update_this_asset"]),
+            (no_fields("assets"), 400, R["no_fields_to_update"]),
         ],
         "delete_asset": [
             auth,
-            (f"NOT {asset_found}", 404, "Asset not found"),
-            ("NOT (is_global OR a_member)", 403, "Not authorized to delete this asset"),
+            (f"NOT {asset_found}", 404, R["asset_not_found"]),
+            ("NOT (is_global OR a_member)", 403, R["not_authorized_to_delete_this_asset"]),
         ],
         "publish_asset": [
             auth,
-            (f"NOT {asset_found}", 404, "Asset not found"),
-            ("NOT (is_global OR a_member)", 403, "Not authorized to publish this asset"),
+            (f"NOT {asset_found}", 404, R["asset_not_found"]),
+            ("NOT (is_global OR a_member)", 403, R["not_authorized_to_publish_this_asset"]),
         ],
         "unpublish_asset": [
             auth,
-            (f"NOT {asset_found}", 404, "Asset not found"),
-            ("NOT (is_global OR a_member)", 403, "Not authorized to unpublish this asset"),
+            (f"NOT {asset_found}", 404, R["asset_not_found"]),
+            ("NOT (is_global OR a_member)", 403, R["not_authorized_to_unpublish_this_asset"]),
         ],
         "create_domain": [
             auth,
-            (bad_len(F_("name"), lim["domain"]), 422, "Invalid domain name"),
-            (f"NOT {mgr}", 403, "Only team managers can create domains"),
-            (f"NOT {r_found}", 400, "Team not found"),
-            (LOST, 409, "Domain name already exists"),
+            (bad_len(F_("name"), lim["domain"]), 422, R["invalid_domain_name"]),
+            (f"NOT {mgr}", 403, R["only_team_managers_can_create_domains"]),
+            (f"NOT {r_found}", 400, R["team_not_found"]),
+            (LOST, 409, R["domain_name_already_exists"]),
         ],
         "update_domain": [
             auth,
-            (f"NOT {t_found}", 404, "Domain not found"),
-            (f"NOT {mgr}", 403, "Only team managers can update domains"),
-            (no_fields("domains"), 400, "No fields to update"),
-            (LOST, 409, "Domain name already exists"),
+            (f"NOT {t_found}", 404, R["domain_not_found"]),
+            (f"NOT {mgr}", 403, R["only_team_managers_can_update_domains"]),
+            (no_fields("domains"), 400, R["no_fields_to_update"]),
+            (LOST, 409, R["domain_name_already_exists"]),
         ],
         "delete_domain": [
             auth,
-            (f"NOT {t_found}", 404, "Domain not found"),
-            (f"NOT {mgr}", 403, "Only team managers can delete domains"),
+            (f"NOT {t_found}", 404, R["domain_not_found"]),
+            (f"NOT {mgr}", 403, R["only_team_managers_can_delete_domains"]),
         ],
         "create_team": [
             auth,
-            (bad_len(F_("name"), lim["team"]), 422, "Invalid team name"),
+            (bad_len(F_("name"), lim["team"]), 422, R["invalid_team_name"]),
         ],
         "update_team": [
             auth,
-            ("NOT (is_global OR a_owner)", 403, "Only team owners can modify this team"),
-            (f"NOT {t_found}", 404, "Team not found"),
-            (platform_team, 403, "Cannot modify platform team"),
-            (no_fields("teams"), 400, "No fields to update"),
+            ("NOT (is_global OR a_owner)", 403, R["only_team_owners_can_modify_this_team"]),
+            (f"NOT {t_found}", 404, R["team_not_found"]),
+            (platform_team, 403, R["cannot_modify_platform_team"]),
+            (no_fields("teams"), 400, R["no_fields_to_update"]),
         ],
         "delete_team": [
             auth,
-            ("NOT (is_global OR a_owner)", 403, "Only team owners can modify this team"),
-            (f"NOT {t_found}", 404, "Team not found"),
-            (platform_team, 403, "Cannot delete platform team"),
+            ("NOT (is_global OR a_owner)", 403, R["only_team_owners_can_modify_this_team"]),
+            (f"NOT {t_found}", 404, R["team_not_found"]),
+            (platform_team, 403, R["cannot_delete_platform_team"]),
         ],
         "add_member": [
             auth,
-            (missing("email"), 422, "email is required"),
-            (f"NOT {mgr}", 403, "Only team managers can manage members"),
-            (role_bad, 400, "Role must be 'manager' or 'member'"),
-            (f"NOT {r_found}", 400, "No user account found for that email"),
-            (f"NOT {t_found}", 404, "Team not found"),
-            (LOST, 400, "User is already a member of this team"),
+            (missing("email"), 422, R["email_is_required"]),
+            (f"NOT {mgr}", 403, R["only_team_managers_can_manage_members"]),
+            (role_bad, 400, R["role_must_be_manager_or_member"]),
+            (f"NOT {r_found}", 400, R["no_user_account_found_for_that_email"]),
+            (f"NOT {t_found}", 404, R["team_not_found"]),
+            (LOST, 400, R["user_is_already_a_member_of_this_team"]),
         ],
         "change_role": [
             auth,
-            (f"{missing('role')} OR {missing('email')}", 422, "role and email are required"),
-            (f"NOT {mgr}", 403, "Only team managers can manage members"),
-            (role_set_bad, 400, "Role must be 'manager' or 'member'"),
-            ("NOT m_exists", 404, "Member not found"),
+            (f"{missing('role')} OR {missing('email')}", 422, R["role_and_email_are_required"]),
+            (f"NOT {mgr}", 403, R["only_team_managers_can_manage_members"]),
+            (role_set_bad, 400, R["role_must_be_manager_or_member"]),
+            ("NOT m_exists", 404, R["member_not_found"]),
         ],
         "remove_member": [
             auth,
-            (missing("email"), 422, "email is required"),
-            (f"NOT {mgr}", 403, "Only team managers can manage members"),
+            (missing("email"), 422, R["email_is_required"]),
+            (f"NOT {mgr}", 403, R["only_team_managers_can_manage_members"]),
         ],
         "assign_user": [
-            (missing("team_id"), 422, "team_id is required"),
+            (missing("team_id"), 422, R["team_id_is_required"]),
             auth,
-            ("NOT is_global", 403, "Superadmin access required"),
-            (role_bad, 400, "Role must be 'manager' or 'member'"),
-            (f"NOT {t_found}", 404, "User not found"),
-            (f"NOT {r_found}", 404, "Team not found"),
+            ("NOT is_global", 403, R["superadmin_access_required"]),
+            (role_bad, 400, R["role_must_be_manager_or_member"]),
+            (f"NOT {t_found}", 404, R["user_not_found"]),
+            (f"NOT {r_found}", 404, R["team_not_found"]),
         ],
         "unassign_user": [
-            (missing("team_id"), 422, "team_id is required"),
+            (missing("team_id"), 422, R["team_id_is_required"]),
             auth,
-            ("NOT is_global", 403, "Superadmin access required"),
-            (f"NOT {t_found}", 404, "User not found"),
+            ("NOT is_global", 403, R["superadmin_access_required"]),
+            (f"NOT {t_found}", 404, R["user_not_found"]),
         ],
         "create_layer": [
-            (bad_len(F_("name"), lim["layer"]), 422, "Invalid layer name"),
+            (bad_len(F_("name"), lim["layer"]), 422, R["invalid_layer_name"]),
             auth,
-            ("NOT is_global", 403, "Superadmin access required"),
-            (f"trim({F_('name')}) = ''", 400, "Name is required"),
-            (LOST, 409, "A layer with that name already exists"),
+            ("NOT is_global", 403, R["superadmin_access_required"]),
+            (f"trim({F_('name')}) = ''", 400, R["name_is_required"]),
+            (LOST, 409, R["a_layer_with_that_name_already_exists"]),
         ],
         "update_layer": [
-            (f"{H('name')} AND {bad_len(F_('name'), lim['layer'])}", 422, "Invalid layer name"),
+            (f"{H('name')} AND {bad_len(F_('name'), lim['layer'])}", 422, R["invalid_layer_name"]),
             (f"{H('position')} AND {F_('position')} IS NOT NULL AND try_cast({F_('position')} AS INT) IS NULL",
-             422, "position must be an integer"),
+             422, R["position_must_be_an_integer"]),
             auth,
-            ("NOT is_global", 403, "Superadmin access required"),
-            (f"NOT {t_found}", 404, "Layer not found"),
-            (LOST, 409, "A layer with that name already exists"),
-            (no_fields("data_layers"), 400, "No fields to update"),
-            (f"{H('name')} AND trim({F_('name')}) = ''", 400, "Name is required"),
+            ("NOT is_global", 403, R["superadmin_access_required"]),
+            (f"NOT {t_found}", 404, R["layer_not_found"]),
+            (LOST, 409, R["a_layer_with_that_name_already_exists"]),
+            (no_fields("data_layers"), 400, R["no_fields_to_update"]),
+            (f"{H('name')} AND trim({F_('name')}) = ''", 400, R["name_is_required"]),
         ],
         "delete_layer": [
             auth,
-            ("NOT is_global", 403, "Superadmin access required"),
-            (f"NOT {t_found}", 404, "Layer not found"),
+            ("NOT is_global", 403, R["superadmin_access_required"]),
+            (f"NOT {t_found}", 404, R["layer_not_found"]),
         ],
         "register_user": [
-            (f"coalesce(char_length({F_('email')}), 0) < 1", 422, "Invalid e-mail"),
-            ("actor_email IS NOT NULL AND NOT is_global", 403, "Superadmin access required"),
-            (LOST, 400, "Email already registered"),
+            (f"coalesce(char_length({F_('email')}), 0) < 1", 422, R["invalid_e_mail"]),
+            ("actor_email IS NOT NULL AND NOT is_global", 403, R["superadmin_access_required"]),
+            (LOST, 400, R["email_already_registered"]),
         ],
         "set_superadmin": [
-            (promote_bad, 422, "promote must be a boolean"),
+            (promote_bad, 422, R["promote_must_be_a_boolean"]),
             auth,
-            ("NOT is_global", 403, "Superadmin access required"),
-            (f"NOT {t_found}", 404, "User not found"),
-            (f"{self_target} AND NOT {promote}", 400, "Cannot remove your own superadmin status"),
+            ("NOT is_global", 403, R["superadmin_access_required"]),
+            (f"NOT {t_found}", 404, R["user_not_found"]),
+            (f"{self_target} AND NOT {promote}", 400, R["cannot_remove_your_own_superadmin_status"]),
         ],
         "delete_user": [
             auth,
-            ("NOT is_global", 403, "Superadmin access required"),
-            (f"NOT {t_found}", 404, "User not found"),
-            (self_target, 400, "Cannot delete your own account"),
+            ("NOT is_global", 403, R["superadmin_access_required"]),
+            (f"NOT {t_found}", 404, R["user_not_found"]),
+            (self_target, 400, R["cannot_delete_your_own_account"]),
         ],
         "update_profile": [
             (f"{H('name')} AND ({F_('name')} IS NULL OR char_length({F_('name')}) > {lim['profile']})", 422,
-             "Invalid profile name"),
+             R["invalid_profile_name"]),
             auth,
             (f"{H('avatar')} AND coalesce({F_('avatar')}, '') <> '' "
              f"AND NOT startswith(coalesce({F_('avatar')}, ''), 'data:image/')", 400,
-             "avatar must be a data: image URL"),
-            (no_fields("users"), 400, "No fields to update"),
-            (f"NOT {t_found}", 404, "User not found"),
+             R["avatar_must_be_a_data_image_url"]),
+            (no_fields("users"), 400, R["no_fields_to_update"]),
+            (f"NOT {t_found}", 404, R["user_not_found"]),
         ],
         "request_access": [
-            (f"coalesce({F_('requester_email')}, actor_email) IS NULL", 422, "requester_email is required"),
-            (f"NOT {t_found}", 404, "Asset not found"),
+            (f"coalesce({F_('requester_email')}, actor_email) IS NULL", 422, R["requester_email_is_required"]),
+            (f"NOT {t_found}", 404, R["asset_not_found"]),
         ],
     }
 

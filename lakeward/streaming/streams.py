@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lakeward.functions import vocab
 from lakeward.functions.columns import notification_body, notification_subject
 from lakeward.operators.changes import apply_changes
 from lakeward.session import checkpoint_dir, materialize, scratch
@@ -63,8 +64,8 @@ def request_decisions(requests: DataFrame, assets: DataFrame) -> DataFrame:
     joined = named.join(a, named.target_id == a._asset_id, "left")
     status = (F.when(requester.isNull(), F.lit(422))
               .when(F.col("_asset_id").isNull(), F.lit(404)).otherwise(F.lit(201)))
-    reason = (F.when(requester.isNull(), F.lit("requester_email is required"))
-              .when(F.col("_asset_id").isNull(), F.lit("Asset not found")).otherwise(F.lit("ok")))
+    reason = (F.when(requester.isNull(), F.lit(vocab.REASONS["requester_email_is_required"]))
+              .when(F.col("_asset_id").isNull(), F.lit(vocab.REASONS["asset_not_found"])).otherwise(F.lit("ok")))
     ok = status == 201
     row = F.struct(F.col("_id").alias("id"), F.col("target_id").alias("asset_id"), requester.alias("requester_email"),
                    F.lit("pending").alias("status"), F.col("event_at").cast("timestamp_ntz").alias("created_at"),
