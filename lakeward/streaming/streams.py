@@ -112,9 +112,9 @@ def request_stream(requests: DataFrame, store_root: str, checkpoint: str, availa
                 return
             # Only the buckets of the asked assets are read: their assets, their requests.
             n = at.buckets
-            asked = batch.select(F.col("target_id").alias("key")).distinct()
-            of = {name: [r[0] for r in asked.select(buckets.bucket_of(F.col("key"), n[name])).distinct().collect()]
-                  for name in ("assets", "access_requests")}
+            asked = batch.select(*[buckets.bucket_of(F.col("target_id"), n[name]).alias(name) for name in ("assets", "access_requests")])
+            found = asked.distinct().collect()
+            of = {name: {r[name] for r in found} for name in asked.columns}
             tables = buckets.read(spark, store_root, at, only=of)
             known = tables["access_requests"].select(F.col("id").alias("_known"))
             # A record that was turned down before and comes again is decided anew, and may then be accepted.
