@@ -59,9 +59,9 @@ def schema_of(name: str) -> StructType:
     return schemas.CATALOG_SCHEMAS.get(name) or EVENT_TABLES[name]
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
+def bucket_of(key: Column, buckets: int | Column) -> Column:
     """The bucket of a key; rows without one are in bucket 0."""
-    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(buckets)), F.lit(0)).cast("int")
+    return F.coalesce(F.pmod(F.xxhash64(key), buckets if isinstance(buckets, Column) else F.lit(buckets)), F.lit(0)).cast("int")
 
 
 def _data(root: str, name: str, version: int) -> str:
@@ -114,8 +114,11 @@ def _write_rows(spark: SparkSession, root: str, name: str, version: int, rows: D
     # What an owner wrote before it was stopped is not committed.
     files.remove(spark, folder)
     key = BUCKET_KEYS.get(name)
-    bucket = bucket_of(F.col(key), buckets) if key else F.lit(0)
-    rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    # Rows are brought together by bucket, but a large bucket is cut into several tasks (and files): neither a task's memory
+    # nor the number of tasks hangs on the number of buckets.
+    by_bucket = (rows.withColumn("bucket", bucket_of(F.col(key), buckets)).hint("rebalance", "bucket") if key else
+                 rows.withColumn("bucket", F.lit(0)).hint("rebalance"))
+    by_bucket.write.partitionBy("bucket").parquet(folder)
     return {int(n[7:]) for n in files.names(spark, folder) if n.startswith("bucket=")}
 
 
