@@ -24,8 +24,12 @@ BATCH_SQL = ("CAST(floor((event_id - (SELECT min(event_id) FROM events)) * CAST(
 
 
 def write_batches(spark: SparkSession, sf_dir: str, folder: str, of: int = BATCHES, batches: list[int] | None = None) -> None:
-    """The events table in ``of`` equal ranges of ids, one file per micro-batch, written one after the other (a stream
-    takes them in this order); ``batches`` names some of them."""
+    """The events table in ``of`` equal ranges of ids, written one after the other; ``batches`` names some of them.
+
+    A range is written by as many tasks as there are cores, so that a stream
+    reads it in as many; a stream that is started between the ranges takes
+    one a micro-batch.
+    """
     events = read_table(spark, sf_dir, "events")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     if low is None:
@@ -33,14 +37,14 @@ def write_batches(spark: SparkSession, sf_dir: str, folder: str, of: int = BATCH
         return
     batch = F.floor((F.col("event_id") - low) * float(of) / (high - low + 1)).cast("int")
     for k in range(of) if batches is None else batches:
-        events.where(batch == k).coalesce(1).write.mode("append").parquet(folder)
+        events.where(batch == k).repartition(spark.sparkContext.defaultParallelism, "event_id").write.mode("append").parquet(folder)
 
 
 def change_records_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The files of ``write_batches`` read as a stream, one a micro-batch, and projected to change records
+    """The files of ``write_batches`` read as a stream, all new ones in a micro-batch, and projected to change records
     (stand-in input: a stream-static join with the customer table)."""
     events_schema = read_table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    events = spark.readStream.schema(events_schema).parquet(folder)
     customer = read_table(spark, sf_dir, "customer")
     k = F.get_json_object(F.col("props"), "$.k").cast("int")
     etype = F.col("event_type")
@@ -77,11 +81,9 @@ def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = stream_folder(spark, "requests")
     root = f"{folder}/store"
     buckets.create(spark, root, {"assets": c.assets, "access_requests": c.access_requests}, 8)
-    write_batches(spark, sf_dir, f"{folder}/in", 2)
-    stream = lambda: request_stream(change_records_stream(spark, sf_dir, f"{folder}/in"), root, f"{folder}/checkpoint")
-    stream().awaitTermination()
-    write_batches(spark, sf_dir, f"{folder}/in", 2, [0])
-    stream().awaitTermination()
+    for k in (0, 1, 0):
+        write_batches(spark, sf_dir, f"{folder}/in", 2, [k])
+        request_stream(change_records_stream(spark, sf_dir, f"{folder}/in"), root, f"{folder}/checkpoint").awaitTermination()
     tables = buckets.read(spark, root)
     told = tables["notifications"].withColumnRenamed("request_id", "id")
     return tables["access_requests"].join(told, "id").select("id", "asset_id", "requester_email", "status", "created_at", "notify_to", "subject")
@@ -93,8 +95,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     root = f"{folder}/store"
     with scratch(spark):
         buckets.create(spark, root, c.tables(), 8)
-    write_batches(spark, sf_dir, f"{folder}/in")
-    change_stream(change_records_stream(spark, sf_dir, f"{folder}/in"), root, f"{folder}/checkpoint").awaitTermination()
+    for k in range(BATCHES):
+        write_batches(spark, sf_dir, f"{folder}/in", batches=[k])
+        change_stream(change_records_stream(spark, sf_dir, f"{folder}/in"), root, f"{folder}/checkpoint").awaitTermination()
     return buckets.read(spark, root)
 
 

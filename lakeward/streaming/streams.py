@@ -153,12 +153,10 @@ def change_stream(changes: DataFrame, store_root: str, checkpoint: str, availabl
         with scratch(spark):
             tables = {name: df for name, df in buckets.read(spark, store_root, at).items() if name in buckets.BUCKET_KEYS}
             new, decisions = apply_changes(tables, batch, batch=str(at.version + 1))
-            touched = new.touched()
-            which: dict[str, set[int]] = {}
-            for name in tables:
-                mine = touched.where(F.col("table") == name).select(buckets.bucket_of(F.col("key"), at.buckets[name]).alias("b"))
-                which[name] = {r["b"] for r in mine.distinct().collect()}
-            which = {name: b for name, b in which.items() if b}
+            # One job finds the touched buckets of all tables.
+            many = F.create_map(*[F.lit(x) for name in tables for x in (name, at.buckets[name])])
+            found = new.touched().select("table", buckets.bucket_of(F.col("key"), many[F.col("table")]).alias("b")).distinct().collect()
+            which = {name: b for name in tables if (b := {r["b"] for r in found if r["table"] == name})}
             cut = new.on(buckets.read(spark, store_root, at, only=which))
             decided = decisions.withColumn("batch", F.lit(owner))
             buckets.commit(spark, store_root, at, owner, {name: (cut[name], which[name]) for name in which},
