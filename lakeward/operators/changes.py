@@ -434,30 +434,42 @@ OK_STATUS = {
 }
 
 
-def _status_sql(names: str) -> str:
-    """The first failing rule's status.
+def _numbered() -> tuple[dict[str, list[tuple[int, str]]], list[tuple[int, str]]]:
+    """Per op its rules as (number, condition), and by number (from 1) each rule's status and reason; 1: no such op."""
+    outcomes, numbers = [(400, "Unknown operation")], {}
+    for op, rules in _rules().items():
+        for cond, status, reason in rules:
+            outcomes.append((status, reason))
+            numbers.setdefault(op, []).append((len(outcomes), cond))
+    return numbers, outcomes
+
+
+def _failed_sql() -> str:
+    """The number of the first failing rule, those on names left out; NULL if all pass.
 
-    ``names``: ``decided`` takes the outcome of the claims; ``open`` gives
-    NULL if all rules but those on names pass; ``early`` NULL if all rules
-    before the one on names pass.
+    The conditions are evaluated here and nowhere else: statuses and reasons
+    follow from the number and the outcome of the claims.
     """
     branches = {}
-    for op, rules in _rules().items():
-        if names == "early":
-            rules = rules[:next((k for k, r in enumerate(rules) if r[0] == LOST), len(rules))]
-        rules = [r for r in rules if names == "decided" or r[0] != LOST]
-        whens = " ".join(f"WHEN {cond} THEN {status}" for cond, status, _ in rules)
-        ok = str(OK_STATUS[op]) if names == "decided" else "NULL"
-        branches[(op,)] = f"CASE {whens} ELSE {ok} END" if whens else ok
-    return _sql_case(branches, "400" if names == "decided" else "CAST(NULL AS INT)")
+    for op, rules in _numbered()[0].items():
+        whens = " ".join(f"WHEN {cond} THEN {n}" for n, cond in rules if cond != LOST)
+        branches[(op,)] = f"CASE {whens} END" if whens else "CAST(NULL AS INT)"
+    return _sql_case(branches, "1")
 
 
-def _reason_sql() -> str:
-    branches = {}
-    for op, rules in _rules().items():
-        whens = " ".join(f"WHEN {cond} THEN {_lit(reason)}" for cond, _, reason in rules)
-        branches[(op,)] = f"CASE {whens} ELSE 'ok' END"
-    return _sql_case(branches, "'Unknown operation'")
+def _name_rule_sql() -> str:
+    """The number of an op's rule on names; NULL if it has none."""
+    return _sql_case({(op,): str(n) for op, rules in _numbered()[0].items() for n, cond in rules if cond == LOST}, "CAST(NULL AS INT)")
+
+
+def _outcome_sql() -> tuple[str, str]:
+    """Status and reason of the number in ``rule`` (NULL: accepted)."""
+    outcomes = _numbered()[1]
+    statuses = ", ".join(str(status) for status, _ in outcomes)
+    reasons = ", ".join(_lit(reason) for _, reason in outcomes)
+    ok = _sql_case({(op,): str(status) for op, status in OK_STATUS.items()}, "400")
+    return (f"CASE WHEN rule IS NULL THEN {ok} ELSE element_at(array({statuses}), rule) END",
+            f"CASE WHEN rule IS NULL THEN 'ok' ELSE element_at(array({reasons}), rule) END")
 
 
 def _lit(text: str) -> str:
@@ -537,8 +549,7 @@ def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
         F.coalesce("_manager", F.lit(False)).alias("a_manager"),
         F.coalesce("_owner", F.lit(False)).alias("a_owner"),
         F.coalesce("_m_exists", F.lit(False)).alias("m_exists"),
-    ).selectExpr("*", f"{_status_sql('open')} AS open_status", f"{_status_sql('early')} AS early_status",
-                 f"{CLAIM_KEY} AS claim_key")
+    ).selectExpr("*", f"{_failed_sql()} AS failed", f"{_name_rule_sql()} AS name_rule", f"{CLAIM_KEY} AS claim_key")
     if changes.where(_op(*CLAIM_OPS)).isEmpty():
         ch = ch.withColumn(LOST, F.lit(False))
     else:
@@ -547,7 +558,10 @@ def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
         # Claims that win need no row: changes join those that lost by their seq.
         lost = claims(ch).where("not won").select(F.col("seq").alias("_lost"))
         ch = ch.join(lost, F.col("seq") == F.col("_lost"), "left").withColumn(LOST, F.col("_lost").isNotNull()).drop("_lost")
-    return ch.selectExpr("*", f"{_status_sql('decided')} AS status", f"{_reason_sql()} AS reason")
+    status, reason = _outcome_sql()
+    # A name that is lost counts unless a rule before it fails; ops without a rule on names lose none.
+    ch = ch.selectExpr("*", f"CASE WHEN {LOST} AND coalesce(failed > name_rule, name_rule IS NOT NULL) THEN name_rule ELSE failed END AS rule")
+    return ch.selectExpr("*", f"{status} AS status", f"{reason} AS reason")
 
 
 # -------------------------------------------------------------- claims ---
@@ -555,7 +569,7 @@ def decide(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
 
 def _moves(ch: DataFrame, claim: DataFrame) -> DataFrame:
     """(who, at): the accepted changes that take a holder of a claimed name away, other than renames."""
-    ok = ch.where("open_status IS NULL")
+    ok = ch.where("failed IS NULL")
     direct = ok.selectExpr(_sql_case({
         ("delete_domain",): "concat('domain_name|', target_id)", ("delete_layer",): "concat('layer_name|', target_id)",
         ("delete_user",): "concat('user_email|', target_id)",
@@ -593,14 +607,14 @@ def claims(ch: DataFrame) -> DataFrame:
     who = (F.when(F.col("op") == "add_member", F.col("claim_key")).when(rename, F.concat(kind, F.lit("|"), F.col("target_id")))
            .otherwise(F.concat(F.lit("new|"), F.col("op"), F.lit("|"), F.col("seq").cast("string"))))
     undecided = F.lit(None).cast("boolean")
-    claim = ch.where("claim_key IS NOT NULL AND early_status IS NULL").select(
+    claim = ch.where("claim_key IS NOT NULL AND (failed IS NULL OR failed > name_rule)").select(
         "seq", F.col("claim_key").alias("key"), who.alias("who"), rename.alias("rename"), holder.alias("holder"),
-        F.col("open_status").isNull().alias("holds"), F.when(F.col("n_count") == 1, F.col("n_team")).alias("n_team"),
+        F.col("failed").isNull().alias("holds"), F.when(F.col("n_count") == 1, F.col("n_team")).alias("n_team"),
         F.when(rename, F.col("tg_team")).when(F.col("op") == "create_domain", F.col("rf_team")).alias("who_team"), undecided.alias("won"))
     # An assignment sets a membership whether it is free or not.
     put = F.concat(F.lit("member|"), F.char_length("m_team").cast("string"), F.lit("|"), "m_team", F.lit("|"), "m_email")
     none = F.lit(None).cast("string")
-    puts = ch.where("op = 'assign_user' AND open_status IS NULL").select(
+    puts = ch.where("op = 'assign_user' AND failed IS NULL").select(
         "seq", put.alias("key"), put.alias("who"), F.lit(False).alias("rename"), F.when(F.col("m_exists"), put).alias("holder"),
         F.lit(True).alias("holds"), none.alias("n_team"), none.alias("who_team"), F.lit(True).alias("won"))
     claim = claim.union(puts.join(claim.select(F.col("key").alias("_key")).distinct(), F.col("key") == F.col("_key"), "left_semi"))
@@ -702,8 +716,12 @@ def decided(tables: dict[str, DataFrame], changes: DataFrame, materialize: bool
     once and written as a table under the shared checkpoint folder (it
     survives a lost executor; nothing is kept on one machine).
     """
-    ch = decide(tables, changes).select(*DECIDED_COLUMNS)
-    return write_and_read(ch, "decided-changes") if materialize else ch
+    if not materialize:
+        return decide(tables, changes).select(*DECIDED_COLUMNS)
+    with scratch(changes.sparkSession) as keep:
+        # The records are asked several times (their lookups, their claims, themselves): what makes them runs once.
+        changes = write_and_read(changes, "changes")
+        return keep(write_and_read(decide(tables, changes).select(*DECIDED_COLUMNS), "decided-changes"))
 
 
 #: What a change removes directly, as (kind, key): rows of that kind, and in ``gone`` all that hangs on them.
@@ -720,8 +738,8 @@ class ChangedTables(Mapping):
     """
 
     def __init__(self, snapshot: dict[str, DataFrame], ok: DataFrame, base: Mapping[str, DataFrame] | None = None,
-                 gone: DataFrame | None = None):
-        self._snap, self._ok, self._base, self._gone = snapshot, ok, base or snapshot, gone
+                 gone: dict[str, DataFrame] | None = None):
+        self._snap, self._ok, self._base, self._gone = snapshot, ok, base or snapshot, {} if gone is None else gone
         self._built: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -747,69 +765,69 @@ class ChangedTables(Mapping):
 
     # --- what goes away (deletes and cascades) ---------------------------
 
-    def gone(self) -> DataFrame:
-        """(table, id, team_id, email): every row that the batch's deletes take, cascades and rows made in the batch included.
+    def gone(self, name: str) -> DataFrame:
+        """The rows of a table that the batch's deletes take, cascades and rows made in the batch included.
 
-        One keyed frame for all tables, written once.  The deletes are the
-        seeds; each table is scanned once, its rows exploded to the keys
-        they hang on, and met with the seeds and what went before it in the
-        order teams, domains, assets, requests; memberships hang on teams
-        and e-mails.  team_id and email are those of a membership.
+        (id) for most tables, (team_id, email) for memberships; requests go
+        with their assets and have no frame of their own.  A table's frame
+        is made when it is first asked for: it reads that table and what
+        goes before it in the order teams, domains, assets, and is written
+        once if it scans a table.
         """
-        if self._gone is not None:
-            return self._gone
-        key = lambda kind, col: F.struct(F.lit(kind).alias("kind"), F.col(col).alias("key"))
+        if name not in self._gone:
+            found = {"domains": self._gone_domains, "assets": self._gone_assets, "team_members": self._gone_members}.get(name)
+            if found is None:
+                self._gone[name] = self._seeds().where(F.col("kind") == name).select(F.col("key").alias("id")).distinct()
+            else:
+                self._gone[name] = write_and_read(found(), f"gone-{name}")
+        return self._gone[name]
+
+    def _seeds(self) -> DataFrame:
+        """(kind, key): what is deleted directly; the accounts' e-mails too."""
         deletes = self._ok.withColumn("kind", F.expr(GONE_KIND)).where("kind IS NOT NULL")
-        seeds = deletes.select("kind", F.col("target_id").alias("key")).union(
-            self.acc("delete_user").select(F.lit("emails"), "tg_email"))
-
-        def hit(rows: DataFrame, keys: list[Column], known: DataFrame, *more: Column) -> DataFrame:
-            # Grouped by a struct of the key: the semi join has an exchange of its own, and AQE can split a hot parent's rows.
-            known = known.where("key IS NOT NULL").groupBy(F.struct("kind", "key").alias("k")).agg(F.count("*").alias("n"))
-            known = known.select(F.col("k.kind").alias("_kind"), F.col("k.key").alias("_key"))
-            asked = rows.select("id", *more, F.explode(F.array(*keys)).alias("a"))
-            return asked.join(known, (F.col("a.kind") == F.col("_kind")) & (F.col("a.key") == F.col("_key")), "left_semi").drop("a").distinct()
-
-        def rows_of(name: str, found: DataFrame) -> DataFrame:
-            member = name == "team_members"
-            none = F.lit(None).cast("string")
-            return found.select(F.lit(name).alias("table"), "id", *((["team_id", "email"]) if member else
-                                                                    [none.alias("team_id"), none.alias("email")]))
-
-        parts = [rows_of(name, seeds.where(F.col("kind") == name).select(F.col("key").alias("id")).distinct())
-                 for name in ("teams", "data_layers", "users")]
+        return deletes.select("kind", F.col("target_id").alias("key")).union(self.acc("delete_user").select(F.lit("emails"), "tg_email"))
+
+    @staticmethod
+    def _hanging(rows: DataFrame, hangs_on: Mapping[str, str], known: DataFrame, found: list[str]) -> DataFrame:
+        """Distinct ``found`` of the rows that hang on a known (kind, key) by a column of theirs (kind: column)."""
+        # Grouped by a struct of the key: the semi join has an exchange of its own, and AQE can split a hot parent's rows.
+        known = known.where("key IS NOT NULL").groupBy(F.struct("kind", "key").alias("k")).agg(F.count("*").alias("n"))
+        known = known.select(F.col("k.kind").alias("_kind"), F.col("k.key").alias("_key"))
+        keys = [F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key")) for kind, c in hangs_on.items()]
+        asked = rows.select(*found, F.explode(F.array(*keys)).alias("a"))
+        return asked.join(known, (F.col("a.kind") == F.col("_kind")) & (F.col("a.key") == F.col("_key")), "left_semi").drop("a").distinct()
+
+    def _gone_domains(self) -> DataFrame:
         domains = self._snap["domains"].select("id", "team_id").unionByName(self._domain_inserts().select("id", "team_id"))
-        gone_domains = hit(domains, [key("domains", "id"), key("teams", "team_id")], seeds)
+        return self._hanging(domains, {"domains": "id", "teams": "team_id"}, self._seeds(), ["id"])
+
+    def _gone_assets(self) -> DataFrame:
         assets = self._snap["assets"].select("id", "domain_id").unionByName(self._asset_inserts().select("id", "domain_id"))
-        gone_assets = hit(assets, [key("assets", "id"), key("domains", "domain_id")],
-                          seeds.union(gone_domains.select(F.lit("domains"), "id")))
-        requests = self._snap["access_requests"].select("id", "asset_id").unionByName(self._request_inserts().select("id", "asset_id"))
-        gone_requests = hit(requests, [key("assets", "asset_id")], gone_assets.select(F.lit("assets").alias("kind"), F.col("id").alias("key")))
-        members = self._snap["team_members"].select("id", "team_id", "email").unionByName(
-            self._memberships().where("id IS NOT NULL").select("id", "team_id", "email"))
-        gone_members = hit(members, [key("teams", "team_id"), key("emails", "email")], seeds, F.col("team_id"), F.col("email"))
-        parts += [rows_of("domains", gone_domains), rows_of("assets", gone_assets), rows_of("access_requests", gone_requests),
-                  rows_of("team_members", gone_members)]
-        self._gone = write_and_read(reduce(DataFrame.unionByName, parts), "gone-rows")
-        return self._gone
+        return self._hanging(assets, {"assets": "id", "domains": "domain_id"},
+                             self._seeds().union(self.gone("domains").select(F.lit("domains"), "id")), ["id"])
+
+    def _gone_members(self) -> DataFrame:
+        members = self._snap["team_members"].select("team_id", "email").unionByName(
+            self._memberships().where("id IS NOT NULL").select("team_id", "email"))
+        return self._hanging(members, {"teams": "team_id", "emails": "email"}, self._seeds(), ["team_id", "email"])
 
     def _left(self, name: str, table: DataFrame) -> DataFrame:
         """``table`` without its gone rows."""
-        gone = self.gone().where(F.col("table") == name).select(F.col("id").alias("_gone"))
+        gone = self.gone(name).select(F.col("id").alias("_gone"))
         return table.join(gone, table.id == F.col("_gone"), "left_anti")
 
     def on(self, base: Mapping[str, DataFrame]) -> ChangedTables:
         """The same changes on tables cut to some of their rows."""
-        return ChangedTables(self._snap, self._ok, base, self.gone())
+        return ChangedTables(self._snap, self._ok, base, self._gone)
 
     def touched(self) -> DataFrame:
         """(table, key): what changes, by the key that the store buckets the table by; a superset, distinct."""
-        gone = self.gone()
-        parts = [gone.where(F.col("table").isin("teams", "domains", "assets", "data_layers", "users")).select("table", F.col("id").alias("key")),
-                 gone.where(F.col("table") == "team_members").select("table", F.col("team_id").alias("key"))]
-        went = gone.where(F.col("table") == "access_requests").select(F.col("id").alias("_id"))
-        requests = self._snap["access_requests"].select("id", "asset_id").join(went, F.col("id") == F.col("_id"), "left_semi")
-        layers = gone.where(F.col("table") == "data_layers").select(F.col("id").alias("_layer"))
+        parts = [self.gone(name).select(F.lit(name).alias("table"), F.col("id").alias("key"))
+                 for name in ("teams", "domains", "assets", "data_layers", "users")]
+        parts.append(self.gone("team_members").select(F.lit("team_members"), "team_id"))
+        went = self.gone("assets").select(F.col("id").alias("_id"))
+        requests = self._snap["access_requests"].select("asset_id").join(went, F.col("asset_id") == F.col("_id"), "left_semi")
+        layers = self.gone("data_layers").select(F.col("id").alias("_layer"))
         unclassified = self._snap["assets"].select("id", "layer_id").join(layers, F.col("layer_id") == F.col("_layer"), "left_semi")
         parts += [requests.select(F.lit("access_requests"), "asset_id"), unclassified.select(F.lit("assets"), "id"),
                   self._memberships().select(F.lit("team_members"), "team_id")]
@@ -904,7 +922,10 @@ class ChangedTables(Mapping):
             if c == "layer_id" else table[c] for c in table.columns])
 
     def _access_requests(self) -> DataFrame:
-        return self._left("access_requests", self._base["access_requests"].unionByName(self._request_inserts()))
+        """Requests whose asset stays: they meet the gone assets by asset, so no list of their own ids is made."""
+        table = self._base["access_requests"].unionByName(self._request_inserts())
+        gone = self.gone("assets").select(F.col("id").alias("_gone"))
+        return table.join(gone, (table.asset_id == F.col("_gone")) & table.id.isNotNull(), "left_anti")
 
     def _domains(self) -> DataFrame:
         fields_ = schemas.UPDATABLE_FIELDS["domains"]
@@ -929,7 +950,7 @@ class ChangedTables(Mapping):
         """One full outer join of the memberships with what the batch says of them, removals and cascades included."""
         said = self._memberships().select("team_id", "email", F.col("id").alias("new_id"), F.col("role").alias("new_role"), "put", "removed",
                                           F.lit(False).alias("went"))
-        gone = self.gone().where(F.col("table") == "team_members").select("team_id", "email").distinct().withColumn("_went", F.lit(True))
+        gone = self.gone("team_members").withColumn("_went", F.lit(True))
         said = said.unionByName(gone.select("team_id", "email", F.lit(None).cast("string").alias("new_id"),
                                             F.lit(None).cast("string").alias("new_role"), F.lit(None).cast("long").alias("put"),
                                             F.lit(None).cast("long").alias("removed"), F.col("_went").alias("went")))
