@@ -112,10 +112,12 @@ def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
     customer = read_table(spark, sf_dir, "customer")
-    lines = lineitem.groupBy("l_orderkey", "l_partkey").agg(F.max("l_shipdate").alias("s"))
+    # The lines, the largest side, are shuffled once: grouped within their order, and joined with orders that have their customer.
+    lines = (lineitem.select("l_orderkey", "l_partkey", "l_shipdate").repartition("l_orderkey")
+             .groupBy("l_orderkey", "l_partkey").agg(F.max("l_shipdate").alias("s")))
+    ordered = orders.join(customer, orders.o_custkey == customer.c_custkey)
     return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(customer, orders.o_custkey == customer.c_custkey)
+        lines.join(ordered, lines.l_orderkey == ordered.o_orderkey)
         .select(*_x(
             "concat('R', l_orderkey, '-', l_partkey) AS id", "concat('A', l_partkey) AS asset_id",
             EMAIL_SQL.format(c="c_name") + " AS requester_email",
