@@ -40,6 +40,7 @@ columns come back unchanged.
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Callable
 
@@ -55,6 +56,12 @@ BANDS, ROWS = 8, 3
 BLOCK = 128
 BLOCK_CHARS = 1 << 20
 WORDS = 16
+#: Shingles that one exploded row hashes.
+RUN = 16
+
+
+#: What ``measured`` tells of a line: its sizes and its bitmap.
+_SKETCH = ["n", "ones", *[f"b{w}" for w in range(WORDS)]]
 
 
 def _constants(count: int) -> list[int]:
@@ -67,48 +74,55 @@ def _points(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _starts(points: Column) -> Column:
-    """The shingles' first characters, from 0; a line shorter than a shingle has one."""
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(points) / 4).cast("int") - SHINGLE))
+def _last(points: Column) -> Column:
+    """The last shingle's first byte; a line shorter than a shingle has one."""
+    return F.greatest(F.lit(0), F.octet_length(points) - 4 * SHINGLE)
 
 
-def _shingle(points: Column, start: Column) -> Column:
-    return F.xxhash64(F.substring(points, start * 4 + 1, F.lit(4 * SHINGLE)))
+def _shingle(points: Column, byte: Column) -> Column:
+    return F.xxhash64(F.substring(points, byte + 1, F.lit(4 * SHINGLE)))
 
 
-def _exploded(lines: DataFrame) -> DataFrame:
-    """(lid, h): the shingles of ``lines`` (lid, line)."""
-    points = lines.select("lid", _points(F.col("line")).alias("p"))
-    return points.select("lid", "p", F.explode(_starts(F.col("p"))).alias("i")).select(
-        "lid", _shingle(F.col("p"), F.col("i")).alias("h"))
+def _exploded(lines: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The shingles of ``lines`` (lid, line), RUN of them in a row, and their columns; the last run repeats the last shingle."""
+    runs = lines.select("lid", _points(F.col("line")).alias("p")).select("lid", "p", _last(F.col("p")).alias("last"))
+    runs = runs.select("lid", "p", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(4 * RUN))).alias("i"))
+    names = [f"h{k}" for k in range(RUN)]
+    return runs.select("lid", *[_shingle(F.col("p"), F.least(F.col("i") + 4 * k, F.col("last"))).alias(h)
+                                for k, h in enumerate(names)]), names
 
 
 def banded_lines(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(lid, bands array<long>) of ``lines`` (lid, line)."""
     c = _constants(bands * rows)
-    low = _exploded(lines).groupBy("lid").agg(
-        *[F.min(F.col("h").bitwiseXOR(F.lit(k))).alias(f"m{j}") for j, k in enumerate(c)])
+    runs, names = _exploded(lines)
+    low = runs.groupBy("lid").agg(
+        *[F.min(F.least(*[F.col(h).bitwiseXOR(F.lit(k)) for h in names])).alias(f"m{j}") for j, k in enumerate(c)])
     return low.select("lid", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)])
                                        for b in range(bands)]).alias("bands"))
 
 
-def shingle_set(line: Column) -> Column:
-    """array<long>: hashes of all distinct character shingles."""
+def shingles(line: Column) -> Column:
+    """array<long>: hashes of all character shingles, in their order."""
     # The array of one element binds the characters, so that they are made once.
-    sets = F.transform(F.array(_points(line)), lambda p: F.transform(_starts(p), lambda i: _shingle(p, i)))
-    return F.array_distinct(F.get(sets, F.lit(0)))
+    each = F.transform(F.array(_points(line)), lambda p: F.transform(F.sequence(F.lit(0), _last(p), F.lit(4)), lambda i: _shingle(p, i)))
+    return F.get(each, F.lit(0))
 
 
 def measured(lines: DataFrame) -> DataFrame:
-    """``lines`` (lid, line) with n (distinct shingles), bits (a bitmap of them) and ones (its set bits)."""
-    h, none = F.col("h"), F.lit(0).cast("long")
-    word, bit = F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)), h.bitwiseAND(F.lit(63)).cast("int")
-    bitmap = [F.bit_or(F.when(word == w, F.call_function("shiftleft", F.lit(1).cast("long"), bit)).otherwise(none)).alias(f"b{w}")
-              for w in range(WORDS)]
-    maps = _exploded(lines).groupBy("lid").agg(*bitmap)
-    maps = maps.select("lid", F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits"),
-                       sum((F.bit_count(f"b{w}") for w in range(WORDS)), F.lit(0)).alias("ones"))
-    return lines.join(maps, "lid").select("lid", "line", F.size(shingle_set(F.col("line"))).alias("n"), "bits", "ones")
+    """``lines`` (lid, line) with n (distinct shingles), b0, b1 .. (a bitmap of them) and ones (its set bits)."""
+    runs, names = _exploded(lines)
+
+    def word(w):
+        bits = [F.when(F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)) == w,
+                       F.call_function("shiftleft", F.lit(1).cast("long"), F.col(h).bitwiseAND(F.lit(63)).cast("int")))
+                .otherwise(F.lit(0).cast("long")) for h in names]
+        return F.bit_or(functools.reduce(Column.bitwiseOR, bits)).alias(f"b{w}")
+
+    maps = runs.groupBy("lid").agg(*[word(w) for w in range(WORDS)])
+    ones = sum((F.bit_count(f"b{w}") for w in range(WORDS)), F.lit(0))
+    return lines.join(maps.select("*", ones.alias("ones")), "lid").select(
+        "lid", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n"), "ones", *_SKETCH[2:])
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -135,9 +149,9 @@ def distinct_lines(found: DataFrame) -> DataFrame:
 
 
 def _may_be_alike(x: dict, y: dict, similarity: float) -> Column:
-    """False only for lines that can't be alike, by their sizes and bitmaps (n, bits, ones)."""
+    """False only for lines that can't be alike, by their sizes and bitmaps (the columns of _SKETCH)."""
     sizes = F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9
-    common = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
+    common = sum((F.bit_count(x[b].bitwiseAND(y[b])) for b in _SKETCH[2:]), F.lit(0))
     # Shingles that share a bit with another of their line may be common without adding to the common bits.
     most = common + F.least(x["n"] - x["ones"], y["n"] - y["ones"])
     return sizes & _enough(most, x, y, similarity)
@@ -149,13 +163,19 @@ def _enough(both: Column, x: dict, y: dict, similarity: float) -> Column:
 
 
 def _with_first(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): the links between the members of a bucket (lid, low) and its smallest line."""
-    pairs = members.where("lid <> low").select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
+    """(u, v): the links between the members of buckets (band, lid) and their smallest lines."""
+    # Grouped by a struct of the key, as above.
+    low = members.groupBy(F.struct("band").alias("k")).agg(F.min("lid").alias("low")).select(F.col("k.band").alias("band"), "low")
+    pairs = members.join(low, "band").where("lid <> low").select(F.col("lid").alias("u"), F.col("low").alias("v")).distinct()
+    for k in "uv":
+        pairs = pairs.join(texts.select(F.col("lid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in _SKETCH]), k)
+    x, y = ({c: F.col(f"{c}_{k}") for c in _SKETCH} for k in "uv")
+    pairs = pairs.where(_may_be_alike(x, y, similarity)).select("u", "v", "n_u", "n_v")
+    # Only the lines that the bitmaps leave meet with their texts.
     for k in "uv":
-        pairs = pairs.join(texts.select(F.col("lid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "bits", "ones")]), k)
-    x, y = ({c: F.col(f"{c}_{k}") for c in ("n", "bits", "ones")} for k in "uv")
-    both = F.size(F.array_intersect(shingle_set(F.col("line_u")), shingle_set(F.col("line_v"))))
-    return pairs.where(_may_be_alike(x, y, similarity) & _enough(both, x, y, similarity)).select("u", "v")
+        pairs = pairs.join(texts.select(F.col("lid").alias(k), F.col("line").alias(f"line_{k}")), k)
+    both = F.size(F.array_intersect(shingles(F.col("line_u")), shingles(F.col("line_v"))))
+    return pairs.where(_enough(both, x, y, similarity)).select("u", "v")
 
 
 def _between(members: DataFrame, signed: DataFrame, texts: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -182,23 +202,38 @@ def _between(members: DataFrame, signed: DataFrame, texts: DataFrame, groups: Da
             "lines-open")
         # Blocks 0 to nr - 1 are the rest's, nr to nr + nm - 1 the main component's.
         other = F.when(F.col("in_main"), F.expr("sequence(0, nr - 1)")).otherwise(F.expr("sequence(0, nr + nm - 1)"))
-        tasks = (dealt.join(signed, "lid").join(texts, "lid").select("*", F.explode(other).alias("x"))
+        # A pair is compared in the first band that it shares: that none before this one is shared.
+        before = F.slice("bands", F.lit(1), (F.array_position("bands", F.col("band")) - 1).cast("int"))
+        tasks = (dealt.join(signed, "lid").join(texts, "lid").select("*", before.alias("before"), F.explode(other).alias("x"))
                  .groupBy("band", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-                 .agg(F.collect_list(F.struct("block", "lid", "root", "bands", "line", "n", "bits", "ones")).alias("m")))
-        tasks = tasks.withColumn("m", F.transform("m", lambda x: F.struct(
-            x["block"].alias("block"), x["lid"].alias("lid"), x["root"].alias("root"), x["bands"].alias("bands"), x["n"].alias("n"),
-            x["bits"].alias("bits"), x["ones"].alias("ones"), shingle_set(x["line"]).alias("s"))))
-
-        def linked(x, y):
-            first = F.filter(F.zip_with(x["bands"], y["bands"], lambda a, b: F.when(a == b, a)), lambda b: b.isNotNull())
-            return ((x["root"] != y["root"]) & ((F.col("i") < F.col("j")) | (x["lid"] < y["lid"])) & _may_be_alike(x, y, similarity)
-                    & (F.get(first, F.lit(0)) == F.col("band")) & _enough(F.size(F.array_intersect(x["s"], y["s"])), x, y, similarity))
-
-        sides = tasks.select("band", "i", "j", F.filter("m", lambda x: x["block"] == F.col("i")).alias("a"),
-                             F.filter("m", lambda x: x["block"] == F.col("j")).alias("b"))
-        links = F.transform("a", lambda x: F.transform(F.filter("b", lambda y: linked(x, y)), lambda y: F.struct(
-            F.least(x["root"], y["root"]).alias("u"), F.greatest(x["root"], y["root"]).alias("v"))))
-        out = sides.select(F.explode(F.array_distinct(F.flatten(links))).alias("p")).select("p.u", "p.v").distinct()
+                 .agg(F.collect_list(F.struct("block", "lid", "root", "before", "line", *_SKETCH)).alias("m")))
+
+        def candidates(x, y):
+            return ((x["root"] != y["root"]) & ((F.col("i") < F.col("j")) | (x["lid"] < y["lid"]))
+                    & ~F.arrays_overlap(x["before"], y["before"]) & _may_be_alike(x, y, similarity))
+
+        def side(block):
+            return F.filter("m", lambda x: x["block"] == F.col(block))
+
+        # near: for each line of a the places in b of those that it may be like; only lines of such pairs get their shingles.
+        sides = tasks.select("i", "j", side("i").alias("a"), side("j").alias("b"))
+        sides = sides.select("a", "b", F.transform("a", lambda x: F.filter(
+            F.transform("b", lambda y, k: F.when(candidates(x, y), k)), lambda k: k.isNotNull())).alias("near"))
+        of_a = F.zip_with("a", "near", lambda x, k: F.struct(
+            x["root"].alias("root"), x["n"].alias("n"), F.when(F.size(k) > 0, shingles(x["line"])).alias("s"), k.alias("near")))
+        # The array of one element binds the places, so that they are gathered once.
+        of_b = F.get(F.transform(F.array(F.array_distinct(F.flatten("near"))), lambda met: F.transform("b", lambda y, k: F.struct(
+            y["root"].alias("root"), y["n"].alias("n"), F.when(F.array_contains(met, k), shingles(y["line"])).alias("s")))), F.lit(0))
+
+        def alike(x, y):
+            return _enough(F.size(F.array_intersect(x["s"], y["s"])), x, y, similarity)
+
+        def joined(x, y):
+            return F.struct(F.least(x["root"], y["root"]).alias("u"), F.greatest(x["root"], y["root"]).alias("v"))
+
+        links = F.transform("a", lambda x: F.transform(F.filter(x["near"], lambda k: alike(x, F.get("b", k))), lambda k: joined(x, F.get("b", k))))
+        out = sides.select(of_a.alias("a"), of_b.alias("b")).select(F.explode(F.array_distinct(F.flatten(links))).alias("p"))
+        out = out.select("p.u", "p.v").distinct()
         return keep(written(out, "lines-between"))
 
 
@@ -211,9 +246,8 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, read: Callab
         signed = written(banded_lines(lines), "lines-bands")
         banded = signed.select("lid", F.explode("bands").alias("band"))
         # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large bucket.
-        first = (banded.groupBy(F.struct("band").alias("k")).agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
-                 .where("low < high").select(F.col("k.band").alias("band"), "low"))
-        members = written(banded.join(first, "band").select("band", "lid", "low"), "lines-members")
+        shared = banded.groupBy(F.struct("band").alias("k")).agg(F.count("*").alias("m")).where("m > 1").select(F.col("k.band").alias("band"))
+        members = written(banded.join(shared, "band").select("band", "lid"), "lines-members")
         texts = written(measured(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line")), "lines-texts")
         read()
         free_shuffles(lines.sparkSession)
@@ -240,6 +274,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             lines = distinct_lines(found)
         # The texts of the lines are dropped once they have been read.
         whole, spots = lines, written(lines.select("lid", "first", "n"), "lines-spots", bucket="lid")
+        free_shuffles(docs.sparkSession)
         groups = similar_lines(whole.select("lid", "line"), similarity, lambda: discard(whole))
         grouped = spots.join(groups, spots["lid"] == groups["node"]).select("lid", "root", "first")
         # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large group.
