@@ -75,18 +75,18 @@ def _points(line: Column) -> Column:
 
 
 def _last(points: Column) -> Column:
-    """The last shingle's first byte; a line shorter than a shingle has one."""
-    return F.greatest(F.lit(0), F.octet_length(points) - 4 * SHINGLE)
+    """The last shingle's first byte, from 1; a line shorter than a shingle has one."""
+    return F.greatest(F.lit(1), F.octet_length(points) + 1 - 4 * SHINGLE)
 
 
 def _shingle(points: Column, byte: Column) -> Column:
-    return F.xxhash64(F.substring(points, byte + 1, F.lit(4 * SHINGLE)))
+    return F.xxhash64(F.substring(points, byte, F.lit(4 * SHINGLE)))
 
 
 def _exploded(lines: DataFrame) -> tuple[DataFrame, list[str]]:
     """The shingles of ``lines`` (lid, line), RUN of them in a row, and their columns; the last run repeats the last shingle."""
     runs = lines.select("lid", _points(F.col("line")).alias("p")).select("lid", "p", _last(F.col("p")).alias("last"))
-    runs = runs.select("lid", "p", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(4 * RUN))).alias("i"))
+    runs = runs.select("lid", "p", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * RUN))).alias("i"))
     names = [f"h{k}" for k in range(RUN)]
     return runs.select("lid", *[_shingle(F.col("p"), F.least(F.col("i") + 4 * k, F.col("last"))).alias(h)
                                 for k, h in enumerate(names)]), names
@@ -105,7 +105,7 @@ def banded_lines(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Data
 def shingles(line: Column) -> Column:
     """array<long>: hashes of all character shingles, in their order."""
     # The array of one element binds the characters, so that they are made once.
-    each = F.transform(F.array(_points(line)), lambda p: F.transform(F.sequence(F.lit(0), _last(p), F.lit(4)), lambda i: _shingle(p, i)))
+    each = F.transform(F.array(_points(line)), lambda p: F.transform(F.sequence(F.lit(1), _last(p), F.lit(4)), lambda i: _shingle(p, i)))
     return F.get(each, F.lit(0))
 
 
@@ -248,8 +248,10 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, read: Callab
         # Grouped by a struct of the key, so that the join back has an exchange of its own and AQE can split a large bucket.
         shared = banded.groupBy(F.struct("band").alias("k")).agg(F.count("*").alias("m")).where("m > 1").select(F.col("k.band").alias("band"))
         members = written(banded.join(shared, "band").select("band", "lid"), "lines-members")
-        texts = written(measured(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line")), "lines-texts")
+        open_ = written(lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), "lines-shared", bucket="lid")
         read()
+        texts = written(measured(open_), "lines-texts")
+        discard(open_)
         free_shuffles(lines.sparkSession)
         groups = components(written(_with_first(members, texts, similarity), "lines-links"), "lines-groups")
         more = _between(members, signed, texts, groups, similarity)
