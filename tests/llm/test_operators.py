@@ -126,6 +126,23 @@ def test_line_signatures_reach_the_bandings_recall(spark, sep, lengths):
     assert sum(bool(rows[2 * k] & rows[2 * k + 1]) for k in range(300)) >= 294
 
 
+def test_shingles_are_hashed_in_runs_and_none_is_lost(spark):
+    lines = ["".join(chr(0x1F300 + (k * j) % 90) if k % 3 else chr(97 + (k * j) % 26) for k in range(j)) for j in (1, 7, 8, 22, 23, 24, 39, 40, 70)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    runs, names = linededup._exploded(frame)
+    got, rows = {}, {}
+    for r in runs.collect():
+        got.setdefault(r.lid, set()).update(r[h] for h in names)
+        rows[r.lid] = rows.get(r.lid, 0) + 1
+    F = linededup.F
+    each = spark.createDataFrame([(k, x[j:j + 8]) for k, x in enumerate(lines) for j in range(max(1, len(x) - 7))], "lid long, s string")
+    want = {r.lid: set(r.s) for r in each.groupBy("lid").agg(F.collect_set(F.xxhash64(F.encode("s", "UTF-32"))).alias("s")).collect()}
+    assert got == want and rows == {k: -(-max(1, len(x) - 7) // linededup.RUN) for k, x in enumerate(lines)}
+    sets = {r.lid: r.s for r in frame.select("lid", linededup.shingles(F.col("line")).alias("s")).collect()}
+    assert {k: set(v) for k, v in sets.items()} == want
+    assert {r.lid: r.n for r in linededup.measured(frame).collect()} == {k: len(v) for k, v in want.items()}
+
+
 def test_settled_lines_still_meet_the_others_of_their_buckets(spark, monkeypatch):
     rng = random.Random(21)
 
